@@ -510,8 +510,8 @@ def q_brier(spark, sf):
     return metrics.brier(pipeline(spark, sf).scores("ex_ante"))
 
 
-AUC_SQL = """auc_g AS (SELECT class, p, sum(CAST(class = y_true AS BIGINT)) AS pos,
-                 sum(CAST(class <> y_true AS BIGINT)) AS neg FROM pmat GROUP BY class, p),
+AUC_SQL = """auc_g AS (SELECT class, round(p, 12) AS p, sum(CAST(class = y_true AS BIGINT)) AS pos,
+                 sum(CAST(class <> y_true AS BIGINT)) AS neg FROM pmat GROUP BY class, round(p, 12)),
   auc_c AS (SELECT class, sum(pos * (coalesce(nb, 0) + 0.5 * neg)) AS u, sum(pos) AS P, sum(neg) AS N
             FROM (SELECT *, sum(neg) OVER (PARTITION BY class ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb
                   FROM auc_g) GROUP BY class),
@@ -622,3 +622,297 @@ def q_evaluate_model_expl(spark, sf):
       (VALUES ('0'), ('1')) c(class)"""))
 def q_binary_collapse(spark, sf):
     return prep.binary_collapse(pipeline(spark, sf).posterior("ex_ante"), KEY)
+
+
+# ---------------------------------------------------------------------------
+# Association (A13, D1-D6, W5) on the prepared cases, raw column names
+# ---------------------------------------------------------------------------
+from itertools import combinations as _comb  # noqa: E402
+
+from bnlake.operators import association as assoc  # noqa: E402
+
+VARS = [n.column for n in SPEC.nodes]
+
+
+def _cont_sql() -> list[str]:
+    parts = [f"SELECT {sq(a)} AS var_a, {sq(b)} AS var_b, CAST({a} AS VARCHAR) AS a, "
+             f"CAST({b} AS VARCHAR) AS b, count(*) AS n FROM prepared "
+             f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
+             for a, b in _comb(VARS, 2)]
+    return O.base() + ["cont AS (" + " UNION ALL ".join(parts) + ")", """
+      cs AS (SELECT *, CAST(sum(n) OVER (PARTITION BY var_a, var_b) AS DOUBLE) AS NN,
+                CAST(sum(n) OVER (PARTITION BY var_a, var_b, a) AS DOUBLE) AS na,
+                CAST(sum(n) OVER (PARTITION BY var_a, var_b, b) AS DOUBLE) AS nb FROM cont),
+      ma AS (SELECT var_a, var_b, sum(-(na / NN) * ln(na / NN)) AS h_a, count(*) AS card_a
+             FROM (SELECT DISTINCT var_a, var_b, a, na, NN FROM cs) GROUP BY 1, 2),
+      mb AS (SELECT var_a, var_b, sum(-(nb / NN) * ln(nb / NN)) AS h_b, count(*) AS card_b
+             FROM (SELECT DISTINCT var_a, var_b, b, nb, NN FROM cs) GROUP BY 1, 2),
+      st AS (SELECT var_a, var_b, CAST(any_value(NN) AS BIGINT) AS n,
+                avg(abs(n / NN - (na / NN) * (nb / NN))) AS deviation,
+                sum((n / NN) * ln((n / NN) / ((na / NN) * (nb / NN)))) AS mi_raw FROM cs GROUP BY 1, 2),
+      stats AS (SELECT st.var_a, st.var_b, st.n, st.deviation, greatest(st.mi_raw, 0.0) AS mutual_info,
+                CASE WHEN ma.h_a > 0 AND mb.h_b > 0 THEN least(1.0, greatest(st.mi_raw, 0.0) / sqrt(ma.h_a * mb.h_b))
+                     ELSE 0.0 END AS nmi,
+                2.0 * st.n * greatest(st.mi_raw, 0.0) AS g,
+                CAST((ma.card_a - 1) * (mb.card_b - 1) AS INTEGER) AS dof
+         FROM st JOIN ma USING (var_a, var_b) JOIN mb USING (var_a, var_b))"""]
+
+
+def _stats(spark, sf):
+    return assoc.pair_stats(assoc.contingency(pipeline(spark, sf).cases, VARS))
+
+
+@register("contingency", sql(_cont_sql(), "SELECT var_a, var_b, a, b, n FROM cont"))
+def q_contingency(spark, sf):
+    return assoc.contingency(pipeline(spark, sf).cases, VARS)
+
+
+@register("dependency_deviation", sql(_cont_sql(), "SELECT var_a, var_b, n, round(deviation, 6) AS deviation FROM stats"))
+def q_dep_dev(spark, sf):
+    return _stats(spark, sf).select("var_a", "var_b", "n", "deviation")
+
+
+@register("mutual_information", sql(_cont_sql(), "SELECT var_a, var_b, round(mutual_info, 6) AS mutual_info FROM stats"))
+def q_mi(spark, sf):
+    return _stats(spark, sf).select("var_a", "var_b", "mutual_info")
+
+
+@register("normalized_mi", sql(_cont_sql(), "SELECT var_a, var_b, round(nmi, 6) AS nmi FROM stats"))
+def q_nmi(spark, sf):
+    return _stats(spark, sf).select("var_a", "var_b", "nmi")
+
+
+@register("g_test", sql(_cont_sql(), """
+    SELECT var_a, var_b, n, round(g, 6) AS g, dof,
+           round(CASE WHEN dof <= 0 THEN 1.0 WHEN dof % 2 = 0 THEN
+                   CASE WHEN g <= 0 THEN 1.0 ELSE least(1.0, (SELECT sum(exp(i * ln(greatest(g / 2, 1e-300)) - g / 2 - lgamma(i + 1)))
+                                                   FROM range(0, dof // 2) r(i))) END END, 6) AS p_value
+    FROM stats"""))
+def q_g_test(spark, sf):
+    return assoc.g_test(_stats(spark, sf))
+
+
+@register("g_test_exact")
+def q_g_test_exact(spark, sf):
+    """D4 with odd-dof p-values too (small Arrow UDF over the per-pair table)."""
+    return assoc.g_test(_stats(spark, sf), exact_odd=True)
+
+
+@register("dependency_matrix", sql(_cont_sql(), "SELECT var_a, var_b, round(deviation, 6) AS score FROM stats "
+                                   "UNION ALL SELECT var_b, var_a, round(deviation, 6) FROM stats UNION ALL "
+                                   "SELECT DISTINCT var_a, var_a, 0.0 FROM (SELECT var_a FROM stats UNION SELECT var_b FROM stats)"))
+def q_dep_matrix(spark, sf):
+    return assoc.dependency_matrix(_stats(spark, sf), VARS)
+
+
+def _top_sql(col: str, thr: float, top: int, tag: str | None = None) -> str:
+    pos = "CASE " + " ".join(f"WHEN {{x}} = {sq(v)} THEN {i}" for i, v in enumerate(VARS)) + " END"
+    tagc = f", {sq(tag)} AS method" if tag else ""
+    return f"""SELECT var_a, var_b, score, rank{tagc} FROM (
+        SELECT var_a, var_b, round({col}, 6) AS score,
+               row_number() OVER (ORDER BY round({col}, 6) DESC, {pos.format(x='var_a')}, {pos.format(x='var_b')}) AS rank
+        FROM stats WHERE {col} >= {thr}) WHERE rank <= {top}"""
+
+
+@register("top_dependencies", sql(_cont_sql(), _top_sql("deviation", 0.01, 20)))
+def q_top_dep(spark, sf):
+    return assoc.top_dependencies(_stats(spark, sf), VARS, "deviation", 0.01, 20)
+
+
+@register("dependency_report", sql(_cont_sql(), _top_sql("deviation", 0.001, 20, "deviation")
+                                   + " UNION ALL " + _top_sql("mutual_info", 0.001, 20, "mutual_info")))
+def q_dep_report(spark, sf):
+    return assoc.dependency_report(_stats(spark, sf), VARS, 0.001, 20)
+
+
+# ---------------------------------------------------------------------------
+# Structure (G1-G8, SET1): train split, raw column names
+# ---------------------------------------------------------------------------
+from bnlake.operators import structure as struct_ops  # noqa: E402
+
+HAND = struct_ops.spec_graph(SPEC, VARS)
+
+
+def _family_sql(families: list[tuple[str, list[str]]], src: str) -> list[str]:
+    """LL of each family on rows complete for it; n and cardinalities from all rows."""
+    parts = []
+    for i, (node, ps) in enumerate(families):
+        cols = list(ps) + [node]
+        nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        grp = ", ".join(cols)
+        pg = ", ".join(ps) if ps else "NULL"
+        parts.append(f"""SELECT {i} AS fam, {sq(node)} AS node, {len(ps)} AS k,
+            sum(CAST(cnt AS DOUBLE) * ln(CAST(cnt AS DOUBLE) / CAST(npa AS DOUBLE))) AS ll, sum(cnt) AS nrows
+            FROM (SELECT *, sum(cnt) OVER (PARTITION BY {pg}) AS npa FROM
+                  (SELECT {grp}, count(*) AS cnt FROM {src} WHERE {nn} GROUP BY {grp}))""")
+    card = ", ".join(f"count(DISTINCT {v}) AS c_{v}" for v in VARS)
+    allnull = " AND ".join(f"{v} IS NULL" for v in VARS)
+    pens = []
+    for i, (node, ps) in enumerate(families):
+        q = " * ".join([f"greatest(c_{p}, 1)" for p in ps]) or "1"
+        pens.append(f"SELECT {i} AS fam, 0.5 * ln(greatest(nn, 1)) * (greatest(c_{node}, 1) - 1) * {q} AS penalty FROM meta")
+    return [f"meta AS (SELECT count(*) AS nn, {card} FROM {src} WHERE NOT ({allnull}))",
+            "fams AS (" + " UNION ALL ".join(parts) + ")",
+            "pens AS (" + " UNION ALL ".join(pens) + ")"]
+
+
+def _structure_frame(spark, sf, train: bool = True):
+    p = pipeline(spark, sf)
+    return p.train if train else p.test
+
+
+def _fam_rows(scorer, families):
+    out = []
+    for i, (node, ps) in enumerate(families):
+        k = scorer.key(node, ps)
+        out.append((i, node, len(ps), scorer.loglik[k], scorer.penalty(node, ps), scorer.cache[k]))
+    return out
+
+
+HAND_FAMS = [(c, sorted(ps)) for c, ps in HAND.items()]
+
+
+@register("bic_family", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE is_train)"]
+                            + _family_sql(HAND_FAMS, "src"), """
+    SELECT f.fam, f.node, f.k, round(f.ll, 6) AS loglik, round(p.penalty, 6) AS penalty,
+           round(f.ll - p.penalty, 6) AS bic FROM fams f JOIN pens p USING (fam)"""))
+def q_bic_family(spark, sf):
+    """G1: BIC of each family of the hand-made graph on the training split;
+    all families are scored by one grouping-sets job."""
+    sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
+    sc.score_families([sc.key(n, p) for n, p in HAND_FAMS])
+    return spark.createDataFrame(_fam_rows(sc, HAND_FAMS),
+                                 "fam int, node string, k int, loglik double, penalty double, bic double")
+
+
+@register("bic_graph", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE is_train)"]
+                           + _family_sql(HAND_FAMS, "src"), f"""
+    SELECT round(sum(f.ll - p.penalty), 6) AS bic, round(sum(f.ll), 6) AS loglik,
+           {sum(len(v) for v in HAND.values())} AS n_edges FROM fams f JOIN pens p USING (fam)"""))
+def q_bic_graph(spark, sf):
+    """The graph score is the sum of its families."""
+    rows = q_bic_family(spark, sf)
+    return rows.agg(F.sum("bic").alias("bic"), F.sum("loglik").alias("loglik"),
+                    F.lit(sum(len(v) for v in HAND.values())).alias("n_edges"))
+
+
+FIRST_FAMS = [(t, []) for t in VARS] + [(t, [s]) for t in VARS for s in VARS if s != t]
+
+
+@register("family_candidates", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE is_train)"]
+                                   + _family_sql(FIRST_FAMS, "src"), """
+    SELECT f.fam, f.node, f.k, round(f.ll, 6) AS loglik, round(p.penalty, 6) AS penalty,
+           round(f.ll - p.penalty, 6) AS bic FROM fams f JOIN pens p USING (fam)"""))
+def q_family_candidates(spark, sf):
+    """Every family a first hill-climbing step can reach, in one job."""
+    sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
+    sc.score_families([sc.key(n, p) for n, p in FIRST_FAMS])
+    return spark.createDataFrame(_fam_rows(sc, FIRST_FAMS),
+                                 "fam int, node string, k int, loglik double, penalty double, bic double")
+
+
+@register("test_fit_loglik", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE NOT is_train)"]
+                                 + _family_sql(HAND_FAMS, "src"),
+                                 "SELECT round(sum(ll), 6) AS test_loglik FROM fams"))
+def q_test_fit_loglik(spark, sf):
+    """Log-likelihood of the hand-made graph re-estimated on the test split
+    (a fit measure, as the reference computes it)."""
+    sc = struct_ops.BICScorer(_structure_frame(spark, sf, train=False), VARS)
+    return spark.createDataFrame([(sc.graph_loglik(HAND),)], "test_loglik double")
+
+
+_LEARNED: dict = {}
+
+
+def learned_graph(spark, sf, max_parents: int = 4):
+    k = (id(spark), sf, max_parents)
+    if k not in _LEARNED:
+        sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
+        _LEARNED[k] = (struct_ops.hill_climb(sc, max_parents), sc)
+    return _LEARNED[k]
+
+
+@register("hill_climb")
+def q_hill_climb(spark, sf):
+    """G4 (+G5): learned edges; the search is a driver loop over per-iteration
+    batched family scores."""
+    res, _ = learned_graph(spark, sf)
+    return struct_ops.edge_frame(spark, res["graph"]).withColumn("score", F.lit(float(res["score"])))
+
+
+@register("edge_diff")
+def q_edge_diff(spark, sf):
+    res, _ = learned_graph(spark, sf)
+    return struct_ops.edge_diff(struct_ops.edge_frame(spark, HAND),
+                                struct_ops.edge_frame(spark, res["graph"]))
+
+
+@register("compare_structures")
+def q_compare_structures(spark, sf):
+    """Hand-made vs learned: train BIC, test-fit log-likelihood, edges."""
+    res, sc = learned_graph(spark, sf)
+    te = struct_ops.BICScorer(_structure_frame(spark, sf, train=False), VARS)
+    rows = []
+    for name, g in (("handcrafted", HAND), ("learned", res["graph"])):
+        rows.append((name, float(sc.graph_score(g)), float(te.graph_loglik(g)),
+                     sum(len(v) for v in g.values())))
+    return spark.createDataFrame(rows, "graph string, bic double, test_loglik double, n_edges int")
+
+
+# ---------------------------------------------------------------------------
+# Bootstrap intervals (M8) and baselines (B1, B2)
+# ---------------------------------------------------------------------------
+from bnlake.functions.scalar import sql_uniform  # noqa: E402
+from bnlake.operators import baselines as base_ops  # noqa: E402
+from bnlake.operators import bootstrap as boot  # noqa: E402
+
+N_BOOT = 200
+BOOT_METRICS = ["hit_1", "hit_3", "log_loss", "brier"]
+
+
+def _boot_sql(metrics_cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
+    u = sql_uniform(str(seed), "b", "j")
+    means = ", ".join(f"sum(w.w * s.{m}) / CAST((SELECT count(*) FROM scores) AS DOUBLE) AS {m}"
+                      for m in metrics_cols)
+    qs = ", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975), 6) AS {m}_hi"
+                   for m in metrics_cols)
+    return sql(p_ctes() + [
+        f"sidx AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS idx FROM scores)",
+        f"""draws AS (SELECT b, CAST(floor({u} * nn) AS BIGINT) AS idx FROM (
+              SELECT r.range // nn AS b, r.range % nn AS j, nn FROM
+              (SELECT count(*) AS nn FROM scores) c, range(0, {n_boot} * (SELECT count(*) FROM scores)) r))""",
+        "w AS (SELECT b, idx, count(*) AS w FROM draws GROUP BY b, idx)",
+        f"reps AS (SELECT w.b, {means} FROM w JOIN sidx s ON s.idx = w.idx GROUP BY w.b)"],
+        f"SELECT {qs} FROM reps")
+
+
+@register("bootstrap_ci", _boot_sql(BOOT_METRICS))
+def q_bootstrap_ci(spark, sf):
+    sc = pipeline(spark, sf).scores("ex_ante")
+    return boot.bootstrap_ci(sc, BOOT_METRICS, N_BOOT, DEFAULT_SEED, key=KEY)
+
+
+def _baseline_sql(kind: str) -> str:
+    ctes = O.base() + [O.split_chrono()] + [
+        f"""freq AS (SELECT CAST({TARGET} AS VARCHAR) AS class, count(*) AS cnt,
+              CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p,
+              row_number() OVER (ORDER BY TRY_CAST(CAST({TARGET} AS VARCHAR) AS DOUBLE) NULLS LAST, CAST({TARGET} AS VARCHAR)) AS class_ord
+             FROM split WHERE is_train AND {TARGET} IS NOT NULL GROUP BY 1)"""]
+    if kind == "majority":
+        ctes.append("""dist AS (SELECT class, CASE WHEN class = (SELECT class FROM freq ORDER BY cnt DESC, class_ord LIMIT 1)
+                         THEN 0.99 ELSE 0.01 / greatest(1, (SELECT count(*) FROM freq) - 1) END AS p FROM freq)""")
+    else:
+        ctes.append("dist AS (SELECT class, p FROM freq)")
+    return sql(ctes, f"SELECT s.{KEY}, d.class, round(d.p, 6) AS p FROM split s, dist d WHERE NOT s.is_train")
+
+
+@register("baseline_marginal", _baseline_sql("marginal"))
+def q_baseline_marginal(spark, sf):
+    p = pipeline(spark, sf)
+    return base_ops.baseline_marginal(p.train, p.test, TARGET, KEY)
+
+
+@register("baseline_majority", _baseline_sql("majority"))
+def q_baseline_majority(spark, sf):
+    p = pipeline(spark, sf)
+    return base_ops.baseline_majority(p.train, p.test, TARGET, KEY)
