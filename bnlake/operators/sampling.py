@@ -1,0 +1,197 @@
+"""Sampling engines on tables.
+
+A draw for node v in sample s is u = md5(seed|s|v) mapped through the
+inverse CDF of P(v | sampled parents): an equi-join of the samples with the
+node's cumulative factor table on the parent columns, filtered to the one
+value whose interval [cum_lo, cum_hi) holds u.  Draws are keyed by stable ids,
+so a retried task reproduces them.  Roots join on a constant key.
+
+* ancestral sampling: ``spark.range(n)`` pushed through the nodes in
+  topological order;
+* rejection: one shared sample set, equi-joined to the distinct evidence rows
+  of each null pattern (accepted = matches on the observed variables);
+* likelihood weighting: distinct evidence rows x sample ids; observed nodes
+  are fixed and multiply the weight by P(e | parents), hidden ones are drawn.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bnlake.functions.scalar import seeded_uniform
+from bnlake.operators.cpt import Domains
+from bnlake.operators.posterior import TableFactor, clean_evidence, pattern_code
+from bnlake.spec import NetworkSpec
+
+
+def cumulative(factor: TableFactor, node: str) -> DataFrame:
+    """(parents..., node, p, cum_lo, cum_hi, _k) with values in domain order."""
+    ps = [v for v in factor.variables if v != node]
+    w = Window.partitionBy(*ps) if ps else Window.partitionBy()
+    w = w.orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
+    df = factor.df
+    if "_ord" not in df.columns:
+        df = df.withColumn("_ord", F.col(node))
+    c = df.withColumn("cum_hi", F.sum("w").over(w))
+    wl = Window.partitionBy(*ps) if ps else Window.partitionBy()
+    # the last interval also takes u at its upper edge (guards rounding of the total)
+    c = c.withColumn("_last", F.col("_ord") == F.max("_ord").over(wl))
+    extra = [] if ps else [F.lit(0).alias("_k")]
+    return c.select(*ps, node, F.col("w").alias("p"), (F.col("cum_hi") - F.col("w")).alias("cum_lo"),
+                    "cum_hi", "_last", *extra)
+
+
+def ordered_factors(factors_long: DataFrame, spec: NetworkSpec) -> dict[str, TableFactor]:
+    """Factors with the child's domain order attached (for the inverse CDF)."""
+    out = {}
+    for n in spec.names:
+        ps = spec.parents(n)
+        df = factors_long.filter(F.col("node") == n).select(
+            *[F.col(f"pa{i + 1}").alias(p) for i, p in enumerate(ps)],
+            F.col("value").alias(n), F.col("p").alias("w"), F.col("ord").alias("_ord"))
+        out[n] = TableFactor(ps + [n], df)
+    return out
+
+
+def _draw(df: DataFrame, cum: DataFrame, node: str, parents: list[str], u) -> DataFrame:
+    """Attach a drawn value of ``node`` to every row of ``df``."""
+    keys = parents if parents else ["_k"]
+    left = df if parents else df.withColumn("_k", F.lit(0))
+    j = left.withColumn("_u", u).join(cum, keys)
+    j = j.filter((F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last")))
+    return j.drop("_u", "p", "cum_lo", "cum_hi", "_last", *([] if parents else ["_k"]))
+
+
+def ancestral_sample(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],
+                     doms: Domains, n: int, seed: int = 42) -> DataFrame:
+    """N joint samples (sample_id, node columns...)."""
+    s = spark.range(n).select(F.col("id").alias("sample_id"))
+    for node in spec.names:
+        cum = _cum_side(cumulative(ofactors[node], node), doms, spec.parents(node) + [node])
+        s = _draw(s, cum, node, spec.parents(node),
+                  seeded_uniform(F.lit(seed), F.col("sample_id"), F.lit(node)))
+    return s
+
+
+def _uniform_fill(spec, doms, query, configs, obs):
+    vals = doms[query]
+    return configs.select(*obs, F.posexplode(F.array(*[F.lit(v) for v in vals])).alias("_o", "class")) \
+        .select(*obs, "class", (F.col("_o") + 1).alias("class_ord"), F.lit(1.0 / len(vals)).alias("p"))
+
+
+def posterior_rejection(spark: SparkSession, spec: NetworkSpec, samples: DataFrame, doms: Domains,
+                        cases_ev: DataFrame, ev_vars: list[str], query: str | None = None,
+                        key: str | None = None) -> DataFrame:
+    """I8: share of accepted samples per class; none accepted -> uniform."""
+    query = query or spec.target
+    key = key or spec.key
+    ev_vars = [v for v in ev_vars if v != query]
+    ev = clean_evidence(cases_ev.select(key, *ev_vars), ev_vars, doms) \
+        .withColumn("_pat", pattern_code(ev_vars))
+    ords = F.create_map(*[x for i, v in enumerate(doms[query]) for x in (F.lit(v), F.lit(i + 1))])
+    parts = []
+    for code in sorted(r["_pat"] for r in ev.select("_pat").distinct().collect()):
+        obs = [v for i, v in enumerate(ev_vars) if code >> i & 1]
+        cfg = ev.filter(F.col("_pat") == code).select(*obs).distinct()
+        acc = (cfg.join(samples, obs) if obs else samples) \
+            .groupBy(*obs, F.col(query).alias("class")).agg(F.count(F.lit(1)).alias("c"))
+        w = Window.partitionBy(*obs) if obs else Window.partitionBy()
+        got = acc.select(*obs, "class", ords[F.col("class")].alias("class_ord"),
+                         (F.col("c") / F.sum("c").over(w)).alias("p"))
+        none = cfg.join(acc.select(*obs).distinct(), obs, "left_anti") if obs else \
+            cfg.limit(0)
+        post = got.unionByName(_uniform_fill(spec, doms, query, none, obs))
+        parts.append(post.select(F.lit(code).alias("_pat"),
+                                 *[F.col(v) if v in obs else F.lit(None).cast("string").alias(v)
+                                   for v in ev_vars], "class", "class_ord", "p"))
+    table = reduce(DataFrame.unionByName, parts)
+    cond = [ev["_pat"] == table["_pat"]] + [ev[v].eqNullSafe(table[v]) for v in ev_vars]
+    return ev.join(table, cond).select(ev[key].alias(key), "class", "class_ord", "p")
+
+
+NULL_TOKEN = "<null>"
+BROADCAST_ROWS = 1_000_000
+
+
+def _cum_side(cum: DataFrame, doms: Domains, names: list[str]) -> DataFrame:
+    """Broadcast a cumulative factor table when its grid size (known from the
+    domains) is bounded; otherwise leave the join strategy to Spark/AQE."""
+    return F.broadcast(cum) if doms.grid_size(names) <= BROADCAST_ROWS else cum
+
+
+def evidence_id(ev_vars: list[str]):
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(v), F.lit(NULL_TOKEN)) for v in ev_vars])) \
+        if ev_vars else F.lit("0")
+
+
+def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],
+               doms: Domains, configs: DataFrame, ev_vars: list[str], n: int = 1000,
+               seed: int = 42) -> DataFrame:
+    """Weighted samples (_eid, sample_id, node columns..., _w) for distinct
+    evidence rows ``configs`` (columns ev_vars, null = unobserved)."""
+    cfg = configs.withColumn("_eid", evidence_id(ev_vars))
+    s = cfg.select("_eid", *[F.col(v).alias(f"_e_{v}") for v in ev_vars],
+                   F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id")) \
+        .withColumn("_w", F.lit(1.0))
+    for node in spec.names:
+        ps = spec.parents(node)
+        cum = _cum_side(cumulative(ofactors[node], node), doms, ps + [node])
+        u = seeded_uniform(F.lit(seed), F.col("_eid"), F.col("sample_id"), F.lit(node))
+        keys = ps if ps else ["_k"]
+        left = s if ps else s.withColumn("_k", F.lit(0))
+        j = left.withColumn("_u", u).join(cum, keys)
+        drawn = (F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last"))
+        if node in ev_vars:
+            e = F.col(f"_e_{node}")
+            keep_row = F.when(e.isNotNull(), F.col(node) == e).otherwise(drawn)
+            j = j.filter(keep_row).withColumn(
+                "_w", F.col("_w") * F.when(e.isNotNull(), F.col("p")).otherwise(F.lit(1.0)))
+        else:
+            j = j.filter(drawn)
+        s = j.drop("_u", "p", "cum_lo", "cum_hi", "_last", *([] if ps else ["_k"]))
+    return s
+
+
+def lw_posterior(samples: DataFrame, doms: Domains, query: str, n: int | None = None) -> DataFrame:
+    """(_eid, class, class_ord, p) from the first n weighted samples."""
+    s = samples if n is None else samples.filter(F.col("sample_id") < n)
+    agg = s.groupBy("_eid", F.col(query).alias("class")).agg(F.sum("_w").alias("w"))
+    w = Window.partitionBy("_eid")           # one row per class of one evidence row
+    ords = F.create_map(*[x for i, v in enumerate(doms[query]) for x in (F.lit(v), F.lit(i + 1))])
+    tot = F.sum("w").over(w)
+    post = agg.select("_eid", "class", ords[F.col("class")].alias("class_ord"),
+                      F.when(tot > 0, F.col("w") / tot).alias("p"))
+    zero = post.filter(F.col("p").isNull()).select("_eid").distinct()
+    return post.filter(F.col("p").isNotNull()).unionByName(_uniform_fill(None, doms, query, zero, ["_eid"]))
+
+
+def posterior_likelihood_weighting(spark: SparkSession, spec: NetworkSpec,
+                                   ofactors: dict[str, TableFactor], doms: Domains,
+                                   cases_ev: DataFrame, ev_vars: list[str], n: int = 1000,
+                                   seed: int = 42, query: str | None = None,
+                                   key: str | None = None, counts=None):
+    """Weighted samples per distinct evidence row; zero total -> uniform.
+    With ``counts`` returns {n: posterior} from one sample table."""
+    query = query or spec.target
+    key = key or spec.key
+    ev_vars = [v for v in ev_vars if v != query]
+    ev = clean_evidence(cases_ev.select(key, *ev_vars), ev_vars, doms).withColumn("_eid", evidence_id(ev_vars))
+    cfg = ev.select(*ev_vars).distinct()
+    samples = lw_samples(spark, spec, ofactors, doms, cfg, ev_vars, max(counts or [n]), seed)
+    keyed = ev.select(key, "_eid")
+    if counts is None:
+        return keyed.join(lw_posterior(samples, doms, query), "_eid").select(key, "class", "class_ord", "p")
+    return {c: keyed.join(lw_posterior(samples, doms, query, c), "_eid").select(key, "class", "class_ord", "p")
+            for c in counts}
+
+
+def sampler_convergence(exact: DataFrame, samples_by_n: dict[int, DataFrame],
+                        key: str = "case_id") -> DataFrame:
+    """Mean TV distance from exact at each sample count."""
+    from bnlake.operators.posterior import tv_distance
+    parts = [tv_distance(exact, post, key).agg(F.avg("tv").alias("tv"))
+             .withColumn("n_samples", F.lit(n)) for n, post in samples_by_n.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -244,3 +244,64 @@ class OracleSQL:
         fin = f"""{name} AS (SELECT e.{spec.key}, e.y_true, j.class, CAST(j.class_ord AS INTEGER) AS class_ord, j.p
                   FROM {ev} e JOIN jpost j ON {on})"""
         return [dev, joint, norm, fin]
+
+    # -- sampling (I7-I9) ----------------------------------------------------
+    def cumulative(self) -> str:
+        part = ", ".join(["node"] + self.pas)
+        return f"""cum AS (SELECT node, {', '.join(self.pas)}, value, ord, p,
+              sum(p) OVER (PARTITION BY {part} ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_hi,
+              ord = max(ord) OVER (PARTITION BY {part}) AS is_last
+            FROM factors)"""
+
+    def _join_cum(self, node: str, alias: str = "c") -> str:
+        n = self.spec.node(node)
+        on = [f"{alias}.node = {sq(node)}"] + [f"{alias}.pa{i + 1} = s.{p}" for i, p in enumerate(n.parents)]
+        return " AND ".join(on)
+
+    def samples(self, n: int, seed: int, name: str = "samples") -> list[str]:
+        from bnlake.functions.scalar import sql_uniform
+        out = [self.cumulative(), f"s_0 AS (SELECT range AS sample_id FROM range(0, {n}))"]
+        done = []
+        for i, v in enumerate(self.spec.names):
+            u = sql_uniform(str(seed), "s.sample_id", sq(v))
+            sel = ", ".join(["s.sample_id"] + [f"s.{x}" for x in done] + [f"c.value AS {v}"])
+            out.append(f"""s_{i + 1} AS (SELECT {sel} FROM s_{i} s JOIN cum c ON {self._join_cum(v)}
+                 AND {u} >= c.cum_hi - c.p AND ({u} < c.cum_hi OR c.is_last))""")
+            done.append(v)
+        out.append(f"{name} AS (SELECT * FROM s_{len(self.spec.names)})")
+        return out
+
+    def lw(self, ev_vars: list[str], n: int, seed: int, ev: str = "ev") -> list[str]:
+        """Weighted samples lw_s(eid, sample_id, vars..., w) and lw_cases(key, eid)."""
+        from bnlake.functions.scalar import sql_uniform
+        eid = "md5(" + " || '|' || ".join(f"coalesce({v}, '<null>')" for v in ev_vars) + ")"
+        es = ", ".join(f"{v} AS e_{v}" for v in ev_vars)
+        out = [self.cumulative() if "cum AS" not in "" else "",
+               f"lw_cfg AS (SELECT DISTINCT {', '.join(ev_vars)}, {eid} AS eid FROM {ev})",
+               f"lw_cases AS (SELECT {self.spec.key}, {eid} AS eid FROM {ev})",
+               f"lw_0 AS (SELECT eid, {es}, r.range AS sample_id, 1.0 AS w FROM lw_cfg, range(0, {n}) r)"]
+        done = []
+        carry = ["s.eid"] + [f"s.e_{v}" for v in ev_vars] + ["s.sample_id"]
+        for i, v in enumerate(self.spec.names):
+            u = sql_uniform(str(seed), "s.eid", "s.sample_id", sq(v))
+            drawn = f"({u} >= c.cum_hi - c.p AND ({u} < c.cum_hi OR c.is_last))"
+            if v in ev_vars:
+                cond = f"CASE WHEN s.e_{v} IS NOT NULL THEN c.value = s.e_{v} ELSE {drawn} END"
+                w = f"s.w * CASE WHEN s.e_{v} IS NOT NULL THEN c.p ELSE 1.0 END AS w"
+            else:
+                cond, w = drawn, "s.w AS w"
+            sel = ", ".join(carry + [f"s.{x}" for x in done] + [f"c.value AS {v}", w])
+            out.append(f"lw_{i + 1} AS (SELECT {sel} FROM lw_{i} s JOIN cum c ON {self._join_cum(v)} AND {cond})")
+            done.append(v)
+        out.append(f"lw_s AS (SELECT * FROM lw_{len(self.spec.names)})")
+        return [c for c in out if c]
+
+    def lw_post(self, n: int, name: str, query: str | None = None) -> str:
+        q = query or self.spec.target
+        ncls = f"(SELECT count(*) FROM domains WHERE node = {sq(q)})"
+        return f"""{name} AS (SELECT lc.{self.spec.key}, a.class, CAST(dd.ord AS INTEGER) AS class_ord, a.p
+            FROM (SELECT eid, class, CASE WHEN sum(w) OVER (PARTITION BY eid) > 0
+                                          THEN w / sum(w) OVER (PARTITION BY eid) ELSE 1.0 / {ncls} END AS p
+                  FROM (SELECT eid, {q} AS class, sum(w) AS w FROM lw_s WHERE sample_id < {n} GROUP BY 1, 2)) a
+            JOIN domains dd ON dd.node = {sq(q)} AND dd.value = a.class
+            JOIN lw_cases lc ON lc.eid = a.eid)"""

@@ -916,3 +916,118 @@ def q_baseline_marginal(spark, sf):
 def q_baseline_majority(spark, sf):
     p = pipeline(spark, sf)
     return base_ops.baseline_majority(p.train, p.test, TARGET, KEY)
+
+
+# ---------------------------------------------------------------------------
+# Sampling engines
+# ---------------------------------------------------------------------------
+from bnlake.operators import sampling as samp  # noqa: E402
+
+N_ANCESTRAL = 20000
+N_LW = 1000
+LW_COUNTS = (100, 500, 1000)
+
+
+def _ofactors(spark, sf):
+    p = pipeline(spark, sf)
+    if "_of" not in p._post:
+        p._post["_of"] = samp.ordered_factors(p.factors_long, SPEC)
+    return p._post["_of"]
+
+
+def _samples(spark, sf):
+    p = pipeline(spark, sf)
+    if "_samples" not in p._post:
+        from bnlake.session import keep
+        p._post["_samples"] = keep(samp.ancestral_sample(spark, SPEC, _ofactors(spark, sf), p.doms,
+                                                         N_ANCESTRAL, DEFAULT_SEED))
+    return p._post["_samples"]
+
+
+@register("ancestral_sample", sql(FACT + O.samples(N_ANCESTRAL, DEFAULT_SEED), "SELECT * FROM samples"))
+def q_ancestral(spark, sf):
+    return _samples(spark, sf)
+
+
+def _rejection_sql(ev_vars: list[str]) -> list[str]:
+    on = " AND ".join(f"(d.{v} IS NULL OR s.{v} = d.{v})" for v in ev_vars)
+    evl = ", ".join(ev_vars)
+    ncls = f"(SELECT count(*) FROM domains WHERE node = {sq(SPEC.target)})"
+    nullsafe = " AND ".join(f"e.{v} IS NOT DISTINCT FROM r.{v}" for v in ev_vars)
+    return FACT + O.samples(N_ANCESTRAL, DEFAULT_SEED) + [O.evidence(ev_vars), f"""
+      rj_cfg AS (SELECT DISTINCT {evl} FROM ev)""", f"""
+      rj_acc AS (SELECT {', '.join('d.' + v for v in ev_vars)}, s.{SPEC.target} AS class, count(*) AS c
+                 FROM rj_cfg d JOIN samples s ON {on} GROUP BY ALL)""", f"""
+      rj AS (SELECT {evl}, class, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY {evl}) AS p FROM rj_acc
+             UNION ALL
+             SELECT {', '.join('d.' + v for v in ev_vars)}, dd.value AS class, 1.0 / {ncls} AS p
+             FROM rj_cfg d JOIN domains dd ON dd.node = {sq(SPEC.target)}
+             WHERE NOT EXISTS (SELECT 1 FROM rj_acc a WHERE {' AND '.join(f'a.{v} IS NOT DISTINCT FROM d.{v}' for v in ev_vars)}))""", f"""
+      rpost AS (SELECT e.{KEY}, r.class, CAST(dd.ord AS INTEGER) AS class_ord, r.p
+                FROM ev e JOIN rj r ON {nullsafe}
+                JOIN domains dd ON dd.node = {sq(SPEC.target)} AND dd.value = r.class)"""]
+
+
+@register("posterior_rejection", sql(_rejection_sql(EXANTE), f"SELECT {KEY}, class, class_ord, round(p, 6) AS p FROM rpost"))
+def q_rejection(spark, sf):
+    p = pipeline(spark, sf)
+    return samp.posterior_rejection(spark, SPEC, _samples(spark, sf), p.doms, p.evidence("ex_ante"), EXANTE)
+
+
+def _lw(spark, sf):
+    p = pipeline(spark, sf)
+    if "_lw" not in p._post:
+        from bnlake.session import keep
+        out = samp.posterior_likelihood_weighting(spark, SPEC, _ofactors(spark, sf), p.doms,
+                                                  p.evidence("ex_ante"), EXANTE, seed=DEFAULT_SEED,
+                                                  counts=LW_COUNTS)
+        p._post["_lw"] = {k: keep(v) for k, v in out.items()}
+    return p._post["_lw"]
+
+
+LW_CTES = FACT + [O.evidence(EXANTE)] + [O.cumulative()] + O.lw(EXANTE, max(LW_COUNTS), DEFAULT_SEED)[1:]
+
+
+@register("posterior_likelihood_weighting", sql(LW_CTES + [O.lw_post(N_LW, "lwp")],
+                                                f"SELECT {KEY}, class, class_ord, round(p, 6) AS p FROM lwp"))
+def q_lw(spark, sf):
+    return _lw(spark, sf)[N_LW]
+
+
+def _conv_sql() -> str:
+    ctes = LW_CTES + O.posterior(EXANTE) + [O.lw_post(c, f"lwp_{c}") for c in LW_COUNTS]
+    parts = [f"""SELECT {c} AS n_samples, round(avg(tv), 6) AS tv FROM (
+        SELECT coalesce(a.{KEY}, b.{KEY}) AS k, 0.5 * sum(abs(coalesce(a.p, 0.0) - coalesce(b.p, 0.0))) AS tv
+        FROM post a FULL OUTER JOIN lwp_{c} b ON a.{KEY} = b.{KEY} AND a.class = b.class GROUP BY 1)"""
+             for c in LW_COUNTS]
+    return sql(ctes, " UNION ALL ".join(parts))
+
+
+@register("sampler_convergence", _conv_sql())
+def q_convergence(spark, sf):
+    """Mean TV from the exact posterior at each sample count (one sample
+    table at the largest count, filtered by sample id)."""
+    p = pipeline(spark, sf)
+    exact = p.posterior("ex_ante")
+    return samp.sampler_convergence(exact, _lw(spark, sf), KEY).select("n_samples", "tv")
+
+
+@register("compare_engines")
+def q_compare_engines(spark, sf):
+    """Top-3 accuracy and mean TV from exact, per engine (time is left to
+    the benchmark, not the table)."""
+    from functools import reduce as _r
+    p = pipeline(spark, sf)
+    exact = p.posterior("ex_ante")
+    engines = {"exact": exact,
+               "rejection": samp.posterior_rejection(spark, SPEC, _samples(spark, sf), p.doms,
+                                                     p.evidence("ex_ante"), EXANTE),
+               "likelihood_weighting": _lw(spark, sf)[N_LW]}
+    rows = []
+    for name, post in engines.items():
+        P = metrics.predict_distributions(post, p.truth(), KEY)
+        acc = metrics.topk_accuracy(metrics.case_scores(P, KEY), (3,))
+        tv = posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("tv_from_exact"))
+        rows.append(acc.withColumn("_one", F.lit(1)).join(tv.withColumn("_one", F.lit(1)), "_one")
+                    .select(F.lit(name).alias("engine"), "top_3", "tv_from_exact"))
+    return _r(DataFrame.unionByName, rows)
