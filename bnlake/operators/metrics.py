@@ -114,11 +114,11 @@ def macro_auc(P: DataFrame) -> DataFrame:
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     per = per.filter((F.col("P") > 0) & (F.col("N") > 0)) \
              .withColumn("auc", F.col("u") / (F.col("P") * F.col("N")))
-    present = P.filter(F.col("class") == F.col("y_true")).agg(
-        F.count_distinct("class").alias("n_present"))
-    a = per.agg(F.avg("auc").alias("auc"), F.count(F.lit(1)).alias("n_auc"), F.lit(1).alias("_one"))
-    return a.join(present.withColumn("_one", F.lit(1)), "_one").select(
-        F.when((F.col("n_present") >= 2) & (F.col("n_auc") > 0), F.col("auc")).alias("macro_auc"))
+    present = P.filter(F.col("class") == F.col("y_true")).select("class").distinct() \
+               .withColumn("_present", F.lit(1))
+    per = per.join(present, "class", "right")      # classes present in the truth (few rows)
+    return per.agg(F.when((F.count(F.lit(1)) >= 2) & (F.count("auc") > 0),
+                          F.avg("auc")).alias("macro_auc"))
 
 
 # ECE bin edges as an evenly spaced grid of 11 points on [0, 1] computes them
@@ -210,10 +210,18 @@ def summary_row(P: DataFrame, key: str = "case_id", ks=(1, 3, 5)) -> DataFrame:
                   F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"))
     classes = P.select("class", "class_ord").distinct()
     parts = [base, ncls, macro_auc(P), ece(sc), macro_f1(per_class_prf(sc, classes))]
-    out = parts[0].withColumn("_one", F.lit(1))
-    for p in parts[1:]:                         # one-row frames on a constant key
-        out = out.join(p.withColumn("_one", F.lit(1)), "_one", "left")
-    out = out.drop("_one")
+    # one-row frames combined without a join: stack as (metric, value), pivot back
+    names, longs = [], []
+    for p in parts:
+        for c in p.columns:
+            names.append(c)
+            longs.append(p.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")))
+    stacked = longs[0]
+    for x in longs[1:]:
+        stacked = stacked.unionByName(x)
+    out = stacked.groupBy().pivot("metric", names).agg(F.first("value"))
+    out = out.withColumn("n_test", F.col("n_test").cast("long")) \
+             .withColumn("n_classes", F.col("n_classes").cast("long"))
     for k in ks:
         out = out.withColumn(f"top_{k}", F.when(F.lit(k) <= F.col("n_classes"), F.col(f"top_{k}")))
     return out

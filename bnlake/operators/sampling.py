@@ -27,42 +27,55 @@ from bnlake.operators.posterior import TableFactor, clean_evidence, pattern_code
 from bnlake.spec import NetworkSpec
 
 
-def cumulative(factor: TableFactor, node: str) -> DataFrame:
-    """(parents..., node, p, cum_lo, cum_hi, _k) with values in domain order."""
-    ps = [v for v in factor.variables if v != node]
-    w = Window.partitionBy(*ps) if ps else Window.partitionBy()
-    w = w.orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0)
-    df = factor.df
-    if "_ord" not in df.columns:
-        df = df.withColumn("_ord", F.col(node))
-    c = df.withColumn("cum_hi", F.sum("w").over(w))
-    wl = Window.partitionBy(*ps) if ps else Window.partitionBy()
-    # the last interval also takes u at its upper edge (guards rounding of the total)
-    c = c.withColumn("_last", F.col("_ord") == F.max("_ord").over(wl))
-    extra = [] if ps else [F.lit(0).alias("_k")]
-    return c.select(*ps, node, F.col("w").alias("p"), (F.col("cum_hi") - F.col("w")).alias("cum_lo"),
-                    "cum_hi", "_last", *extra)
-
-
 def ordered_factors(factors_long: DataFrame, spec: NetworkSpec) -> dict[str, TableFactor]:
-    """Factors with the child's domain order attached (for the inverse CDF)."""
+    """Per node: the cumulative factor (parents..., node, p, cum_lo, cum_hi,
+    _last[, _k]), cut from one table built for all nodes at once and
+    materialised, so every draw joins a small, already-computed table."""
+    from bnlake.session import keep
+    pas = [f"pa{i}" for i in range(1, spec.max_parents + 1)]
+    part = Window.partitionBy("node", *pas)
+    run = part.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    cum = keep(factors_long.select(
+        "node", *pas, "value", "p", F.sum("p").over(run).alias("cum_hi"),
+        (F.col("ord") == F.max("ord").over(part)).alias("_last")))
     out = {}
+    roots = [n for n in spec.names if not spec.parents(n)]
+    root_rows = {}
+    if roots:   # a root's CDF has one row per value: bounded like its domain
+        for r in cum.filter(F.col("node").isin(*roots)).orderBy("node", "cum_hi").collect():
+            root_rows.setdefault(r["node"], []).append((r["value"], r["p"], r["cum_hi"] - r["p"],
+                                                        r["cum_hi"], r["_last"]))
     for n in spec.names:
         ps = spec.parents(n)
-        df = factors_long.filter(F.col("node") == n).select(
+        df = cum.filter(F.col("node") == n).select(
             *[F.col(f"pa{i + 1}").alias(p) for i, p in enumerate(ps)],
-            F.col("value").alias(n), F.col("p").alias("w"), F.col("ord").alias("_ord"))
-        out[n] = TableFactor(ps + [n], df)
+            F.col("value").alias(n), "p", (F.col("cum_hi") - F.col("p")).alias("cum_lo"),
+            "cum_hi", "_last")
+        f = TableFactor(ps + [n], df)
+        f.root_cdf = root_rows.get(n)
+        out[n] = f
     return out
 
 
+def root_draw(cdf: list[tuple], u):
+    """Inverse CDF of a root as a CASE over its (few) literal intervals."""
+    e = None
+    for value, _p, lo, hi, last in cdf:
+        cond = (u >= F.lit(lo)) & ((u < F.lit(hi)) | F.lit(bool(last)))
+        e = F.when(cond, F.lit(value)) if e is None else e.when(cond, F.lit(value))
+    return e
+
+
+def root_prob(cdf: list[tuple], value):
+    return F.create_map(*[x for v, p, *_ in cdf for x in (F.lit(v), F.lit(p))])[value]
+
+
 def _draw(df: DataFrame, cum: DataFrame, node: str, parents: list[str], u) -> DataFrame:
-    """Attach a drawn value of ``node`` to every row of ``df``."""
-    keys = parents if parents else ["_k"]
-    left = df if parents else df.withColumn("_k", F.lit(0))
-    j = left.withColumn("_u", u).join(cum, keys)
+    """Attach a drawn value of ``node`` to every row of ``df``: equi-join on the
+    parents, keep the value whose interval holds u."""
+    j = df.withColumn("_u", u).join(cum, parents)
     j = j.filter((F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last")))
-    return j.drop("_u", "p", "cum_lo", "cum_hi", "_last", *([] if parents else ["_k"]))
+    return j.drop("_u", "p", "cum_lo", "cum_hi", "_last")
 
 
 def ancestral_sample(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],
@@ -70,9 +83,13 @@ def ancestral_sample(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str,
     """N joint samples (sample_id, node columns...)."""
     s = spark.range(n).select(F.col("id").alias("sample_id"))
     for node in spec.names:
-        cum = _cum_side(cumulative(ofactors[node], node), doms, spec.parents(node) + [node])
-        s = _draw(s, cum, node, spec.parents(node),
-                  seeded_uniform(F.lit(seed), F.col("sample_id"), F.lit(node)))
+        u = seeded_uniform(F.lit(seed), F.col("sample_id"), F.lit(node))
+        f = ofactors[node]
+        if f.root_cdf is not None:
+            s = s.withColumn(node, root_draw(f.root_cdf, u))
+            continue
+        cum = _cum_side(f.df, doms, spec.parents(node) + [node])
+        s = _draw(s, cum, node, spec.parents(node), u)
     return s
 
 
@@ -138,20 +155,26 @@ def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, Table
         .withColumn("_w", F.lit(1.0))
     for node in spec.names:
         ps = spec.parents(node)
-        cum = _cum_side(cumulative(ofactors[node], node), doms, ps + [node])
+        f = ofactors[node]
         u = seeded_uniform(F.lit(seed), F.col("_eid"), F.col("sample_id"), F.lit(node))
-        keys = ps if ps else ["_k"]
-        left = s if ps else s.withColumn("_k", F.lit(0))
-        j = left.withColumn("_u", u).join(cum, keys)
+        e = F.col(f"_e_{node}") if node in ev_vars else None
+        if f.root_cdf is not None:
+            drawn = root_draw(f.root_cdf, u)
+            if e is None:
+                s = s.withColumn(node, drawn)
+            else:
+                s = s.withColumn(node, F.coalesce(e, drawn)).withColumn(
+                    "_w", F.col("_w") * F.when(e.isNotNull(), root_prob(f.root_cdf, e)).otherwise(F.lit(1.0)))
+            continue
+        cum = _cum_side(f.df, doms, ps + [node])
+        j = s.withColumn("_u", u).join(cum, ps)
         drawn = (F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last"))
-        if node in ev_vars:
-            e = F.col(f"_e_{node}")
-            keep_row = F.when(e.isNotNull(), F.col(node) == e).otherwise(drawn)
-            j = j.filter(keep_row).withColumn(
+        if e is not None:
+            j = j.filter(F.when(e.isNotNull(), F.col(node) == e).otherwise(drawn)).withColumn(
                 "_w", F.col("_w") * F.when(e.isNotNull(), F.col("p")).otherwise(F.lit(1.0)))
         else:
             j = j.filter(drawn)
-        s = j.drop("_u", "p", "cum_lo", "cum_hi", "_last", *([] if ps else ["_k"]))
+        s = j.drop("_u", "p", "cum_lo", "cum_hi", "_last")
     return s
 
 
@@ -181,6 +204,9 @@ def posterior_likelihood_weighting(spark: SparkSession, spec: NetworkSpec,
     ev = clean_evidence(cases_ev.select(key, *ev_vars), ev_vars, doms).withColumn("_eid", evidence_id(ev_vars))
     cfg = ev.select(*ev_vars).distinct()
     samples = lw_samples(spark, spec, ofactors, doms, cfg, ev_vars, max(counts or [n]), seed)
+    if counts is not None:
+        from bnlake.session import keep
+        samples = keep(samples)           # one sample table serves every count
     keyed = ev.select(key, "_eid")
     if counts is None:
         return keyed.join(lw_posterior(samples, doms, query), "_eid").select(key, "class", "class_ord", "p")

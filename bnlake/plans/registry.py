@@ -349,8 +349,6 @@ def _prior_sql() -> str:
     ctes = FACT
     parts = []
     for v in SPEC.names:
-        o = OracleSQL(SPEC)
-        body = o.posterior([], query=v, ev="(SELECT 1 AS _one)", name="x")
         # no evidence: the joint over every variable, summed to v
         joins = []
         for u in SPEC.names:
@@ -362,7 +360,6 @@ def _prior_sql() -> str:
         w = " * ".join(f"f_{n}.p" for n in SPEC.names)
         parts.append(f"SELECT {sq(v)} AS node, x_{v}.value AS value, x_{v}.ord AS ord, sum({w}) AS w "
                      f"FROM (SELECT 1 AS _one) dev {' '.join(joins)} GROUP BY x_{v}.value, x_{v}.ord")
-        del body
     return sql(ctes + ["pj AS (" + " UNION ALL ".join(parts) + ")"],
                f"SELECT node, value, CAST(ord AS INTEGER) AS ord, "
                f"{r6('w / sum(w) OVER (PARTITION BY node)', 'p')} FROM pj")
@@ -1027,7 +1024,8 @@ def q_compare_engines(spark, sf):
     for name, post in engines.items():
         P = metrics.predict_distributions(post, p.truth(), KEY)
         acc = metrics.topk_accuracy(metrics.case_scores(P, KEY), (3,))
-        tv = posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("tv_from_exact"))
-        rows.append(acc.withColumn("_one", F.lit(1)).join(tv.withColumn("_one", F.lit(1)), "_one")
-                    .select(F.lit(name).alias("engine"), "top_3", "tv_from_exact"))
+        tv = posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("value"))
+        rows.append(acc.select(F.lit(name).alias("engine"), F.lit("top_3").alias("metric"),
+                               F.col("top_3").alias("value")))
+        rows.append(tv.select(F.lit(name).alias("engine"), F.lit("tv_from_exact").alias("metric"), "value"))
     return _r(DataFrame.unionByName, rows)
