@@ -203,7 +203,8 @@ def confusion_wide(scores: DataFrame, classes: list[str]) -> DataFrame:
 def summary_row(P: DataFrame, key: str = "case_id", ks=(1, 3, 5)) -> DataFrame:
     """All point metrics in one row: n_test, n_classes, top_k, log_loss, brier,
     macro_auc, ece, macro_f1.  k larger than the class count gives null."""
-    sc = case_scores(P, key, ks)
+    from bnlake.session import keep
+    sc = keep(case_scores(P, key, ks))     # every metric below reads this once-computed table
     ncls = P.agg(F.count_distinct("class").alias("n_classes"))
     base = sc.agg(F.count(F.lit(1)).alias("n_test"),
                   *[F.avg(f"hit_{k}").alias(f"top_{k}") for k in ks],

@@ -131,6 +131,7 @@ def posterior_rejection(spark: SparkSession, spec: NetworkSpec, samples: DataFra
 
 NULL_TOKEN = "<null>"
 BROADCAST_ROWS = 1_000_000
+ROWS_PER_TASK = 20_000
 
 
 def _cum_side(cum: DataFrame, doms: Domains, names: list[str]) -> DataFrame:
@@ -150,6 +151,12 @@ def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, Table
     """Weighted samples (_eid, sample_id, node columns..., _w) for distinct
     evidence rows ``configs`` (columns ev_vars, null = unobserved)."""
     cfg = configs.withColumn("_eid", evidence_id(ev_vars))
+    # configs are few but each explodes n-fold: spread them so the expansion
+    # runs on every core instead of the one partition AQE would coalesce to
+    n_cfg = cfg.count()
+    parts = max(1, min(4 * spark.sparkContext.defaultParallelism * 64,
+                       (n_cfg * n) // ROWS_PER_TASK + 1, n_cfg))
+    cfg = cfg.repartition(parts, "_eid")
     s = cfg.select("_eid", *[F.col(v).alias(f"_e_{v}") for v in ev_vars],
                    F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id")) \
         .withColumn("_w", F.lit(1.0))

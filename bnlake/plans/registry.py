@@ -452,7 +452,12 @@ def q_tv_distance(spark, sf):
 # ---------------------------------------------------------------------------
 def p_ctes(track: str = "ex_ante") -> list[str]:
     """P matrix in SQL: truth classes UNION support, zero fill, normalise."""
-    return post_ctes(track) + [
+    return post_ctes(track) + p_tail()
+
+
+def p_tail() -> list[str]:
+    """Needs CTEs ``ev`` (key, y_true) and ``post`` (key, class, p)."""
+    return [
         f"""classes AS (SELECT class, CAST(row_number() OVER (ORDER BY TRY_CAST(class AS DOUBLE) NULLS LAST, class) AS INTEGER) AS class_ord
              FROM (SELECT DISTINCT class FROM (SELECT y_true AS class FROM ev WHERE y_true IS NOT NULL
                    UNION ALL SELECT class FROM post) WHERE class IS NOT NULL))""",
@@ -1029,3 +1034,364 @@ def q_compare_engines(spark, sf):
                                F.col("top_3").alias("value")))
         rows.append(tv.select(F.lit(name).alias("engine"), F.lit("tv_from_exact").alias("metric"), "value"))
     return _r(DataFrame.unionByName, rows)
+
+
+# ---------------------------------------------------------------------------
+# Results table and verdict (M10, M11), saved models
+# ---------------------------------------------------------------------------
+from bnlake.sources import model_store as store  # noqa: E402
+from bnlake.spec import NODE_DESCRIPTIONS  # noqa: E402
+
+SUMMARY_COLS = ["n_test", "n_classes", "top_1", "top_3", "top_5", "log_loss", "brier",
+                "macro_auc", "ece", "macro_f1"]
+SUMMARY_SEL = """SELECT (SELECT count(*) FROM scores) AS n_test,
+             (SELECT count(DISTINCT class) FROM pmat) AS n_classes,
+             round((SELECT avg(hit_1) FROM scores), 6) AS top_1,
+             round((SELECT avg(hit_3) FROM scores), 6) AS top_3,
+             round(CASE WHEN (SELECT count(*) FROM classes) >= 5 THEN (SELECT avg(hit_5) FROM scores) END, 6) AS top_5,
+             round((SELECT avg(log_loss) FROM scores), 6) AS log_loss,
+             round((SELECT avg(brier) FROM scores), 6) AS brier,
+             round((SELECT macro_auc FROM auc), 6) AS macro_auc,
+             round((SELECT ece FROM ece_t), 6) AS ece,
+             round((SELECT coalesce(avg(f1), 0.0) FROM prf1 WHERE support > 0), 6) AS macro_f1"""
+
+
+def _baseline_post_ctes(kind: str, track: str) -> list[str]:
+    """Baseline posterior for the test cases as ``post``, truth as ``ev``."""
+    ctes = O.base() + [O.split_chrono()] + [
+        f"""freq AS (SELECT CAST({TARGET} AS VARCHAR) AS class, count(*) AS cnt,
+              CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p,
+              row_number() OVER (ORDER BY TRY_CAST(CAST({TARGET} AS VARCHAR) AS DOUBLE) NULLS LAST, CAST({TARGET} AS VARCHAR)) AS class_ord
+             FROM split WHERE is_train AND {TARGET} IS NOT NULL GROUP BY 1)"""]
+    if kind == "majority":
+        ctes.append("""dist AS (SELECT class, CASE WHEN class = (SELECT class FROM freq ORDER BY cnt DESC, class_ord LIMIT 1)
+                         THEN 0.99 ELSE 0.01 / greatest(1, (SELECT count(*) FROM freq) - 1) END AS p FROM freq)""")
+    else:
+        ctes.append("dist AS (SELECT class, p FROM freq)")
+    ctes.append(f"ev AS (SELECT {KEY}, CAST({TARGET} AS VARCHAR) AS y_true FROM split WHERE NOT is_train)")
+    ctes.append(f"post AS (SELECT s.{KEY}, d.class, d.p FROM split s, dist d WHERE NOT s.is_train)")
+    return ctes
+
+
+def _results_sql() -> str:
+    parts = []
+    for model in ("network", "marginal", "majority"):
+        for track in ("explanatory", "ex_ante"):
+            head = p_ctes(track) if model == "network" else _baseline_post_ctes(model, track) + p_tail()
+            q = sql(head + [AUC_SQL, ECE_SQL, PRF_SQL], SUMMARY_SEL)
+            parts.append(f"SELECT {sq(model)} AS model, {sq(track)} AS track, * FROM ({q})")
+    return " UNION ALL ".join(parts)
+
+
+def _results(spark, sf):
+    p = pipeline(spark, sf)
+    if "_results" not in p._post:
+        from functools import reduce as _r
+
+        from bnlake.session import keep
+        rows = []
+        for model in ("network", "marginal", "majority"):
+            for track in ("explanatory", "ex_ante"):
+                if model == "network":
+                    P = p.matrix(track)
+                else:
+                    fn = base_ops.baseline_marginal if model == "marginal" else base_ops.baseline_majority
+                    P = keep(metrics.predict_distributions(fn(p.train, p.test, TARGET, KEY), p.truth(), KEY))
+                rows.append(metrics.summary_row(P, KEY).select(
+                    F.lit(model).alias("model"), F.lit(track).alias("track"), *SUMMARY_COLS))
+        p._post["_results"] = keep(_r(DataFrame.unionByName, rows))
+    return p._post["_results"]
+
+
+@register("results_table", _results_sql())
+def q_results_table(spark, sf):
+    """Every model on both evidence tracks, one row each."""
+    return _results(spark, sf)
+
+
+@register("track_verdict", f"""WITH r AS ({_results_sql()})
+    SELECT n.track, round(n.top_3 - m.top_3, 6) AS delta_top_3, round(n.log_loss - m.log_loss, 6) AS delta_log_loss,
+           n.log_loss < m.log_loss AS network_log_loss_better
+    FROM r n JOIN r m ON m.track = n.track AND m.model = 'marginal' WHERE n.model = 'network'""")
+def q_track_verdict(spark, sf):
+    """Network against the marginal baseline, per track (self-join on track)."""
+    r = round_doubles(_results(spark, sf))      # deltas of the reported (rounded) values
+    n = r.filter(F.col("model") == "network").alias("n")
+    m = r.filter(F.col("model") == "marginal").alias("m")
+    return n.join(m, "track").select(
+        "track", (F.col("n.top_3") - F.col("m.top_3")).alias("delta_top_3"),
+        (F.col("n.log_loss") - F.col("m.log_loss")).alias("delta_log_loss"),
+        (F.col("n.log_loss") < F.col("m.log_loss")).alias("network_log_loss_better"))
+
+
+def _stored_model(spark, sf):
+    p = pipeline(spark, sf)
+    if "_stored" not in p._post:
+        path = store.scratch_path(spark, "model")
+        store.write_model(p.cpt, p.domain_df,
+                          {"alpha": p.alpha, "backoff": p.backoff, "equivalent_sample_size": p.m,
+                           "parents": {n: SPEC.parents(n) for n in SPEC.names},
+                           "split": {"kind": "chronological", "order_col": SPEC.order_col,
+                                     "test_fraction": 0.2}}, path)
+        p._post["_stored"] = path
+    return p._post["_stored"]
+
+
+@register("cpt_write", sql(FIT, "SELECT node, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_total FROM cpt GROUP BY node"))
+def q_cpt_write(spark, sf):
+    """S3: the stored CPT, partitioned by node, read back as per-node row counts."""
+    path = _stored_model(spark, sf)
+    return spark.read.parquet(f"{path}/cpt").groupBy("node").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n").cast("long").alias("n_total"))
+
+
+@register("cpt_roundtrip", sql(FIT, CPT_SELECT))
+def q_cpt_roundtrip(spark, sf):
+    """The model read back equals the fitted one (value order re-derived)."""
+    cpt, _dom, _meta = store.read_model(spark, _stored_model(spark, sf), SPEC.max_parents)
+    return cpt
+
+
+@register("scan_cases_csv", sql(O.base()[:1], f"SELECT {RAW_COLS} FROM raw_cases"))
+def q_scan_cases_csv(spark, sf):
+    """The case table written as a latin-1 header CSV and scanned back with
+    a declared schema."""
+    p = pipeline(spark, sf)
+    if "_csv" not in p._post:
+        path = store.scratch_path(spark, "cases-csv")
+        store.write_cases_csv(p.raw, path)
+        p._post["_csv"] = path
+    return store.scan_cases_csv(spark, p._post["_csv"])
+
+
+@register("pick_release", sql(O.base()[:1], f"SELECT {RAW_COLS} FROM raw_cases"))
+def q_pick_release(spark, sf):
+    """Two releases on disk (an older partial one, a newer full one); the
+    newest by file name is picked and scanned."""
+    p = pipeline(spark, sf)
+    if "_rel" not in p._post:
+        folder = store.scratch_path(spark, "releases")
+        for tag, df in (("2023_01", p.raw.filter(F.col("term") <= 1998)), ("2024_01", p.raw)):
+            tmp = f"{folder}/_tmp_{tag}"
+            df.coalesce(1).write.mode("overwrite").option("header", True).csv(tmp)
+            jvm = spark._jvm
+            conf = spark._jsc.hadoopConfiguration()
+            src = jvm.org.apache.hadoop.fs.Path(tmp)
+            fs = src.getFileSystem(conf)
+            part = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")][0]
+            fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/SCDB_{tag}_caseCentered_Citation.csv"))
+        p._post["_rel"] = folder
+    return store.scan_cases_csv(spark, store.pick_release(spark, p._post["_rel"]))
+
+
+def _schema_sql() -> str:
+    fields = EXPL
+    ex = set(EXANTE)
+    vals = ", ".join(f"({sq(f)}, {sq(NODE_DESCRIPTIONS.get(f, ''))}, {str(f in ex).upper()})" for f in fields)
+    return sql(FIT + [f"meta_f AS (SELECT * FROM (VALUES {vals}) t(node, description, ex_ante))"], """
+      SELECT d.node AS field, m.description, m.ex_ante, d.value, d.ord, d.value AS label
+      FROM domains d JOIN meta_f m ON m.node = d.node""")
+
+
+@register("schema_report", _schema_sql())
+def q_schema_report(spark, sf):
+    """Every explanatory field with its observed values, in order."""
+    p = pipeline(spark, sf)
+    return store.schema_report(p.domain_df, SPEC, descriptions=NODE_DESCRIPTIONS)
+
+
+@register("eval_saved_model", f"SELECT 'explanatory' AS track, * FROM ({_summary_sql('explanatory')}) "
+                              f"UNION ALL SELECT 'ex_ante' AS track, * FROM ({_summary_sql('ex_ante')})")
+def q_eval_saved_model(spark, sf):
+    """Load the stored model, re-split by its stored spec, score per track."""
+    from bnlake.operators import cpt as _c
+    path = _stored_model(spark, sf)
+    cpt, dom, meta = store.read_model(spark, path, SPEC.max_parents)
+    assert meta["split"]["kind"] == "chronological"
+    p = pipeline(spark, sf)
+    doms = _c.collect_domains(dom)
+    card = _c.domain_card(dom)
+    fl = _c.factor_long(spark, cpt, card, SPEC, doms, meta["alpha"])
+    facs = posterior.network_factors(fl, SPEC)
+    rows = []
+    from bnlake.session import keep
+    for track in ("explanatory", "ex_ante"):
+        post = keep(posterior.posterior_exact(spark, SPEC, facs, doms, p.evidence(track), SPEC.track(track)))
+        P = keep(metrics.predict_distributions(post, p.truth(), KEY))
+        rows.append(metrics.summary_row(P, KEY).select(F.lit(track).alias("track"), *SUMMARY_COLS))
+    return rows[0].unionByName(rows[1])
+
+
+# ---------------------------------------------------------------------------
+# Requests (P7, P8, I6, M13, P11)
+# ---------------------------------------------------------------------------
+IGNORED_SORTED = sorted([v for v in EXPL if v not in EXANTE] + ["not_a_field"])
+
+
+def _requests(spark, sf):
+    """Requests derived from the test cases: a map of every explanatory field
+    plus one unknown key."""
+    p = pipeline(spark, sf)
+    ev = p.evidence("explanatory")
+    kv = []
+    for v in EXPL:
+        kv += [F.lit(v), F.col(v)]
+    kv += [F.lit("not_a_field"), F.lit("x")]
+    return ev.select(F.col(KEY).alias("request_id"), F.create_map(*kv).alias("evidence"))
+
+
+@register("evidence_project", sql(FACT + [O.evidence(EXANTE)], f"SELECT {KEY}, {', '.join(EXANTE)}, y_true FROM ev"))
+def q_evidence_project(spark, sf):
+    from bnlake.operators.posterior import clean_evidence
+    p = pipeline(spark, sf)
+    return clean_evidence(p.evidence("ex_ante"), EXANTE, p.doms)
+
+
+def _ignored_sql() -> str:
+    parts = []
+    for k in IGNORED_SORTED:
+        if k == "not_a_field":
+            parts.append("'not_a_field'")
+        else:
+            parts.append(f"CASE WHEN {SPEC.column(k)} IS NOT NULL THEN {sq(k)} END")
+    return "concat_ws(',', " + ", ".join(parts) + ")"
+
+
+@register("evidence_filter", sql(O.base() + [O.split_chrono()], f"""
+    SELECT {KEY} AS request_id, {_ignored_sql()} AS ignored, {len(EXANTE)} AS n_kept
+    FROM split WHERE NOT is_train"""))
+def q_evidence_filter(spark, sf):
+    r = prep.evidence_filter(_requests(spark, sf), EXANTE)
+    return r.select("request_id", F.array_join("ignored", ",").alias("ignored"),
+                    F.size(F.map_keys("kept")).alias("n_kept"))
+
+
+def _score_requests(spark, sf):
+    p = pipeline(spark, sf)
+    r = prep.evidence_filter(_requests(spark, sf), EXANTE)
+    ev = r.select(F.col("request_id").alias(KEY), *[F.col("kept")[v].alias(v) for v in EXANTE],
+                  F.array_join("ignored", ",").alias("ignored"))
+    post = posterior.posterior_exact(spark, SPEC, p.factors, p.doms, ev, EXANTE)
+    post = posterior.rank_posterior(post.withColumn("p", F.round("p", 12)), KEY)
+    lab = prep.label_values(post, "class", prep.label_table(spark))
+    b = binary_target(F.col("class"))
+    summ = post.groupBy(KEY).agg(
+        F.sum(F.when(b == 1, F.col("p")).otherwise(0.0)).alias("_rev"),
+        F.sum(F.when(b.isNotNull(), F.col("p")).otherwise(0.0)).alias("_tot"))
+    summ = summ.select(KEY, F.when(F.col("_tot") > 0, F.col("_rev") / F.col("_tot")).alias("p_reverse"))
+    return lab.join(summ, KEY).join(ev.select(KEY, "ignored"), KEY).select(
+        F.col(KEY).alias("request_id"), "rank", "class", "label", "p", "ignored", "p_reverse")
+
+
+def _requests_sql() -> str:
+    bt = sql_binary_target("class")
+    return sql(p_ctes() + [_labels_sql(), RANK_SQL], f"""
+      SELECT r.{KEY} AS request_id, r.rank, r.class, coalesce(l.label, r.class) AS label, round(r.p, 6) AS p,
+             (SELECT {_ignored_sql()} FROM split s WHERE s.{KEY} = r.{KEY}) AS ignored,
+             round((SELECT CASE WHEN sum(CASE WHEN {bt} IS NOT NULL THEN x.p ELSE 0 END) > 0
+                    THEN sum(CASE WHEN {bt} = 1 THEN x.p ELSE 0 END) / sum(CASE WHEN {bt} IS NOT NULL THEN x.p ELSE 0 END) END
+                    FROM post x WHERE x.{KEY} = r.{KEY}), 6) AS p_reverse
+      FROM ranked r LEFT JOIN labels_t l ON l.code = r.class""")
+
+
+@register("score_requests", _requests_sql())
+def q_score_requests(spark, sf):
+    """Requests -> allowed evidence -> exact posterior -> ranked, labelled
+    distribution with ignored keys and the affirm/reverse summary."""
+    return _score_requests(spark, sf)
+
+
+@register("posterior_summary", sql(p_ctes("explanatory") + [_labels_sql(), RANK_SQL], f"""
+    SELECT r.{KEY}, r.rank, r.class, coalesce(l.label, r.class) AS label, round(r.p, 6) AS p
+    FROM ranked r LEFT JOIN labels_t l ON l.code = r.class"""))
+def q_posterior_summary(spark, sf):
+    """Each case's labelled distribution, most probable first."""
+    post = pipeline(spark, sf).posterior("explanatory").withColumn("p", F.round("p", 12))
+    r = prep.label_values(posterior.rank_posterior(post, KEY), "class", prep.label_table(spark))
+    return r.select(KEY, "rank", "class", "label", "p")
+
+
+# ---------------------------------------------------------------------------
+# Factor algebra on the fitted factors
+# ---------------------------------------------------------------------------
+@register("factor_product", sql(FACT, """
+    SELECT a.pa1 AS issue_area, a.pa2 AS law_type, a.value AS decision_type, b.value AS split_vote,
+           round(a.p * b.p, 6) AS w
+    FROM factors a JOIN factors b ON a.node = 'decision_type' AND b.node = 'split_vote'
+     AND b.pa1 = a.pa1 AND b.pa2 = a.pa2"""))
+def q_factor_product(spark, sf):
+    """phi(decision_type | issue, law) x phi(split_vote | issue, law), joined
+    on the shared variables."""
+    f = pipeline(spark, sf).factors
+    return f["decision_type"].multiply(f["split_vote"]).df
+
+
+@register("factor_sum_out", sql(FACT, """
+    SELECT a.pa1 AS issue_area, a.pa2 AS law_type, b.value AS split_vote, round(sum(a.p * b.p), 6) AS w
+    FROM factors a JOIN factors b ON a.node = 'decision_type' AND b.node = 'split_vote'
+     AND b.pa1 = a.pa1 AND b.pa2 = a.pa2 GROUP BY 1, 2, 3"""))
+def q_factor_sum_out(spark, sf):
+    """Sum decision_type out of the product above."""
+    f = pipeline(spark, sf).factors
+    return f["decision_type"].multiply(f["split_vote"]).sum_out("decision_type").df
+
+
+@register("factor_reduce", sql(FACT + [O.evidence(EXANTE)], f"""
+    SELECT e.issue_area, e.law_type, f.value AS decision_type, round(f.p, 6) AS w
+    FROM (SELECT DISTINCT issue_area, law_type FROM ev WHERE issue_area IS NOT NULL AND law_type IS NOT NULL) e
+    JOIN factors f ON f.node = 'decision_type' AND f.pa1 = e.issue_area AND f.pa2 = e.law_type"""))
+def q_factor_reduce(spark, sf):
+    """J4 in batch: the decision_type factor sliced by every distinct observed
+    (issue, law) evidence pair of the test cases (an equi-join)."""
+    from bnlake.operators.posterior import clean_evidence
+    p = pipeline(spark, sf)
+    ev = clean_evidence(p.evidence("ex_ante"), EXANTE, p.doms).select("issue_area", "law_type") \
+        .dropna().distinct()
+    return ev.join(p.factors["decision_type"].df, ["issue_area", "law_type"]) \
+             .select("issue_area", "law_type", "decision_type", "w")
+
+
+@register("denominator_align", sql(FIT, f"""
+    SELECT pa1, pa2, pa3, pa4, pa5, value, n, CAST(sum(n) OVER (PARTITION BY pa1, pa2, pa3, pa4, pa5) AS BIGINT) AS n_pa
+    FROM counts WHERE node = {sq(SPEC.target)} AND depth = 5"""))
+def q_denominator_align(spark, sf):
+    """Each joint count N(x, pa) beside its parent total N(pa) -- a window,
+    no join."""
+    from pyspark.sql import Window as _W
+    c = pipeline(spark, sf).counts.filter((F.col("node") == SPEC.target) & (F.col("depth") == 5))
+    pas = [f"pa{i}" for i in range(1, 6)]
+    return c.select(*pas, "value", "n", F.sum("n").over(_W.partitionBy(*pas)).cast("long").alias("n_pa"))
+
+
+# ---------------------------------------------------------------------------
+# Discriminative baselines (B3-B6) -- rows-only: Spark ML optimisers differ from
+# any SQL form
+# ---------------------------------------------------------------------------
+FEATURES_EXPL = [SPEC.column(v) for v in EXPL]
+
+
+@register("onehot_features")
+def q_onehot(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    p = pipeline(spark, sf)
+    tr, te, _labels = base_ops.onehot_features(p.train, p.test, FEATURES_EXPL, TARGET)
+    return te.select(KEY, F.size(vector_to_array("features")).alias("width"),
+                     F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("ones"))
+
+
+@register("baseline_logreg")
+def q_logreg(spark, sf):
+    p = pipeline(spark, sf)
+    return base_ops.baseline_logreg(p.train, p.test, FEATURES_EXPL, TARGET, KEY, max_iter=100)
+
+
+@register("baseline_gbt")
+def q_gbt(spark, sf):
+    p = pipeline(spark, sf)
+    return base_ops.baseline_gbt(p.train, p.test, FEATURES_EXPL, TARGET, KEY, max_iter=10)
+
+
+@register("baseline_set")
+def q_baseline_set(spark, sf):
+    p = pipeline(spark, sf)
+    return base_ops.baseline_set(p.train, p.test, FEATURES_EXPL, TARGET, KEY, include_ml=False)

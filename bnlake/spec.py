@@ -148,6 +148,20 @@ DEFAULT_TRACKS = {
     "ex_ante": ["chief_justice", "issue_area", "law_type", "lower_court_disposition"],
 }
 
+# Node descriptions.
+NODE_DESCRIPTIONS = {
+    "chief_justice": "Chief Justice presiding over the case",
+    "issue_area": "Area of law at issue (civil rights, criminal procedure, etc.)",
+    "law_type": "Type of law involved (constitutional, statutory, etc.)",
+    "case_supplement": "Supplemental case context",
+    "lower_court_disposition": "How the lower court disposed of the case",
+    "decision_type": "Type of Supreme Court decision",
+    "precedent_alteration": "Whether existing precedent is altered",
+    "split_vote": "Whether the justices split on the decision",
+    "unconstitutional": "Whether the case involves an unconstitutionality finding",
+    "final_disposition": "Final Supreme Court case disposition (the prediction target)",
+}
+
 # Labels of the target codes.
 DISPOSITION_LABELS = {
     1: "Stay, petition, or motion granted",
