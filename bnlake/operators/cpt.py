@@ -62,14 +62,15 @@ def collect_domains(domain_df: DataFrame) -> Domains:
 # ---------------------------------------------------------------------------
 # Counts for every (node, depth) in one GROUPING SETS pass
 # ---------------------------------------------------------------------------
-def _set_table(spark: SparkSession, spec: NetworkSpec) -> tuple[list[list[str]], DataFrame]:
-    cols = spec.names
+def _set_table(spark: SparkSession, spec: NetworkSpec,
+               by: list[str] = ()) -> tuple[list[list[str]], DataFrame]:
+    cols = list(by) + spec.names
     m = len(cols)
     sets: dict[frozenset, int] = {}
     rows = []
     for n in spec.nodes:
         for d in range(len(n.parents) + 1):
-            s = frozenset(list(n.parents[:d]) + [n.name])
+            s = frozenset(list(by) + list(n.parents[:d]) + [n.name])
             gid = sum(1 << (m - 1 - i) for i, c in enumerate(cols) if c not in s)
             sets.setdefault(s, gid)
             rows.append((gid, n.name, d))
@@ -77,12 +78,13 @@ def _set_table(spark: SparkSession, spec: NetworkSpec) -> tuple[list[list[str]],
     return ordered, spark.createDataFrame(rows, "gid long, node string, depth int")
 
 
-def cpt_counts(nodes: DataFrame, spec: NetworkSpec) -> DataFrame:
-    """(node, depth, pa1..paM, value, n) for every node and backoff depth."""
+def cpt_counts(nodes: DataFrame, spec: NetworkSpec, by: list[str] = ()) -> DataFrame:
+    """(by..., node, depth, pa1..paM, value, n) for every node and backoff depth;
+    ``by`` columns (e.g. a fold id) are kept in every grouping set."""
     spec = spec.restrict(nodes.columns, by_name=True)
     spark = nodes.sparkSession
-    sets, set_df = _set_table(spark, spec)
-    agg = nodes.groupingSets(sets, *spec.names).agg(
+    sets, set_df = _set_table(spark, spec, by)
+    agg = nodes.groupingSets(sets, *by, *spec.names).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
     # set_df has one row per (node, depth): its size is fixed by the spec.
     j = agg.join(F.broadcast(set_df), "gid")
@@ -101,7 +103,7 @@ def cpt_counts(nodes: DataFrame, spec: NetworkSpec) -> DataFrame:
     for n in spec.nodes:
         val = F.when(node_c == n.name, F.col(n.name)) if val is None else \
             val.when(node_c == n.name, F.col(n.name))
-    return j.select("node", "depth", *pas, val.alias("value"), F.col("n").cast("long"))
+    return j.select(*by, "node", "depth", *pas, val.alias("value"), F.col("n").cast("long"))
 
 
 # ---------------------------------------------------------------------------

@@ -1395,3 +1395,74 @@ def q_gbt(spark, sf):
 def q_baseline_set(spark, sf):
     p = pipeline(spark, sf)
     return base_ops.baseline_set(p.train, p.test, FEATURES_EXPL, TARGET, KEY, include_ml=False)
+
+
+# ---------------------------------------------------------------------------
+# Cross-validation (M12) and streaming (ST1-ST3)
+# ---------------------------------------------------------------------------
+from bnlake.operators import crossval  # noqa: E402
+from bnlake.streaming import score as streaming  # noqa: E402
+
+
+@register("cross_validate")
+def q_cross_validate(spark, sf):
+    """5-fold CV of top-3 accuracy (exact engine, all evidence), counts
+    from a single pass; checked against per-fold refits in the tests."""
+    return crossval.cross_validate(spark, pipeline(spark, sf).cases, SPEC, k=5, topk=3,
+                                   track="explanatory", seed=DEFAULT_SEED)
+
+
+def _grid_posterior(spark, sf, track: str):
+    """Posterior for every configuration of the track's variables: the static
+    side of the stream-static join (size = product of their domains, checked)."""
+    p = pipeline(spark, sf)
+    ev_vars = SPEC.track(track)
+    grid = cptops.config_grid(spark, ev_vars, p.doms).select(*ev_vars) \
+        .withColumn("_gid", F.concat_ws("\u0001", *ev_vars))     # the configuration is its own key
+    post = posterior.posterior_exact(spark, SPEC, p.factors, p.doms, grid, ev_vars, key="_gid")
+    from bnlake.session import keep
+    return keep(grid.join(post, "_gid").drop("_gid"))
+
+
+@register("stream_score", sql(post_ctes("ex_ante"), POST_SEL))
+def q_stream_score(spark, sf):
+    """ST1: test cases arrive as files; each is scored by a stream-static join
+    with the posterior of every ex-ante configuration."""
+    p = pipeline(spark, sf)
+    src = store.scratch_path(spark, "stream-cases")
+    p.evidence("ex_ante").repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return streaming.stream_score(spark, src, schema, _grid_posterior(spark, sf, "ex_ante"),
+                                  EXANTE, p.doms, KEY)
+
+
+@register("stream_counts", sql(FIT, f"SELECT node, depth, {PAS}, value, CAST(n AS BIGINT) AS n FROM counts"))
+def q_stream_counts(spark, sf):
+    """ST2: training rows arrive in several files; per-batch counts summed
+    equal the batch counts."""
+    p = pipeline(spark, sf)
+    src = store.scratch_path(spark, "stream-nodes")
+    p.nodes.repartition(4).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return streaming.stream_counts(spark, src, schema, SPEC)
+
+
+EVENT_MODEL_UNTIL = "2024-01-08 00:00:00"
+
+
+@register("stream_windowed_logloss", f"""
+    WITH model AS (SELECT event_type, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS p
+                   FROM events WHERE ts < TIMESTAMP '{EVENT_MODEL_UNTIL}' GROUP BY 1)
+    SELECT date_trunc('hour', e.ts) AS window_start, date_trunc('hour', e.ts) + INTERVAL 1 HOUR AS window_end,
+           count(*) AS n, round(avg(-ln(greatest(least(coalesce(m.p, 0.0), 1.0), 1e-12))), 6) AS log_loss
+    FROM events e LEFT JOIN model m ON m.event_type = e.event_type GROUP BY 1, 2""")
+def q_stream_windowed_logloss(spark, sf):
+    """ST3: drift monitor -- hourly log-loss of event types against the first
+    week's distribution, watermark one hour."""
+    from bnlake.sources.tables import read_table
+    ev = read_table(spark, sf, "events", "ts", "event_type")
+    model = streaming.marginal_model(ev, "event_type", EVENT_MODEL_UNTIL)
+    src = store.scratch_path(spark, "stream-events")
+    ev.repartitionByRange(4, "ts").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    return streaming.stream_windowed_logloss(spark, src, schema, model, "event_type")
