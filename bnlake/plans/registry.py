@@ -1024,7 +1024,9 @@ def q_compare_engines(spark, sf):
     engines = {"exact": exact,
                "rejection": samp.posterior_rejection(spark, SPEC, _samples(spark, sf), p.doms,
                                                      p.evidence("ex_ante"), EXANTE),
-               "likelihood_weighting": _lw(spark, sf)[N_LW]}
+               "likelihood_weighting": _lw(spark, sf)[N_LW],
+               "gibbs": samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, p.evidence("ex_ante"),
+                                             EXANTE, n=1000, burn_in=500, seed=DEFAULT_SEED)}
     rows = []
     for name, post in engines.items():
         P = metrics.predict_distributions(post, p.truth(), KEY)
@@ -1466,3 +1468,12 @@ def q_stream_windowed_logloss(spark, sf):
     ev.repartitionByRange(4, "ts").write.parquet(src)
     schema = spark.read.parquet(src).schema
     return streaming.stream_windowed_logloss(spark, src, schema, model, "event_type")
+
+
+@register("posterior_gibbs")
+def q_gibbs(spark, sf):
+    """Gibbs chains per distinct ex-ante evidence row (burn-in 500, 1000
+    sweeps), vectorised across the chains of each task."""
+    p = pipeline(spark, sf)
+    return samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, p.evidence("ex_ante"), EXANTE,
+                                n=1000, burn_in=500, seed=DEFAULT_SEED)

@@ -105,3 +105,14 @@ def test_sampling_is_deterministic(model):
     a = sorted(model.sample(300, seed=5).collect())
     b = sorted(model.sample(300, seed=5).collect())
     assert a == b
+
+
+def test_gibbs_converges_to_exact(spark, model):
+    from bnlake.operators import sampling
+    cases = spark.createDataFrame([(1, "0", "1", None, None), (2, None, None, "2", "0")],
+                                  "id long, a string, b string, c string, d string")
+    exact = model.posterior(cases, track="all")
+    ev = model.evidence(cases, "all")
+    g = sampling.posterior_gibbs(spark, model.spec, model.factors_long, model.doms, ev,
+                                 ["a", "b", "c", "d"], n=20000, burn_in=500, seed=3)
+    assert _tv(exact, g) < 0.05
