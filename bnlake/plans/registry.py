@@ -455,7 +455,7 @@ def p_ctes(track: str = "ex_ante") -> list[str]:
     return post_ctes(track) + p_tail()
 
 
-def p_tail() -> list[str]:
+def p_tail(KEY: str = KEY) -> list[str]:
     """Needs CTEs ``ev`` (key, y_true) and ``post`` (key, class, p)."""
     return [
         f"""classes AS (SELECT class, CAST(row_number() OVER (ORDER BY TRY_CAST(class AS DOUBLE) NULLS LAST, class) AS INTEGER) AS class_ord
@@ -594,7 +594,7 @@ def _summary_sql(track: str) -> str:
     return sql(p_ctes(track) + [AUC_SQL, ECE_SQL, PRF_SQL], """
       SELECT (SELECT count(*) FROM scores) AS n_test,
              round((SELECT avg(hit_1) FROM scores), 6) AS top_1,
-             round((SELECT avg(hit_3) FROM scores), 6) AS top_3,
+             round(CASE WHEN (SELECT count(*) FROM classes) >= 3 THEN (SELECT avg(hit_3) FROM scores) END, 6) AS top_3,
              round(CASE WHEN (SELECT count(*) FROM classes) >= 5 THEN (SELECT avg(hit_5) FROM scores) END, 6) AS top_5,
              round((SELECT avg(log_loss) FROM scores), 6) AS log_loss,
              round((SELECT avg(brier) FROM scores), 6) AS brier,
@@ -1049,7 +1049,7 @@ SUMMARY_COLS = ["n_test", "n_classes", "top_1", "top_3", "top_5", "log_loss", "b
 SUMMARY_SEL = """SELECT (SELECT count(*) FROM scores) AS n_test,
              (SELECT count(DISTINCT class) FROM pmat) AS n_classes,
              round((SELECT avg(hit_1) FROM scores), 6) AS top_1,
-             round((SELECT avg(hit_3) FROM scores), 6) AS top_3,
+             round(CASE WHEN (SELECT count(*) FROM classes) >= 3 THEN (SELECT avg(hit_3) FROM scores) END, 6) AS top_3,
              round(CASE WHEN (SELECT count(*) FROM classes) >= 5 THEN (SELECT avg(hit_5) FROM scores) END, 6) AS top_5,
              round((SELECT avg(log_loss) FROM scores), 6) AS log_loss,
              round((SELECT avg(brier) FROM scores), 6) AS brier,
@@ -1477,3 +1477,61 @@ def q_gibbs(spark, sf):
     p = pipeline(spark, sf)
     return samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, p.evidence("ex_ante"), EXANTE,
                                 n=1000, burn_in=500, seed=DEFAULT_SEED)
+
+
+# ---------------------------------------------------------------------------
+# Second network: documents left-joined to labels (missing labels exercise
+# P3/P4/A1); plot-ready comparison table
+# ---------------------------------------------------------------------------
+DSPEC = DOCS.spec
+DKEY = DSPEC.key
+DFIT = [*DOCS.base(), DOCS.split_chrono(), *DOCS.fit(DOCS.nodes())]
+DFACT = DFIT + [DOCS.factors()]
+DTRACK = DSPEC.track("text_only")
+DPOST = DFACT + [DOCS.evidence(DTRACK)] + DOCS.posterior(DTRACK)
+DRAW = "doc_id, lang, source, len_bucket, toxic, quality"
+
+
+@register("prepare_docs", sql(DOCS.base(), f"SELECT {DRAW} FROM prepared"))
+def q_prepare_docs(spark, sf):
+    return pipeline(spark, sf, "docs").cases
+
+
+@register("missing_report_docs", sql(DOCS.base()[:2], " UNION ALL ".join(
+    f"SELECT {i} AS pos, {sq(n.name)} AS variable, {sq(n.column)} AS \"column\", "
+    f"CAST(sum(CAST({n.column} IS NULL AS INTEGER)) AS BIGINT) AS n_missing, "
+    f"round(100.0 * sum(CAST({n.column} IS NULL AS INTEGER)) / count(*), 2) AS pct_missing FROM derived"
+    for i, n in enumerate(DSPEC.nodes))))
+def q_missing_docs(spark, sf):
+    return prep.missing_report(pipeline(spark, sf, "docs").raw, DSPEC)
+
+
+@register("fit_network_docs", sql(DFIT, CPT_SELECT.replace(PAS, ", ".join(f"pa{i}" for i in range(1, DSPEC.max_parents + 1)))))
+def q_fit_docs(spark, sf):
+    return pipeline(spark, sf, "docs").cpt
+
+
+@register("posterior_exact_docs", sql(DPOST, f"SELECT {DKEY}, class, class_ord, round(p, 6) AS p FROM post"))
+def q_post_docs(spark, sf):
+    return pipeline(spark, sf, "docs").posterior("text_only")
+
+
+@register("evaluate_model_docs", sql(DPOST + p_tail(DKEY) + [AUC_SQL, ECE_SQL, PRF_SQL], SUMMARY_SEL))
+def q_eval_docs(spark, sf):
+    p = pipeline(spark, sf, "docs")
+    return metrics.summary_row(p.matrix("text_only"), DKEY).select(*SUMMARY_COLS)
+
+
+def _comparison_sql() -> str:
+    metric_cols = [c for c in SUMMARY_COLS if c not in ("n_test", "n_classes")]
+    body = " UNION ALL ".join(f"SELECT model, track, {sq(c)} AS metric, CAST({c} AS DOUBLE) AS value FROM r"
+                              for c in metric_cols)
+    return f"WITH r AS ({_results_sql()}) {body}"
+
+
+@register("comparison_data", _comparison_sql())
+def q_comparison_data(spark, sf):
+    """The numbers behind the model-comparison figure, long form."""
+    metric_cols = [c for c in SUMMARY_COLS if c not in ("n_test", "n_classes")]
+    r = round_doubles(_results(spark, sf))
+    return r.unpivot(["model", "track"], metric_cols, "metric", "value")
