@@ -1535,3 +1535,40 @@ def q_comparison_data(spark, sf):
     metric_cols = [c for c in SUMMARY_COLS if c not in ("n_test", "n_classes")]
     r = round_doubles(_results(spark, sf))
     return r.unpivot(["model", "track"], metric_cols, "metric", "value")
+
+
+def _prefix_sql() -> str:
+    ps = SPEC.parents(SPEC.target)
+    cols = []
+    for i, p in enumerate(ps):
+        cond = " AND ".join(f"e.{q} IS NOT NULL" for q in ps[:i]) or "TRUE"
+        cols.append(f"CASE WHEN {cond} THEN e.{p} END AS pa{i + 1}")
+    M = SPEC.max_parents
+    joins, pcs = [], []
+    for k in range(M, 0, -1):
+        on = " AND ".join([f"l{k}.node = {sq(SPEC.target)}", f"l{k}.value = q.value"] +
+                          [f"l{k}.pa{i} = q.pa{i}" for i in range(1, k + 1)])
+        joins.append(f"LEFT JOIN (SELECT * FROM cpt WHERE depth = {k}) l{k} ON {on}")
+        pcs.append(f"l{k}.p")
+    joins.append(f"LEFT JOIN (SELECT * FROM cpt WHERE depth = 0) l0 ON l0.node = {sq(SPEC.target)} AND l0.value = q.value")
+    hit = "coalesce(" + ", ".join(f"CASE WHEN l{k}.p IS NOT NULL THEN {k} END" for k in range(M, 0, -1)) + ", 0)"
+    return sql(FIT + [O.evidence(EXPL), f"""q AS (SELECT e.{KEY}, {', '.join(cols)}, dd.value
+                 FROM ev e JOIN domains dd ON dd.node = {sq(SPEC.target)})"""],
+               f"SELECT q.{KEY}, q.value, {hit} AS hit_depth, round(coalesce({', '.join(pcs)}, l0.p), 6) AS p "
+               f"FROM q {' '.join(joins)}")
+
+
+@register("parent_key_prefix", _prefix_sql())
+def q_parent_key_prefix(spark, sf):
+    """I11 + J1 on real partial evidence: each test case's parent key for the
+    target is cut at its first unknown parent, then backs off along prefixes."""
+    from bnlake.operators.posterior import clean_evidence
+    p = pipeline(spark, sf)
+    ps = SPEC.parents(SPEC.target)
+    ev = clean_evidence(p.evidence("explanatory"), EXPL, p.doms)
+    vals = F.array(*[F.lit(v) for v in p.doms[SPEC.target]])
+    q = ev.select(KEY, F.lit(SPEC.target).alias("node"),
+                  *[F.col(x).alias(f"pa{i + 1}") for i, x in enumerate(ps)],
+                  F.explode(vals).alias("value"))
+    out = cptops.cpt_lookup(q, p.cpt, p.card, SPEC.max_parents, p.alpha)
+    return out.select(KEY, "value", "hit_depth", "p")
