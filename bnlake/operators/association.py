@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bnlake.functions.scalar import chi2_sf_even, chi2_sf_udf
+from bnlake.operators.cpt import weighted
 
 
 def contingency(df: DataFrame, variables: list[str]) -> DataFrame:
@@ -22,9 +23,9 @@ def contingency(df: DataFrame, variables: list[str]) -> DataFrame:
     order), rows with a null in either column excluded for that pair."""
     pairs = list(combinations(variables, 2))
     m = len(variables)
-    vals = df.select(*[F.col(v).cast("string").alias(v) for v in variables])
+    vals = weighted(df.select(*[F.col(v).cast("string").alias(v) for v in variables]), variables)
     agg = vals.groupingSets([list(p) for p in pairs], *variables).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+        F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
     rows = []
     for a, b in pairs:
         gid = sum(1 << (m - 1 - i) for i, c in enumerate(variables) if c not in (a, b))

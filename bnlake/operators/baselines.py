@@ -35,15 +35,24 @@ def _spread(test: DataFrame, key: str, dist: list[tuple[str, float]]) -> DataFra
     return test.select(key, F.inline(arr))
 
 
+def _class_rows(train: DataFrame, target_col: str) -> list:
+    """Class frequencies on the driver: one row per class, checked against the
+    class limit (never truncated)."""
+    rows = class_frequencies(train, target_col).orderBy("class_ord").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return rows
+
+
 def baseline_marginal(train: DataFrame, test: DataFrame, target_col: str, key: str) -> DataFrame:
     """B1: the class distribution of the training set, for every case."""
-    rows = class_frequencies(train, target_col).orderBy("class_ord").limit(MAX_CLASSES).collect()
+    rows = _class_rows(train, target_col)
     return _spread(test, key, [(r["class"], float(r["p"])) for r in rows])
 
 
 def baseline_majority(train: DataFrame, test: DataFrame, target_col: str, key: str) -> DataFrame:
     """B2: 0.99 on the modal class (ties -> first in class order), 0.01/(C-1) elsewhere."""
-    rows = class_frequencies(train, target_col).orderBy("class_ord").limit(MAX_CLASSES).collect()
+    rows = _class_rows(train, target_col)
     if not rows:
         return _spread(test, key, [])
     mode = max(rows, key=lambda r: (r["count"], -r["class_ord"]))["class"]

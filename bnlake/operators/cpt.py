@@ -28,6 +28,18 @@ from bnlake.spec import DEFAULT_ALPHA, DEFAULT_M, NetworkSpec
 
 MAX_DOMAIN = 100_000          # values per node we accept to hold on the driver
 MAX_GRID = 50_000_000         # rows of one factor table
+BROADCAST_ROWS = 1_000_000    # broadcast a model table only below this proven bound
+
+
+def model_bound(spec: NetworkSpec, cards: dict[str, int]) -> int:
+    """Upper bound on the rows of any CPT / factor table of the network: the
+    sum over nodes of (parent grid x child values)."""
+    return sum(prod(cards.get(p, 1) for p in n.parents) * cards.get(n.name, 1) for n in spec.nodes)
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """Broadcast hint only when the table's size bound is proven small."""
+    return F.broadcast(df) if bound <= BROADCAST_ROWS else df
 
 
 def pa_names(m: int) -> list[str]:
@@ -62,6 +74,16 @@ def collect_domains(domain_df: DataFrame) -> Domains:
 # ---------------------------------------------------------------------------
 # Counts for every (node, depth) in one GROUPING SETS pass
 # ---------------------------------------------------------------------------
+def weighted(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Distinct configurations of ``cols`` with their row count ``_w`` (nulls
+    kept as values).  Their number is bounded by the product of the domains,
+    not by the rows, so every later grouping-set expansion runs on this small
+    table; the aggregate itself combines map-side before its one shuffle."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+
+
+# ---------------------------------------------------------------------------
+# ---------------------------------------------------------------------------
 def _set_table(spark: SparkSession, spec: NetworkSpec,
                by: list[str] = ()) -> tuple[list[list[str]], DataFrame]:
     cols = list(by) + spec.names
@@ -84,8 +106,8 @@ def cpt_counts(nodes: DataFrame, spec: NetworkSpec, by: list[str] = ()) -> DataF
     spec = spec.restrict(nodes.columns, by_name=True)
     spark = nodes.sparkSession
     sets, set_df = _set_table(spark, spec, by)
-    agg = nodes.groupingSets(sets, *by, *spec.names).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    agg = weighted(nodes, [*by, *spec.names]).groupingSets(sets, *by, *spec.names).agg(
+        F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
     # set_df has one row per (node, depth): its size is fixed by the spec.
     j = agg.join(F.broadcast(set_df), "gid")
     M = spec.max_parents
@@ -135,6 +157,10 @@ def fit_network(nodes: DataFrame, spec: NetworkSpec, alpha: float = DEFAULT_ALPH
     pas = pa_names(M)
     counts = cpt_counts(nodes, spec) if counts is None else counts
     domains = value_domains(nodes, spec) if domains is None else domains
+    # one row per node: the domain sizes bound every table below
+    cards = {r["node"]: r["V"] for r in domains.groupBy("node").agg(
+        F.count(F.lit(1)).alias("V")).collect()}
+    bound = model_bound(spec, cards)
     marg = marginal_cpt(counts, domains, alpha)
     level = marg.select("node", F.lit(0).alias("depth"),
                         *[F.lit(None).cast("string").alias(p) for p in pas],
@@ -145,22 +171,22 @@ def fit_network(nodes: DataFrame, spec: NetworkSpec, alpha: float = DEFAULT_ALPH
         key = pas[:k]
         ck = counts.filter(F.col("depth") == k).select("node", *key, "value", "n")
         configs = ck.groupBy("node", *key).agg(F.sum("n").alias("n_pa"))
-        grid = configs.join(domains.select("node", "value", "ord"), "node")
-        grid = grid.join(ck, ["node", *key, "value"], "left") \
+        grid = configs.join(small(domains.select("node", "value", "ord"), bound), "node")
+        grid = grid.join(small(ck, bound), ["node", *key, "value"], "left") \
                    .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
         if backoff:
             prev = levels[-1]
             wk = Window.partitionBy("node", *pas[:k - 1])
             tot = F.sum("p").over(wk)
-            lower = prev.join(card, "node").select(
+            lower = prev.join(small(card, bound), "node").select(
                 "node", *pas[:k - 1], "value",
                 F.when(tot > 0, F.col("p") / tot).otherwise(1.0 / F.col("V")).alias("p_low"))
-            grid = grid.join(lower, ["node", *pas[:k - 1], "value"], "left")
+            grid = grid.join(small(lower, bound), ["node", *pas[:k - 1], "value"], "left")
             lam = F.col("n_pa") / (F.col("n_pa") + F.lit(m))
             ml = F.when(F.col("n_pa") > 0, F.col("n") / F.col("n_pa")).otherwise(0.0)
             p = lam * ml + (1 - lam) * F.coalesce("p_low", F.lit(0.0))
         else:
-            grid = grid.join(card, "node")
+            grid = grid.join(small(card, bound), "node")
             p = (F.col("n") + alpha) / (F.col("n_pa") + alpha * F.col("V"))
         level = grid.select("node", F.lit(k).alias("depth"), *key,
                             *[F.lit(None).cast("string").alias(x) for x in pas[k:]],
@@ -183,7 +209,7 @@ def truncate_prefix(df: DataFrame, M: int) -> DataFrame:
 
 
 def cpt_lookup(queries: DataFrame, cpt: DataFrame, card: DataFrame, M: int,
-               alpha: float = DEFAULT_ALPHA) -> DataFrame:
+               alpha: float = DEFAULT_ALPHA, bound: int | None = None) -> DataFrame:
     """Add ``p`` and ``hit_depth`` to (node, pa1..paM, value, ...) rows:
     the longest observed parent prefix wins, then the marginal, then
     alpha / (alpha V + alpha) for a value never seen."""
@@ -193,9 +219,12 @@ def cpt_lookup(queries: DataFrame, cpt: DataFrame, card: DataFrame, M: int,
     for d in range(M, 0, -1):
         lv = cpt.filter(F.col("depth") == d).select(
             "node", *pas[:d], "value", F.col("p").alias(f"_p{d}"))
+        lv = small(lv, bound) if bound is not None else lv
         q = q.join(lv, ["node", *pas[:d], "value"], "left")
         ps.append(F.col(f"_p{d}"))
     l0 = cpt.filter(F.col("depth") == 0).select("node", "value", F.col("p").alias("_p0"))
+    if bound is not None:
+        l0, card = small(l0, bound), small(card, bound)
     q = q.join(l0, ["node", "value"], "left").join(card, "node", "left")
     unseen = F.lit(alpha) / (F.lit(alpha) * F.greatest(F.coalesce("V", F.lit(1)), F.lit(1)) + alpha)
     hit = F.coalesce(*[F.when(F.col(f"_p{d}").isNotNull(), F.lit(d)) for d in range(M, 0, -1)],
@@ -250,7 +279,8 @@ def factor_long(spark: SparkSession, cpt: DataFrame, card: DataFrame, spec: Netw
             *[F.lit(None).cast("string").alias(x) for x in pas[len(n.parents):]],
             F.col(n.name).alias("value"), F.col(f"_ord_{n.name}").alias("ord")))
     grid = reduce(DataFrame.unionByName, parts)
-    looked = cpt_lookup(grid, cpt, card, M, alpha)
+    bound = model_bound(spec, {n: len(v) for n, v in doms.items()})
+    looked = cpt_lookup(grid, cpt, card, M, alpha, bound)
     w = Window.partitionBy("node", *pas)
     tot = F.sum("p").over(w)
     cnt = F.count(F.lit(1)).over(w)

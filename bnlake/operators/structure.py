@@ -23,10 +23,15 @@ class BICScorer:
 
     def __init__(self, df: DataFrame, variables: list[str]):
         self.variables = list(variables)
-        data = df.select(*[F.col(v).cast("string").alias(v) for v in variables]) \
+        rows = df.select(*[F.col(v).cast("string").alias(v) for v in variables]) \
                  .dropna(how="all")
+        # distinct configurations with weights: bounded by the product of the
+        # domains, materialised once and scanned by every family batch
+        from bnlake.operators.cpt import weighted
+        from bnlake.session import keep
+        data = keep(weighted(rows, variables))
         self.data = data
-        stats = data.agg(F.count(F.lit(1)).alias("n"),
+        stats = data.agg(F.sum("_w").alias("n"),
                          *[F.count_distinct(v).alias(v) for v in variables]).first()
         self.n = stats["n"]
         self.log_n = math.log(max(self.n, 1))
@@ -56,7 +61,7 @@ class BICScorer:
             sets.setdefault(s, gid)
             rows.append((gid, i, node, list(parents)))
         agg = self.data.groupingSets([[c for c in cols if c in s] for s in sets], *cols) \
-            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+            .agg(F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
         meta = spark.createDataFrame(rows, "gid long, fam int, node string, parents array<string>")
         j = agg.join(F.broadcast(meta), "gid")   # one row per family: bounded by the batch
         # value of the node and the parent key of each cell

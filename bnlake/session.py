@@ -50,4 +50,8 @@ def keep(df):
     session's ``spark.checkpoint.dir``: survives executor loss and gives later
     plans a short lineage (planning time stays flat as pipelines grow)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: writing a reliable checkpoint otherwise recomputes the plan
+    df.persist()
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
