@@ -53,7 +53,7 @@ def cross_validate(spark: SparkSession, cases: DataFrame, spec: NetworkSpec, k:
         cpt = cptops.fit_network(nodes.drop("fold"), spec, alpha, m, backoff, counts=cf, domains=dom)
         doms = cptops.collect_domains(dom)
         card = cptops.domain_card(dom)
-        facs = posterior.network_factors(cptops.factor_long(spark, cpt, card, spec, doms, alpha), spec)
+        facs = posterior.network_factors(cptops.factor_long(spark, cpt, card, spec, doms, alpha), spec, doms)
         test = folded.filter(F.col("fold") == f)
         ev = prep.evidence_project(test, spec, track)
         post = posterior.posterior_exact(spark, spec, facs, doms, ev, ev_vars)

@@ -26,7 +26,7 @@ class FittedNetwork:
         self.doms = cptops.collect_domains(domain_df)
         self.card = keep(cptops.domain_card(domain_df))
         self.factors_long = cptops.factor_long(self.spark, cpt, self.card, spec, self.doms, alpha)
-        self.factors = posterior.network_factors(self.factors_long, spec)
+        self.factors = posterior.network_factors(self.factors_long, spec, self.doms)
         self._ordered = None
 
     @classmethod

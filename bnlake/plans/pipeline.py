@@ -94,7 +94,7 @@ class Pipeline:
 
     @cached_property
     def factors(self) -> dict:
-        return posterior.network_factors(self.factors_long, self.spec)
+        return posterior.network_factors(self.factors_long, self.spec, self.doms)
 
     # -- inference --------------------------------------------------------------
     def evidence(self, track: str, df: DataFrame | None = None) -> DataFrame:

@@ -1214,7 +1214,7 @@ def q_eval_saved_model(spark, sf):
     doms = _c.collect_domains(dom)
     card = _c.domain_card(dom)
     fl = _c.factor_long(spark, cpt, card, SPEC, doms, meta["alpha"])
-    facs = posterior.network_factors(fl, SPEC)
+    facs = posterior.network_factors(fl, SPEC, doms)
     rows = []
     from bnlake.session import keep
     for track in ("explanatory", "ex_ante"):
