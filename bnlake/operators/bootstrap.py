@@ -50,10 +50,20 @@ def replicate_means(scores: DataFrame, metrics: list[str], n_boot: int = 500,
                                 for m in metrics])
 
 
+EXACT_MAX_N = 1_000_000
+
+
 def bootstrap_ci(scores: DataFrame, metrics: list[str], n_boot: int = 500, seed: int = 42,
-                 alpha: float = 0.05, key: str = "case_id") -> DataFrame:
-    """One row: ``{m}_lo``, ``{m}_hi`` = linear-interpolated percentiles."""
-    rep = replicate_means(scores, metrics, n_boot, seed, key)
+                 alpha: float = 0.05, key: str = "case_id", method: str = "auto") -> DataFrame:
+    """One row: ``{m}_lo``, ``{m}_hi`` = linear-interpolated percentiles.
+
+    ``exact``: multinomial resampling (B*n draws are shuffled to the scores);
+    ``poisson``: Poisson(1) case weights, summed map-side (only B rows per
+    partition cross the network); ``auto`` picks exact up to 1M cases."""
+    if method == "auto":
+        method = "exact" if scores.count() <= EXACT_MAX_N else "poisson"
+    rep = (replicate_means if method == "exact" else poisson_replicates)(
+        scores, metrics, n_boot, seed, key)
     qs = [alpha / 2, 1 - alpha / 2]
     aggs = []
     for m in metrics:
@@ -74,7 +84,8 @@ def poisson_replicates(scores: DataFrame, metrics: list[str], n_boot: int = 500,
     for k in range(13):
         acc += math.exp(-1) / math.factorial(k)
         cdf.append(acc)
-    x = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).cast("long"))
+    x = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))) \
+         .withColumn("b", F.col("b").cast("long"))
     u = seeded_uniform(F.lit(seed), F.col("b"), F.col(key))
     wt = sum((u >= F.lit(c)).cast("int") for c in cdf)
     x = x.withColumn("w", wt)

@@ -76,3 +76,14 @@ def test_per_class_zero_division(spark):
     prf = {r["class"]: r for r in metrics.per_class_prf(sc, classes).collect()}
     assert prf["1"].precision == 1.0 and prf["2"].precision == 0.0 and prf["2"].f1 == 0.0
     assert metrics.macro_f1(metrics.per_class_prf(sc, classes)).first()[0] == 1.0
+
+
+def test_bootstrap_methods_agree_roughly(spark):
+    from bnlake.operators import bootstrap
+    import random
+    rnd = random.Random(1)
+    sc = spark.createDataFrame([(i, float(rnd.random() < 0.3)) for i in range(2000)], "case_id long, hit double")
+    ex = bootstrap.bootstrap_ci(sc, ["hit"], 200, 42, method="exact").first()
+    po = bootstrap.bootstrap_ci(sc, ["hit"], 200, 42, method="poisson").first()
+    assert ex.hit_lo < 0.3 < ex.hit_hi and po.hit_lo < 0.3 < po.hit_hi
+    assert abs((ex.hit_hi - ex.hit_lo) - (po.hit_hi - po.hit_lo)) < 0.02

@@ -42,3 +42,28 @@ def test_kfold_last_takes_remainder(spark):
     df = spark.createDataFrame([(i,) for i in range(103)], "case_id long")
     sizes = {r.fold: r["count"] for r in split.kfold_assign(df, 5).groupBy("fold").count().collect()}
     assert sizes == {0: 20, 1: 20, 2: 20, 3: 20, 4: 23}
+
+
+def test_key_at_rank_narrowing_path_with_hot_term(spark, monkeypatch):
+    """Force the histogram path (tiny SMALL / bucket count) on a table where one
+    term holds most rows and keys are sparse."""
+    import random
+    monkeypatch.setattr(split, "SMALL", 40)
+    monkeypatch.setattr(split, "N_BUCKETS", 8)
+    rnd = random.Random(5)
+    keys = rnd.sample(range(10 ** 9), 3000)
+    rows = [(k, 7 if i % 3 else rnd.randint(0, 20)) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k long, t int").cache()
+    order = sorted((t, k) for k, t in rows)
+    for r in (1, 999, 1500, 2400, 3000):
+        assert split.key_at_rank(df, ["t", "k"], r) == order[r - 1]
+
+
+def test_dense_index_across_buckets(spark, monkeypatch):
+    from bnlake.operators import bootstrap
+    monkeypatch.setattr(bootstrap, "BUCKET", 16)
+    import random
+    keys = random.Random(9).sample(range(5000), 700)
+    df = spark.createDataFrame([(k,) for k in keys], "case_id long")
+    got = {r.case_id: r.idx for r in bootstrap.dense_index(df, "case_id").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
