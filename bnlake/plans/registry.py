@@ -1572,3 +1572,24 @@ def q_parent_key_prefix(spark, sf):
                   F.explode(vals).alias("value"))
     out = cptops.cpt_lookup(q, p.cpt, p.card, SPEC.max_parents, p.alpha)
     return out.select(KEY, "value", "hit_depth", "p")
+
+
+@register("sampler_convergence_all")
+def q_convergence_all(spark, sf):
+    """I13 for every sampler: mean TV from exact at 100 / 500 / 1000 samples.
+    Rejection filters one shared sample table by sample id; likelihood
+    weighting filters one weighted table; Gibbs runs once per count."""
+    from functools import reduce as _r
+    p = pipeline(spark, sf)
+    exact = p.posterior("ex_ante")
+    ev = p.evidence("ex_ante")
+    parts = []
+    samples = _samples(spark, sf)
+    for n in LW_COUNTS:
+        rej = samp.posterior_rejection(spark, SPEC, samples.filter(F.col("sample_id") < n), p.doms, ev, EXANTE)
+        gib = samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, ev, EXANTE, n=n, burn_in=500,
+                                   seed=DEFAULT_SEED)
+        for name, post in (("rejection", rej), ("likelihood_weighting", _lw(spark, sf)[n]), ("gibbs", gib)):
+            parts.append(posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("tv"))
+                         .select(F.lit(name).alias("engine"), F.lit(n).alias("n_samples"), "tv"))
+    return _r(DataFrame.unionByName, parts)
