@@ -5,8 +5,10 @@
 * ``stream_counts``: CPT counts are additive, so each micro-batch's grouping-set
   counts are appended (idempotently, per batch id) and summed on read.
 * ``stream_windowed_logloss``: per-row log-loss against a fixed model,
-  aggregated in tumbling event-time windows with a watermark (late rows are
-  dropped); update mode through ``foreachBatch``, last update per window wins.
+  aggregated in tumbling event-time windows with a watermark (window state
+  older than the watermark is evicted; Spark keeps every row within the
+  watermark and does not promise to drop each later one); update mode through
+  ``foreachBatch``, last update per window wins.
 
 Sources are file streams; runs use ``trigger(availableNow=True)`` so a test
 processes what is there and stops.  Checkpoints live under the session's
@@ -73,12 +75,15 @@ def marginal_model(events: DataFrame, label_col: str, until) -> DataFrame:
 
 def stream_windowed_logloss(spark: SparkSession, source: str, schema, model: DataFrame,
                             label_col: str, window: str = "1 hour", watermark: str = "1 hour",
-                            sink: str | None = None) -> DataFrame:
+                            sink: str | None = None, max_files: int | None = None) -> DataFrame:
     """(window_start, window_end, n, log_loss) per event-time window."""
     sink = sink or scratch_path(spark, "stream-logloss")
     # watermarks need an instant type: NTZ event times are read as instants in
     # the session time zone, and window bounds are turned back into NTZ below
-    stream = spark.readStream.schema(schema).parquet(source) \
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source) \
         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     # the model has one row per label value: broadcast is bounded by that
     scored = stream.join(F.broadcast(model), label_col, "left") \
