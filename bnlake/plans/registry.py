@@ -1384,13 +1384,13 @@ def q_onehot(spark, sf):
 @register("baseline_logreg")
 def q_logreg(spark, sf):
     p = pipeline(spark, sf)
-    return base_ops.baseline_logreg(p.train, p.test, FEATURES_EXPL, TARGET, KEY, max_iter=100)
+    return base_ops.baseline_logreg(p.train, p.test, FEATURES_EXPL, TARGET, KEY, max_iter=1000)
 
 
 @register("baseline_gbt")
 def q_gbt(spark, sf):
     p = pipeline(spark, sf)
-    return base_ops.baseline_gbt(p.train, p.test, FEATURES_EXPL, TARGET, KEY, max_iter=10)
+    return base_ops.baseline_gbt(p.train, p.test, FEATURES_EXPL, TARGET, KEY)
 
 
 @register("baseline_set")
@@ -1593,3 +1593,52 @@ def q_convergence_all(spark, sf):
             parts.append(posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("tv"))
                          .select(F.lit(name).alias("engine"), F.lit(n).alias("n_samples"), "tv"))
     return _r(DataFrame.unionByName, parts)
+
+
+def _boot_from(head: list[str], cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
+    """Bootstrap percentiles over a ``scores`` CTE produced by ``head``."""
+    u = sql_uniform(str(seed), "b", "j")
+    means = ", ".join(f"sum(w.w * s.{m}) / CAST((SELECT count(*) FROM scores) AS DOUBLE) AS {m}" for m in cols)
+    qs = ", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975), 6) AS {m}_hi"
+                   for m in cols)
+    return sql(head + [
+        f"sidx AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS idx FROM scores)",
+        f"""draws AS (SELECT b, CAST(floor({u} * nn) AS BIGINT) AS idx FROM (
+              SELECT r.range // nn AS b, r.range % nn AS j, nn FROM
+              (SELECT count(*) AS nn FROM scores) c, range(0, {n_boot} * (SELECT count(*) FROM scores)) r))""",
+        "w AS (SELECT b, idx, count(*) AS w FROM draws GROUP BY b, idx)",
+        f"reps AS (SELECT w.b, {means} FROM w JOIN sidx s ON s.idx = w.idx GROUP BY w.b)"],
+        f"SELECT {qs} FROM reps")
+
+
+def _verdict_ci_sql() -> str:
+    parts = []
+    for track in ("explanatory", "ex_ante"):
+        net = _boot_from(p_ctes(track), ["hit_3"])
+        mar = _boot_from(_baseline_post_ctes("marginal", track) + p_tail(), ["hit_3"])
+        parts.append(f"""SELECT {sq(track)} AS track, n.hit_3_lo AS network_lo, n.hit_3_hi AS network_hi,
+                 m.hit_3_lo AS marginal_lo, m.hit_3_hi AS marginal_hi,
+                 (n.hit_3_lo > m.hit_3_hi OR n.hit_3_hi < m.hit_3_lo) AS separated
+            FROM ({net}) n, ({mar}) m""")
+    return " UNION ALL ".join(parts)
+
+
+@register("track_verdict_ci", _verdict_ci_sql())
+def q_track_verdict_ci(spark, sf):
+    """M11 with intervals: top-3 bootstrap intervals (same resamples for both
+    models) for the network and the marginal baseline per track; separated iff
+    the intervals do not overlap."""
+    from functools import reduce as _r
+    p = pipeline(spark, sf)
+    rows = []
+    for track in ("explanatory", "ex_ante"):
+        net = boot.bootstrap_ci(p.scores(track), ["hit_3"], N_BOOT, DEFAULT_SEED, key=KEY, method="exact")
+        Pm = metrics.predict_distributions(base_ops.baseline_marginal(p.train, p.test, TARGET, KEY), p.truth(), KEY)
+        mar = boot.bootstrap_ci(metrics.case_scores(Pm, KEY), ["hit_3"], N_BOOT, DEFAULT_SEED, key=KEY,
+                                method="exact")
+        n = round_doubles(net).first()
+        m = round_doubles(mar).first()
+        rows.append((track, n.hit_3_lo, n.hit_3_hi, m.hit_3_lo, m.hit_3_hi,
+                     bool(n.hit_3_lo > m.hit_3_hi or n.hit_3_hi < m.hit_3_lo)))
+    return spark.createDataFrame(rows, "track string, network_lo double, network_hi double, "
+                                       "marginal_lo double, marginal_hi double, separated boolean")
