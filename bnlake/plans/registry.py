@@ -1642,3 +1642,34 @@ def q_track_verdict_ci(spark, sf):
                      bool(n.hit_3_lo > m.hit_3_hi or n.hit_3_hi < m.hit_3_lo)))
     return spark.createDataFrame(rows, "track string, network_lo double, network_hi double, "
                                        "marginal_lo double, marginal_hi double, separated boolean")
+
+
+def _heldout_sql() -> str:
+    joins, terms = [], []
+    for n in SPEC.nodes:
+        on = [f"f_{n.name}.node = {sq(n.name)}", f"f_{n.name}.value = t.{n.name}"] + \
+             [f"f_{n.name}.pa{i + 1} = t.{p}" for i, p in enumerate(n.parents)]
+        joins.append(f"JOIN factors f_{n.name} ON " + " AND ".join(on))
+        terms.append(f"ln(f_{n.name}.p)")
+    return sql(FACT + [O.nodes("test_nodes", "split", "NOT is_train")], f"""
+      SELECT count(*) AS n_rows, round(sum({' + '.join(terms)}), 6) AS heldout_loglik,
+             round(avg({' + '.join(terms)}), 6) AS mean_loglik
+      FROM test_nodes t {' '.join(joins)}""")
+
+
+@register("heldout_loglik", _heldout_sql())
+def q_heldout_loglik(spark, sf):
+    """G7 (held-out form): the training CPTs applied to the complete test rows,
+    sum of log P(x | parents) over all nodes -- a prediction score, unlike the
+    refit-on-test ``test_fit_loglik``.  Factor tables are joined by their
+    variables (broadcast under their proven size bound)."""
+    p = pipeline(spark, sf)
+    x = prep.rename_nodes(p.test, SPEC).withColumn("_ll", F.lit(0.0))
+    for n in SPEC.names:
+        f = p.factors[n]
+        side = f.df.withColumnRenamed("w", "_f")
+        if f.bound is not None and f.bound <= cptops.BROADCAST_ROWS:
+            side = F.broadcast(side)
+        x = x.join(side, f.variables).withColumn("_ll", F.col("_ll") + F.log("_f")).drop("_f")
+    return x.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("_ll").alias("heldout_loglik"),
+                 F.avg("_ll").alias("mean_loglik"))
