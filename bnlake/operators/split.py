@@ -34,15 +34,26 @@ def _lex_le(keys: list[str], values: tuple) -> Column:
     return cond
 
 
-def key_at_rank(df: DataFrame, keys: list[str], rank: int) -> tuple | None:
+def key_stats(df: DataFrame, key: str) -> tuple:
+    """(min, max, count) of the leading key in one pass."""
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    return r["lo"], r["hi"], r["n"]
+
+
+def key_at_rank(df: DataFrame, keys: list[str], rank: int, stats: tuple | None = None) -> tuple | None:
     """Key tuple of the row with 1-based ``rank`` in ascending key order.
-    Keys are numeric, non-null, and unique together."""
+    Keys are numeric, non-null, and unique together.  ``stats`` = a known
+    (min, max, count) of the leading key saves the first pass."""
     if rank <= 0:
         return None
     fixed: list = []
     cur = df.select(*keys)
     level = 0
     lo = hi = None
+    if stats is not None:
+        lo, hi, n = stats
+        if n == 0 or rank > n:
+            return None
     while True:
         k = keys[level]
         if lo is None:
@@ -86,9 +97,9 @@ def split_chrono(df: DataFrame, order_col: str = "term", key: str = "case_id",
                  test_fraction: float = DEFAULT_TEST_FRACTION) -> DataFrame:
     """Adds ``is_train``: first int(n * (1 - f)) rows by (order_col, key)."""
     kd, keys = _order_keys(df, order_col, key)
-    n = df.count()
-    cut = int(n * (1 - test_fraction))
-    t = key_at_rank(kd, keys, cut)
+    stats = key_stats(kd, keys[0])
+    cut = int(stats[2] * (1 - test_fraction))
+    t = key_at_rank(kd, keys, cut, stats)
     flag = _lex_le(keys, t) if t is not None else F.lit(False)
     return kd.withColumn("is_train", flag).drop(*keys)
 
@@ -102,9 +113,9 @@ def split_random(df: DataFrame, key: str = "case_id", test_fraction: float = DEF
                  seed: int = DEFAULT_SEED) -> DataFrame:
     """Seeded permutation by md5(seed|key), exact count cut."""
     kd, keys = _random_keys(df, key, seed)
-    n = df.count()
-    cut = int(n * (1 - test_fraction))
-    t = key_at_rank(kd, keys, cut)
+    stats = key_stats(kd, keys[0])
+    cut = int(stats[2] * (1 - test_fraction))
+    t = key_at_rank(kd, keys, cut, stats)
     flag = _lex_le(keys, t) if t is not None else F.lit(False)
     return kd.withColumn("is_train", flag).drop(*keys)
 
@@ -114,11 +125,11 @@ def kfold_assign(df: DataFrame, k: int = 5, key: str = "case_id",
     """fold = least(floor((rank-1) / (n div k)), k-1) on the seeded
     permutation; the last fold takes the remainder."""
     kd, keys = _random_keys(df, key, seed)
-    n = df.count()
-    size = n // k
+    stats = key_stats(kd, keys[0])
+    size = stats[2] // k
     if size == 0:
         return kd.withColumn("fold", F.lit(k - 1)).drop(*keys)
-    ts = [key_at_rank(kd, keys, j * size) for j in range(1, k)]
+    ts = [key_at_rank(kd, keys, j * size, stats) for j in range(1, k)]
     fold = reduce(lambda a, b: a + b,
                   [F.when(_lex_le(keys, t), F.lit(0)).otherwise(F.lit(1)) for t in ts if t],
                   F.lit(0))
