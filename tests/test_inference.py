@@ -130,3 +130,16 @@ def test_explode_fallback_matches_elimination(spark, model):
         spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).collect()}
     assert a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_rejection_without_accepted_samples_is_uniform(spark, model):
+    """No sample matches the evidence -> uniform over the query's domain."""
+    cases = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(
+        [("0", "0"), ("0", "1"), ("1", "0"), ("1", "1"), ("2", "0"), ("2", "1")])],
+        "id long, a string, b string")
+    post = model.posterior_rejection(cases, track="roots", n=1).collect()
+    by_case = {}
+    for r in post:
+        by_case.setdefault(r.id, []).append(r.p)
+    uniform = [ps for ps in by_case.values() if all(abs(p - 1 / 3) < 1e-12 for p in ps)]
+    assert len(by_case) == 6 and len(uniform) == 5      # one sample matches one configuration
