@@ -143,3 +143,15 @@ def test_rejection_without_accepted_samples_is_uniform(spark, model):
         by_case.setdefault(r.id, []).append(r.p)
     uniform = [ps for ps in by_case.values() if all(abs(p - 1 / 3) < 1e-12 for p in ps)]
     assert len(by_case) == 6 and len(uniform) == 5      # one sample matches one configuration
+
+
+def test_unseen_root_value_probability(spark, model):
+    """T4: a root value never seen in training gets alpha / (alpha V + alpha)."""
+    from bnlake.operators import cpt
+    M = model.spec.max_parents
+    q = spark.createDataFrame([("a", "never-seen")], "node string, value string")
+    for i in range(1, M + 1):
+        q = q.withColumn(f"pa{i}", F.lit(None).cast("string"))
+    r = cpt.cpt_lookup(q, model.cpt, model.card, M, alpha=1.0).first()
+    V = len(model.doms["a"])
+    assert r.p == pytest.approx(1.0 / (V + 1)) and r.hit_depth == 0
