@@ -155,3 +155,15 @@ def test_unseen_root_value_probability(spark, model):
     r = cpt.cpt_lookup(q, model.cpt, model.card, M, alpha=1.0).first()
     V = len(model.doms["a"])
     assert r.p == pytest.approx(1.0 / (V + 1)) and r.hit_depth == 0
+
+
+def test_levels_cover_observed_configs_with_all_values(small_df, small_spec, model):
+    """Level-k rows exist for observed parent prefixes only, each with every
+    child value (zero counts included)."""
+    from bnlake.operators import prep
+    nodes = prep.rename_nodes(small_df, small_spec)
+    observed = {(r.a, r.b) for r in nodes.select("a", "b").distinct().collect()}
+    rows = model.cpt.filter("node = 'd' AND depth = 2").collect()
+    V = len(model.doms["d"])
+    assert {(r.pa1, r.pa2) for r in rows} == observed
+    assert len(rows) == len(observed) * V
