@@ -87,3 +87,13 @@ def test_bootstrap_methods_agree_roughly(spark):
     po = bootstrap.bootstrap_ci(sc, ["hit"], 200, 42, method="poisson").first()
     assert ex.hit_lo < 0.3 < ex.hit_hi and po.hit_lo < 0.3 < po.hit_hi
     assert abs((ex.hit_hi - ex.hit_lo) - (po.hit_hi - po.hit_lo)) < 0.02
+
+
+def test_true_class_outside_support(spark):
+    """The class union adds the unseen true class with p = 0 -> loss -ln(1e-12)."""
+    post = spark.createDataFrame([(1, "1", 0.7), (1, "2", 0.3)], "case_id long, class string, p double")
+    truth = spark.createDataFrame([(1, "9")], "case_id long, y_true string")
+    P = metrics.predict_distributions(post, truth)
+    assert sorted(r["class"] for r in P.collect()) == ["1", "2", "9"]
+    ll = metrics.log_loss(metrics.case_scores(P)).first()[0]
+    assert ll == pytest.approx(-math.log(1e-12))
