@@ -73,3 +73,12 @@ def test_evidence_filter_reports_ignored(spark):
     df = spark.createDataFrame([({"a": "1", "z": "2", "b": None},)], "evidence map<string,string>")
     r = prep.evidence_filter(df, ["a", "b"]).first()
     assert r.kept == {"a": "1"} and r.ignored == ["z"]
+
+
+def test_binary_target_parsing(spark):
+    """{2} -> 0, {3,4,5,8} -> 1, other codes, nulls and text -> null;
+    numeric text is truncated like an int conversion."""
+    from bnlake.functions.scalar import binary_target
+    df = spark.createDataFrame([("2",), ("3.0",), ("8",), ("1",), ("x",), (None,), ("5.7",)], "c string")
+    got = [r.b for r in df.select(binary_target(F.col("c")).alias("b")).collect()]
+    assert got == [0, 1, 1, None, None, None, 1]
