@@ -83,8 +83,10 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     repeated = F.when(F.size(F.array_distinct("__h")) == F.size("__h"), F.lit(0).cast("long")).otherwise(_covered(F.col("__h")))
     out = hashed.select("*", repeated.alias("n_repeat_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return out.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                      failed.alias("base_failed"))
+    # a later filter must not move below this point: it would put the whole
+    # computation of the arrays into its condition, once for each element
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
+    return out.select("doc_id", *keep, F.explode(F.array(found)).alias("__m")).select("doc_id", *keep, "__m.*")
 
 
 def line_key(line: Column) -> Column:
