@@ -55,7 +55,7 @@ def _mix_pair(key: np.ndarray) -> np.ndarray:
 
 
 def _text_hash(s: str) -> np.uint64:
-    h = np.zeros(1, np.uint64)
+    h = np.ones(1, np.uint64)
     for c in _mix(np.frombuffer(s.encode("utf-32-le"), "<u4")):
         h = h * BASE + c
     return h[0]
@@ -197,7 +197,7 @@ class Model:
         n, v, many = len(words[0]), len(self.pieces), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(many, n)
         mixed = _mix(codes)
-        h = np.zeros((many, n), np.uint64)
+        h = np.ones((many, n), np.uint64)  # not 0, so that the length counts
         parts = []
         for k in range(min(self.longest, n)):
             h = h[:, :n - k] * BASE + mixed[:, k:]
