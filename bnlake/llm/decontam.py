@@ -83,7 +83,9 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: in
         candidates = found.join(probe, "h").select("doc_id", "item_id").distinct()
         # exact: the texts of the candidates' shingles
         texts = docs.join(candidates.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
-        said = texts.select("doc_id", F.explode(F.array_distinct(_shingles(tokens(F.col("text")), n))).alias("text"))
+        # the words are a column of their own: inside a lambda they would be split again for every shingle
+        split = texts.select("doc_id", tokens(F.col("text")).alias("w"))
+        said = split.select("doc_id", F.explode(F.array_distinct(_shingles(F.col("w"), n))).alias("text"))
         mine = known.filter(F.col("n") == n).select("item_id", "text", "of")
         both = said.join(near(mine) if small else mine, "text").select("doc_id", "item_id", "of", "text").distinct()
         counts = both.groupBy("doc_id", "item_id", "of").agg(F.count("*").alias("n_found"))
