@@ -43,6 +43,11 @@ def sql_uniform(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({inner}), 1, 13)) AS BIGINT) / {TWO_52!r})"
 
 
+def canonical(value: Column) -> Column:
+    """Text of a code, the same for 1, 1.0 and "1.0"."""
+    return F.regexp_replace(value.cast("string"), r"^(-?\d+)\.0+$", "$1")
+
+
 def binary_target(code: Column) -> Column:
     """Affirm {2} -> 0, reverse {3,4,5,8} -> 1, anything else (or unparseable) -> null."""
     c = code.cast("string").try_cast("double").try_cast("int")

@@ -21,9 +21,13 @@ BUCKET = 1 << 16
 def dense_index(df: DataFrame, key: str) -> DataFrame:
     """Add ``idx`` = 0..n-1 in key order without a single-partition sort:
     per-bucket counts (one row per 65,536 key values), their running offsets,
-    then a row_number inside each bucket (at most 65,536 rows each for a
-    unique key)."""
-    b = df.withColumn("_bk", F.floor(F.col(key) / F.lit(BUCKET)))
+    then a row_number inside each bucket. Buckets are equal parts of the key
+    range, about one for each 65,536 rows, so sparse keys make no more of them."""
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not r["n"]:
+        return df.withColumn("idx", F.lit(0).cast("long"))
+    width = max(1, -(-(r["hi"] - r["lo"] + 1) // max(1, -(-r["n"] // BUCKET))))
+    b = df.withColumn("_bk", F.floor((F.col(key) - F.lit(r["lo"])) / F.lit(width)))
     cnt = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
     off = cnt.withColumn("_off", F.sum("_c").over(
         Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_off"])
@@ -50,18 +54,13 @@ def replicate_means(scores: DataFrame, metrics: list[str], n_boot: int = 500,
                                 for m in metrics])
 
 
-EXACT_MAX_N = 1_000_000
-
-
 def bootstrap_ci(scores: DataFrame, metrics: list[str], n_boot: int = 500, seed: int = 42,
-                 alpha: float = 0.05, key: str = "case_id", method: str = "auto") -> DataFrame:
+                 alpha: float = 0.05, key: str = "case_id", method: str = "exact") -> DataFrame:
     """One row: ``{m}_lo``, ``{m}_hi`` = linear-interpolated percentiles.
 
-    ``exact``: multinomial resampling (B*n draws are shuffled to the scores);
-    ``poisson``: Poisson(1) case weights, summed map-side (only B rows per
-    partition cross the network); ``auto`` picks exact up to 1M cases."""
-    if method == "auto":
-        method = "exact" if scores.count() <= EXACT_MAX_N else "poisson"
+    ``exact`` (at every size): multinomial resampling, B*n draws are shuffled to
+    the scores; ``poisson``, only when asked for: Poisson(1) case weights, summed
+    map-side (only B rows per partition cross the network)."""
     rep = (replicate_means if method == "exact" else poisson_replicates)(
         scores, metrics, n_boot, seed, key)
     qs = [alpha / 2, 1 - alpha / 2]

@@ -10,7 +10,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bnlake.functions.scalar import binary_target, value_sort_keys
+from bnlake.functions.scalar import binary_target, canonical, value_sort_keys
 from bnlake.spec import DISPOSITION_LABELS, NetworkSpec
 
 log = logging.getLogger(__name__)
@@ -79,7 +79,7 @@ def prepare_cases(df: DataFrame, spec: NetworkSpec, drop_target: bool = True,
 # -- P6 / P7 ----------------------------------------------------------------
 def node_columns(df: DataFrame, spec: NetworkSpec, names=None) -> list:
     names = spec.names if names is None else names
-    return [F.col(spec.column(n)).cast("string").alias(n) for n in names
+    return [canonical(F.col(spec.column(n))).alias(n) for n in names
             if spec.column(n) in df.columns]
 
 
@@ -99,19 +99,18 @@ def evidence_project(df: DataFrame, spec: NetworkSpec, track=None,
     ev = spec.track(track)
     cols = [F.col(spec.key)] + node_columns(df, spec, ev)
     if with_target:
-        cols.append(F.col(spec.column(spec.target)).cast("string").alias("y_true"))
+        cols.append(canonical(F.col(spec.column(spec.target))).alias("y_true"))
     return df.select(*cols)
 
 
 # -- P8 ---------------------------------------------------------------------
 def evidence_filter(requests: DataFrame, allowed: list[str], ev_col: str = "evidence") -> DataFrame:
     """Requests carry ``map<string,string>`` evidence.  Keep allowed, non-null keys;
-    report the ignored keys sorted."""
+    report every key that isn't allowed, sorted, whether or not it has a value."""
     allowed_arr = F.array(*[F.lit(a) for a in allowed])
     m = F.col(ev_col)
     kept = F.map_filter(m, lambda k, v: F.array_contains(allowed_arr, k) & v.isNotNull())
-    ignored = F.array_sort(F.array_except(
-        F.map_keys(F.map_filter(m, lambda k, v: v.isNotNull())), allowed_arr))
+    ignored = F.array_sort(F.array_except(F.map_keys(m), allowed_arr))
     return requests.withColumn("kept", kept).withColumn("ignored", ignored)
 
 
@@ -145,11 +144,11 @@ def label_table(spark: SparkSession, labels: dict | None = None) -> DataFrame:
 
 
 def label_values(df: DataFrame, col: str, labels: DataFrame, out: str = "label") -> DataFrame:
-    """Code -> label; unknown codes fall back to the code string.  The label
-    table has a fixed size (one row per code), so it is broadcast."""
-    lab = F.broadcast(labels.select(F.col("code").alias("_code"), F.col("label").alias("_lab")))
-    j = df.join(lab, F.col(col).cast("string") == F.col("_code"), "left")
-    return j.withColumn(out, F.coalesce(F.col("_lab"), F.col(col).cast("string"))) \
+    """Code -> label; unknown codes fall back to the code string.  The user's
+    labels have no size bound, so the join strategy is left to Spark."""
+    lab = labels.select(canonical(F.col("code")).alias("_code"), F.col("label").alias("_lab"))
+    j = df.join(lab, canonical(F.col(col)) == F.col("_code"), "left")
+    return j.withColumn(out, F.coalesce(F.col("_lab"), canonical(F.col(col)))) \
             .drop("_code", "_lab")
 
 

@@ -111,7 +111,7 @@ def posterior_rejection(spark: SparkSession, spec: NetworkSpec, samples: DataFra
     ords = F.create_map(*[x for i, v in enumerate(doms[query]) for x in (F.lit(v), F.lit(i + 1))])
     parts = []
     for code in sorted(r["_pat"] for r in ev.select("_pat").distinct().collect()):
-        obs = [v for i, v in enumerate(ev_vars) if code >> i & 1]
+        obs = [v for v, c in zip(ev_vars, code) if c == "1"]
         cfg = ev.filter(F.col("_pat") == code).select(*obs).distinct()
         acc = (cfg.join(samples, obs) if obs else samples) \
             .groupBy(*obs, F.col(query).alias("class")).agg(F.count(F.lit(1)).alias("c"))
@@ -129,7 +129,6 @@ def posterior_rejection(spark: SparkSession, spec: NetworkSpec, samples: DataFra
     return ev.join(table, cond).select(ev[key].alias(key), "class", "class_ord", "p")
 
 
-NULL_TOKEN = "<null>"
 BROADCAST_ROWS = 1_000_000
 ROWS_PER_TASK = 20_000
 
@@ -141,8 +140,9 @@ def _cum_side(cum: DataFrame, doms: Domains, names: list[str]) -> DataFrame:
 
 
 def evidence_id(ev_vars: list[str]):
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(v), F.lit(NULL_TOKEN)) for v in ev_vars])) \
-        if ev_vars else F.lit("0")
+    """Each value with its length, so that no two evidence rows share a text."""
+    part = lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), F.col(v)), F.lit("-"))
+    return F.md5(F.concat_ws("|", *[part(v) for v in ev_vars])) if ev_vars else F.lit("0")
 
 
 def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],

@@ -12,6 +12,8 @@ is a plain filter ``key <= threshold``.
 
 from __future__ import annotations
 
+import logging
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from bnlake.functions.scalar import seeded_uniform
 from bnlake.spec import DEFAULT_SEED, DEFAULT_TEST_FRACTION
 
+log = logging.getLogger(__name__)
+
 N_BUCKETS = 1024
 SMALL = 100_000
 
@@ -87,15 +91,47 @@ def key_at_rank(df: DataFrame, keys: list[str], rank: int, stats: tuple | None =
             acc += h["c"]
 
 
+def number_of(df: DataFrame, col: str):
+    """A column as a long that keeps its order: dates by day, instants by
+    microsecond, numbers as they are. Text has no numeric order: its hash, which
+    is stable and tells keys apart."""
+    kind = df.schema[col].dataType.typeName()
+    c = F.col(col)
+    if kind == "date":
+        return F.unix_date(c).cast("long")
+    if kind in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(c.cast("timestamp"))
+    if kind == "string":
+        return F.xxhash64(c)
+    return c.cast("long")
+
+
 def _order_keys(df: DataFrame, order_col: str, key: str) -> tuple[DataFrame, list[str]]:
     big = 2 ** 62
-    return df.withColumn("_k1", F.coalesce(F.col(order_col).cast("long"), F.lit(big))) \
-             .withColumn("_k2", F.col(key).cast("long")), ["_k1", "_k2"]
+    if df.schema[order_col].dataType.typeName() == "string":
+        # dates written as text, or numbers written as text
+        first = F.coalesce(F.unix_date(F.col(order_col).try_cast("date")).cast("long"), F.col(order_col).try_cast("long"))
+    else:
+        first = number_of(df, order_col)
+    return df.withColumn("_k1", F.coalesce(first, F.lit(big))) \
+             .withColumn("_k2", number_of(df, key)), ["_k1", "_k2"]
+
+
+def chrono_column(df: DataFrame, wanted: str = "term", fallback: str = "dateDecision",
+                  key: str = "case_id") -> str:
+    """Column that orders the cases: the term, else the decision date, else the key."""
+    for c in (wanted, fallback):
+        if c in df.columns:
+            return c
+        log.warning("no column %s to split by time", c)
+    return key
 
 
 def split_chrono(df: DataFrame, order_col: str = "term", key: str = "case_id",
                  test_fraction: float = DEFAULT_TEST_FRACTION) -> DataFrame:
-    """Adds ``is_train``: first int(n * (1 - f)) rows by (order_col, key)."""
+    """Adds ``is_train``: first int(n * (1 - f)) rows by (order_col, key);
+    without that column by dateDecision, and without that by the key."""
+    order_col = chrono_column(df, order_col, key=key)
     kd, keys = _order_keys(df, order_col, key)
     stats = key_stats(kd, keys[0])
     cut = int(stats[2] * (1 - test_fraction))
@@ -106,7 +142,7 @@ def split_chrono(df: DataFrame, order_col: str = "term", key: str = "case_id",
 
 def _random_keys(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_k1", seeded_uniform(F.lit(seed), F.col(key))) \
-             .withColumn("_k2", F.col(key).cast("long")), ["_k1", "_k2"]
+             .withColumn("_k2", number_of(df, key)), ["_k1", "_k2"]
 
 
 def split_random(df: DataFrame, key: str = "case_id", test_fraction: float = DEFAULT_TEST_FRACTION,

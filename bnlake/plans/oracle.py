@@ -274,7 +274,7 @@ class OracleSQL:
     def lw(self, ev_vars: list[str], n: int, seed: int, ev: str = "ev") -> list[str]:
         """Weighted samples lw_s(eid, sample_id, vars..., w) and lw_cases(key, eid)."""
         from bnlake.functions.scalar import sql_uniform
-        eid = "md5(" + " || '|' || ".join(f"coalesce({v}, '<null>')" for v in ev_vars) + ")"
+        eid = "md5(" + " || '|' || ".join(f"coalesce(length({v}) || ':' || {v}, '-')" for v in ev_vars) + ")"
         es = ", ".join(f"{v} AS e_{v}" for v in ev_vars)
         out = [self.cumulative() if "cum AS" not in "" else "",
                f"lw_cfg AS (SELECT DISTINCT {', '.join(ev_vars)}, {eid} AS eid FROM {ev})",

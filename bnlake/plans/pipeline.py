@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bnlake.functions.scalar import canonical
 from bnlake.operators import cpt as cptops
 from bnlake.operators import metrics, posterior, prep, split
 from bnlake.session import ensure_checkpoint_dir, keep
@@ -24,12 +25,16 @@ _CACHE: dict = {}
 
 
 def pipeline(spark: SparkSession, sf_dir: str, view: str = "cases", **kw) -> "Pipeline":
-    k = (id(spark), sf_dir, view, tuple(sorted(kw.items())))
+    k = (spark.sparkContext.applicationId, sf_dir, view, tuple(sorted(kw.items())))
     if k not in _CACHE:
         _CACHE[k] = Pipeline(spark, sf_dir, view, **kw)
     return _CACHE[k]
 
 
+def truth_of(df: DataFrame, spec: NetworkSpec) -> DataFrame:
+    return df.select(spec.key, canonical(F.col(spec.column(spec.target))).alias("y_true"))
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, view: str = "cases",
                  alpha: float = DEFAULT_ALPHA, m: float = DEFAULT_M, backoff: bool = True):
@@ -110,14 +115,12 @@ class Pipeline:
         return self._post[track]
 
     def truth(self) -> DataFrame:
-        return self.test.select(self.spec.key, F.col(self.spec.column(self.spec.target))
-                                .cast("string").alias("y_true"))
+        return truth_of(self.test, self.spec)
 
-    def matrix(self, track: str, post: DataFrame | None = None) -> DataFrame:
-        k = ("P", track, id(post))
+    def matrix(self, track: str) -> DataFrame:
+        k = ("P", track)
         if k not in self._post:
-            P = metrics.predict_distributions(self.posterior(track) if post is None else post,
-                                              self.truth(), self.spec.key)
+            P = metrics.predict_distributions(self.posterior(track), self.truth(), self.spec.key)
             self._post[k] = keep(P)
         return self._post[k]
 

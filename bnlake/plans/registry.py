@@ -16,7 +16,7 @@ from bnlake.functions.scalar import binary_target, round_doubles, sql_binary_tar
 from bnlake.operators import cpt as cptops
 from bnlake.operators import metrics, posterior, prep, split
 from bnlake.plans.oracle import OracleSQL, d, sql, sq
-from bnlake.plans.pipeline import pipeline
+from bnlake.plans.pipeline import pipeline, truth_of
 from bnlake.spec import DEFAULT_SEED, DISPOSITION_LABELS, default_spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,13 +72,6 @@ def q_derive_flag(spark, sf):
     return prep.derive_flag(pipeline(spark, sf).raw).select("case_id", "minVotes", "voteSplit")
 
 
-@register("validate_columns", sql(O.base()[:2], """
-    SELECT * FROM (VALUES ('__none__', '__none__', -1)) t(variable, "column", pos) WHERE pos >= 0"""))
-def q_validate_columns(spark, sf):
-    p = pipeline(spark, sf)
-    return prep.missing_columns_table(spark, prep.derive_flag(p.raw), SPEC)
-
-
 @register("drop_missing_target", sql(O.base()[:2],
           f"SELECT {RAW_COLS}, voteSplit FROM derived WHERE {TARGET} IS NOT NULL"))
 def q_drop_missing_target(spark, sf):
@@ -614,6 +607,41 @@ def q_evaluate_model_expl(spark, sf):
     return metrics.summary_row(pipeline(spark, sf).matrix("explanatory"), KEY)
 
 
+def _binary_eval_sql(track: str) -> str:
+    """The collapsed posterior against the recoded truth, other outcomes dropped."""
+    import re
+    named = [re.sub(r"\bev\b", "bev", re.sub(r"\bpost\b", "bpost", c)) for c in p_tail()]
+    bt = sql_binary_target("class")
+    head = post_ctes(track) + [
+        f"bev AS (SELECT {KEY}, CAST({sql_binary_target('y_true')} AS VARCHAR) AS y_true FROM ev WHERE {sql_binary_target('y_true')} IS NOT NULL)",
+        f"bsum AS (SELECT {KEY}, CAST({bt} AS VARCHAR) AS class, sum(p) AS pm FROM post WHERE {bt} IS NOT NULL GROUP BY 1, 2)",
+        f"""bpost AS (SELECT {KEY}, class, CASE WHEN sum(pm) OVER (PARTITION BY {KEY}) > 0 THEN pm / sum(pm) OVER (PARTITION BY {KEY}) ELSE 0.5 END AS p FROM bsum
+             UNION ALL SELECT k.{KEY}, c.class, 0.5 FROM (SELECT DISTINCT {KEY} FROM post) k, (VALUES ('0'), ('1')) c(class)
+             WHERE k.{KEY} NOT IN (SELECT {KEY} FROM bsum))"""]
+    return sql(head + named + [AUC_SQL, ECE_SQL, PRF_SQL], SUMMARY_BINARY)
+
+
+SUMMARY_BINARY = """SELECT (SELECT count(*) FROM scores) AS n_test, round((SELECT avg(hit_1) FROM scores), 6) AS accuracy,
+             round((SELECT avg(log_loss) FROM scores), 6) AS log_loss, round((SELECT avg(brier) FROM scores), 6) AS brier,
+             round((SELECT macro_auc FROM auc), 6) AS macro_auc, round((SELECT ece FROM ece_t), 6) AS ece"""
+
+
+@register("evaluate_binary", f"SELECT 'explanatory' AS track, * FROM ({_binary_eval_sql('explanatory')}) "
+                             f"UNION ALL SELECT 'ex_ante' AS track, * FROM ({_binary_eval_sql('ex_ante')})")
+def q_evaluate_binary(spark, sf):
+    """The affirm/reverse task on both tracks: collapsed posterior against the
+    recoded outcome; cases in neither class are left out."""
+    from bnlake.session import keep
+    p = pipeline(spark, sf)
+    truth = p.truth().select(KEY, binary_target(F.col("y_true")).cast("string").alias("y_true")).filter("y_true is not null")
+    rows = []
+    for track in ("explanatory", "ex_ante"):
+        P = keep(metrics.predict_distributions(prep.binary_collapse(p.posterior(track), KEY), truth, KEY))
+        rows.append(metrics.summary_row(P, KEY, ks=(1,)).select(
+            F.lit(track).alias("track"), "n_test", F.col("top_1").alias("accuracy"), "log_loss", "brier", "macro_auc", "ece"))
+    return rows[0].unionByName(rows[1])
+
+
 @register("binary_collapse", sql(post_ctes("ex_ante"), f"""
     SELECT {KEY}, class, {r6('CASE WHEN sum(pm) OVER (PARTITION BY ' + KEY + ') > 0 THEN pm / sum(pm) OVER (PARTITION BY ' + KEY + ') ELSE 0.5 END', 'p')}
     FROM (SELECT {KEY}, CAST({sql_binary_target('class')} AS VARCHAR) AS class, sum(p) AS pm
@@ -827,7 +855,7 @@ _LEARNED: dict = {}
 
 
 def learned_graph(spark, sf, max_parents: int = 4):
-    k = (id(spark), sf, max_parents)
+    k = (spark.sparkContext.applicationId, sf, max_parents)
     if k not in _LEARNED:
         sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
         _LEARNED[k] = (struct_ops.hill_climb(sc, max_parents), sc)
@@ -868,7 +896,7 @@ from bnlake.functions.scalar import sql_uniform  # noqa: E402
 from bnlake.operators import baselines as base_ops  # noqa: E402
 from bnlake.operators import bootstrap as boot  # noqa: E402
 
-N_BOOT = 200
+N_BOOT = 500
 BOOT_METRICS = ["hit_1", "hit_3", "log_loss", "brier"]
 
 
@@ -1173,15 +1201,9 @@ def q_pick_release(spark, sf):
     p = pipeline(spark, sf)
     if "_rel" not in p._post:
         folder = store.scratch_path(spark, "releases")
+        # a release is a file or a folder of files under its name
         for tag, df in (("2023_01", p.raw.filter(F.col("term") <= 1998)), ("2024_01", p.raw)):
-            tmp = f"{folder}/_tmp_{tag}"
-            df.coalesce(1).write.mode("overwrite").option("header", True).csv(tmp)
-            jvm = spark._jvm
-            conf = spark._jsc.hadoopConfiguration()
-            src = jvm.org.apache.hadoop.fs.Path(tmp)
-            fs = src.getFileSystem(conf)
-            part = [s.getPath() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-")][0]
-            fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/SCDB_{tag}_caseCentered_Citation.csv"))
+            store.write_cases_csv(df, f"{folder}/SCDB_{tag}_caseCentered_Citation.csv")
         p._post["_rel"] = folder
     return store.scan_cases_csv(spark, store.pick_release(spark, p._post["_rel"]))
 
@@ -1209,17 +1231,22 @@ def q_eval_saved_model(spark, sf):
     from bnlake.operators import cpt as _c
     path = _stored_model(spark, sf)
     cpt, dom, meta = store.read_model(spark, path, SPEC.max_parents)
-    assert meta["split"]["kind"] == "chronological"
     p = pipeline(spark, sf)
+    how = meta["split"]
+    if how["kind"] == "chronological":
+        parted = split.split_chrono(p.cases, how["order_col"], KEY, how["test_fraction"])
+    else:
+        parted = split.split_random(p.cases, KEY, how["test_fraction"], how["seed"])
+    from bnlake.session import keep
+    test = keep(parted.filter(~F.col("is_train")))
     doms = _c.collect_domains(dom)
     card = _c.domain_card(dom)
     fl = _c.factor_long(spark, cpt, card, SPEC, doms, meta["alpha"])
     facs = posterior.network_factors(fl, SPEC, doms)
     rows = []
-    from bnlake.session import keep
     for track in ("explanatory", "ex_ante"):
-        post = keep(posterior.posterior_exact(spark, SPEC, facs, doms, p.evidence(track), SPEC.track(track)))
-        P = keep(metrics.predict_distributions(post, p.truth(), KEY))
+        post = keep(posterior.posterior_exact(spark, SPEC, facs, doms, p.evidence(track, test), SPEC.track(track)))
+        P = keep(metrics.predict_distributions(post, truth_of(test, SPEC), KEY))
         rows.append(metrics.summary_row(P, KEY).select(F.lit(track).alias("track"), *SUMMARY_COLS))
     return rows[0].unionByName(rows[1])
 
@@ -1232,14 +1259,15 @@ IGNORED_SORTED = sorted([v for v in EXPL if v not in EXANTE] + ["not_a_field"])
 
 def _requests(spark, sf):
     """Requests derived from the test cases: a map of every explanatory field
-    plus one unknown key."""
+    (null where unobserved), plus an unknown key in every second request."""
     p = pipeline(spark, sf)
     ev = p.evidence("explanatory")
     kv = []
     for v in EXPL:
         kv += [F.lit(v), F.col(v)]
     kv += [F.lit("not_a_field"), F.lit("x")]
-    return ev.select(F.col(KEY).alias("request_id"), F.create_map(*kv).alias("evidence"))
+    known = F.map_filter(F.create_map(*kv), lambda k, v: (k != "not_a_field") | (F.col(KEY) % 2 == 0))
+    return ev.select(F.col(KEY).alias("request_id"), known.alias("evidence"))
 
 
 @register("evidence_project", sql(FACT + [O.evidence(EXANTE)], f"SELECT {KEY}, {', '.join(EXANTE)}, y_true FROM ev"))
@@ -1250,13 +1278,9 @@ def q_evidence_project(spark, sf):
 
 
 def _ignored_sql() -> str:
-    parts = []
-    for k in IGNORED_SORTED:
-        if k == "not_a_field":
-            parts.append("'not_a_field'")
-        else:
-            parts.append(f"CASE WHEN {SPEC.column(k)} IS NOT NULL THEN {sq(k)} END")
-    return "concat_ws(',', " + ", ".join(parts) + ")"
+    """Every key that isn't allowed is reported, with or without a value."""
+    every = ",".join(k for k in IGNORED_SORTED if k != "not_a_field")
+    return f"CASE WHEN {KEY} % 2 = 0 THEN {sq(','.join(IGNORED_SORTED))} ELSE {sq(every)} END"
 
 
 @register("evidence_filter", sql(O.base() + [O.split_chrono()], f"""
@@ -1414,28 +1438,44 @@ def q_cross_validate(spark, sf):
                                    track="explanatory", seed=DEFAULT_SEED)
 
 
-def _grid_posterior(spark, sf, track: str):
-    """Posterior for every configuration of the track's variables: the static
-    side of the stream-static join (size = product of their domains, checked)."""
+def _gappy(ev: DataFrame, ev_vars: list[str]) -> DataFrame:
+    """Evidence with gaps by a rule: some values unobserved, some unknown codes."""
+    cols = [F.when((F.col(KEY) + i) % 7 == 0, None).when((F.col(KEY) + i) % 11 == 0, "unknown code")
+            .otherwise(F.col(v)).alias(v) for i, v in enumerate(ev_vars)]
+    return ev.select(KEY, *cols)
+
+
+def _gappy_post(ev_vars: list[str]) -> list[str]:
+    cols = ", ".join(f"CASE WHEN ({KEY} + {i}) % 7 = 0 OR ({KEY} + {i}) % 11 = 0 THEN NULL ELSE {v} END AS {v}"
+                     for i, v in enumerate(ev_vars))
+    return FACT + [O.evidence(ev_vars, name="whole_ev"), f"ev AS (SELECT {KEY}, y_true, {cols} FROM whole_ev)"] + \
+        O.posterior(ev_vars)
+
+
+@register("posterior_exact_gaps", sql(_gappy_post(EXPL), POST_SEL))
+def q_posterior_exact_gaps(spark, sf):
+    """I2 on evidence with more null patterns than one job's plans hold."""
     p = pipeline(spark, sf)
-    ev_vars = SPEC.track(track)
-    grid = cptops.config_grid(spark, ev_vars, p.doms).select(*ev_vars) \
-        .withColumn("_gid", F.concat_ws("\u0001", *ev_vars))     # the configuration is its own key
-    post = posterior.posterior_exact(spark, SPEC, p.factors, p.doms, grid, ev_vars, key="_gid")
-    from bnlake.session import keep
-    return keep(grid.join(post, "_gid").drop("_gid"))
+    return posterior.posterior_exact(spark, SPEC, p.factors, p.doms, _gappy(p.evidence("explanatory"), EXPL), EXPL)
 
 
-@register("stream_score", sql(post_ctes("ex_ante"), POST_SEL))
-def q_stream_score(spark, sf):
-    """ST1: test cases arrive as files; each is scored by a stream-static join
-    with the posterior of every ex-ante configuration."""
+def _streamed(spark, sf, ev: DataFrame) -> DataFrame:
     p = pipeline(spark, sf)
     src = store.scratch_path(spark, "stream-cases")
-    p.evidence("ex_ante").repartition(4).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    return streaming.stream_score(spark, src, schema, _grid_posterior(spark, sf, "ex_ante"),
-                                  EXANTE, p.doms, KEY)
+    ev.repartition(4).write.parquet(src)
+    return streaming.stream_score(spark, src, spark.read.parquet(src).schema, SPEC, p.factors, p.doms, EXANTE, KEY)
+
+
+@register("stream_score", sql(post_ctes("ex_ante"), POST_SEL))
+def q_stream_score(spark, sf):
+    """ST1: test cases arrive as files; each micro-batch is scored exactly."""
+    return _streamed(spark, sf, pipeline(spark, sf).evidence("ex_ante"))
+
+
+@register("stream_score_gaps", sql(_gappy_post(EXANTE), POST_SEL))
+def q_stream_score_gaps(spark, sf):
+    """ST1 with unobserved and unknown values: every row is answered."""
+    return _streamed(spark, sf, _gappy(pipeline(spark, sf).evidence("ex_ante"), EXANTE))
 
 
 @register("stream_counts", sql(FIT, f"SELECT node, depth, {PAS}, value, CAST(n AS BIGINT) AS n FROM counts"))

@@ -9,6 +9,7 @@ from the values on load.
 from __future__ import annotations
 
 import json
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 from bnlake.functions.scalar import value_sort_keys
 from bnlake.session import ensure_checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # Case table schema of the source CSV (all nullable).
 CASE_SCHEMA = T.StructType([
     T.StructField("case_id", T.LongType()), T.StructField("term", T.IntegerType()),
@@ -43,9 +46,21 @@ def write_cases_csv(df: DataFrame, path: str) -> None:
 
 
 def scan_cases_csv(spark: SparkSession, path: str, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
-    """Header CSV in latin-1 with a declared schema (no inference pass)."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(path))
+    """Header CSV in latin-1, columns taken by name (in any order, among others)
+    and read as the schema's types; a value that doesn't parse is null, and a
+    column that the file lacks is left out, so that its node drops from the model."""
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("encoding", "ISO-8859-1").option("mode", "PERMISSIVE").csv(path))
+    present = {c.lower(): c for c in raw.columns}
+    def typed(f):
+        c = F.col(f"`{present[f.name.lower()]}`")
+        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            c = c.try_cast("double").try_cast(f.dataType)      # "3" and "3.0" are both 3
+        return c.alias(f.name)
+    missing = [f.name for f in schema if f.name.lower() not in present]
+    if missing:
+        log.warning("columns not in %s: %s", path, missing)
+    return raw.select(*[typed(f) for f in schema if f.name.lower() in present])
 
 
 # -- S2 -------------------------------------------------------------------
@@ -100,8 +115,7 @@ def schema_report(domains: DataFrame, spec, track_all: str = "explanatory",
                                  "node string, description string, ex_ante boolean")
     d = domains.join(F.broadcast(meta), "node")        # one row per field: fixed by the spec
     if labels is not None:
-        lab = F.broadcast(labels.select(F.col("node").alias("_n"), F.col("code").alias("_c"),
-                                        F.col("label").alias("_l")))
+        lab = labels.select(F.col("node").alias("_n"), F.col("code").alias("_c"), F.col("label").alias("_l"))
         d = d.join(lab, (d["node"] == lab["_n"]) & (d["value"] == lab["_c"]), "left") \
              .withColumn("label", F.coalesce("_l", "value")).drop("_n", "_c", "_l")
     else:

@@ -1,7 +1,7 @@
 """Structured Streaming operators (ST1-ST3).
 
-* ``stream_score``: a stream of evidence rows joined to a static posterior
-  table (stream-static equi-join); append mode.
+* ``stream_score``: a stream of evidence rows, each micro-batch scored by the
+  batch operator (any null pattern, any value).
 * ``stream_counts``: CPT counts are additive, so each micro-batch's grouping-set
   counts are appended (idempotently, per batch id) and summed on read.
 * ``stream_windowed_logloss``: per-row log-loss against a fixed model,
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from bnlake.functions.scalar import clip_log
 from bnlake.operators import cpt as cptops
-from bnlake.operators.posterior import clean_evidence
+from bnlake.operators.posterior import posterior_exact
 from bnlake.sources.model_store import scratch_path
 
 
@@ -32,20 +32,27 @@ def _run(query) -> None:
         raise query.exception()
 
 
-def stream_score(spark: SparkSession, source: str, schema, post_table: DataFrame,
-                 ev_vars: list[str], doms, key: str, sink: str | None = None) -> DataFrame:
-    """Score every streamed evidence row against ``post_table`` (ev_vars...,
-    class, class_ord, p).  Returns the sink read back as a batch DataFrame."""
+def stream_score(spark: SparkSession, source: str, schema, spec, factors: dict, doms,
+                 ev_vars: list[str], key: str, sink: str | None = None, max_files: int | None = None) -> DataFrame:
+    """Exact posterior of every streamed evidence row: each micro-batch goes
+    through the batch operator, so rows with unobserved or unknown values are
+    answered like all others.  Returns the sink read back as a batch DataFrame."""
     sink = sink or scratch_path(spark, "stream-score")
-    stream = spark.readStream.schema(schema).parquet(source)
-    ev = clean_evidence(stream.select(key, *ev_vars), ev_vars, doms)
-    cond = [ev[v].eqNullSafe(post_table[v]) for v in ev_vars]
-    scored = ev.join(post_table, cond).select(ev[key].alias(key), "class", "class_ord", "p")
-    q = (scored.writeStream.format("parquet").option("path", f"{sink}/data")
-         .option("checkpointLocation", f"{sink}/_checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        out = posterior_exact(batch.sparkSession, spec, factors, doms, batch, ev_vars, key=key)
+        # overwrite this batch's folder: a retried batch replaces, never doubles
+        out.write.mode("overwrite").parquet(f"{sink}/data/batch_id={batch_id}")
+
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    q = (reader.parquet(source).writeStream.foreachBatch(per_batch)
+         .option("checkpointLocation", f"{sink}/_checkpoint").trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(f"{sink}/data")
+    kind = schema[key].dataType.simpleString()
+    return spark.read.schema(f"{key} {kind}, class string, class_ord int, p double").parquet(f"{sink}/data") \
+        .select(key, "class", "class_ord", "p")
 
 
 def stream_counts(spark: SparkSession, source: str, schema, spec, sink: str | None = None,
@@ -85,8 +92,8 @@ def stream_windowed_logloss(spark: SparkSession, source: str, schema, model: Dat
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(source) \
         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    # the model has one row per label value: broadcast is bounded by that
-    scored = stream.join(F.broadcast(model), label_col, "left") \
+    # one model row per label value; whether that is small is Spark's to measure
+    scored = stream.join(model, label_col, "left") \
                    .withColumn("ll", -clip_log(F.coalesce(F.col("p"), F.lit(0.0))))
     agg = scored.groupBy(F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ll").alias("log_loss"))
@@ -109,7 +116,7 @@ def stream_windowed_logloss(spark: SparkSession, source: str, schema, model: Dat
 def batch_windowed_logloss(events: DataFrame, model: DataFrame, label_col: str,
                            window: str = "1 hour") -> DataFrame:
     """Batch twin of ``stream_windowed_logloss`` (equality check)."""
-    scored = events.join(F.broadcast(model), label_col, "left") \
+    scored = events.join(model, label_col, "left") \
                    .withColumn("ll", -clip_log(F.coalesce(F.col("p"), F.lit(0.0))))
     return scored.groupBy(F.window("ts", window).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ll").alias("log_loss")).select(

@@ -96,3 +96,30 @@ def test_micro_batches_update_windows(spark):
     got = streaming.stream_windowed_logloss(spark, src, spark.read.parquet(src).schema, model,
                                             "event_type", max_files=1)
     assert {r.window_start.hour: r.n for r in got.collect()} == {10: 6, 11: 1, 12: 2}
+
+
+def test_stream_score_answers_every_row(spark, small_df, small_spec):
+    """Rows with unobserved and unknown values are scored like the batch does."""
+    from bnlake.operators import posterior
+    from bnlake.plans.model import FittedNetwork
+    model = FittedNetwork.fit(small_df, small_spec)
+    rows = [(1, "0", "1", "2", "0"), (2, None, "1", None, "0"), (3, "zz", None, "1", "??"), (4, None, None, None, None)]
+    ev = spark.createDataFrame(rows, "id long, a string, b string, c string, d string")
+    src = store.scratch_path(spark, "test-score")
+    ev.repartition(2).write.parquet(src)
+    vs = ["a", "b", "c", "d"]
+    got = streaming.stream_score(spark, src, ev.schema, small_spec, model.factors, model.doms, vs, "id", max_files=1)
+    want = posterior.posterior_exact(spark, small_spec, model.factors, model.doms, ev, vs, key="id")
+    g = {(r.id, r["class"]): round(r.p, 12) for r in got.collect()}
+    assert g == {(r.id, r["class"]): round(r.p, 12) for r in want.collect()} and len({k for k, _ in g}) == 4
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    path = str(tmp_path / "SCDB_2024_01_caseCentered_Citation.csv")
+    with open(path, "w", encoding="latin-1") as f:
+        f.write("caseId,issueArea,term,caseName,chief,minVotes,caseDisposition,case_id\n"
+                "1946-001,8,1946,\"Halli\xe9, x\",Vinson,1.0,3,17\n1946-002,,1947,B,Vinson,x,2,18\n")
+    r = store.scan_cases_csv(spark, path).orderBy("case_id").collect()
+    assert [(x.case_id, x.term, x.issueArea, x.minVotes, x.caseDisposition, x.chief) for x in r] == [
+        (17, 1946, "8", 1, 3, "Vinson"), (18, 1947, None, None, 2, "Vinson")]
+    assert "lawType" not in r[0].asDict()

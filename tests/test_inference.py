@@ -118,20 +118,37 @@ def test_gibbs_converges_to_exact(spark, model):
     assert _tv(exact, g) < 0.05
 
 
-def test_explode_fallback_matches_elimination(spark, model):
+def test_many_null_patterns_in_small_jobs(spark, model, monkeypatch):
     import itertools
-    vals = {"a": ["0", "1", "2", None], "b": ["0", "1", None], "c": ["1", None], "d": ["0", None]}
+    vals = {"a": ["0", "1", "2", None], "b": ["0", "1", None], "c": ["1", None], "d": ["0", None, "no such value"]}
     rows = [(i, *combo) for i, combo in enumerate(itertools.product(*vals.values()))]
     cases = spark.createDataFrame(rows, "id long, a string, b string, c string, d string")
     ev = model.evidence(cases, "all")
-    a = {(r.id, r["class"]): r.p for r in posterior.posterior_exact(
-        spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).collect()}
-    b = {(r.id, r["class"]): r.p for r in posterior.posterior_explode(
-        spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).collect()}
-    assert a.keys() == b.keys()
+
+    def run():
+        return {(r.id, r["class"]): r.p for r in posterior.posterior_exact(
+            spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).collect()}
+
+    a = run()
+    monkeypatch.setattr(posterior, "PLANS_AT_ONCE", 3)
+    b = run()
+    assert len(a) == len(rows) * 3 and a.keys() == b.keys()
     assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_evidence_ids_differ(spark):
+    from bnlake.operators.sampling import evidence_id
+    df = spark.createDataFrame([("x|y", "z"), ("x", "y|z"), ("-", "z"), (None, "z"), ("1:x", "z")], "a string, b string")
+    assert df.select(evidence_id(["a", "b"]).alias("i")).distinct().count() == 5
+
+
+def test_codes_as_doubles_and_ints_are_one_value(spark, small_spec):
+    from bnlake.operators import prep
+    df = spark.createDataFrame([(1, 1.0, 2.0, "3.0", 4, 5.5)], "id long, a double, b double, c string, d int, y double")
+    r = prep.rename_nodes(df, small_spec).first()
+    assert (r.a, r.b, r.c, r.d, r.y) == ("1", "2", "3", "4", "5.5")
+
+
 def test_rejection_without_accepted_samples_is_uniform(spark, model):
     """No sample matches the evidence -> uniform over the query's domain."""
     cases = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(

@@ -67,3 +67,16 @@ def test_dense_index_across_buckets(spark, monkeypatch):
     df = spark.createDataFrame([(k,) for k in keys], "case_id long")
     got = {r.case_id: r.idx for r in bootstrap.dense_index(df, "case_id").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+
+
+def test_dates_and_text_keys(spark):
+    import datetime as dt
+    from bnlake.operators import split
+    rows = [(f"1946-{i:03d}", dt.date(2000, 1, 1) + dt.timedelta(days=i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "case_id string, dateDecision date")
+    got = split.split_chrono(df, "term", "case_id").collect()       # no term: by the date
+    assert {r.case_id for r in got if r.is_train} == {f"1946-{i:03d}" for i in range(40)}
+    assert sum(r.is_train for r in split.split_random(df, "case_id").collect()) == 40
+    assert sorted(r["count"] for r in split.kfold_assign(df, 5, "case_id").groupBy("fold").count().collect()) == [10] * 5
+    text = spark.createDataFrame([(i, f"{1990 + i}") for i in range(10)], "case_id long, term string")
+    assert {r.case_id for r in split.split_chrono(text).collect() if r.is_train} == set(range(8))

@@ -34,9 +34,12 @@ def test_g_test_dof_and_p(spark):
 
 
 def test_cycle_check():
-    g = {"a": [], "b": ["a"], "c": ["b"]}
-    assert structure.creates_cycle(g, "c", "a")
-    assert not structure.creates_cycle(g, "a", "c")
+    g = structure.Dag(["a", "b", "c"], {"b": ("a",), "c": ("b",)})
+    assert not g.admits("c", "a")
+    assert g.admits("a", "c")
+    # a -> b and a -> c -> b: turning a -> b round would close a cycle
+    g = structure.Dag(["a", "b", "c"], {"b": ("a", "c"), "c": ("a",)})
+    assert not any(m.kind == "reverse" and m.source == "a" and m.target == "b" for m in g.moves(4))
 
 
 def test_search_finds_link_and_respects_cap(spark):
