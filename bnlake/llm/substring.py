@@ -149,9 +149,16 @@ def _suspects(window: int, gram: int):
             if not len(key):
                 continue
             at, begin = _grouped(key, (doc, start))
+            key, doc, start = key[at], doc[at], start[at]
+            # the block's earliest in columns, the others in a list; most have none
+            others = np.ones(len(key), bool)
+            others[begin] = False
+            more = np.diff(np.append(begin, len(key))) - 1
+            places = pa.StructArray.from_arrays([pa.array(doc[others]), pa.array(start[others])], ["d", "s"])
+            ends = pa.array(np.concatenate(([0], np.cumsum(more))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at][begin].view(np.int64)), list_column(doc[at], begin), list_column(start[at], begin)],
-                ["w", "docs", "starts"])
+                [pa.array(key[begin].view(np.int64)), pa.array(doc[begin]), pa.array(start[begin]),
+                 pa.ListArray.from_arrays(ends, places, mask=pa.array(more == 0))], ["w", "d", "s", "more"])
 
     return run
 
@@ -206,13 +213,13 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 6, carry: tu
     hits = (counted.withColumn("total", total).filter("total > 1").select(F.explode("docs").alias("__doc"), "h")
             .groupBy("__doc").agg(F.collect_list("h").alias("hits")))
     suspects = base.join(hits, base["__id"] == hits["__doc"], "left").select("__id", "text", "hits").mapInArrow(
-        _suspects(window, gram), "w long, docs array<long>, starts array<int>")
-    # in each list the first is the block's earliest; only it can be the first of all
-    at = F.struct(F.col("docs")[0].alias("d"), F.col("starts")[0].alias("s"))
-    later = suspects.withColumn("head", at).withColumn("first", F.min("head").over(Window.partitionBy("w")))
-    pairs = F.arrays_zip(F.col("docs").alias("d"), F.col("starts").alias("s"))
-    gone = (later.select(F.filter(pairs, lambda p: (p["d"] != F.col("first.d")) | (p["s"] != F.col("first.s"))).alias("p"))
-            .select(F.explode("p").alias("p")).groupBy(F.col("p.d").alias("__doc")).agg(F.collect_list("p.s").alias("starts")))
+        _suspects(window, gram), "w long, d long, s int, more array<struct<d: long, s: int>>")
+    # only a block's earliest can be the earliest of all
+    head = F.struct("d", "s")
+    judged = suspects.withColumn("first", F.min(head).over(Window.partitionBy("w"))).filter("more is not null or d <> first.d or s <> first.s")
+    places = F.concat(F.array(head), F.coalesce("more", F.array().cast("array<struct<d: bigint, s: int>>")))
+    gone = (judged.select(F.explode(F.filter(places, lambda p: (p["d"] != F.col("first.d")) | (p["s"] != F.col("first.s")))).alias("p"))
+            .groupBy(F.col("p.d").alias("__doc")).agg(F.collect_list("p.s").alias("starts")))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("__id"), "text", *[F.col(c) for c in carry])
     out = rows.join(gone, rows["__id"] == gone["__doc"], "left").select("__id", "text", "starts", *carry).mapInArrow(
