@@ -3,8 +3,8 @@ zstandard dictionary for each language, and the smallest result wins.
 
 The dictionaries are learned from a bounded sample of labelled rows: of each
 language the ``sample_rows`` documents with the smallest id hash in as many hash
-buckets, of each an excerpt of ``sample_words`` words at a place that the hash
-chooses. At most ``max_langs`` languages are learned, the most frequent ones.
+buckets, of each an excerpt of ``sample_words`` words, or ``sample_chars``
+characters if that is less, at a place that the hash chooses. At most ``max_langs`` languages are learned, the most frequent ones.
 Predictions read the text alone, always whole; before compressing, letters are
 lower-cased and everything else becomes one space.
 
@@ -47,7 +47,8 @@ def normal(text: str | None) -> str:
     return joined if any(c.isalpha() for c in joined) else ""
 
 
-def learn(rows: DataFrame, sample_rows: int = 512, sample_words: int = 60, max_langs: int = 256) -> dict[str, bytes]:
+def learn(rows: DataFrame, sample_rows: int = 512, sample_words: int = 60, sample_chars: int = 1000,
+          max_langs: int = 256) -> dict[str, bytes]:
     """Dictionary of each language from rows (doc_id, text, lang); at most
     max_langs * sample_rows excerpts reach the driver."""
     known = rows.filter("doc_id is not null and lang is not null").select(
@@ -58,7 +59,7 @@ def learn(rows: DataFrame, sample_rows: int = 512, sample_words: int = 60, max_l
     chosen = least.filter(F.col("lang").isin(langs)).select("lang", "hash") if langs else least.limit(0).select("lang", "hash")
     w = words(F.col("text"))
     span = F.greatest(F.size("w") - sample_words, F.lit(0)) + 1
-    excerpt = F.array_join(F.slice("w", (F.pmod("hash", span) + 1).cast("int"), sample_words), " ")
+    excerpt = F.substring(F.array_join(F.slice("w", (F.pmod("hash", span) + 1).cast("int"), sample_words), " "), 1, sample_chars)
     # the chosen rows are at most max_langs * sample_rows
     got = known.join(F.broadcast(chosen), ["lang", "hash"]).select("lang", "hash", w.alias("w")).select(
         "lang", "hash", excerpt.alias("text")).distinct().collect()
