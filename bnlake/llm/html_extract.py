@@ -22,7 +22,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -69,10 +69,13 @@ class Weights:
 
 
 class Element:
+    """An open element; hint is its own or else that of the nearest one around it."""
+
     __slots__ = ("depth", "hint", "name", "parent")
 
     def __init__(self, name: str, parent: Element | None, hint: int):
-        self.name, self.parent, self.hint = name, parent, hint
+        self.name, self.parent = name, parent
+        self.hint = hint or (parent.hint if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -102,6 +105,15 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     """Blocks of the page that have text, in page order."""
     top = Element("#page", None, 0)
     now, block, links = top, Block(top, ""), 0
+    known: Counter[str] = Counter()  # open elements by name, so that no walk is in vain
+
+    def close(found: Element) -> Element:
+        e = now
+        while e is not found.parent:
+            known[e.name] -= 1
+            e = e.parent
+        return e
+
     out, at, size = [], 0, len(page)
     while at < size:
         m = OPEN.search(page, at)
@@ -137,20 +149,20 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             block.parts.append(" ")
         if name not in BLOCK:
             hint = 0 if closing or name in VOID or not page[m.end():end - 1].strip() else _hint(name, page[m.end():end])
-            if hint >= 0 and not (closing and _opened(now, name)):
+            if hint >= 0 and not (closing and known[name]):
                 continue  # inline elements matter only if their names hint at boilerplate
         out.append(block)
         if closing:
-            found = _opened(now, name)
-            if found:
-                now = found.parent
+            if known[name]:
+                now = close(_opened(now, name))
         else:
-            if name in CLOSES_P and (p := _opened(now, "p", stop="button td th")):
-                now = p.parent
+            if name in CLOSES_P and known["p"] and (p := _opened(now, "p", stop="button td th")):
+                now = close(p)
             if name in ("li", "dd", "dt", "option", "tr", "td", "th") and now.name == name:
-                now = now.parent
+                now = close(now)
             if name != "hr" and name not in VOID:
                 now = Element(name, now, _hint(name, page[m.end():end]))
+                known[name] += 1
         block = Block(now, now.name)
         if name not in ("b", "i", "em", "strong", "span"):
             links = links if name == "a" else 0
@@ -179,10 +191,7 @@ def _opened(at: Element, name: str, stop: str = "") -> Element | None:
 
 def score(b: Block, text: str, w: Weights) -> float:
     """Log-odds that the block is content."""
-    e: Element | None = b.at
-    while e and not e.hint:
-        e = e.parent
-    z = w.none if not e else w.good if e.hint > 0 else w.bad
+    z = w.none if not b.at.hint else w.good if b.at.hint > 0 else w.bad
     z += w.links * min(1.0, b.linked / len(text))
     z += w.length * min(3.0, math.log10(len(text) + 1) - 1.5)
     z += w.stop if text[-1] in ".!?:;\"”»…" else 0.0
