@@ -156,9 +156,11 @@ def _suspects(window: int, gram: int):
             more = np.diff(np.append(begin, len(key))) - 1
             places = pa.StructArray.from_arrays([pa.array(doc[others]), pa.array(start[others])], ["d", "s"])
             ends = pa.array(np.concatenate(([0], np.cumsum(more))), pa.int32())
-            yield pa.RecordBatch.from_arrays(
+            found = pa.RecordBatch.from_arrays(
                 [pa.array(key[begin].view(np.int64)), pa.array(doc[begin]), pa.array(start[begin]),
                  pa.ListArray.from_arrays(ends, places, mask=pa.array(more == 0))], ["w", "d", "s", "more"])
+            # in the order of the texts, documents and starts shuffle in fewer bytes
+            yield found.take(pa.array(np.argsort(at[begin], kind="stable")))
 
     return run
 

@@ -83,6 +83,24 @@ def q_drop_sparse_rows(spark, sf):
     return prep.drop_sparse_rows(prep.derive_flag(pipeline(spark, sf).raw), SPEC)
 
 
+FEATURES = [n.column for n in SPEC.nodes if n.name != SPEC.target]
+
+
+def _gap_rule(i: int) -> str:
+    """Cases of every third key lose a feature in each second place or so."""
+    return f"({KEY} % 3 = 0 AND ({KEY} + {7 * i}) % 5 < 3)"
+
+
+@register("drop_sparse_rows_gaps", sql(O.base()[:2] + [
+    f"gappy AS (SELECT {KEY}, " + ", ".join(f"CASE WHEN NOT {_gap_rule(i)} THEN {c} END AS {c}" for i, c in enumerate(FEATURES)) + " FROM derived)"],
+    f"SELECT {KEY} FROM gappy WHERE CAST(" + " + ".join(f"CAST({c} IS NULL AS INTEGER)" for c in FEATURES) + f" AS DOUBLE) / {len(FEATURES)}.0 <= 0.5"))
+def q_drop_sparse_gaps(spark, sf):
+    """P4 on cases that lose features by a rule, so that rows are dropped."""
+    df = prep.derive_flag(pipeline(spark, sf).raw)
+    gappy = df.select(KEY, *[F.when(~F.expr(_gap_rule(i)), F.col(c)).alias(c) for i, c in enumerate(FEATURES)])
+    return prep.drop_sparse_rows(gappy, SPEC).select(KEY)
+
+
 @register("prepare_cases", sql(O.base(), f"SELECT {RAW_COLS}, voteSplit FROM prepared"))
 def q_prepare_cases(spark, sf):
     return pipeline(spark, sf).cases
@@ -122,6 +140,12 @@ def q_rare_categories(spark, sf):
     return prep.rare_categories(pipeline(spark, sf).cases, SPEC, 5)
 
 
+@register("rare_categories_common", _rare_sql(O, "prepared", 4000))
+def q_rare_categories_common(spark, sf):
+    """A2 with a bound that some values of this table fall under."""
+    return prep.rare_categories(pipeline(spark, sf).cases, SPEC, 4000)
+
+
 @register("rare_categories_docs", _rare_sql(DOCS, "prepared"))
 def q_rare_categories_docs(spark, sf):
     p = pipeline(spark, sf, "docs")
@@ -877,6 +901,24 @@ def q_edge_diff(spark, sf):
                                 struct_ops.edge_frame(spark, res["graph"]))
 
 
+def _edge_diff_sql() -> str:
+    hand = ", ".join(f"({sq(p)}, {sq(c)})" for c, ps in HAND.items() for p in ps)
+    return sql(_cont_sql() + [
+        f"hand(parent, child) AS (VALUES {hand})",
+        f"dep AS (SELECT var_a AS parent, var_b AS child FROM ({_top_sql('deviation', 0.01, 20)}))"], """
+      SELECT *, 'only_handcrafted' AS "where" FROM (SELECT * FROM hand EXCEPT SELECT * FROM dep)
+      UNION ALL SELECT *, 'only_learned' FROM (SELECT * FROM dep EXCEPT SELECT * FROM hand)
+      UNION ALL SELECT *, 'both' FROM (SELECT * FROM hand INTERSECT SELECT * FROM dep)""")
+
+
+@register("edge_diff_dependencies", _edge_diff_sql())
+def q_edge_diff_dependencies(spark, sf):
+    """SET1: the hand-made edges against the table's strongest dependencies."""
+    dep = assoc.top_dependencies(_stats(spark, sf), VARS, "deviation", 0.01, 20)
+    return struct_ops.edge_diff(struct_ops.edge_frame(spark, HAND),
+                                dep.select(F.col("var_a").alias("parent"), F.col("var_b").alias("child")))
+
+
 @register("compare_structures")
 def q_compare_structures(spark, sf):
     """Hand-made vs learned: train BIC, test-fit log-likelihood, edges."""
