@@ -32,7 +32,7 @@ REPEAT = 5
 class LineLimits:
     min_texts: int = 20
     min_share: float = 0.01
-    max_removed: float = 0.5
+    max_removed: float = 0.75
 
 
 def _text(c: Column) -> Column:

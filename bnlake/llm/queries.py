@@ -156,8 +156,8 @@ m AS (
   FROM d LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_line_words > 0.5 * n_words) AS kept,
-       n_line_words, n_line_words > 0.5 * n_words AS depleted FROM m""",
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_line_words > 0.75 * n_words) AS kept,
+       n_line_words, n_line_words > 0.75 * n_words AS depleted FROM m""",
     "op5_url_filter": rf"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
