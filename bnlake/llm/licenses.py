@@ -2,20 +2,25 @@
 nearest ancestor directory by path joins. DataFrame functions only.
 
 A file's units are its lines (headers) and, if its name is that of a licence
-file, also its whole text. A unit's licence is the template with the largest
-cosine, if that is at least ``threshold``. A term weighs its count times
+file, also its whole text. With ``runs``, runs of neighbouring lines are headers
+too: from each line on, as many terms as a template has. For templates of more
+than ``LONG`` terms a run begins at the first line or after a line without terms.
+A unit's licence is that of the template with the largest cosine, if that is at
+least ``threshold``. A term weighs its count times
 idf = ln((1 + N) / (1 + df)) + 1, with df counted over all N files; terms that
 no template has count in the length of a unit as if df were 1.
 
 Units are found by prefix filtering, which loses none: a cosine of ``threshold``
-needs one of the template's heaviest terms, those left when the lightest with
-less than threshold^2 of its squared length are set aside.
+needs one of the template's rarest terms, those left when the commonest with
+less than threshold^2 of its squared length are set aside, and a file whose
+terms cover threshold^2 of the template's squared length.
 
 A file's own licence is its best unit's. A licence file with a licence gives it
 to its directory; files without their own take that of the nearest directory
 above them that has one.
 
-The templates are a parameter; their terms (``max_terms`` at most) are the only
+The templates are a parameter, several for a licence if need be (default:
+``licence_library``); their terms (``max_terms`` at most) are the only
 thing that reaches the driver. Null text has no units, null path no directory;
 ties go to the smaller licence name. Rows that repeat a path are files of their
 own. Extra columns are ignored.
@@ -28,12 +33,13 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bnlake.llm.common import staged
+from bnlake.llm.licence_library import library
 
-# Short public licence statements.
+# Short public licence statements; those that the SQL knows.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -46,6 +52,8 @@ TEMPLATES = (
 )
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 WORD_GAP = "[^a-z0-9]+"
+#: Templates of more terms are looked for from the first line of a paragraph on.
+LONG = 400
 
 
 def terms(text: Column) -> Column:
@@ -56,6 +64,11 @@ def _terms(text: str) -> list[str]:
     return [t for t in re.split(WORD_GAP, text.lower()) if t]
 
 
+def _in(words: Sequence[str]) -> str:
+    """SQL list of terms, parsed at once; as a column each would be a call to the JVM."""
+    return ", ".join(f"'{t}'" for t in words) or "null"
+
+
 def directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
@@ -70,67 +83,97 @@ def ancestors(folder: Column) -> Column:
 
 def term_weights(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
     """idf of the templates' terms over all files, and that of unknown terms."""
-    found = files.select(F.explode(F.array_distinct(F.filter(terms(F.col("text")), lambda t: t.isin(vocabulary)))).alias("t"))
+    found = files.select(terms(F.col("text")).alias("w")).select(F.explode(F.array_distinct(F.expr(f"filter(w, t -> t IN ({_in(vocabulary)}))"))).alias("t"))
     df = {r["t"]: r["n"] for r in found.groupBy("t").agg(F.count("*").alias("n")).collect()}
     n = files.count()
     idf = lambda d: math.log((1 + n) / (1 + d)) + 1
     return {t: idf(df.get(t, 0)) for t in vocabulary}, idf(min(1, n))
 
 
-def template_vectors(templates: Sequence[tuple[str, str]], idf: dict[str, float]) -> dict[str, dict[str, float]]:
-    """Unit vectors."""
-    out = {}
-    for name, text in templates:
+def template_vectors(templates: Sequence[tuple[str, str]], idf: dict[str, float]) -> list[dict[str, float]]:
+    """Unit vectors, one for each template."""
+    out = []
+    for _, text in templates:
         v = {t: c * idf[t] for t, c in Counter(_terms(text)).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
-        out[name] = {t: x / size for t, x in v.items()}
+        out.append({t: x / size for t, x in v.items()})
     return out
 
 
-def needed_terms(vector: dict[str, float], threshold: float) -> list[str]:
-    """The heavy terms of which a unit at the threshold has at least one."""
-    light = 0.0
+def needed_terms(vector: dict[str, float], threshold: float, idf: dict[str, float]) -> list[str]:
+    """The rarest terms of which a unit at the threshold has at least one."""
+    common = 0.0
     out = []
-    for t, x in sorted(vector.items(), key=lambda p: (p[1], p[0])):
-        light += x * x
-        if light >= threshold * threshold - 1e-9:
+    for t, x in sorted(vector.items(), key=lambda p: (idf[p[0]], p[0])):
+        common += x * x
+        if common >= threshold * threshold - 1e-9:
             out.append(t)
     return out
 
 
-def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
-         max_terms: int = 50_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def header_runs(lines: DataFrame, whole: DataFrame, pairs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(file, unit, w): runs of neighbouring lines as long as a template that the file may hold.
+    lines: (file, at, n) with the number of terms of every line; whole: (file, w);
+    pairs: (file, template); lengths: (template, terms, needed)."""
+    by = Window.partitionBy("file").orderBy("at")
+    placed = lines.withColumn("begin", F.sum("n").over(by) - F.col("n")).withColumn(
+        "opens", F.coalesce(F.lag("n").over(by), F.lit(0)) == 0).filter("n > 0")
+    wanted = pairs.join(lengths, "template").groupBy("file", "terms").agg(F.array_distinct(F.flatten(F.collect_list("needed"))).alias("needed"))
+    starts = placed.join(wanted, "file").filter((F.col("n") < F.col("terms")) & ((F.col("terms") <= LONG) | F.col("opens")))
+    cut = starts.join(whole, "file").select(
+        "file", F.struct(F.lit(0).alias("whole"), "at", "terms").alias("unit"), "needed",
+        F.slice("w", (F.col("begin") + 1).cast("int"), F.col("terms")).alias("w"))
+    return cut.filter(F.arrays_overlap("w", "needed")).select("file", "unit", "w")
+
+
+def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, threshold: float = 0.8,
+         max_terms: int = 50_000, keep: tuple[str, ...] = (), runs: bool = False) -> DataFrame:
     """(path, kept columns, licence, how, score) for each row of files (path,
     text): how is header, file, inherited or null."""
+    if templates is None:
+        templates = library(TEMPLATES)
     vocabulary = sorted({t for _, text in templates for t in _terms(text)})
     if not vocabulary or len(vocabulary) > max_terms:
         raise ValueError("templates need at least one term, and at most max_terms different ones")
     idf, unknown = term_weights(files, vocabulary)
     vectors = template_vectors(templates, idf)
-    needed = sorted({t for v in vectors.values() for t in needed_terms(v, threshold)})
+    needs = [needed_terms(v, threshold, idf) for v in vectors]
+    needed = sorted({t for n in needs for t in n})
     spark = files.sparkSession
     # at most max_terms rows each, and templates times their terms
     weights = F.broadcast(spark.createDataFrame([(t, float(x)) for t, x in sorted(idf.items())], "term string, idf double"))
-    sides = F.broadcast(spark.createDataFrame([(t, n, float(x)) for n, v in sorted(vectors.items()) for t, x in sorted(v.items())],
-                                              "term string, licence string, w double"))
+    sides = F.broadcast(spark.createDataFrame(
+        [(t, i, templates[i][0], float(x)) for i, v in enumerate(vectors) for t, x in sorted(v.items())],
+        "term string, template int, licence string, w double"))
+    lengths = F.broadcast(spark.createDataFrame([(i, len(_terms(text)), needs[i]) for i, (_, text) in enumerate(templates)],
+                                                "template int, terms int, needed array<string>"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     file_key = F.struct(F.col("path").alias("path"), F.xxhash64("text").alias("th"))
-    text = F.coalesce("text", F.lit(""))
-    has = lambda w: F.exists(w, lambda t: t.isin(needed))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("unit"), terms(x).alias("w"))), lambda u: has(u["w"]))
-    whole = F.when(named, F.filter(F.array(F.struct(F.lit(-1).alias("unit"), terms(text).alias("w"))), lambda u: has(u["w"]))).otherwise(
-        F.array().cast("array<struct<unit:int,w:array<string>>>"))
-    units = files.select(file_key.alias("file"), F.explode(F.concat(lines, whole)).alias("u")).select("file", "u.unit", "u.w").distinct()
+    has = F.expr(f"exists(w, t -> t IN ({_in(needed)}))")
+    texts = files.select(file_key.alias("file"), named.alias("named"), F.coalesce("text", F.lit("")).alias("text"))
+    some = texts.withColumn("w", terms(F.col("text"))).filter(has).select("file", "named", "text", "w")
+    # a cosine is at most the length of the template's part that the file has terms of
+    held = some.select("file", F.explode(F.array_distinct(F.expr(f"filter(w, t -> t IN ({_in(vocabulary)}))"))).alias("term")).distinct()
+    pairs = held.join(sides, "term").groupBy("file", "template").agg(F.sum(F.col("w") * F.col("w")).alias("part")).filter(
+        F.col("part") >= threshold * threshold - 1e-6).select("file", "template")
+    pairs = staged(pairs, "licence-pairs")
+    may = staged(some.join(pairs.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"]), "licence-files")
+    lines = may.select("file", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("file", "at", terms(F.col("line")).alias("w"))
+    single = lines.filter(has).select("file", F.struct(F.lit(0).alias("whole"), "at", F.lit(0).alias("terms")).alias("unit"), "w")
+    units = single.unionByName(may.filter("named").select(
+        "file", F.struct(F.lit(1).alias("whole"), F.lit(0).alias("at"), F.lit(0).alias("terms")).alias("unit"), "w"))
+    if runs:
+        units = units.unionByName(header_runs(lines.select("file", "at", F.size("w").alias("n")), may.select("file", "w"), pairs, lengths))
     counted = units.select("file", "unit", F.explode("w").alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
     weighed = counted.join(weights, "term", "left").select("file", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x"))
     size = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(sides, "term").groupBy("file", "unit", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(sides, "term").groupBy("file", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(size, ["file", "unit"]).select("file", "unit", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
     # the best of a file: largest score, then the smaller name, then a header before the whole text
-    order = F.struct((-F.col("score")).alias("s"), "licence", (F.col("unit") < 0).alias("whole"))
+    order = F.struct((-F.col("score")).alias("s"), "licence", F.col("unit.whole").alias("whole"))
     own = staged(scored.filter(F.col("score") >= threshold).groupBy("file").agg(F.min(order).alias("b")).select(
         F.col("file.path").alias("fp"), F.col("file.th").alias("fth"), F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"),
-        F.when(F.col("b.whole"), "file").otherwise("header").alias("own_how")), "licences")
+        F.when(F.col("b.whole") == 1, "file").otherwise("header").alias("own_how")), "licences")
     dirs = own.filter(F.col("fp").rlike(LICENCE_FILE)).groupBy(directory(F.col("fp")).alias("dir")).agg(
         F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("licence"))).alias("b")).select("dir", "b.licence", (-F.col("b.s")).alias("dscore"))
     # directories once each, so that a directory of many files joins as one row

@@ -95,7 +95,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(document_files(table(spark, sf_dir, "documents")), keep=("doc_id",))
+    found = licenses.scan(document_files(table(spark, sf_dir, "documents")), keep=("doc_id",), runs=True)
     return found.select("doc_id", "path", "licence", "how", "score")
 
 

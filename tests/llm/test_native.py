@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from bnlake.llm import decontam, licenses, quality
+from bnlake.llm.licence_library import HEADERS, full_texts
 
 LIMITS = quality.LineLimits(min_texts=3, min_share=0.0, max_removed=0.5)
 
@@ -146,3 +147,20 @@ def test_whole_licence_file(spark):
     df = spark.createDataFrame([("p/LICENSE", text), ("p/x.py", text)], "path string, text string")
     got = {r.path: (r.licence, r.how) for r in licenses.scan(df).collect()}
     assert got == {"p/LICENSE": ("Apache-2.0", "file"), "p/x.py": ("Apache-2.0", "inherited")}
+
+
+def test_real_licence_files_and_headers(spark):
+    full = dict(full_texts())
+    mit = "Copyright (c) 2021 Some One\n\n" + full["MIT"]
+    apache = next(t for n, t in HEADERS if n == "Apache-2.0")
+    header = "\n".join(f"# {x}" for x in ["Copyright 2020 Some Authors", "", *apache.split("\n")]) + "\nimport os\nprint(os.sep)"
+    gnu = next(t for n, t in licenses.library(()) if n == "GPL-2.0" and "either version 2 " in t)
+    files = [("a/LICENSE", mit), ("b/LICENSE.txt", "Copyright Some One. All rights reserved.\n" + full["BSD-3-Clause"]), ("c/COPYING", full["GPL-3.0"]),
+             ("d/LICENSE", full["Apache-2.0"]), ("e/x.py", header), ("f/y.c", "/*\n" + gnu.replace("\n", "\n * ") + "\n */\nint a;"),
+             ("g/z.txt", "some words\nLicensed under CC BY-NC 4.0.\nother words"), ("h/w.js", "// SPDX-License-Identifier: MPL-2.0\nlet a"),
+             ("i/v.c", "\n".join(["int a;", *mit.split("\n"), "int b;"])), ("j/u.c", "int a;\nint b;")]
+    got = {r.path: (r.licence, r.how) for r in licenses.scan(spark.createDataFrame(files, "path string, text string"), runs=True).collect()}
+    assert {p: x for p, (x, _) in got.items()} == {
+        "a/LICENSE": "MIT", "b/LICENSE.txt": "BSD-3-Clause", "c/COPYING": "GPL-3.0", "d/LICENSE": "Apache-2.0", "e/x.py": "Apache-2.0", "f/y.c": "GPL-2.0",
+        "g/z.txt": "CC-BY-NC-4.0", "h/w.js": "MPL-2.0", "i/v.c": "MIT", "j/u.c": None}
+    assert {got[p][1] for p in ("e/x.py", "f/y.c", "g/z.txt", "i/v.c")} == {"header"}
