@@ -7,8 +7,8 @@ too: from each line on, as many terms as a template has. For templates of more
 than ``LONG`` terms a run begins at the first line or after a line without terms.
 A unit's licence is that of the template with the largest cosine, if that is at
 least ``threshold``. A term weighs its count times
-idf = ln((1 + N) / (1 + df)) + 1, with df counted over all N files; terms that
-no template has count in the length of a unit as if df were 1.
+idf = ln((1 + N) / (1 + df)) + 1, with df counted over all N files for
+every term, whether a template has it or not.
 
 Units are found by prefix filtering, which loses none: a cosine of ``threshold``
 needs one of the template's rarest terms, those left when the commonest with
@@ -81,13 +81,16 @@ def ancestors(folder: Column) -> Column:
             F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("dir"), i.alias("depth")))))
 
 
-def term_weights(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:
-    """idf of the templates' terms over all files, and that of unknown terms."""
-    found = files.select(terms(F.col("text")).alias("w")).select(F.explode(F.array_distinct(F.expr(f"filter(w, t -> t IN ({_in(vocabulary)}))"))).alias("t"))
-    df = {r["t"]: r["n"] for r in found.groupBy("t").agg(F.count("*").alias("n")).collect()}
-    n = files.count()
-    idf = lambda d: math.log((1 + n) / (1 + d)) + 1
-    return {t: idf(df.get(t, 0)) for t in vocabulary}, idf(min(1, n))
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(term, df): in how many files each term occurs, as a stored table."""
+    found = files.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    return staged(found.groupBy("term").agg(F.count("*").alias("df")), "licence-df")
+
+
+def template_idf(df: DataFrame, n: int, vocabulary: list[str]) -> dict[str, float]:
+    """idf of the templates' terms over n files; at most as many rows reach the driver."""
+    known = {r["term"]: r["df"] for r in df.filter(F.expr(f"term IN ({_in(vocabulary)})")).collect()}
+    return {t: math.log((1 + n) / (1 + known.get(t, 0))) + 1 for t in vocabulary}
 
 
 def template_vectors(templates: Sequence[tuple[str, str]], idf: dict[str, float]) -> list[dict[str, float]]:
@@ -135,13 +138,14 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     vocabulary = sorted({t for _, text in templates for t in _terms(text)})
     if not vocabulary or len(vocabulary) > max_terms:
         raise ValueError("templates need at least one term, and at most max_terms different ones")
-    idf, unknown = term_weights(files, vocabulary)
+    n = files.count()
+    df = document_frequencies(files)
+    idf = template_idf(df, n, vocabulary)
     vectors = template_vectors(templates, idf)
     needs = [needed_terms(v, threshold, idf) for v in vectors]
     needed = sorted({t for n in needs for t in n})
     spark = files.sparkSession
-    # at most max_terms rows each, and templates times their terms
-    weights = F.broadcast(spark.createDataFrame([(t, float(x)) for t, x in sorted(idf.items())], "term string, idf double"))
+    # templates times their terms
     sides = F.broadcast(spark.createDataFrame(
         [(t, i, templates[i][0], float(x)) for i, v in enumerate(vectors) for t, x in sorted(v.items())],
         "term string, template int, licence string, w double"))
@@ -165,7 +169,9 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     if runs:
         units = units.unionByName(header_runs(lines.select("file", "at", F.size("w").alias("n")), may.select("file", "w"), pairs, lengths))
     counted = units.select("file", "unit", F.explode("w").alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
-    weighed = counted.join(weights, "term", "left").select("file", "unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x"))
+    # every term of a unit is in a file, so none is lost
+    used = df.join(counted.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = counted.join(used, "term").select("file", "unit", "term", (F.col("tf") * F.col("idf")).alias("x"))
     size = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dots = weighed.join(sides, "term").groupBy("file", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(size, ["file", "unit"]).select("file", "unit", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("score"))

@@ -1,5 +1,6 @@
 """Quality rules, licence scans and decontamination: edges, and agreement with plain Python."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -164,3 +165,14 @@ def test_real_licence_files_and_headers(spark):
         "a/LICENSE": "MIT", "b/LICENSE.txt": "BSD-3-Clause", "c/COPYING": "GPL-3.0", "d/LICENSE": "Apache-2.0", "e/x.py": "Apache-2.0", "f/y.c": "GPL-2.0",
         "g/z.txt": "CC-BY-NC-4.0", "h/w.js": "MPL-2.0", "i/v.c": "MIT", "j/u.c": None}
     assert {got[p][1] for p in ("e/x.py", "f/y.c", "g/z.txt", "i/v.c")} == {"header"}
+
+
+def test_common_words_weigh_little(spark):
+    line = "Released under the MIT License. en"
+    files = [(f"d/{i}.txt", "en and on be") for i in range(300)] + [(f"m/{i}.txt", "Released under the MIT License.") for i in range(3)]
+    df = spark.createDataFrame([*files, ("x.txt", line)], "path string, text string")
+    row = licenses.scan(df, templates=licenses.TEMPLATES).filter("path = 'x.txt'").first()
+    # by hand: N 304, df of en 301, of the line's other terms 4
+    rare, often = math.log(305 / 5) + 1, math.log(305 / 302) + 1
+    assert (row.licence, row.how) == ("MIT", "header")
+    assert abs(row.score - (5 * rare * rare) / (math.sqrt(5) * rare * math.sqrt(5 * rare * rare + often * often))) < 1e-5
