@@ -39,7 +39,9 @@ BLOCK = frozenset("""address article aside blockquote body button caption center
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup
 option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"button", "body", "html", "head", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 # Names that hint at boilerplate or content, as elements or in class, id and role.
@@ -119,6 +121,10 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         m = OPEN.search(page, at)
         text = page[at:m.start() if m else size]
         if text:
+            if now.name == "head" and not text.isspace():
+                out.append(block)
+                now = close(now)
+                block = Block(now, now.name)
             block.parts.append(text)
             if links:
                 block.linked += len(text)
@@ -139,10 +145,22 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         closing = bool(m[2])
         if name == "a":
             links = 0 if closing else 1
+        if not closing and known["head"] and name not in HEAD:
+            out.append(block)
+            now = close(_opened(now, "head"))
+            block = Block(now, now.name)
+        if not closing and name == "svg" and page[m.end():end - 1].endswith("/"):
+            continue
         if not closing and name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else size
-            if name in ("textarea", "iframe", "object"):
+            if name == "xmp":  # shown as it is, tags and entities too
+                out.append(block)
+                block = Block(now, now.name)
+                block.parts.append(page[end:stop.start() if stop else size].replace("&", "&amp;"))
+                out.append(block)
+                block = Block(now, now.name)
+            if name in ("textarea", "iframe"):
                 block.parts.append(" ")
             continue
         if name == "br":

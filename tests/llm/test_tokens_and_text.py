@@ -233,3 +233,22 @@ def test_pack_shares_turns(spark):
     third = p.nodes[2]
     assert third["parent"] == 0 and third["attends"] == [{"from": 0, "to": first}, {"from": third["begin"], "to": third["end"]}]
     assert p.positions[third["begin"]] == first and p.positions[p.nodes[1]["begin"]] == first
+
+
+ARTICLE = "This is a long enough sentence of an article, with a stop."
+
+
+@pytest.mark.parametrize("empty", ["<svg/>", "<math/>", '<svg class="x" />'])
+def test_self_closed_elements_hide_nothing(empty):
+    assert html_extract.extract(f"<article><p>{empty}{ARTICLE}</p><p>{ARTICLE}</p></article>") == f"{ARTICLE}\n{ARTICLE}"
+
+
+@pytest.mark.parametrize("opens", ["<body>", "<div>", ""])
+def test_end_tag_of_head_may_be_left_out(opens):
+    assert html_extract.extract(f"<html><head><title>T</title><meta name='a'>{opens}<p>{ARTICLE}</p>") == ARTICLE
+
+
+def test_text_of_math_noscript_object_and_xmp_is_kept():
+    for tag in ("math", "noscript", "object"):
+        assert html_extract.extract(f"<article><p>A <{tag}>b c</{tag}> d. {ARTICLE}</p></article>") == f"A b c d. {ARTICLE}"
+    assert html_extract.extract(f"<article><p>{ARTICLE}</p><xmp><b>{ARTICLE}</b> &amp;</xmp></article>") == f"{ARTICLE}\n<b>{ARTICLE}</b> &amp;"
