@@ -4,7 +4,8 @@ zstandard dictionary for each language, and the smallest result wins.
 The dictionaries are learned from a bounded sample of labelled rows: of each
 language the ``sample_rows`` documents with the smallest id hash in as many hash
 buckets, of each an excerpt of ``sample_words`` words, or ``sample_chars``
-characters if that is less, at a place that the hash chooses. At most ``max_langs`` languages are learned, the most frequent ones.
+characters if that is less, at a place that the hash chooses. Every language is learned; with more than
+``max_langs`` of them, each has fewer rows, so that all together have no more than max_langs * sample_rows.
 Predictions read the text alone, always whole; before compressing, letters are
 lower-cased and everything else becomes one space.
 
@@ -50,17 +51,17 @@ def normal(text: str | None) -> str:
 def learn(rows: DataFrame, sample_rows: int = 512, sample_words: int = 60, sample_chars: int = 1000,
           max_langs: int = 256) -> dict[str, bytes]:
     """Dictionary of each language from rows (doc_id, text, lang); at most
-    max_langs * sample_rows excerpts reach the driver."""
+    max_langs * sample_rows excerpts reach the driver, or one a language if that is more."""
     known = rows.filter("doc_id is not null and lang is not null").select(
         "doc_id", "lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("hash"))
-    bucket = F.pmod("hash", F.lit(sample_rows)).alias("bucket")
-    least = known.groupBy("lang", bucket).agg(F.min("hash").alias("hash"), F.count("*").alias("n"))
-    langs = [r["lang"] for r in least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    chosen = least.filter(F.col("lang").isin(langs)).select("lang", "hash") if langs else least.limit(0).select("lang", "hash")
+    n_langs = known.agg(F.count_distinct("lang")).first()[0]
+    each = max(1, min(sample_rows, max_langs * sample_rows // max(1, n_langs)))
+    bucket = F.pmod("hash", F.lit(each)).alias("bucket")
+    chosen = known.groupBy("lang", bucket).agg(F.min("hash").alias("hash")).select("lang", "hash")
     w = words(F.col("text"))
     span = F.greatest(F.size("w") - sample_words, F.lit(0)) + 1
     excerpt = F.substring(F.array_join(F.slice("w", (F.pmod("hash", span) + 1).cast("int"), sample_words), " "), 1, sample_chars)
-    # the chosen rows are at most max_langs * sample_rows
+    # the chosen rows are at most max_langs * sample_rows, or one a language
     got = known.join(F.broadcast(chosen), ["lang", "hash"]).select("lang", "hash", w.alias("w")).select(
         "lang", "hash", excerpt.alias("text")).distinct().collect()
     out: dict[str, list[str]] = {}

@@ -252,3 +252,11 @@ def test_text_of_math_noscript_object_and_xmp_is_kept():
     for tag in ("math", "noscript", "object"):
         assert html_extract.extract(f"<article><p>A <{tag}>b c</{tag}> d. {ARTICLE}</p></article>") == f"A b c d. {ARTICLE}"
     assert html_extract.extract(f"<article><p>{ARTICLE}</p><xmp><b>{ARTICLE}</b> &amp;</xmp></article>") == f"{ARTICLE}\n<b>{ARTICLE}</b> &amp;"
+
+
+def test_rare_languages_are_learned_too(spark):
+    rows = [(10 * k + i, f"word{chr(97 + k)} other{chr(97 + k)} more{chr(97 + k)}", f"l{k}") for k in range(6) for i in range(1 + k)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(langid.learn(df, max_langs=2)) == [f"l{k}" for k in range(6)]
+    assert sorted(langid.learn(df, sample_rows=1, max_langs=2)) == [f"l{k}" for k in range(6)]
+    assert langid.learn(df.limit(0)) == {}
