@@ -17,7 +17,8 @@ each); beyond that the probe is a shuffled join.
 
 Items with fewer words than the shingle length use shingles as long as the
 item. Items and documents without a word, and null texts, match nothing.
-Repeated rows of an id count as one.
+Repeated rows of an id count as one; null is an id like any other, of documents
+and of items, as in the query's SQL.
 """
 
 from __future__ import annotations
@@ -82,14 +83,15 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: in
         found = each.join(near(probe.select("h").distinct()), "h", "left_semi").distinct()
         candidates = found.join(probe, "h").select("doc_id", "item_id").distinct()
         # exact: the texts of the candidates' shingles
-        texts = docs.join(candidates.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
+        texts = docs.join(candidates.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         # the words are a column of their own: inside a lambda they would be split again for every shingle
         split = texts.select("doc_id", tokens(F.col("text")).alias("w"))
         said = split.select("doc_id", F.explode(F.array_distinct(_shingles(F.col("w"), n))).alias("text"))
         mine = known.filter(F.col("n") == n).select("item_id", "text", "of")
         both = said.join(near(mine) if small else mine, "text").select("doc_id", "item_id", "of", "text").distinct()
         counts = both.groupBy("doc_id", "item_id", "of").agg(F.count("*").alias("n_found"))
-        sure = counts.join(candidates, ["doc_id", "item_id"], "left_semi").filter(
+        pairs = candidates.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+        sure = counts.join(pairs, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi").filter(
             F.col("n_found") >= F.round(threshold * F.col("of"), 6))
         part = sure.select("doc_id", "item_id", F.col("of").alias("n_shingles"), "n_found",
                            (F.col("n_found") / F.col("of")).alias("containment"))

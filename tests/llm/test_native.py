@@ -176,3 +176,13 @@ def test_common_words_weigh_little(spark):
     rare, often = math.log(305 / 5) + 1, math.log(305 / 302) + 1
     assert (row.licence, row.how) == ("MIT", "header")
     assert abs(row.score - (5 * rare * rare) / (math.sqrt(5) * rare * math.sqrt(5 * rare * rare + often * often))) < 1e-5
+
+
+def test_leaks_without_ids(spark):
+    said = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, f"a b {said} c"), (1, f"d {other}"), (None, "x y z"), (2, f"{said} e")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, said), (None, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_found) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(None, 7, 26), (2, 7, 26), (1, None, 26)}
+    assert [r.text for r in decontam.decontaminate(docs, items).collect()] == ["x y z"]
