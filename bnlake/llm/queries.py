@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bnlake.llm import chat, decontam, html_extract, langid, licenses, quality, sentencepiece, simhash, substring, url_filter
+from bnlake.llm import chat, decontam, fim, html_extract, langid, licenses, quality, sentencepiece, simhash, substring, url_filter, warc
 from bnlake.llm.common import table, words
 
 
@@ -108,6 +108,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), revisit_from=0)
+    return warc.read_archives(spark, manifest).select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and restored from the output."""
+    out = fim.restore(fim.transform(table(spark, sf_dir, "documents"), seed=1, plain_percent=10, spm_percent=20))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -125,6 +139,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op12_warc": op12_warc,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 
@@ -221,4 +237,25 @@ sh AS (
 items AS (SELECT id AS item_id, n, g, count(*) OVER (PARTITION BY id) AS n_shingles FROM sh WHERE side = 'i')
 SELECT sh.id AS doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
 FROM sh JOIN items USING (n, g) WHERE side = 'd' GROUP BY sh.id, item_id, n_shingles HAVING count(*) >= round(0.8 * n_shingles, 6)""",
+    "op12_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+last AS (SELECT body, max(page_id) AS latest FROM p GROUP BY body)
+SELECT page_id, cast(strlen(body) AS bigint) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast('0x' || substr(h, cast(5 * (i // 4) + 1 AS bigint), 5) AS bigint) >> cast(15 - 5 * (i % 4) AS bigint)) & 31 AS bigint), 1)), '') AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM p JOIN last USING (body)""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
+x AS (
+  SELECT doc_id, t, n, cast('0x' || substr(h, 1, 8) AS bigint) % (n + 1) AS c1, cast('0x' || substr(h, 9, 8) AS bigint) % (n + 1) AS c2,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR cast('0x' || substr(h, 17, 8) AS bigint) % 100 >= 90 THEN 'plain'
+              WHEN cast('0x' || substr(h, 25, 8) AS bigint) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+y AS (SELECT *, substr(t, 1, least(c1, c2)) AS pre, substr(t, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS mid, substr(t, greatest(c1, c2) + 1) AS suf FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(c1, c2) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN greatest(c1, c2) - least(c1, c2) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM y""",
 }
