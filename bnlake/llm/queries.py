@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bnlake.llm import chat, decontam, fim, html_extract, langid, licenses, quality, sentencepiece, simhash, substring, url_filter, warc
+from bnlake.llm import chat, decontam, fim, html_extract, langid, licenses, phrases, quality, sentencepiece, simhash, substring, url_filter, warc
 from bnlake.llm.common import table, words
 
 
@@ -108,6 +108,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, inside_percent=50, top=2000)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back from them."""
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), revisit_from=0)
@@ -139,6 +143,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontamination": op9_decontamination,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
     "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
@@ -237,6 +242,30 @@ sh AS (
 items AS (SELECT id AS item_id, n, g, count(*) OVER (PARTITION BY id) AS n_shingles FROM sh WHERE side = 'i')
 SELECT sh.id AS doc_id, item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
 FROM sh JOIN items USING (n, g) WHERE side = 'd' GROUP BY sh.id, item_id, n_shingles HAVING count(*) >= round(0.8 * n_shingles, 6)""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, len(v) AS words, array_to_string(v, ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS v FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)
+  GROUP BY ALL),
+total AS (SELECT lang, cast(sum(f) AS bigint) AS n FROM g WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS v FROM g WHERE words > 1 AND f >= 10),
+cut AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, cast((cast(a AS hugeint) * a * 1000000) // (cast(x.f AS hugeint) * y.f) AS bigint) AS score
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(v[1:k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(v[k + 1:], ' ')),
+s AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS part FROM c WHERE words = 3)
+  GROUP BY lang, part)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM s JOIN total USING (lang) LEFT JOIN longer ON longer.lang = s.lang AND part = phrase
+WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000""",
     "op12_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 last AS (SELECT body, max(page_id) AS latest FROM p GROUP BY body)
