@@ -4,7 +4,8 @@ A text is lower-cased (A-Z), cut into pieces and words. Per language, every phra
 of up to ``max_words`` words that occurs ``min_count`` times or more is found:
 
 1. Sketch. Tasks hash every phrase into one of 2^bits buckets (bits from the size of
-   the texts) and Spark sums the buckets; a phrase's count is at most its bucket's.
+   the texts), and groups of buckets of bounded size are summed; a phrase's count is
+   at most its bucket's.
 2. Candidates. Tasks list the different phrases whose bucket reaches ``min_count``
    and whose parts without the first and without the last word do so too (Apriori).
    The frequent buckets are broadcast in slices of at most ``slice_keys`` keys.
@@ -45,7 +46,9 @@ STOP = b"."
 LOWER = bytes.maketrans(PIECE_ENDS + GAPS + bytes(range(65, 91)), STOP * len(PIECE_ENDS) + b" " * len(GAPS) + bytes(range(97, 123)))
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that a task holds as one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Words whose phrases a task sums up before it hands them on; bytes of text for a part of the buckets.
+SKETCH_WORDS, PART_BYTES = 1_500_000, 12 << 20
 UNKNOWN_LANG = "und"
 
 
@@ -92,12 +95,46 @@ def bucket_keys(lang: str, w: Words, max_words: int, bits: int) -> Iterator[tupl
         yield ((acc ^ (acc >> np.uint64(29))) * MIX >> np.uint64(64 - bits)).view(np.int64) | np.int64(n << 48), ok
 
 
-def _sketch(max_words: int, bits: int, enough: int):
+def _sketch(max_words: int, bits: int, shift: int, enough: int):
+    """(words, part, keys, times): the sums of some million phrases by parts of the
+    buckets, keys as differences, so that a part costs a few bytes a bucket."""
+    def packed(n: int, keys: list[np.ndarray]) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(keys), return_counts=True)
+        part = found >> shift
+        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        step = np.diff(found, prepend=0)
+        step[begin] = found[begin] & ((1 << shift) - 1)
+        at = np.append(begin, len(found)).tolist()
+        step, times = step.astype(np.uint32), np.minimum(times, enough).astype(np.uint32 if enough > 255 else np.uint8)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(begin), n, np.int32)), pa.array(part[begin]), pa.array([step[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary()),
+             pa.array([times[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["words", "part", "keys", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for lang, w in blocks(batches):
-            for key, ok in bucket_keys(lang, w, max_words, bits):
-                found, times = np.unique(key[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(times, enough).astype(np.int32))], ["key", "c"])
+            for n, (key, ok) in enumerate(bucket_keys(lang, w, max_words, bits), 1):
+                held.setdefault(n, []).append(key[ok] & ((1 << bits) - 1))
+            size += len(w.code)
+            if size >= SKETCH_WORDS:
+                yield from (packed(n, k) for n, k in held.items() if any(map(len, k)))
+                held, size = {}, 0
+        yield from (packed(n, k) for n, k in held.items() if any(map(len, k)))
+
+    return run
+
+
+def _frequent(shift: int, enough: int):
+    """The keys of a part's buckets that are frequent."""
+    def run(found: pa.Table) -> pa.Table:
+        n, part = found["words"][0].as_py(), found["part"][0].as_py()
+        keys = np.concatenate([np.cumsum(np.frombuffer(k, np.uint32), dtype=np.int64) for k in found["keys"].to_pylist()])
+        times = np.concatenate([np.frombuffer(t, np.uint32 if enough > 255 else np.uint8) for t in found["times"].to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        total = np.add.reduceat(times[order].astype(np.int64), begin)
+        return pa.table({"key": pa.array(keys[begin[total >= enough]] + (part << shift) + (n << 48), pa.int64())})
 
     return run
 
@@ -292,8 +329,9 @@ def candidates(rows: DataFrame, max_words: int, min_count: int, slice_keys: int)
     """(lang, phrase, words): all phrases that may occur min_count times, as a stored table."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(40, max(20, size.bit_length()))
-    sketch = rows.mapInArrow(_sketch(max_words, bits, min_count), "key long, c int")
-    frequent = staged(sketch.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count).select("key"), "phrase-buckets")
+    shift = bits - min(bits, max(bits - 32, (size // PART_BYTES).bit_length()))
+    sketch = rows.mapInArrow(_sketch(max_words, bits, shift, min_count), "words int, part long, keys binary, times binary")
+    frequent = staged(sketch.groupBy("words", "part").applyInArrow(_frequent(shift, min_count), "key long"), "phrase-buckets")
     n = frequent.count()
     edges = [1 << 48, (max_words + 1) << 48]
     if n > slice_keys:
@@ -313,7 +351,7 @@ def candidates(rows: DataFrame, max_words: int, min_count: int, slice_keys: int)
     return out
 
 
-def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shard_entries: int = 1_000_000,
+def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shard_entries: int = 600_000,
                      slice_keys: int = 4_000_000) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of 1 to max_words words that occur
     min_count times or more, and (lang, '', 0, number of words), as a stored table."""
@@ -327,10 +365,10 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, s
     tries = staged(found.select(shard.alias("shard"), "lang", "phrase", "words").groupBy("shard").applyInArrow(_build(max_words), "shard int, trie binary"), "phrase-tries")
     out = None
     for i in range(shards):
-        blob = tries.filter(F.col("shard") == i).first()
-        if blob is None:
+        blob = tries.filter(F.col("shard") == i).toArrow()["trie"]
+        if not len(blob):
             continue
-        shared = spark.sparkContext.broadcast(bytes(blob["trie"]))
+        shared = spark.sparkContext.broadcast(blob[0].as_py())
         counts = rows.mapInArrow(_count(shared, i == 0), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         mine = staged(counts.filter((F.col("f") >= min_count) | (F.col("phrase") == "")), "phrase-counts")
         shared.unpersist()
