@@ -49,6 +49,8 @@ BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK_BYTES = 4 << 20
 #: Words whose phrases a task sums up before it hands them on; bytes of text for a part of the buckets.
 SKETCH_WORDS, PART_BYTES = 1_500_000, 12 << 20
+#: Phrases of a language and length that a task knows to have listed already.
+SEEN = 500_000
 UNKNOWN_LANG = "und"
 
 
@@ -148,27 +150,31 @@ def member_of(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _candidates(shared, max_words: int, bits: int):
+    """(lang, phrase, words): a task's different phrases of the slice; a repetition only after SEEN others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, frequent = shared.value
+        seen: dict[tuple[str, int], pa.Array] = {}
         for lang, w in blocks(batches):
-            # number of the phrase at each place, by the numbers of its beginning and its last word
-            number = w.code
+            number, safe = w.code, None
             for n, (key, ok) in enumerate(bucket_keys(lang, w, max_words, bits), 1):
-                if n > 1:
-                    ok = ok & safe[:-1] & safe[1:]
-                mine = ok & (key >= lo) & (key < hi)
-                places = np.flatnonzero(mine)
-                mine[places] = member_of(key[places], frequent)
-                # a bucket of another slice may be frequent
-                safe = mine | (ok & ((key < lo) | (key >= hi)))
-                kept = np.flatnonzero(safe)
+                kept = np.flatnonzero(ok if n == 1 else ok & safe[:-1] & safe[1:])
+                # a phrase is its beginning without the last word, and that word
                 both = number[kept] if n == 1 else number[kept] * len(w.words) + w.code[kept + n - 1]
                 _, first, back = np.unique(both, return_index=True, return_inverse=True)
-                number = np.full(len(key), -1, np.int64)
+                at = kept[first]
+                other = (key[at] < lo) | (key[at] >= hi)
+                mine = ~other
+                mine[mine] = member_of(key[at][mine], frequent)
+                number, safe = np.full(len(key), -1, np.int64), np.zeros(len(key), bool)
                 number[kept] = back
-                at = kept[first][mine[kept[first]]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), w.phrase(at, n), pa.array(np.full(len(at), n, np.int32))],
+                safe[kept] = (mine | other)[back]  # a bucket of another slice may be frequent
+                found = w.phrase(at[mine], n)
+                known = seen.get((lang, n))
+                if known is not None:
+                    found = found.filter(pc.invert(pc.is_in(found, value_set=known)))
+                if len(found):
+                    seen[lang, n] = found if known is None or len(known) > SEEN else pa.concat_arrays([known, found])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), found, pa.array(np.full(len(found), n, np.int32))],
                                                      ["lang", "phrase", "words"])
 
     return run
@@ -258,64 +264,68 @@ class Trie:
         self.base[slot] = base
         self._slot = slot
 
-    def count(self, numbers: np.ndarray, into: np.ndarray) -> None:
-        """Add to ``into`` how often each entry occurs in a sequence of word numbers;
-        -1 is a word of no entry, or a gap."""
-        at = np.flatnonzero(numbers >= 0)
+    def digits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two symbols of word numbers; negative for -1, a word of no entry."""
+        return np.where(numbers < 0, -1, numbers // self.radix), numbers % self.radix
+
+    def count(self, high: np.ndarray, low: np.ndarray, into: np.ndarray) -> None:
+        """Add to ``into`` how often each entry occurs in a sequence of words, given by
+        their digits; a negative high one is a word of no entry, or a gap."""
+        at = np.flatnonzero(high >= 0)
         state = np.zeros(len(at), np.int64)
-        high, low = np.divmod(numbers, self.radix)
-        for i in range(self.depth):
-            for symbol in (high, low):
-                to = self.base[state] + symbol[at]
+        for _ in range(self.depth):
+            for digit in (high, low):
+                to = self.base[state] + digit[at]
                 ok = self.check[to] == state
                 at, state = at[ok], to[ok]
             found = self.entry[state]
             into += np.bincount(found[found >= 0], minlength=self.entries)
             at = at + 1
-            ok = at < len(numbers)
-            at, state = at[ok], state[ok]
-            ok = numbers[at] >= 0
+            ok = at < len(high)
+            ok[ok] = high[at[ok]] >= 0
             at, state = at[ok], state[ok]
 
 
 def _build(max_words: int):
-    """A shard's candidates (shard, lang, phrase, words) as a pickled trie."""
+    """A shard's candidates (shard, lang, phrase, words) as a pickled trie, with the
+    words of each language (their numbers go on from one language to the next)."""
     def run(found: pa.Table) -> pa.Table:
         found = found.sort_by([("words", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
-        langs = found["lang"].to_pylist()
-        n = found["words"].to_numpy()
-        parts = pc.split_pattern(found["phrase"].combine_chunks().cast(pa.large_string()).cast(pa.large_binary()), b" ")
-        flat = pc.list_flatten(parts).to_pylist()
-        vocabulary: dict[str, dict[bytes, int]] = {}
-        numbers, used, at = np.empty(len(flat), np.int64), 0, 0
-        for lang, k in zip(langs, n.tolist()):
-            mine = vocabulary.setdefault(lang, {})
-            for j in range(at, at + k):
-                v = mine.get(flat[j])
-                if v is None:
-                    v = mine[flat[j]] = used
-                    used += 1
-                numbers[j] = v
-            at += k
-        edge = np.concatenate(([0], np.cumsum(np.bincount(n, minlength=max_words + 1)[1:] * np.arange(1, max_words + 1))))
-        trie = Trie([numbers[edge[k - 1]:edge[k]].reshape(-1, k) for k in range(1, max_words + 1)], used)
-        blob = pickle.dumps((trie, vocabulary, found["lang"].combine_chunks(), found["phrase"].combine_chunks()), protocol=5)
+        lang, phrase, n = found["lang"].combine_chunks(), found["phrase"].combine_chunks(), found["words"].to_numpy()
+        words = pc.list_flatten(pc.split_pattern(phrase, " ")).cast(pa.binary()).dictionary_encode()
+        langs = lang.dictionary_encode()
+        of_lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+        both, numbers = np.unique(of_lang * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        edge = np.searchsorted(both, np.arange(len(langs.dictionary) + 1) * len(words.dictionary))
+        vocabulary = {name: (int(a), words.dictionary.take(pa.array(both[a:b] % len(words.dictionary))))
+                      for name, a, b in zip(langs.dictionary.to_pylist(), edge, edge[1:])}
+        cut = np.concatenate(([0], np.cumsum(np.bincount(n, minlength=max_words + 1)[1:] * np.arange(1, max_words + 1))))
+        trie = Trie([numbers[cut[k - 1]:cut[k]].reshape(-1, k) for k in range(1, max_words + 1)], len(both))
+        blob = pickle.dumps((trie, vocabulary, lang, phrase), protocol=5)
         return pa.table({"shard": pa.array([found["shard"][0].as_py()], pa.int32()), "trie": pa.array([blob], pa.binary())})
 
     return run
 
 
+def word_numbers(w: Words, vocabulary: tuple[int, pa.Array] | None) -> np.ndarray:
+    """The number of each different word, -1 without one; one more place for gaps."""
+    out = np.full(len(w.words) + 1, -1, np.int64)
+    if vocabulary is not None:
+        first, known = vocabulary
+        at = pc.fill_null(pc.index_in(w.words, value_set=known), -1).to_numpy(zero_copy_only=False)
+        out[:-1] = np.where(at < 0, -1, at.astype(np.int64) + first)
+    return out
+
+
 def _count(shared, totals: bool):
     """(lang, phrase, f) of a shard's entries; with ``totals`` the number of words as the phrase of none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, vocabulary, langs, phrases = pickle.loads(shared.value)
+        trie, vocabulary, langs, phrases = shared.value
         sums, words = np.zeros(trie.entries, np.int64), {}
         for lang, w in blocks(batches):
             words[lang] = words.get(lang, 0) + int((w.code >= 0).sum())
-            number = vocabulary.get(lang, {}).get
-            # the last one is for places without a word
-            known = np.array([number(x, -1) for x in w.words.to_pylist()] + [-1], np.int64)
-            trie.count(known[w.code], sums)
+            high, low = trie.digits(word_numbers(w, vocabulary.get(lang)))
+            trie.count(high[w.code], low[w.code], sums)
         at = np.flatnonzero(sums)
         names = ["lang", "phrase", "f"]
         yield pa.RecordBatch.from_arrays([langs.take(pa.array(at)), phrases.take(pa.array(at)), pa.array(sums[at])], names)
@@ -368,7 +378,7 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, s
         blob = tries.filter(F.col("shard") == i).toArrow()["trie"]
         if not len(blob):
             continue
-        shared = spark.sparkContext.broadcast(blob[0].as_py())
+        shared = spark.sparkContext.broadcast(pickle.loads(blob[0].as_py()))
         counts = rows.mapInArrow(_count(shared, i == 0), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         mine = staged(counts.filter((F.col("f") >= min_count) | (F.col("phrase") == "")), "phrase-counts")
         shared.unpersist()

@@ -87,7 +87,7 @@ def test_trie_counts(seed, n_words, n):
         for i, j in zip(at, rnd.integers(0, len(s), 50)):
             text[i:i + s.shape[1]] = s[j]
     got = np.zeros(trie.entries, np.int64)
-    trie.count(text, got)
+    trie.count(*trie.digits(text), got)
     seen = Counter(tuple(text[i:i + k]) for k in (1, 2, 3) for i in range(len(text) - k + 1))
     assert got.tolist() == [seen[tuple(row)] for s in seqs for row in s.tolist()]
 
@@ -95,5 +95,5 @@ def test_trie_counts(seed, n_words, n):
 def test_trie_without_entries():
     trie = phrases.Trie([np.empty((0, 1), np.int64)], 0)
     got = np.zeros(0, np.int64)
-    trie.count(np.array([-1, -1]), got)
+    trie.count(*trie.digits(np.array([-1, -1])), got)
     assert trie.entries == 0
