@@ -49,6 +49,8 @@ BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK_BYTES = 4 << 20
 #: Words whose phrases a task sums up before it hands them on; bytes of text for a part of the buckets.
 SKETCH_WORDS, PART_BYTES = 1_500_000, 12 << 20
+#: Places that are tried for the children of a state before they go to the end of the array.
+PROBES = 48
 #: Phrases of a language and length that a task knows to have listed already.
 SEEN = 500_000
 UNKNOWN_LANG = "und"
@@ -226,20 +228,16 @@ class Trie:
         used[0] = 1  # the root
         base = np.zeros(n_nodes, np.int64)
         symbols = by[order]
-        low, end = 1, 1  # the first place to try, and behind the last one used
+        end, probe = 1, 1  # behind the last place used; a fixed sequence of places to try
         for i in np.flatnonzero(many > 1)[np.argsort(-many[many > 1], kind="stable")].tolist():
             cs = symbols[begin[i]:begin[i] + many[i]].tolist()
-            least, tried, place = cs[0], 0, low
-            while True:
-                place = used.find(0, place)
-                if place < 0 or tried == 32:
-                    place = max(end, least)
+            least, place = cs[0], max(end, cs[0])
+            for _ in range(PROBES):
+                probe = (probe * 1103515245 + 12345) & 0x7FFFFFFF
+                found = used.find(0, probe % end, end)
+                if found >= least and not any(used[found - least + c] for c in cs):
+                    place = found
                     break
-                if place >= least and not any(used[place - least + c] for c in cs):
-                    break
-                place, tried = place + 1, tried + 1
-            if tried == 32:
-                low = used.find(0, low + 1)  # crowded here: look further on from now on
             b = place - least
             base[owner[i]] = b
             for c in cs:
