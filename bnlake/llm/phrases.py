@@ -143,30 +143,48 @@ def _frequent(shift: int, enough: int):
     return run
 
 
-def member_of(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return sorted_keys[at] == keys
+class KeySet:
+    """Sorted keys; a table of their last bits spares most searches."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.mask = keys, (1 << max(10, min(24, (4 * len(keys)).bit_length()))) - 1
+        self.some = np.zeros(self.mask + 1, bool)
+        self.some[keys & self.mask] = True
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = self.some[keys & self.mask]
+        maybe = keys[out]
+        at = np.searchsorted(self.keys, maybe)
+        at[at == len(self.keys)] = 0
+        out[out] = self.keys[at] == maybe
+        return out
 
 
 def _candidates(shared, max_words: int, bits: int):
     """(lang, phrase, words): a task's different phrases of the slice; a repetition only after SEEN others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, frequent = shared.value
+        frequent = KeySet(frequent)
         seen: dict[tuple[str, int], pa.Array] = {}
         for lang, w in blocks(batches):
             number, safe = w.code, None
             for n, (key, ok) in enumerate(bucket_keys(lang, w, max_words, bits), 1):
                 kept = np.flatnonzero(ok if n == 1 else ok & safe[:-1] & safe[1:])
-                # a phrase is its beginning without the last word, and that word
-                both = number[kept] if n == 1 else number[kept] * len(w.words) + w.code[kept + n - 1]
-                _, first, back = np.unique(both, return_index=True, return_inverse=True)
-                at = kept[first]
+                if n == 1:
+                    at, back = np.zeros(len(w.words), np.int64), w.code[kept]
+                    at[back] = kept
+                    at = at[w.code[at] == np.arange(len(at))]  # all but the gap
+                    rank = np.zeros(len(w.words), np.int64)
+                    rank[w.code[at]] = np.arange(len(at))
+                    back = rank[back]
+                else:
+                    # a phrase is its beginning without the last word, and that word
+                    both = number[kept] * len(w.words) + w.code[kept + n - 1]
+                    _, first, back = np.unique(both, return_index=True, return_inverse=True)
+                    at = kept[first]
                 other = (key[at] < lo) | (key[at] >= hi)
                 mine = ~other
-                mine[mine] = member_of(key[at][mine], frequent)
+                mine[mine] = frequent.holds(key[at][mine])
                 number, safe = np.full(len(key), -1, np.int64), np.zeros(len(key), bool)
                 number[kept] = back
                 safe[kept] = (mine | other)[back]  # a bucket of another slice may be frequent
