@@ -1,10 +1,11 @@
 """Sampling engines on tables.
 
-A draw for node v in sample s is u = md5(seed|s|v) mapped through the
-inverse CDF of P(v | sampled parents): an equi-join of the samples with the
-node's cumulative factor table on the parent columns, filtered to the one
-value whose interval [cum_lo, cum_hi) holds u.  Draws are keyed by stable ids,
-so a retried task reproduces them.  Roots join on a constant key.
+A draw for node v in sample s is u = md5(seed|s|v) mapped through the inverse
+CDF of P(v | sampled parents).  A node's draw table has one row a parent
+configuration, with its values and cumulative probabilities as arrays in domain
+order; a draw joins the one row of its parents and finds its place by binary
+search in the array, so no row fans out.  Draws are keyed by stable ids, so a
+retried task reproduces them.  Roots take their arrays as literals.
 
 * ancestral sampling: ``spark.range(n)`` pushed through the nodes in
   topological order;
@@ -16,80 +17,76 @@ so a retried task reproduces them.  Roots join on a constant key.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bnlake.functions.scalar import seeded_uniform
 from bnlake.operators.cpt import Domains
-from bnlake.operators.posterior import TableFactor, clean_evidence, pattern_code
+from bnlake.operators.posterior import clean_evidence, pattern_code
 from bnlake.spec import NetworkSpec
 
 
-def ordered_factors(factors_long: DataFrame, spec: NetworkSpec) -> dict[str, TableFactor]:
-    """Per node: the cumulative factor (parents..., node, p, cum_lo, cum_hi,
-    _last[, _k]), cut from one table built for all nodes at once and
-    materialised, so every draw joins a small, already-computed table."""
+@dataclass(frozen=True)
+class DrawTable:
+    """P(node | parents) for drawing: rows (parents..., _row), where _row holds arrays of
+    the node's values, their probabilities and the running sums of those, in domain order."""
+    node: str
+    parents: list[str]
+    rows: DataFrame
+    row: Column         # _row, or literal arrays for a root
+
+    def attach(self, samples: DataFrame, doms: Domains) -> DataFrame:
+        """Samples with the row of their parents' values."""
+        if not self.parents:
+            return samples
+        small = doms.grid_size([*self.parents, self.node]) <= BROADCAST_ROWS
+        return samples.join(F.broadcast(self.rows) if small else self.rows, self.parents)
+
+    def draw(self, samples: DataFrame, u: Column, doms: Domains, fixed: Column | None = None) -> DataFrame:
+        """Samples with the value whose interval holds u (the last one from there on) as
+        the node's column, or the fixed value where there is one."""
+        cum = self.row["cum"]
+        s = samples.withColumns({"_u": u, "_at": F.lit(0)})
+        # binary search, a column a step: halves of a power of two that covers the domain
+        for step in reversed([1 << i for i in range(len(doms[self.node]).bit_length())]):
+            s = s.withColumn("_at", F.when(F.get(cum, F.col("_at") + (step - 1)) <= F.col("_u"), F.col("_at") + step).otherwise(F.col("_at")))
+        value = F.get(self.row["value"], F.least(F.col("_at"), F.size(cum) - 1))
+        return s.withColumn(self.node, value if fixed is None else F.coalesce(fixed, value)).drop("_u", "_at")
+
+    def probability(self, value: Column) -> Column:
+        return F.get(self.row["p"], F.array_position(self.row["value"], value).cast("int") - 1)
+
+
+def draw_tables(factors_long: DataFrame, spec: NetworkSpec) -> dict[str, DrawTable]:
+    """A draw table for each node, cut from one stored table built for all at once."""
     from bnlake.session import keep
     pas = [f"pa{i}" for i in range(1, spec.max_parents + 1)]
-    part = Window.partitionBy("node", *pas)
-    run = part.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    cum = keep(factors_long.select(
-        "node", *pas, "value", "p", F.sum("p").over(run).alias("cum_hi"),
-        (F.col("ord") == F.max("ord").over(part)).alias("_last")))
+    run = Window.partitionBy("node", *pas).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    cells = factors_long.select("node", *pas, F.struct("ord", "value", "p", F.sum("p").over(run).alias("cum")).alias("cell"))
+    rows = cells.groupBy("node", *pas).agg(F.array_sort(F.collect_list("cell")).alias("r"))
+    table = keep(rows.select("node", *pas, F.struct(*[F.col(f"r.{c}").alias(c) for c in ("value", "p", "cum")]).alias("_row")))
+    # one row a root
+    roots = {r["node"]: r["_row"] for r in table.filter(F.col("node").isin([n for n in spec.names if not spec.parents(n)])).collect()}
     out = {}
-    roots = [n for n in spec.names if not spec.parents(n)]
-    root_rows = {}
-    if roots:   # a root's CDF has one row per value: bounded like its domain
-        for r in cum.filter(F.col("node").isin(*roots)).orderBy("node", "cum_hi").collect():
-            root_rows.setdefault(r["node"], []).append((r["value"], r["p"], r["cum_hi"] - r["p"],
-                                                        r["cum_hi"], r["_last"]))
     for n in spec.names:
         ps = spec.parents(n)
-        df = cum.filter(F.col("node") == n).select(
-            *[F.col(f"pa{i + 1}").alias(p) for i, p in enumerate(ps)],
-            F.col("value").alias(n), "p", (F.col("cum_hi") - F.col("p")).alias("cum_lo"),
-            "cum_hi", "_last")
-        f = TableFactor(ps + [n], df)
-        f.root_cdf = root_rows.get(n)
-        out[n] = f
+        rows = table.filter(F.col("node") == n).select(*[F.col(f"pa{i + 1}").alias(p) for i, p in enumerate(ps)], "_row")
+        row = F.col("_row") if ps else F.struct(*[F.array(*[F.lit(x) for x in roots[n][c]]).alias(c) for c in ("value", "p", "cum")])
+        out[n] = DrawTable(n, ps, rows, row)
     return out
 
 
-def root_draw(cdf: list[tuple], u):
-    """Inverse CDF of a root as a CASE over its (few) literal intervals."""
-    e = None
-    for value, _p, lo, hi, last in cdf:
-        cond = (u >= F.lit(lo)) & ((u < F.lit(hi)) | F.lit(bool(last)))
-        e = F.when(cond, F.lit(value)) if e is None else e.when(cond, F.lit(value))
-    return e
-
-
-def root_prob(cdf: list[tuple], value):
-    return F.create_map(*[x for v, p, *_ in cdf for x in (F.lit(v), F.lit(p))])[value]
-
-
-def _draw(df: DataFrame, cum: DataFrame, node: str, parents: list[str], u) -> DataFrame:
-    """Attach a drawn value of ``node`` to every row of ``df``: equi-join on the
-    parents, keep the value whose interval holds u."""
-    j = df.withColumn("_u", u).join(cum, parents)
-    j = j.filter((F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last")))
-    return j.drop("_u", "p", "cum_lo", "cum_hi", "_last")
-
-
-def ancestral_sample(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],
+def ancestral_sample(spark: SparkSession, spec: NetworkSpec, draws: dict[str, DrawTable],
                      doms: Domains, n: int, seed: int = 42) -> DataFrame:
     """N joint samples (sample_id, node columns...)."""
     s = spark.range(n).select(F.col("id").alias("sample_id"))
     for node in spec.names:
         u = seeded_uniform(F.lit(seed), F.col("sample_id"), F.lit(node))
-        f = ofactors[node]
-        if f.root_cdf is not None:
-            s = s.withColumn(node, root_draw(f.root_cdf, u))
-            continue
-        cum = _cum_side(f.df, doms, spec.parents(node) + [node])
-        s = _draw(s, cum, node, spec.parents(node), u)
+        t = draws[node]
+        s = t.draw(t.attach(s, doms), u, doms).drop("_row")
     return s
 
 
@@ -133,19 +130,13 @@ BROADCAST_ROWS = 1_000_000
 ROWS_PER_TASK = 20_000
 
 
-def _cum_side(cum: DataFrame, doms: Domains, names: list[str]) -> DataFrame:
-    """Broadcast a cumulative factor table when its grid size (known from the
-    domains) is bounded; otherwise leave the join strategy to Spark/AQE."""
-    return F.broadcast(cum) if doms.grid_size(names) <= BROADCAST_ROWS else cum
-
-
 def evidence_id(ev_vars: list[str]):
     """Each value with its length, so that no two evidence rows share a text."""
     part = lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), F.col(v)), F.lit("-"))
     return F.md5(F.concat_ws("|", *[part(v) for v in ev_vars])) if ev_vars else F.lit("0")
 
 
-def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, TableFactor],
+def lw_samples(spark: SparkSession, spec: NetworkSpec, draws: dict[str, DrawTable],
                doms: Domains, configs: DataFrame, ev_vars: list[str], n: int = 1000,
                seed: int = 42) -> DataFrame:
     """Weighted samples (_eid, sample_id, node columns..., _w) for distinct
@@ -158,67 +149,52 @@ def lw_samples(spark: SparkSession, spec: NetworkSpec, ofactors: dict[str, Table
                        (n_cfg * n) // ROWS_PER_TASK + 1, n_cfg))
     cfg = cfg.repartition(parts, "_eid")
     s = cfg.select("_eid", *[F.col(v).alias(f"_e_{v}") for v in ev_vars],
-                   F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id")) \
-        .withColumn("_w", F.lit(1.0))
+                   F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id"), F.lit(1.0).alias("_w"))
     for node in spec.names:
-        ps = spec.parents(node)
-        f = ofactors[node]
+        t = draws[node]
         u = seeded_uniform(F.lit(seed), F.col("_eid"), F.col("sample_id"), F.lit(node))
+        s = t.attach(s, doms)
         e = F.col(f"_e_{node}") if node in ev_vars else None
-        if f.root_cdf is not None:
-            drawn = root_draw(f.root_cdf, u)
-            if e is None:
-                s = s.withColumn(node, drawn)
-            else:
-                s = s.withColumn(node, F.coalesce(e, drawn)).withColumn(
-                    "_w", F.col("_w") * F.when(e.isNotNull(), root_prob(f.root_cdf, e)).otherwise(F.lit(1.0)))
-            continue
-        cum = _cum_side(f.df, doms, ps + [node])
-        j = s.withColumn("_u", u).join(cum, ps)
-        drawn = (F.col("_u") >= F.col("cum_lo")) & ((F.col("_u") < F.col("cum_hi")) | F.col("_last"))
         if e is not None:
-            j = j.filter(F.when(e.isNotNull(), F.col(node) == e).otherwise(drawn)).withColumn(
-                "_w", F.col("_w") * F.when(e.isNotNull(), F.col("p")).otherwise(F.lit(1.0)))
-        else:
-            j = j.filter(drawn)
-        s = j.drop("_u", "p", "cum_lo", "cum_hi", "_last")
+            s = s.withColumn("_w", F.when(e.isNotNull(), F.col("_w") * t.probability(e)).otherwise(F.col("_w")))
+            u = F.when(e.isNull(), u)       # observed nodes draw nothing
+        s = t.draw(s, u, doms, e).drop("_row", f"_e_{node}")
     return s
 
 
-def lw_posterior(samples: DataFrame, doms: Domains, query: str, n: int | None = None) -> DataFrame:
-    """(_eid, class, class_ord, p) from the first n weighted samples."""
-    s = samples if n is None else samples.filter(F.col("sample_id") < n)
-    agg = s.groupBy("_eid", F.col(query).alias("class")).agg(F.sum("_w").alias("w"))
-    w = Window.partitionBy("_eid")           # one row per class of one evidence row
+def lw_posterior(samples: DataFrame, doms: Domains, query: str, counts: list[int]) -> dict[int, DataFrame]:
+    """For each count n (_eid, class, class_ord, p) from the first n weighted samples:
+    one aggregate over the samples, stored, with a sum for each count."""
+    from bnlake.session import keep
+    sums = keep(samples.groupBy("_eid", F.col(query).alias("class")).agg(
+        *[F.sum(F.when(F.col("sample_id") < c, F.col("_w"))).alias(f"w{c}") for c in counts]))
     ords = F.create_map(*[x for i, v in enumerate(doms[query]) for x in (F.lit(v), F.lit(i + 1))])
-    tot = F.sum("w").over(w)
-    post = agg.select("_eid", "class", ords[F.col("class")].alias("class_ord"),
-                      F.when(tot > 0, F.col("w") / tot).alias("p"))
-    zero = post.filter(F.col("p").isNull()).select("_eid").distinct()
-    return post.filter(F.col("p").isNotNull()).unionByName(_uniform_fill(None, doms, query, zero, ["_eid"]))
+    out = {}
+    for c in counts:
+        tot = F.sum(f"w{c}").over(Window.partitionBy("_eid"))       # one row per class of one evidence row
+        post = sums.filter(F.col(f"w{c}").isNotNull()).select("_eid", "class", ords[F.col("class")].alias("class_ord"),
+                                                              F.when(tot > 0, F.col(f"w{c}") / tot).alias("p"))
+        zero = post.filter(F.col("p").isNull()).select("_eid").distinct()
+        out[c] = post.filter(F.col("p").isNotNull()).unionByName(_uniform_fill(None, doms, query, zero, ["_eid"]))
+    return out
 
 
 def posterior_likelihood_weighting(spark: SparkSession, spec: NetworkSpec,
-                                   ofactors: dict[str, TableFactor], doms: Domains,
+                                   draws: dict[str, DrawTable], doms: Domains,
                                    cases_ev: DataFrame, ev_vars: list[str], n: int = 1000,
                                    seed: int = 42, query: str | None = None,
                                    key: str | None = None, counts=None):
     """Weighted samples per distinct evidence row; zero total -> uniform.
-    With ``counts`` returns {n: posterior} from one sample table."""
+    With ``counts`` returns {n: posterior}, all from one pass of draws."""
     query = query or spec.target
     key = key or spec.key
     ev_vars = [v for v in ev_vars if v != query]
     ev = clean_evidence(cases_ev.select(key, *ev_vars), ev_vars, doms).withColumn("_eid", evidence_id(ev_vars))
-    cfg = ev.select(*ev_vars).distinct()
-    samples = lw_samples(spark, spec, ofactors, doms, cfg, ev_vars, max(counts or [n]), seed)
-    if counts is not None:
-        from bnlake.session import keep
-        samples = keep(samples)           # one sample table serves every count
+    samples = lw_samples(spark, spec, draws, doms, ev.select(*ev_vars).distinct(), ev_vars, max(counts or [n]), seed)
     keyed = ev.select(key, "_eid")
-    if counts is None:
-        return keyed.join(lw_posterior(samples, doms, query), "_eid").select(key, "class", "class_ord", "p")
-    return {c: keyed.join(lw_posterior(samples, doms, query, c), "_eid").select(key, "class", "class_ord", "p")
-            for c in counts}
+    out = {c: keyed.join(post, "_eid").select(key, "class", "class_ord", "p")
+           for c, post in lw_posterior(samples, doms, query, list(counts or [n])).items()}
+    return out if counts is not None else out[n]
 
 
 def sampler_convergence(exact: DataFrame, samples_by_n: dict[int, DataFrame],

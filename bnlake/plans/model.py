@@ -52,7 +52,7 @@ class FittedNetwork:
     @property
     def ordered(self):
         if self._ordered is None:
-            self._ordered = sampling.ordered_factors(self.factors_long, self.spec)
+            self._ordered = sampling.draw_tables(self.factors_long, self.spec)
         return self._ordered
 
     def sample(self, n: int, seed: int = 42) -> DataFrame:

@@ -1003,7 +1003,7 @@ LW_COUNTS = (100, 500, 1000, 5000)
 def _ofactors(spark, sf):
     p = pipeline(spark, sf)
     if "_of" not in p._post:
-        p._post["_of"] = samp.ordered_factors(p.factors_long, SPEC)
+        p._post["_of"] = samp.draw_tables(p.factors_long, SPEC)
     return p._post["_of"]
 
 
@@ -1049,11 +1049,10 @@ def q_rejection(spark, sf):
 def _lw(spark, sf):
     p = pipeline(spark, sf)
     if "_lw" not in p._post:
-        from bnlake.session import keep
         out = samp.posterior_likelihood_weighting(spark, SPEC, _ofactors(spark, sf), p.doms,
                                                   p.evidence("ex_ante"), EXANTE, seed=DEFAULT_SEED,
                                                   counts=LW_COUNTS)
-        p._post["_lw"] = {k: keep(v) for k, v in out.items()}
+        p._post["_lw"] = out
     return p._post["_lw"]
 
 

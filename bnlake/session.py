@@ -18,6 +18,8 @@ def get_spark(master: str | None = None, partitions: int | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # a generated method over 8,000 bytes of code is never compiled by the JVM
+         .config("spark.sql.codegen.hugeMethodLimit", "8000")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

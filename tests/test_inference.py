@@ -118,22 +118,52 @@ def test_gibbs_converges_to_exact(spark, model):
     assert _tv(exact, g) < 0.05
 
 
-def test_many_null_patterns_in_small_jobs(spark, model, monkeypatch):
+def enumerate_joint(model):
+    """Every full assignment of the small network with its probability."""
     import itertools
-    vals = {"a": ["0", "1", "2", None], "b": ["0", "1", None], "c": ["1", None], "d": ["0", None, "no such value"]}
-    rows = [(i, *combo) for i, combo in enumerate(itertools.product(*vals.values()))]
-    cases = spark.createDataFrame(rows, "id long, a string, b string, c string, d string")
-    ev = model.evidence(cases, "all")
+    spec, doms = model.spec, model.doms
+    cells = {}
+    for r in model.factors_long.collect():
+        pas = tuple(r[f"pa{i + 1}"] for i in range(len(spec.parents(r["node"]))))
+        cells[r["node"], pas, r["value"]] = r["p"]
+    for combo in itertools.product(*[doms[n] for n in spec.names]):
+        at = dict(zip(spec.names, combo))
+        p = 1.0
+        for n in spec.names:
+            p *= cells[n, tuple(at[x] for x in spec.parents(n)), at[n]]
+        yield at, p
 
-    def run():
-        return {(r.id, r["class"]): r.p for r in posterior.posterior_exact(
-            spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).collect()}
 
-    a = run()
-    monkeypatch.setattr(posterior, "PLANS_AT_ONCE", 3)
-    b = run()
-    assert len(a) == len(rows) * 3 and a.keys() == b.keys()
-    assert all(abs(a[k] - b[k]) < 1e-12 for k in a)
+@pytest.mark.parametrize("query", ["y", "b"])
+def test_every_null_pattern_against_enumeration(spark, model, query):
+    """One clique tree answers all patterns, unknown values included."""
+    import itertools
+    names = [v for v in model.spec.names if v != query]
+    vals = {"a": ["0", "1", None], "b": ["0", None], "c": ["1", None], "d": ["0", None, "no such value"], "y": ["2", None]}
+    combos = list(itertools.product(*[vals[v] for v in names]))
+    rows = [(i, *combo) for i, combo in enumerate(combos)]
+    ev = spark.createDataFrame(rows, "id long, " + ", ".join(f"{v} string" for v in names))
+    got = {(r.id, r["class"]): r.p for r in posterior.posterior_exact(
+        spark, model.spec, model.factors, model.doms, ev, names, query=query).collect()}
+    joint = list(enumerate_joint(model))
+    for i, *combo in rows:
+        seen = {v: x for v, x in zip(names, combo) if x in model.doms[v]}
+        mass = {c: sum(p for at, p in joint if at[query] == c and all(at[v] == x for v, x in seen.items())) for c in model.doms[query]}
+        total = sum(mass.values())
+        for c in model.doms[query]:
+            assert abs(got.pop((i, c)) - (mass[c] / total if total else 1 / len(mass))) < 1e-12
+    assert not got
+
+
+def test_number_of_plans_does_not_grow_with_patterns(spark, model, monkeypatch):
+    import itertools
+    made = []
+    monkeypatch.setattr(posterior.CliqueTree, "_clique", lambda self, i, v, f=posterior.CliqueTree._clique: made.append(v) or f(self, i, v))
+    combos = list(itertools.product(["0", None], repeat=4))
+    for few in (combos[:2], combos):
+        ev = spark.createDataFrame([(i, *c) for i, c in enumerate(few)], "id long, a string, b string, c string, d string")
+        assert posterior.posterior_exact(spark, model.spec, model.factors, model.doms, ev, ["a", "b", "c", "d"]).count() == 3 * len(few)
+    assert len(made) <= 2 * len(model.spec.names)
 
 
 def test_evidence_ids_differ(spark):
