@@ -3,8 +3,9 @@ nearest ancestor directory by path joins. DataFrame functions only.
 
 A file's units are its lines (headers) and, if its name is that of a licence
 file, also its whole text. With ``runs``, runs of neighbouring lines are headers
-too: from each line on, as many terms as a template has. For templates of more
-than ``LONG`` terms a run begins at the first line or after a line without terms.
+too: from each line on, as many terms as a template has, compared with that
+template. For templates of more than ``LONG`` terms a run begins at the first
+line or after a line without terms.
 A unit's licence is that of the template with the largest cosine, if that is at
 least ``threshold``. A term weighs its count times
 idf = ln((1 + N) / (1 + df)) + 1, with df counted over all N files for
@@ -13,7 +14,8 @@ every term, whether a template has it or not.
 Units are found by prefix filtering, which loses none: a cosine of ``threshold``
 needs one of the template's rarest terms, those left when the commonest with
 less than threshold^2 of its squared length are set aside, and a file whose
-terms cover threshold^2 of the template's squared length.
+terms cover threshold^2 of the template's squared length. The same bound, summed
+over its lines, is asked of a run before its terms are cut out.
 
 A file's own licence is its best unit's. A licence file with a licence gives it
 to its directory; files without their own take that of the nearest directory
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from bnlake.llm.common import staged
 from bnlake.llm.licence_library import library
 
-# Short public licence statements; those that the SQL knows.
+# Short public licence statements.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -114,19 +116,26 @@ def needed_terms(vector: dict[str, float], threshold: float, idf: dict[str, floa
     return out
 
 
-def header_runs(lines: DataFrame, whole: DataFrame, pairs: DataFrame, lengths: DataFrame) -> DataFrame:
+def header_runs(lines: DataFrame, whole: DataFrame, pairs: DataFrame, sides: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
     """(file, unit, w): runs of neighbouring lines as long as a template that the file may hold.
-    lines: (file, at, n) with the number of terms of every line; whole: (file, w);
-    pairs: (file, template); lengths: (template, terms, needed)."""
+    lines: (file, at, w) with every line's terms; whole: (file, w); pairs: (file, template);
+    sides: (term, template, w); lengths: (template, terms)."""
     by = Window.partitionBy("file").orderBy("at")
-    placed = lines.withColumn("begin", F.sum("n").over(by) - F.col("n")).withColumn(
+    sized = lines.select("file", "at", F.size("w").alias("n"))
+    placed = sized.withColumn("begin", F.sum("n").over(by) - F.col("n")).withColumn(
         "opens", F.coalesce(F.lag("n").over(by), F.lit(0)) == 0).filter("n > 0")
-    wanted = pairs.join(lengths, "template").groupBy("file", "terms").agg(F.array_distinct(F.flatten(F.collect_list("needed"))).alias("needed"))
-    starts = placed.join(wanted, "file").filter((F.col("n") < F.col("terms")) & ((F.col("terms") <= LONG) | F.col("opens")))
-    cut = starts.join(whole, "file").select(
-        "file", F.struct(F.lit(0).alias("whole"), "at", "terms").alias("unit"), "needed",
+    # a line's part of a template's squared length, repetitions counted
+    held = lines.select("file", "at", F.explode("w").alias("term")).join(sides, "term").groupBy("file", "at", "template").agg(
+        F.sum(F.col("w") * F.col("w")).alias("part")).join(pairs, ["file", "template"], "left_semi")
+    # a run's lines are those that begin within its length; it may begin at one without a term of the template
+    unit = 1 << 32
+    reach = Window.partitionBy("file", "template").orderBy(F.floor(F.col("begin") * unit / F.col("terms"))).rangeBetween(0, unit)
+    starts = placed.join(pairs, "file").join(lengths, "template").join(held, ["file", "template", "at"], "left")
+    starts = starts.withColumn("run", F.sum(F.coalesce("part", F.lit(0.0))).over(reach)).filter(
+        (F.col("run") >= threshold * threshold - 1e-6) & (F.col("n") < F.col("terms")) & ((F.col("terms") <= LONG) | F.col("opens")))
+    return starts.join(whole, "file").select(
+        "file", F.struct(F.lit(0).alias("whole"), "at", "template").alias("unit"),
         F.slice("w", (F.col("begin") + 1).cast("int"), F.col("terms")).alias("w"))
-    return cut.filter(F.arrays_overlap("w", "needed")).select("file", "unit", "w")
 
 
 def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, threshold: float = 0.8,
@@ -149,8 +158,7 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     sides = F.broadcast(spark.createDataFrame(
         [(t, i, templates[i][0], float(x)) for i, v in enumerate(vectors) for t, x in sorted(v.items())],
         "term string, template int, licence string, w double"))
-    lengths = F.broadcast(spark.createDataFrame([(i, len(_terms(text)), needs[i]) for i, (_, text) in enumerate(templates)],
-                                                "template int, terms int, needed array<string>"))
+    lengths = F.broadcast(spark.createDataFrame([(i, len(_terms(text))) for i, (_, text) in enumerate(templates)], "template int, terms int"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     file_key = F.struct(F.col("path").alias("path"), F.xxhash64("text").alias("th"))
     has = F.expr(f"exists(w, t -> t IN ({_in(needed)}))")
@@ -163,17 +171,17 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     pairs = staged(pairs, "licence-pairs")
     may = staged(some.join(pairs.select("file").distinct(), "file", "left_semi").dropDuplicates(["file"]), "licence-files")
     lines = may.select("file", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("file", "at", terms(F.col("line")).alias("w"))
-    single = lines.filter(has).select("file", F.struct(F.lit(0).alias("whole"), "at", F.lit(0).alias("terms")).alias("unit"), "w")
+    single = lines.filter(has).select("file", F.struct(F.lit(0).alias("whole"), "at", F.lit(-1).alias("template")).alias("unit"), "w")
     units = single.unionByName(may.filter("named").select(
-        "file", F.struct(F.lit(1).alias("whole"), F.lit(0).alias("at"), F.lit(0).alias("terms")).alias("unit"), "w"))
+        "file", F.struct(F.lit(1).alias("whole"), F.lit(0).alias("at"), F.lit(-1).alias("template")).alias("unit"), "w"))
     if runs:
-        units = units.unionByName(header_runs(lines.select("file", "at", F.size("w").alias("n")), may.select("file", "w"), pairs, lengths))
+        units = units.unionByName(header_runs(lines, may.select("file", "w"), pairs, sides, lengths, threshold))
     counted = units.select("file", "unit", F.explode("w").alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
     # every term of a unit is in a file, so none is lost
     used = df.join(counted.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = counted.join(used, "term").select("file", "unit", "term", (F.col("tf") * F.col("idf")).alias("x"))
     size = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    dots = weighed.join(sides, "term").groupBy("file", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(sides, "term").filter((F.col("unit.template") == -1) | (F.col("unit.template") == F.col("template"))).groupBy("file", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(size, ["file", "unit"]).select("file", "unit", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("score"))
     # the best of a file: largest score, then the smaller name, then a header before the whole text
     order = F.struct((-F.col("score")).alias("s"), "licence", F.col("unit.whole").alias("whole"))

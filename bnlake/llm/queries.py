@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bnlake.llm import chat, decontam, fim, html_extract, langid, licenses, phrases, quality, sentencepiece, simhash, substring, url_filter, warc
+from bnlake.llm import chat, decontam, fim, html_extract, langid, licence_library, licenses, phrases, quality, sentencepiece, simhash, substring, url_filter, warc
 from bnlake.llm.common import table, words
 
 
@@ -151,6 +151,13 @@ QUERIES = {
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_TERMS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 ORACLES = {
     "op3_quality_rules": rf"""
 WITH d AS (
@@ -195,27 +202,37 @@ SELECT p.page_id, p.host, p.path, fit.rule, coalesce(fit.says, CASE WHEN hit.hos
        hit.host IS NOT NULL AS listed
 FROM p LEFT JOIN fit ON fit.page_id = p.page_id AND fit.host = p.host AND fit.path = p.path LEFT JOIN hit ON hit.host = p.host""",
     "op8_license_scan": rf"""
-WITH t(licence, body) AS (VALUES {", ".join(f"('{n}', '{b}')" for n, b in licenses.TEMPLATES)}),
-tt AS (SELECT licence, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM t),
-te AS (SELECT licence, term, count(*) AS tf FROM (SELECT licence, unnest(w) AS term FROM tt) GROUP BY ALL),
+WITH t(tid, licence, body) AS (VALUES {", ".join(f"({i}, {_quoted(n)}, {_quoted(b)})" for i, (n, b) in enumerate(licence_library.library(licenses.TEMPLATES)))}),
+tt AS (SELECT tid, licence, {_TERMS.format("body")} AS w FROM t),
+te AS (SELECT tid, licence, term, count(*) AS tf FROM (SELECT tid, licence, unnest(w) AS term FROM tt) GROUP BY ALL),
 d AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, 'none'), 'p' || cast(floor(doc_id / 50) AS bigint) % 20, 'q' || doc_id % 5) AS folder,
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), 'p' || cast(floor(doc_id / 50) AS bigint) % 20, 'q' || doc_id % 5) AS folder,
          len({_WORDS}) <= 40 AS named FROM documents),
-f AS (SELECT doc_id, text, folder, named, folder || '/' || CASE WHEN named THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM d),
-unit AS (
-  SELECT doc_id, 0 AS whole, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS unit FROM f
-  UNION ALL SELECT doc_id, 1, text, -1 FROM f WHERE named),
-words AS (SELECT doc_id, whole, unit, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM unit),
+f AS (SELECT doc_id, text, {_TERMS.format("text")} AS w, folder, named, folder || '/' || CASE WHEN named THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM d),
 total AS (SELECT count(*) AS n FROM documents),
-df AS (SELECT term, count(DISTINCT doc_id) AS df FROM words WHERE term IN (SELECT term FROM te) GROUP BY term),
-idf AS (SELECT DISTINCT te.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM te LEFT JOIN df USING (term), total),
-tv AS (SELECT licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS w FROM te JOIN idf USING (term)),
+ft AS (SELECT doc_id, unnest(list_distinct(w)) AS term FROM f),
+df AS (SELECT term, count(*) AS df FROM ft GROUP BY term),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT term FROM df UNION SELECT term FROM te) LEFT JOIN df USING (term), total),
+tv AS (SELECT tid, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tid)) AS v FROM te JOIN idf USING (term)),
+pair AS (SELECT doc_id, tid FROM ft JOIN tv USING (term) GROUP BY doc_id, tid HAVING sum(v * v) >= 0.64 - 1e-6),
+line AS (
+  SELECT doc_id, pos, {_TERMS.format("body")} AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM f WHERE doc_id IN (SELECT doc_id FROM pair))),
+placed AS (
+  SELECT doc_id, pos, len(w) AS n, sum(len(w)) OVER o - len(w) AS begun, coalesce(lag(len(w)) OVER o, 0) = 0 AS opens
+  FROM line WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+unit AS (
+  SELECT doc_id, 0 AS whole, pos, -1 AS tpl, w FROM line WHERE len(w) > 0
+  UNION ALL SELECT doc_id, 1, 0, -1, w FROM f WHERE named AND doc_id IN (SELECT doc_id FROM pair)
+  UNION ALL SELECT p.doc_id, 0, pos, tid, f.w[begun + 1:begun + len(tt.w)]
+  FROM placed p JOIN pair USING (doc_id) JOIN tt USING (tid) JOIN f USING (doc_id) WHERE n > 0 AND n < len(tt.w) AND (len(tt.w) <= {licenses.LONG} OR opens)),
 x AS (
-  SELECT doc_id, whole, unit, term, count(*) * coalesce(any_value(idf), ln((1 + any_value(n)) / 2.0) + 1) AS x
-  FROM words LEFT JOIN idf USING (term), total GROUP BY doc_id, whole, unit, term),
-size AS (SELECT doc_id, whole, unit, sqrt(sum(x * x)) AS size FROM x GROUP BY ALL),
-dot AS (SELECT doc_id, whole, unit, licence, sum(x * w) AS dot FROM x JOIN tv USING (term) GROUP BY ALL),
-s AS (SELECT doc_id, whole, licence, round(dot / size, 6) AS score FROM dot JOIN size USING (doc_id, whole, unit)),
+  SELECT doc_id, whole, pos, tpl, term, count(*) * any_value(idf) AS x
+  FROM (SELECT doc_id, whole, pos, tpl, unnest(w) AS term FROM unit) JOIN idf USING (term) GROUP BY ALL),
+size AS (SELECT doc_id, whole, pos, tpl, sqrt(sum(x * x)) AS size FROM x GROUP BY ALL),
+dot AS (SELECT doc_id, whole, pos, tpl, tid, licence, sum(x * v) AS dot FROM x JOIN tv USING (term) WHERE tpl = -1 OR tpl = tid GROUP BY ALL),
+s AS (SELECT doc_id, whole, licence, round(dot / size, 6) AS score FROM dot JOIN size USING (doc_id, whole, pos, tpl)),
 own AS (
   SELECT doc_id, first(licence ORDER BY score DESC, licence, whole) AS own, first(score ORDER BY score DESC, licence, whole) AS own_score,
          first(whole ORDER BY score DESC, licence, whole) AS own_whole FROM s WHERE score >= 0.8 GROUP BY doc_id),
@@ -246,7 +263,8 @@ FROM sh JOIN items USING (n, g) WHERE side = 'd' GROUP BY sh.id, item_id, n_shin
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 g AS (
