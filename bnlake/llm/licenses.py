@@ -3,8 +3,8 @@ nearest ancestor directory by path joins. DataFrame functions only.
 
 A file's units are its lines (headers) and, if its name is that of a licence
 file, also its whole text. With ``runs``, runs of neighbouring lines are headers
-too: from each line on, as many terms as a template has, compared with that
-template. For templates of more than ``LONG`` terms a run begins at the first
+too: from each line with a term of a template on, as many terms as that has,
+compared with it. For templates of more than ``LONG`` terms a run begins at the first
 line or after a line without terms.
 A unit's licence is that of the template with the largest cosine, if that is at
 least ``threshold``. A term weighs its count times
@@ -124,14 +124,14 @@ def header_runs(lines: DataFrame, whole: DataFrame, pairs: DataFrame, sides: Dat
     sized = lines.select("file", "at", F.size("w").alias("n"))
     placed = sized.withColumn("begin", F.sum("n").over(by) - F.col("n")).withColumn(
         "opens", F.coalesce(F.lag("n").over(by), F.lit(0)) == 0).filter("n > 0")
-    # a line's part of a template's squared length, repetitions counted
-    held = lines.select("file", "at", F.explode("w").alias("term")).join(sides, "term").groupBy("file", "at", "template").agg(
-        F.sum(F.col("w") * F.col("w")).alias("part")).join(pairs, ["file", "template"], "left_semi")
-    # a run's lines are those that begin within its length; it may begin at one without a term of the template
+    # a line's part of the squared length of the templates that its file may hold, repetitions counted
+    weights = pairs.join(sides, "template").select("file", "template", "term", (F.col("w") * F.col("w")).alias("part"))
+    said = lines.select("file", "at", F.explode("w").alias("term")).join(F.broadcast(sides.select("term").distinct()), "term", "left_semi")
+    held = said.join(weights, ["file", "term"]).groupBy("file", "at", "template").agg(F.sum("part").alias("part"))
+    # a run's lines are those that begin within its length
     unit = 1 << 32
     reach = Window.partitionBy("file", "template").orderBy(F.floor(F.col("begin") * unit / F.col("terms"))).rangeBetween(0, unit)
-    starts = placed.join(pairs, "file").join(lengths, "template").join(held, ["file", "template", "at"], "left")
-    starts = starts.withColumn("run", F.sum(F.coalesce("part", F.lit(0.0))).over(reach)).filter(
+    starts = held.join(placed, ["file", "at"]).join(lengths, "template").withColumn("run", F.sum("part").over(reach)).filter(
         (F.col("run") >= threshold * threshold - 1e-6) & (F.col("n") < F.col("terms")) & ((F.col("terms") <= LONG) | F.col("opens")))
     return starts.join(whole, "file").select(
         "file", F.struct(F.lit(0).alias("whole"), "at", "template").alias("unit"),

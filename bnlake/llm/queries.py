@@ -225,8 +225,9 @@ placed AS (
 unit AS (
   SELECT doc_id, 0 AS whole, pos, -1 AS tpl, w FROM line WHERE len(w) > 0
   UNION ALL SELECT doc_id, 1, 0, -1, w FROM f WHERE named AND doc_id IN (SELECT doc_id FROM pair)
-  UNION ALL SELECT p.doc_id, 0, pos, tid, f.w[begun + 1:begun + len(tt.w)]
-  FROM placed p JOIN pair USING (doc_id) JOIN tt USING (tid) JOIN f USING (doc_id) WHERE n > 0 AND n < len(tt.w) AND (len(tt.w) <= {licenses.LONG} OR opens)),
+  UNION ALL SELECT doc_id, 0, pos, tid, f.w[begun + 1:begun + len(tt.w)]
+  FROM (SELECT DISTINCT doc_id, pos, tid FROM (SELECT doc_id, pos, unnest(w) AS term FROM line) JOIN tv USING (term)) JOIN pair USING (doc_id, tid)
+  JOIN placed p USING (doc_id, pos) JOIN tt USING (tid) JOIN f USING (doc_id) WHERE n < len(tt.w) AND (len(tt.w) <= {licenses.LONG} OR opens)),
 x AS (
   SELECT doc_id, whole, pos, tpl, term, count(*) * any_value(idf) AS x
   FROM (SELECT doc_id, whole, pos, tpl, unnest(w) AS term FROM unit) JOIN idf USING (term) GROUP BY ALL),

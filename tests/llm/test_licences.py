@@ -42,7 +42,7 @@ def brute(files, templates, threshold=0.8):
             if line:
                 look(line, 0, sides)
                 for side in sides:
-                    if len(line) < side[2] and (side[2] <= licenses.LONG or i == 0 or not lines[i - 1]):
+                    if set(line) & set(side[1]) and len(line) < side[2] and (side[2] <= licenses.LONG or i == 0 or not lines[i - 1]):
                         look(flat[begin:begin + side[2]], 0, [side])
             begin += len(line)
         if flat and "LICENSE" in path:
