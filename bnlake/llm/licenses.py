@@ -56,6 +56,8 @@ LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([.-][^/]*)?$"
 WORD_GAP = "[^a-z0-9]+"
 #: Templates of more terms are looked for from the first line of a paragraph on.
 LONG = 400
+#: Different terms of candidate units up to which they are broadcast (some 30 bytes each).
+BROADCAST_TERMS = 200_000
 
 
 def terms(text: Column) -> Column:
@@ -116,23 +118,26 @@ def needed_terms(vector: dict[str, float], threshold: float, idf: dict[str, floa
     return out
 
 
-def header_runs(lines: DataFrame, whole: DataFrame, pairs: DataFrame, sides: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
+def header_runs(may: DataFrame, pairs: DataFrame, sides: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
     """(file, unit, w): runs of neighbouring lines as long as a template that the file may hold.
-    lines: (file, at, w) with every line's terms; whole: (file, w); pairs: (file, template);
-    sides: (term, template, w); lengths: (template, terms)."""
+    may: (file, text); pairs: (file, template); sides: (term, template, w); lengths: (template, terms)."""
+    held = pairs.groupBy("file").agg(F.collect_set("template").alias("templates"))
+    # dealt by file once: a file's lines, sums and windows stay together
+    lines = may.select("file", "text").join(held, "file").repartition("file").select(
+        "file", "templates", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("file", "templates", "at", terms(F.col("line")).alias("w"))
     by = Window.partitionBy("file").orderBy("at")
-    sized = lines.select("file", "at", F.size("w").alias("n"))
-    placed = sized.withColumn("begin", F.sum("n").over(by) - F.col("n")).withColumn(
-        "opens", F.coalesce(F.lag("n").over(by), F.lit(0)) == 0).filter("n > 0")
+    n = F.size("w")
+    placed = lines.withColumns({"n": n, "begin": F.sum(n).over(by) - n, "opens": F.coalesce(F.lag(n).over(by), F.lit(0)) == 0})
     # a line's part of the squared length of the templates that its file may hold, repetitions counted
-    weights = pairs.join(sides, "template").select("file", "template", "term", (F.col("w") * F.col("w")).alias("part"))
-    said = lines.select("file", "at", F.explode("w").alias("term")).join(F.broadcast(sides.select("term").distinct()), "term", "left_semi")
-    held = said.join(weights, ["file", "term"]).groupBy("file", "at", "template").agg(F.sum("part").alias("part"))
+    said = placed.select("file", "templates", "at", "n", "begin", "opens", F.explode("w").alias("term")).join(sides, "term")
+    parts = said.filter(F.array_contains("templates", F.col("template"))).groupBy("file", "at", "n", "begin", "opens", "template").agg(
+        F.sum(F.col("w") * F.col("w")).alias("part"))
     # a run's lines are those that begin within its length
     unit = 1 << 32
     reach = Window.partitionBy("file", "template").orderBy(F.floor(F.col("begin") * unit / F.col("terms"))).rangeBetween(0, unit)
-    starts = held.join(placed, ["file", "at"]).join(lengths, "template").withColumn("run", F.sum("part").over(reach)).filter(
+    starts = parts.join(lengths, "template").withColumn("run", F.sum("part").over(reach)).filter(
         (F.col("run") >= threshold * threshold - 1e-6) & (F.col("n") < F.col("terms")) & ((F.col("terms") <= LONG) | F.col("opens")))
+    whole = may.select("file", terms(F.col("text")).alias("w"))
     return starts.join(whole, "file").select(
         "file", F.struct(F.lit(0).alias("whole"), "at", "template").alias("unit"),
         F.slice("w", (F.col("begin") + 1).cast("int"), F.col("terms")).alias("w"))
@@ -160,12 +165,15 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
         "term string, template int, licence string, w double"))
     lengths = F.broadcast(spark.createDataFrame([(i, len(_terms(text))) for i, (_, text) in enumerate(templates)], "template int, terms int"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
-    file_key = F.struct(F.col("path").alias("path"), F.xxhash64("text").alias("th"))
+    # 128 bits of path and text
+    gone = F.col("path").isNull()
+    file_key = F.struct(F.xxhash64("path", gone, "text").alias("a"), F.xxhash64("text", gone, "path").alias("b"))
     has = F.expr(f"exists(w, t -> t IN ({_in(needed)}))")
-    texts = files.select(file_key.alias("file"), named.alias("named"), F.coalesce("text", F.lit("")).alias("text"))
-    some = texts.withColumn("w", terms(F.col("text"))).filter(has).select("file", "named", "text", "w")
-    # a cosine is at most the length of the template's part that the file has terms of
-    held = some.select("file", F.explode(F.array_distinct(F.expr(f"filter(w, t -> t IN ({_in(vocabulary)}))"))).alias("term")).distinct()
+    texts = files.select(file_key.alias("file"), "path", named.alias("named"), F.coalesce("text", F.lit("")).alias("text"))
+    some = texts.withColumn("w", terms(F.col("text"))).filter(has).select("file", "path", "named", "text", "w")
+    # a cosine is at most the length of the template's part that the file has terms of; rows that
+    # repeat a file count its terms again, which only lets more pairs through
+    held = some.select("file", F.explode(F.array_distinct(F.expr(f"filter(w, t -> t IN ({_in(vocabulary)}))"))).alias("term"))
     pairs = held.join(sides, "term").groupBy("file", "template").agg(F.sum(F.col("w") * F.col("w")).alias("part")).filter(
         F.col("part") >= threshold * threshold - 1e-6).select("file", "template")
     pairs = staged(pairs, "licence-pairs")
@@ -175,10 +183,14 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     units = single.unionByName(may.filter("named").select(
         "file", F.struct(F.lit(1).alias("whole"), F.lit(0).alias("at"), F.lit(-1).alias("template")).alias("unit"), "w"))
     if runs:
-        units = units.unionByName(header_runs(lines, may.select("file", "w"), pairs, sides, lengths, threshold))
-    counted = units.select("file", "unit", F.explode("w").alias("term")).groupBy("file", "unit", "term").agg(F.count("*").alias("tf"))
+        units = units.unionByName(header_runs(may, pairs, sides, lengths, threshold))
+    # dealt by file, so that the sums over a unit combine before they are shuffled
+    counted = staged(units.repartition("file").select("file", "unit", F.explode("w").alias("term")).groupBy("file", "unit", "term").agg(
+        F.count("*").alias("tf")), "licence-units")
     # every term of a unit is in a file, so none is lost
-    used = df.join(counted.select("term").distinct(), "term", "left_semi").select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    said = counted.select("term").distinct()
+    few = F.broadcast if said.count() <= BROADCAST_TERMS else (lambda table: table)
+    used = few(df.join(few(said), "term", "left_semi").select("term", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     weighed = counted.join(used, "term").select("file", "unit", "term", (F.col("tf") * F.col("idf")).alias("x"))
     size = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dots = weighed.join(sides, "term").filter((F.col("unit.template") == -1) | (F.col("unit.template") == F.col("template"))).groupBy("file", "unit", "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
@@ -186,17 +198,16 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] | None = None, t
     # the best of a file: largest score, then the smaller name, then a header before the whole text
     order = F.struct((-F.col("score")).alias("s"), "licence", F.col("unit.whole").alias("whole"))
     own = staged(scored.filter(F.col("score") >= threshold).groupBy("file").agg(F.min(order).alias("b")).select(
-        F.col("file.path").alias("fp"), F.col("file.th").alias("fth"), F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"),
+        "file", F.col("b.licence").alias("own"), (-F.col("b.s")).alias("own_score"),
         F.when(F.col("b.whole") == 1, "file").otherwise("header").alias("own_how")), "licences")
-    dirs = own.filter(F.col("fp").rlike(LICENCE_FILE)).groupBy(directory(F.col("fp")).alias("dir")).agg(
+    dirs = own.join(may.filter("named").select("file", "path"), "file").groupBy(directory(F.col("path")).alias("dir")).agg(
         F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own").alias("licence"))).alias("b")).select("dir", "b.licence", (-F.col("b.s")).alias("dscore"))
     # directories once each, so that a directory of many files joins as one row
     folders = files.select(directory(F.col("path")).alias("folder")).filter("folder is not null").distinct()
     above = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", "a.dir", "a.depth")
     near = above.join(dirs, "dir").groupBy("folder").agg(F.max(F.struct("depth", "licence", "dscore")).alias("n")).select(
         F.col("folder").alias("nf"), F.col("n.licence").alias("up"), F.col("n.dscore").alias("up_score"))
-    rows = files.select("path", *keep, F.xxhash64("text").alias("th"), directory(F.col("path")).alias("folder"))
-    joined = rows.join(own, F.col("path").eqNullSafe(F.col("fp")) & (F.col("th") == F.col("fth")), "left").join(
-        near, F.col("folder") == F.col("nf"), "left")
+    rows = files.select("path", *keep, file_key.alias("__file"), directory(F.col("path")).alias("folder"))
+    joined = rows.join(own, F.col("__file") == F.col("file"), "left").join(near, F.col("folder") == F.col("nf"), "left")
     return joined.select("path", *keep, F.coalesce("own", "up").alias("licence"), F.coalesce(
         "own_how", F.when(F.col("up").isNotNull(), F.lit("inherited"))).alias("how"), F.coalesce("own_score", "up_score").alias("score"))

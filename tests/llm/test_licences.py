@@ -73,14 +73,13 @@ def test_runs_of_a_long_file_stay_few(spark):
     text = dict(full_texts())["GPL-3.0"]
     code = "".join(f"int value{i} = call{i}(the, program, {i});\n" for i in range(4000))
     lines = [licenses._terms(x) for x in (code + "\n" + text + "\n" + code).split("\n")]
-    file = spark.createDataFrame([("f", i, w) for i, w in enumerate(lines)], "file string, at int, w array<string>")
-    whole = spark.createDataFrame([("f", [t for w in lines for t in w])], "file string, w array<string>")
+    may = spark.createDataFrame([("f", code + "\n" + text + "\n" + code)], "file string, text string")
     df = Counter(t for w in lines for t in set(w))
     (vector,) = licenses.template_vectors([("GPL-3.0", text)], {t: math.log(2 / (1 + min(1, df[t]))) + 1 for t in licenses._terms(text)})
     sides = spark.createDataFrame([(t, 0, x) for t, x in vector.items()], "term string, template int, w double")
     lengths = spark.createDataFrame([(0, len(licenses._terms(text)))], "template int, terms int")
     pairs = spark.createDataFrame([("f", 0)], "file string, template int")
-    runs = licenses.header_runs(file, whole, pairs, sides, lengths, 0.8)
+    runs = licenses.header_runs(may, pairs, F.broadcast(sides), F.broadcast(lengths), 0.8)
     cut = runs.select(F.count("*").alias("n"), F.sum(F.size("w")).alias("terms")).first()
     assert 1 <= cut.n <= 400
 
