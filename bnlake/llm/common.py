@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +42,3 @@ def byte_texts(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow string column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
-
-
-def list_column(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    """Arrow lists of consecutive values; each list begins at one of ``starts``."""
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))

@@ -69,6 +69,43 @@ def test_substring_odd_rows(spark, odd_docs):
     assert by[7][0] == (9000, 6000)
 
 
+def brute_rows(rows, n):
+    """rows: (id, tie, text); windows of rows that share id and tie are the same places."""
+    least = -(1 << 63)
+    key = lambda i, t, s: (least if i is None else i, t, s)
+    first = {}
+    for i, t, x in rows:
+        w = words(x)
+        for s in range(len(w) - n + 1):
+            g = tuple(w[s:s + n])
+            first[g] = min(first.get(g, key(i, t, s)), key(i, t, s))
+    out = []
+    for i, t, x in rows:
+        w = words(x)
+        gone = {k for s in range(len(w) - n + 1) if first[tuple(w[s:s + n])] < key(i, t, s) for k in range(s, s + n)}
+        out.append((str(i), len(w), len(gone), hashlib.sha256(b" ".join(v for k, v in enumerate(w) if k not in gone)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [100, 0])
+def test_substring_shared_and_null_ids(spark, monkeypatch, few):
+    """Each row keeps its own words, however many share its id."""
+    monkeypatch.setattr(substring, "BROADCAST_IDS", few)
+    rnd = random.Random(4)
+    line = lambda c, k: " ".join(f"{c}{j}" for j in range(k))
+    rows = [(5, line("z", 50)), (5, line("y", 50)), (7, line("r", 30)), (7, line("q", 10) + " " + line("y", 30)), (None, line("u", 60)),
+            (None, line("p", 40)), (None, line("p", 40) + " x"), (None, line("p", 40)), (5, line("z", 50))]
+    rows += [(rnd.choice([None, 1, 2, 3, 90 + i]), " ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 50)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shared = {i for i in {r[0] for r in rows} if sum(r[0] == i for r in rows) > 1}
+    hashed = df.selectExpr("doc_id", "xxhash64(text) AS t", "text").collect()
+    keyed = [(r.doc_id, r.t if r.doc_id in shared or not few else 0, r.text) for r in hashed]
+    got = substring.dedup_substrings(df.repartition(5), 20).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_rows(keyed, 20)
+    whole = {r.kept_sha256 for r in got if r.n_removed == 0}
+    assert {hashlib.sha256(t.encode()).hexdigest() for t in (line("z", 50), line("u", 60), line("r", 30))} <= whole
+
+
 def test_substring_intervals():
     assert substring.intervals([0, 3, 30], 10) == [(0, 13), (30, 40)]
     assert substring.intervals(None, 10) == []
