@@ -1,8 +1,9 @@
 """Reference models (B1-B6).  A model is ``f(train, test) -> long posterior``
 (key, class, p), so every baseline drops into the same metrics.
 
-Marginal and majority are aggregates; the discriminative baselines use Spark
-ML on one-hot features where a missing value is its own "absent" category.
+Marginal and majority are aggregates; logistic regression uses Spark ML on one-hot
+features where a missing value is its own "absent" category; boosting is in
+``boosting.py``.
 """
 
 from __future__ import annotations
@@ -101,22 +102,10 @@ def baseline_logreg(train: DataFrame, test: DataFrame, feature_cols: list[str],
 
 
 def baseline_gbt(train: DataFrame, test: DataFrame, feature_cols: list[str], target_col: str,
-                 key: str, seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """One-vs-rest boosted trees (Spark's GBT is binary); each class's raw
-    margin is mapped through GBT's own logistic link, then rows are normalised."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-    tr, te, labels = onehot_features(train, test, feature_cols, target_col)
-    parts = None
-    for i, lab in enumerate(labels):
-        t = tr.withColumn("label", (F.col("label") == float(i)).cast("double"))
-        m = GBTClassifier(seed=seed, maxIter=max_iter, maxDepth=3).fit(t)
-        s = m.transform(te).select(key, F.lit(lab).alias("class"),
-                                   (1.0 / (1.0 + F.exp(-2.0 * vector_to_array("rawPrediction")[1])))
-                                   .alias("p"))
-        parts = s if parts is None else parts.unionByName(s)
-    w = Window.partitionBy(key)
-    return parts.withColumn("p", F.col("p") / F.sum("p").over(w))
+                 key: str, rounds: int = 100, **params) -> DataFrame:
+    """Multi-class softmax boosting by histograms (``boosting.fit`` has the parameters)."""
+    from bnlake.operators import boosting
+    return boosting.fit(train, feature_cols, target_col, rounds=rounds, **params).predict(test, key)
 
 
 def baseline_set(train: DataFrame, test: DataFrame, feature_cols: list[str], target_col: str,
