@@ -105,7 +105,7 @@ def baseline_gbt(train: DataFrame, test: DataFrame, feature_cols: list[str], tar
                  key: str, rounds: int = 100, **params) -> DataFrame:
     """Multi-class softmax boosting by histograms (``boosting.fit`` has the parameters)."""
     from bnlake.operators import boosting
-    return boosting.fit(train, feature_cols, target_col, rounds=rounds, **params).predict(test, key)
+    return boosting.fit(train, feature_cols, target_col, key, rounds=rounds, **params).predict(test, key)
 
 
 def baseline_set(train: DataFrame, test: DataFrame, feature_cols: list[str], target_col: str,

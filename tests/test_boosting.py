@@ -75,7 +75,8 @@ def test_boosting_equals_brute_force(spark):
     test = rows[:30] + [(1000, "new", None, "5", None), (1001, None, "9", None, None)]
     tr = spark.createDataFrame(rows + [(9999, "x", "1", "1", None)], SCHEMA).repartition(5)
     te = spark.createDataFrame(test, SCHEMA)
-    got = baseline_gbt(tr, te, ["a", "b", "c"], "y", "id", rounds=4, max_depth=3, min_leaf=8, fold_every=3)
+    got = baseline_gbt(tr, te, ["a", "b", "c"], "y", "id", rounds=4, max_depth=3, min_leaf=8, fold_every=3,
+                       held_out=0.0)
     got = {(r["id"], r["class"]): r["p"] for r in got.collect()}
     want = _brute(rows, test, 4, 0.1, 3, 8)
     assert got.keys() == want.keys()
@@ -99,7 +100,29 @@ def test_values_beyond_max_bins_have_no_bin(spark):
     assert sorted(r["k"] for r in codes.collect()) == [-1, -1, 0, 0, 0, 1, 1]
 
 
+def test_held_out_rows_stop_the_boosting(spark):
+    """Classes that don't depend on the features: few rounds or none are kept, all within the patience."""
+    noise = [(i, "xyz"[i % 3], str(i % 4), str(i % 7), "23"[i * 2654435761 % 2 ** 32 >> 31]) for i in range(400)]
+    m = boosting.fit(spark.createDataFrame(noise, SCHEMA), ["a", "b", "c"], "y", "id", rounds=30, max_depth=2,
+                     min_leaf=5, patience=2)
+    assert len(m.trees) < 15
+    assert not boosting._stopped([3.0, 2.0, 2.5], 2, 30, 0.1, 2)
+    assert boosting._stopped([3.0, 2.0, 2.5, 2.1], 3, 30, 0.1, 2)
+    assert boosting._stopped([3.0], 30, 30, 0.0, 2)
+
+
 @pytest.mark.parametrize("depth", [1, 2])
 def test_leaf_count_follows_depth(spark, depth):
-    m = boosting.fit(spark.createDataFrame(_rows(), SCHEMA), ["a", "b", "c"], "y", rounds=1, max_depth=depth, min_leaf=5)
+    m = boosting.fit(spark.createDataFrame(_rows(), SCHEMA), ["a", "b", "c"], "y", "id", rounds=1, held_out=0.0, max_depth=depth, min_leaf=5)
     assert all(t.feature.count(-1) <= 2 ** depth for t in m.trees[0])
+
+
+def test_boosting_beats_the_class_shares(spark):
+    """Classes that depend on the features, early stopping on: unseen rows are scored better than by the marginal."""
+    rows = _rows(600)
+    m = boosting.fit(spark.createDataFrame(rows[:400], SCHEMA), ["a", "b", "c"], "y", "id", rounds=25, max_depth=2,
+                     min_leaf=5)
+    got = {(r["id"], r["class"]): r["p"] for r in m.predict(spark.createDataFrame(rows[400:], SCHEMA), "id").collect()}
+    share = {c: sum(r[4] == c for r in rows[:400]) / 400 for c in ("2", "3", "10")}
+    loss = sum(-math.log(got[r[0], r[4]]) for r in rows[400:]) / 200
+    assert len(m.trees) > 5 and loss < 0.8 * sum(-math.log(share[r[4]]) for r in rows[400:]) / 200
