@@ -5,10 +5,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from bnlake.spec import BINARY_AFFIRM, BINARY_REVERSE, LOG_CLIP
 
@@ -104,13 +102,26 @@ def chi2_sf_py(g: float, dof: int) -> float:
     return min(1.0, s)
 
 
-@F.pandas_udf(DoubleType())
-def chi2_sf_udf(g: pd.Series, dof: pd.Series) -> pd.Series:
-    """Arrow-batched chi-square survival; used only on pairwise result tables
-    (one row per variable pair)."""
-    return pd.Series([None if (a is None or d is None or pd.isna(a) or pd.isna(d))
-                      else chi2_sf_py(float(a), int(d)) for a, d in zip(g, dof)],
-                     dtype="float64")
+def chi2_sf(g: Column, dof: Column) -> Column:
+    """Chi-square survival for any whole dof: the upper incomplete gamma ratio
+    Q(dof/2, g/2), by its power series below dof/2 + 1 and by its continued
+    fraction from there on.  Null g or dof gives null; dof or g <= 0 gives 1."""
+    x, a = g / 2.0, dof / 2.0
+    odd = dof % 2 == 1
+    start = F.when(odd, F.lit(0.5)).otherwise(F.lit(1.0))
+    steps = F.floor((dof - 1) / 2).cast("int")
+    log_gamma = F.aggregate(F.sequence(F.lit(0), steps), F.when(odd, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0)),
+                            lambda t, i: t + F.when(i < steps, F.log(start + i)).otherwise(F.lit(0.0)))
+    front = a * F.log(x) - x - log_gamma
+    n = (F.lit(60) + 12 * F.sqrt(a)).cast("int")
+    series = F.aggregate(F.sequence(F.lit(1), n), F.struct((1.0 / a).alias("t"), (1.0 / a).alias("s")),
+                         lambda acc, i: F.struct((acc["t"] * x / (a + i)).alias("t"),
+                                                 (acc["s"] + acc["t"] * x / (a + i)).alias("s")), lambda acc: acc["s"])
+    fraction = F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), x + 2.0 * n + 1.0 - a,
+                           lambda t, i: x + 2.0 * i - 1.0 - a - i * (i - a) / t)
+    q = F.when(x < a + 1, 1.0 - F.exp(front) * series).otherwise(F.exp(front) / fraction)
+    return (F.when(g.isNull() | dof.isNull(), F.lit(None).cast("double"))
+            .when((dof <= 0) | (g <= 0), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(q, F.lit(1.0)))))
 
 
 def round_doubles(df, digits: int = 6):

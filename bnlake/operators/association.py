@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bnlake.functions.scalar import chi2_sf_even, chi2_sf_udf
+from bnlake.functions.scalar import chi2_sf, chi2_sf_even
 from bnlake.operators.cpt import weighted
 
 
@@ -74,8 +74,8 @@ def pair_stats(cont: DataFrame) -> DataFrame:
 def g_test(stats: DataFrame, exact_odd: bool = False) -> DataFrame:
     """G = 2 N I(A;B), dof = (|A|-1)(|B|-1), p = chi-square survival.
     Even dof: closed-form finite sum on the JVM; odd dof: null unless
-    ``exact_odd`` (then a small Arrow UDF over the per-pair rows)."""
-    p = chi2_sf_udf(F.col("g"), F.col("dof")) if exact_odd else chi2_sf_even(F.col("g"), F.col("dof"))
+    ``exact_odd`` (then the incomplete gamma function for every dof)."""
+    p = chi2_sf(F.col("g"), F.col("dof")) if exact_odd else chi2_sf_even(F.col("g"), F.col("dof"))
     return stats.select("var_a", "var_b", "n", "g", "dof", p.alias("p_value"))
 
 

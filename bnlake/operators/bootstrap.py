@@ -36,22 +36,33 @@ def dense_index(df: DataFrame, key: str) -> DataFrame:
             .withColumn("idx", (F.col("_off") + rn - 1).cast("long")).drop("_bk", "_off")
 
 
-def replicate_means(scores: DataFrame, metrics: list[str], n_boot: int = 500,
-                    seed: int = 42, key: str = "case_id") -> DataFrame:
-    """(b, metric...) = mean of each per-case metric over replicate b."""
-    spark = scores.sparkSession
-    s = dense_index(scores.select(key, *metrics), key)
+def replicate_weights(keys: DataFrame, key: str, n_boot: int, seed: int) -> tuple[DataFrame, int]:
+    """(b, key, w): how often replicate b drew each case, and the number of cases."""
+    s = dense_index(keys.select(key), key)
     n = s.count()
-    if n == 0:
-        return spark.createDataFrame([], "b long" + "".join(f", {m} double" for m in metrics))
-    draws = spark.range(n_boot * n).select((F.col("id") / n).cast("long").alias("b"),
-                                           (F.col("id") % n).alias("j"))
+    draws = keys.sparkSession.range(n_boot * n).select((F.col("id") / F.lit(max(n, 1))).cast("long").alias("b"),
+                                                       (F.col("id") % F.lit(max(n, 1))).alias("j"))
     draws = draws.withColumn("idx", F.floor(seeded_uniform(F.lit(seed), F.col("b"), F.col("j"))
                                             * F.lit(n)).cast("long"))
     w = draws.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    j = w.join(s, "idx")
-    return j.groupBy("b").agg(*[(F.sum(F.col("w") * F.col(m)) / F.lit(float(n))).alias(m)
-                                for m in metrics])
+    return w.join(s, "idx").select("b", key, "w"), n
+
+
+def replicate_means(scores: DataFrame, metrics: list[str], n_boot: int = 500,
+                    seed: int = 42, key: str = "case_id") -> DataFrame:
+    """(b, metric...) = mean of each per-case metric over replicate b."""
+    w, n = replicate_weights(scores, key, n_boot, seed)
+    return w.join(scores.select(key, *metrics), key).groupBy("b").agg(
+        *[(F.sum(F.col("w") * F.col(m)) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
+
+
+def _percentiles(metrics: list[str], alpha: float) -> list:
+    qs = [alpha / 2, 1 - alpha / 2]
+    aggs = []
+    for m in metrics:
+        pc = F.percentile(F.col(m), qs)
+        aggs += [pc[0].alias(f"{m}_lo"), pc[1].alias(f"{m}_hi")]
+    return aggs
 
 
 def bootstrap_ci(scores: DataFrame, metrics: list[str], n_boot: int = 500, seed: int = 42,
@@ -63,12 +74,20 @@ def bootstrap_ci(scores: DataFrame, metrics: list[str], n_boot: int = 500, seed:
     map-side (only B rows per partition cross the network)."""
     rep = (replicate_means if method == "exact" else poisson_replicates)(
         scores, metrics, n_boot, seed, key)
-    qs = [alpha / 2, 1 - alpha / 2]
-    aggs = []
-    for m in metrics:
-        pc = F.percentile(F.col(m), qs)
-        aggs += [pc[0].alias(f"{m}_lo"), pc[1].alias(f"{m}_hi")]
-    return rep.agg(*aggs)
+    return rep.agg(*_percentiles(metrics, alpha))
+
+
+def bootstrap_ci_by(scores: DataFrame, by: list[str], metrics: list[str], n_boot: int = 500, seed: int = 42,
+                    alpha: float = 0.05, key: str = "case_id") -> DataFrame:
+    """Intervals of several models over the same cases: a row for each value of ``by``.
+
+    Every model has a score row for every case, so the models share one set of
+    draws; each case's scores are packed into one row, and the draws meet them once."""
+    packed = scores.groupBy(key).agg(F.collect_list(F.struct(*by, *metrics)).alias("m"))   # one entry a model
+    w, n = replicate_weights(packed, key, n_boot, seed)
+    x = w.join(packed, key).select("b", "w", F.inline("m"))
+    rep = x.groupBy("b", *by).agg(*[(F.sum(F.col("w") * F.col(m)) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
+    return rep.groupBy(*by).agg(*_percentiles(metrics, alpha))
 
 
 def poisson_replicates(scores: DataFrame, metrics: list[str], n_boot: int = 500,

@@ -46,7 +46,7 @@ def key_stats(df: DataFrame, key: str) -> tuple:
 
 def key_at_rank(df: DataFrame, keys: list[str], rank: int, stats: tuple | None = None) -> tuple | None:
     """Key tuple of the row with 1-based ``rank`` in ascending key order.
-    Keys are numeric, non-null, and unique together.  ``stats`` = a known
+    Keys are numbers or text (in byte order), non-null, and unique together.  ``stats`` = a known
     (min, max, count) of the leading key saves the first pass."""
     if rank <= 0:
         return None
@@ -76,11 +76,15 @@ def key_at_rank(df: DataFrame, keys: list[str], rank: int, stats: tuple | None =
             level += 1
             lo = None
             continue
-        width = (float(hi) - float(lo)) / N_BUCKETS
-        b = F.least(F.floor((F.col(k) - F.lit(lo)) / F.lit(width)), F.lit(N_BUCKETS - 1)).cast("int")
+        if isinstance(lo, str):
+            # text: the two bytes after what smallest and largest share tell buckets apart, in byte order
+            b = F.hex(F.substring(F.col(k).cast("binary"), _shared_bytes(lo, hi) + 1, 2))
+        else:
+            width = (float(hi) - float(lo)) / N_BUCKETS
+            b = F.least(F.floor((F.col(k) - F.lit(lo)) / F.lit(width)), F.lit(N_BUCKETS - 1)).cast("int")
         hist = (cur.withColumn("_b", b).groupBy("_b")
                 .agg(F.count(F.lit(1)).alias("c"), F.min(k).alias("mn"), F.max(k).alias("mx"))
-                .orderBy("_b").collect())               # <= N_BUCKETS rows
+                .orderBy("_b").collect())               # <= N_BUCKETS rows, for text <= 65,793
         acc = 0
         for h in hist:
             if acc + h["c"] >= rank:
@@ -91,6 +95,11 @@ def key_at_rank(df: DataFrame, keys: list[str], rank: int, stats: tuple | None =
             acc += h["c"]
 
 
+def _shared_bytes(a: str, b: str) -> int:
+    x, y = a.encode(), b.encode()
+    return next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
 def number_of(df: DataFrame, col: str):
     """A column as a long that keeps its order: dates by day, instants by
     microsecond, numbers as they are. Text has no numeric order: its hash, which
@@ -106,15 +115,48 @@ def number_of(df: DataFrame, col: str):
     return c.cast("long")
 
 
-def _order_keys(df: DataFrame, order_col: str, key: str) -> tuple[DataFrame, list[str]]:
-    big = 2 ** 62
-    if df.schema[order_col].dataType.typeName() == "string":
-        # dates written as text, or numbers written as text
-        first = F.coalesce(F.unix_date(F.col(order_col).try_cast("date")).cast("long"), F.col(order_col).try_cast("long"))
-    else:
-        first = number_of(df, order_col)
-    return df.withColumn("_k1", F.coalesce(first, F.lit(big))) \
-             .withColumn("_k2", number_of(df, key)), ["_k1", "_k2"]
+def text_kind(df: DataFrame, col: str, date_format: str | None = None) -> str:
+    """What a whole text column holds: "long", "double" or "date" if every value
+    present reads as one, else "text".  With ``date_format`` every value must be such a date."""
+    c = F.trim(F.col(col))
+    day = F.try_to_timestamp(c, F.lit(date_format)) if date_format else \
+        F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c.try_cast("date"))
+    r = df.agg(F.count(col).alias("n"), F.count_if(c.rlike(r"^[+-]?\d{1,18}$")).alias("long"),
+               F.count(c.try_cast("double")).alias("double"), F.count(day).alias("date")).first()
+    if date_format:
+        if r["date"] < r["n"]:
+            raise ValueError(f"{r['n'] - r['date']} values of {col} aren't dates of the form {date_format}")
+        return "date"
+    for kind in ("long", "double", "date"):
+        if r[kind] == r["n"]:
+            return kind
+    if r["double"] or r["date"]:
+        log.warning("%s holds numbers or dates among other text; ordered as text", col)
+    return "text"
+
+
+def _sortable(df: DataFrame, col: str, date_format: str | None = None) -> Column:
+    """A column as numbers or text in its own order, without loss."""
+    c, kind = F.col(col), df.schema[col].dataType.typeName()
+    if kind == "string":
+        text = text_kind(df, col, date_format)
+        if text == "date":
+            d = F.try_to_timestamp(F.trim(c), F.lit(date_format)) if date_format else F.trim(c).cast("date")
+            return F.unix_micros(d.cast("timestamp"))
+        return c if text == "text" else F.trim(c).cast(text)
+    return c.cast("double") if kind in ("double", "float", "decimal") else number_of(df, col)
+
+
+def _order_keys(df: DataFrame, order_col: str, key: str, date_format: str | None = None) -> tuple[DataFrame, list[str]]:
+    """Order columns: the value (one kind for the whole column, nulls last), then the key."""
+    first = _sortable(df, order_col, date_format)
+    out = df.withColumn("_k1", first)
+    rest = df.schema[key].dataType.typeName() == "string"
+    out = out.withColumn("_k2", F.col(key) if rest else number_of(df, key))
+    if out.schema["_k1"].dataType.typeName() == "string":
+        return out.withColumn("_k0", F.col("_k1").isNull().cast("int")) \
+                  .withColumn("_k1", F.coalesce("_k1", F.lit(""))), ["_k0", "_k1", "_k2"]
+    return out.withColumn("_k1", F.coalesce("_k1", F.lit(2 ** 62))), ["_k1", "_k2"]
 
 
 def chrono_column(df: DataFrame, wanted: str = "term", fallback: str = "dateDecision",
@@ -128,11 +170,13 @@ def chrono_column(df: DataFrame, wanted: str = "term", fallback: str = "dateDeci
 
 
 def split_chrono(df: DataFrame, order_col: str = "term", key: str = "case_id",
-                 test_fraction: float = DEFAULT_TEST_FRACTION) -> DataFrame:
+                 test_fraction: float = DEFAULT_TEST_FRACTION, date_format: str | None = None) -> DataFrame:
     """Adds ``is_train``: first int(n * (1 - f)) rows by (order_col, key);
-    without that column by dateDecision, and without that by the key."""
+    without that column by dateDecision, and without that by the key.  A text
+    column is ordered as numbers, dates or text, decided once for all its values
+    (``date_format`` says that it holds dates of that form); nulls come last."""
     order_col = chrono_column(df, order_col, key=key)
-    kd, keys = _order_keys(df, order_col, key)
+    kd, keys = _order_keys(df, order_col, key, date_format)
     stats = key_stats(kd, keys[0])
     cut = int(stats[2] * (1 - test_fraction))
     t = key_at_rank(kd, keys, cut, stats)

@@ -746,9 +746,13 @@ def q_g_test(spark, sf):
     return assoc.g_test(_stats(spark, sf))
 
 
-@register("g_test_exact")
+@register("g_test_exact", sql(_cont_sql(), """
+    SELECT var_a, var_b, n, round(g, 6) AS g, dof, round(CASE WHEN dof <= 0 OR g <= 0 THEN 1.0 ELSE greatest(0.0, 1.0 -
+             (SELECT sum(exp((dof / 2.0 + i) * ln(g / 2) - g / 2 - lgamma(dof / 2.0 + i + 1)))
+              FROM range(0, CAST(60 + g + 12 * sqrt(g) AS BIGINT)) r(i))) END, 6) AS p_value
+    FROM stats"""))
 def q_g_test_exact(spark, sf):
-    """D4 with odd-dof p-values too (small Arrow UDF over the per-pair table)."""
+    """D4 with the p-values of all dof."""
     return assoc.g_test(_stats(spark, sf), exact_odd=True)
 
 
@@ -1021,6 +1025,18 @@ def q_ancestral(spark, sf):
     return _samples(spark, sf)
 
 
+def _drawn(spark, sf, track: str):
+    """The drawn posteriors of one track at the counts of ``compare_engines``."""
+    p = pipeline(spark, sf)
+    if track == "ex_ante":
+        return _lw(spark, sf)[N_LW]
+    if "_lw_" + track not in p._post:
+        p._post["_lw_" + track] = samp.posterior_likelihood_weighting(
+            spark, SPEC, _ofactors(spark, sf), p.doms, p.evidence(track), SPEC.track(track), seed=DEFAULT_SEED,
+            counts=(N_LW,))[N_LW]
+    return p._post["_lw_" + track]
+
+
 def _rejection_sql(ev_vars: list[str]) -> list[str]:
     on = " AND ".join(f"(d.{v} IS NULL OR s.{v} = d.{v})" for v in ev_vars)
     evl = ", ".join(ev_vars)
@@ -1083,21 +1099,22 @@ def q_convergence(spark, sf):
     return samp.sampler_convergence(exact, _lw(spark, sf), KEY).select("n_samples", "tv")
 
 
-@register("compare_engines")
-def q_compare_engines(spark, sf):
-    """Top-3 accuracy and mean TV from exact, per engine (time is left to
-    the benchmark, not the table)."""
+def _compare_engines(spark, sf, track: str, gibbs: bool = True):
     from functools import reduce as _r
+
+    from bnlake.session import keep
     p = pipeline(spark, sf)
-    exact = p.posterior("ex_ante")
+    ev, ev_vars = p.evidence(track), SPEC.track(track)
+    exact = p.posterior(track)
     engines = {"exact": exact,
-               "rejection": samp.posterior_rejection(spark, SPEC, _samples(spark, sf), p.doms,
-                                                     p.evidence("ex_ante"), EXANTE),
-               "likelihood_weighting": _lw(spark, sf)[N_LW],
-               "gibbs": samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, p.evidence("ex_ante"),
-                                             EXANTE, n=1000, burn_in=500, seed=DEFAULT_SEED)}
+               "rejection": samp.posterior_rejection(spark, SPEC, _samples(spark, sf), p.doms, ev, ev_vars),
+               "likelihood_weighting": _drawn(spark, sf, track)}
+    if gibbs:
+        engines["gibbs"] = samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, ev, ev_vars, n=1000,
+                                                burn_in=500, seed=DEFAULT_SEED)
     rows = []
     for name, post in engines.items():
+        post = post if name == "exact" else keep(post)
         P = metrics.predict_distributions(post, p.truth(), KEY)
         acc = metrics.topk_accuracy(metrics.case_scores(P, KEY), (3,))
         tv = posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("value"))
@@ -1107,6 +1124,19 @@ def q_compare_engines(spark, sf):
     return _r(DataFrame.unionByName, rows)
 
 
+@register("compare_engines")
+def q_compare_engines(spark, sf):
+    """Top-3 accuracy and mean TV from exact, per engine (time is left to
+    the benchmark, not the table)."""
+    return _compare_engines(spark, sf, "ex_ante")
+
+
+@register("compare_engines_explanatory")
+def q_compare_engines_expl(spark, sf):
+    """I14 on the explanatory track, the published setting, all four engines."""
+    return _compare_engines(spark, sf, "explanatory")
+
+
 def _engine_tail(prefix: str, post: str) -> list[str]:
     """The P matrix and the scores of one engine's posterior, under its own names."""
     import re
@@ -1114,13 +1144,16 @@ def _engine_tail(prefix: str, post: str) -> list[str]:
     return [re.sub(r"\bpost\b", post, c) for c in out]
 
 
-def _compare_sql() -> str:
+def _compare_sql(track: str = "ex_ante") -> str:
     engines = {"exact": "post", "rejection": "rpost", "likelihood_weighting": "lwp"}
-    rej = [c for c in _rejection_sql(EXANTE) if c not in LW_CTES]
+    ev_vars = SPEC.track(track)
+    drawn = LW_CTES if track == "ex_ante" else \
+        FACT + [O.evidence(ev_vars)] + [O.cumulative()] + O.lw(ev_vars, N_LW, DEFAULT_SEED)[1:]
+    rej = [c for c in _rejection_sql(ev_vars) if c not in drawn]
     # rejection and likelihood weighting share the cumulative tables
-    have = {c.split(" AS ", 1)[0].strip() for c in LW_CTES}
+    have = {c.split(" AS ", 1)[0].strip() for c in drawn}
     rej = [c for c in rej if c.split(" AS ", 1)[0].strip() not in have]
-    ctes = LW_CTES + [O.lw_post(N_LW, "lwp")] + rej + O.posterior(EXANTE)
+    ctes = drawn + [O.lw_post(N_LW, "lwp")] + rej + O.posterior(ev_vars)
     parts = []
     for name, post in engines.items():
         ctes = ctes + _engine_tail(f"e_{post}", post)
@@ -1134,7 +1167,13 @@ def _compare_sql() -> str:
 @register("compare_engines_drawn", _compare_sql())
 def q_compare_engines_drawn(spark, sf):
     """I14 for the engines whose draws SQL can repeat."""
-    return q_compare_engines(spark, sf).filter("engine <> 'gibbs'")
+    return _compare_engines(spark, sf, "ex_ante", gibbs=False)
+
+
+@register("compare_engines_explanatory_drawn", _compare_sql("explanatory"))
+def q_compare_engines_expl_drawn(spark, sf):
+    """The same on the explanatory track."""
+    return _compare_engines(spark, sf, "explanatory", gibbs=False)
 
 
 @register("hill_climb_property", "SELECT TRUE AS no_better_move, TRUE AS scores_agree, count(*) > 0 AS has_rows FROM orders")
@@ -1513,7 +1552,7 @@ def q_gbt(spark, sf):
 @register("baseline_set")
 def q_baseline_set(spark, sf):
     p = pipeline(spark, sf)
-    return base_ops.baseline_set(p.train, p.test, FEATURES_EXPL, TARGET, KEY, include_ml=False)
+    return base_ops.baseline_set(p.train, p.test, FEATURES_EXPL, TARGET, KEY)
 
 
 # ---------------------------------------------------------------------------
@@ -1777,6 +1816,136 @@ def q_track_verdict_ci(spark, sf):
                                        "marginal_lo double, marginal_hi double, separated boolean")
 
 
+INTERVAL_METRICS = ["hit_1", "hit_3", "hit_5", "log_loss", "brier"]
+MODELS = ("network", "marginal", "majority")
+
+
+def _named_intervals(df: DataFrame) -> DataFrame:
+    """Interval columns under the names of the evaluation row; none for a k beyond the classes."""
+    names = {f"hit_{k}_{e}": f"top_{k}_{e}" for k in (1, 3, 5) for e in ("lo", "hi")}
+    return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+
+
+def _intervals_sql() -> str:
+    parts = []
+    for model in MODELS:
+        for track in ("explanatory", "ex_ante"):
+            head = p_ctes(track) if model == "network" else _baseline_post_ctes(model, track) + p_tail()
+            ci = ", ".join(f"b.{m}_{e} AS {m.replace('hit_', 'top_')}_{e}" if m not in ("hit_3", "hit_5") else
+                           f"CASE WHEN s.n_classes >= {m[-1]} THEN b.{m}_{e} END AS top_{m[-1]}_{e}"
+                           for m in INTERVAL_METRICS for e in ("lo", "hi"))
+            parts.append(f"""SELECT {sq(model)} AS model, {sq(track)} AS track, s.*, {ci}
+                FROM ({sql(head + [AUC_SQL, ECE_SQL, PRF_SQL], SUMMARY_SEL)}) s, ({_boot_from(head, INTERVAL_METRICS)}) b""")
+    return " UNION ALL ".join(parts)
+
+
+def _matrices(spark, sf, models, track: str) -> dict:
+    from bnlake.session import keep
+    p = pipeline(spark, sf)
+    cols = [SPEC.column(v) for v in SPEC.track(track)]
+    fits = {"marginal": lambda: base_ops.baseline_marginal(p.train, p.test, TARGET, KEY),
+            "majority": lambda: base_ops.baseline_majority(p.train, p.test, TARGET, KEY),
+            "logistic": lambda: base_ops.baseline_logreg(p.train, p.test, cols, TARGET, KEY),
+            "boosting": lambda: base_ops.baseline_gbt(p.train, p.test, cols, TARGET, KEY)}
+    out = {}
+    for m in models:
+        name = f"_matrix_{m}_{track}"
+        if name not in p._post:
+            p._post[name] = p.matrix(track) if m == "network" else \
+                keep(metrics.predict_distributions(keep(fits[m]()), p.truth(), KEY))
+        out[m] = p._post[name]
+    return out
+
+
+def _evaluation_rows(spark, sf, models) -> DataFrame:
+    """A row for each model and track: all metrics and their intervals, the draws shared by all."""
+    from functools import reduce as _r
+
+    from bnlake.session import keep
+    points, scores = [], []
+    for track in ("explanatory", "ex_ante"):
+        for model, P in _matrices(spark, sf, models, track).items():
+            tag = [F.lit(model).alias("model"), F.lit(track).alias("track")]
+            points.append(metrics.summary_row(P, KEY).select(*tag, *SUMMARY_COLS))
+            scores.append(metrics.case_scores(P, KEY).select(*tag, KEY, *INTERVAL_METRICS))
+    ci = boot.bootstrap_ci_by(keep(_r(DataFrame.unionByName, scores)), ["model", "track"], INTERVAL_METRICS,
+                              N_BOOT, DEFAULT_SEED, key=KEY)
+    out = keep(_r(DataFrame.unionByName, points)).join(_named_intervals(ci), ["model", "track"])
+    for k in (3, 5):
+        for e in ("lo", "hi"):
+            out = out.withColumn(f"top_{k}_{e}", F.when(F.col("n_classes") >= k, F.col(f"top_{k}_{e}")))
+    return out
+
+
+@register("evaluate_intervals", _intervals_sql())
+def q_evaluate_intervals(spark, sf):
+    """M9 and M10 in full for the models that SQL can fit: every metric with its
+    95% bootstrap interval, each model on each track."""
+    return _evaluation_rows(spark, sf, MODELS)
+
+
+@register("results_table_ml")
+def q_results_table_ml(spark, sf):
+    """M10 with the discriminative models: five models on both tracks, with intervals."""
+    return _evaluation_rows(spark, sf, (*MODELS, "logistic", "boosting"))
+
+
+# ---------------------------------------------------------------------------
+# Answers to requests that name a track
+# ---------------------------------------------------------------------------
+def _asked_sql(col: str = "request_id") -> str:
+    return f"CASE {col} % 3 WHEN 0 THEN 'explanatory' WHEN 1 THEN 'ex_ante' ELSE 'unheard_of' END"
+
+
+def _answer_sql(track: str) -> str:
+    bt = sql_binary_target("class")
+    names = sorted(SPEC.track(track))
+    unused = sorted([v for v in EXPL if v not in names])
+    ignored = f"CASE WHEN r.{KEY} % 2 = 0 THEN {sq(','.join(sorted(unused + ['not_a_field'])))} ELSE {sq(','.join(unused))} END"
+    parts = ", ".join(f"{sq(v + '=')} || a.{v}" for v in names)
+    mine = "= 0" if track == "explanatory" else "<> 0"
+    asked = O.evidence(SPEC.track(track), name="asked")      # the evidence as given
+    return sql(p_ctes(track) + [_labels_sql(), RANK_SQL, asked], f"""
+      SELECT r.{KEY} AS request_id, {sq(track)} AS track, concat_ws(',', {parts}) AS evidence_used, {ignored} AS ignored,
+             r.rank, r.class, coalesce(l.label, r.class) AS label, round(r.p, 6) AS p,
+             round(b.aff / (b.aff + b.rev), 6) AS p_affirm, round(b.rev / (b.aff + b.rev), 6) AS p_reverse
+      FROM ranked r JOIN asked a ON a.{KEY} = r.{KEY} LEFT JOIN labels_t l ON l.code = r.class
+      JOIN (SELECT {KEY}, sum(CASE WHEN {bt} = 0 THEN p ELSE 0 END) AS aff,
+                   sum(CASE WHEN {bt} = 1 THEN p ELSE 0 END) AS rev FROM post GROUP BY 1) b ON b.{KEY} = r.{KEY}
+      WHERE r.{KEY} % 3 {mine}""")
+
+
+@register("answer_requests", " UNION ALL ".join(f"SELECT * FROM ({_answer_sql(t)})" for t in ("explanatory", "ex_ante")))
+def q_answer_requests(spark, sf):
+    """I6 in full: a request names its track (an unknown one counts as ex-ante);
+    the answer tells the track, the evidence used and ignored, the ranked and
+    labelled distribution, and the affirmed and reversed shares."""
+    known = [F.lit(x) for x in ("explanatory", "ex_ante")]
+    asked = _requests(spark, sf).withColumn("track", F.expr(_asked_sql()))
+    asked = asked.withColumn("track", F.when(F.col("track").isin(*known), F.col("track")).otherwise("ex_ante"))
+    parts = [_answers(spark, sf, asked.filter(F.col("track") == t), t) for t in ("explanatory", "ex_ante")]
+    return parts[0].unionByName(parts[1])
+
+
+def _answers(spark, sf, requests: DataFrame, track: str) -> DataFrame:
+    p = pipeline(spark, sf)
+    ev_vars = SPEC.track(track)
+    r = prep.evidence_filter(requests, ev_vars)
+    used = F.array_compact(F.array(*[F.concat(F.lit(v + "="), F.col("kept")[v]) for v in sorted(ev_vars)]))
+    ev = r.select(F.col("request_id").alias(KEY), *[F.col("kept")[v].alias(v) for v in ev_vars],
+                  F.array_join("ignored", ",").alias("ignored"), F.array_join(used, ",").alias("evidence_used"))
+    post = posterior.posterior_exact(spark, SPEC, p.factors, p.doms, ev, ev_vars)
+    b = binary_target(F.col("class"))
+    shares = post.groupBy(KEY).agg(*[F.sum(F.when(b == v, F.col("p")).otherwise(0.0)).alias(c)
+                                     for v, c in ((0, "_aff"), (1, "_rev"))])
+    total = F.col("_aff") + F.col("_rev")
+    ranked = posterior.rank_posterior(post.withColumn("p", F.round("p", 12)), KEY)
+    lab = prep.label_values(ranked, "class", prep.label_table(spark))
+    return lab.join(shares, KEY).join(ev.select(KEY, "ignored", "evidence_used"), KEY).select(
+        F.col(KEY).alias("request_id"), F.lit(track).alias("track"), "evidence_used", "ignored", "rank", "class", "label",
+        "p", F.when(total > 0, F.col("_aff") / total).alias("p_affirm"), F.when(total > 0, F.col("_rev") / total).alias("p_reverse"))
+
+
 def _heldout_sql() -> str:
     joins, terms = [], []
     for n in SPEC.nodes:

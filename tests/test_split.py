@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from bnlake.operators import split
@@ -80,3 +83,33 @@ def test_dates_and_text_keys(spark):
     assert sorted(r["count"] for r in split.kfold_assign(df, 5, "case_id").groupBy("fold").count().collect()) == [10] * 5
     text = spark.createDataFrame([(i, f"{1990 + i}") for i in range(10)], "case_id long, term string")
     assert {r.case_id for r in split.split_chrono(text).collect() if r.is_train} == set(range(8))
+
+
+def _train(spark, values, fraction=0.5, **kw):
+    df = spark.createDataFrame([(f"id{i:03d}", v) for i, v in enumerate(values)], "case_id string, term string")
+    return [r.term for r in split.split_chrono(df, "term", "case_id", fraction, **kw).filter("is_train").orderBy("case_id").collect()]
+
+
+def test_chrono_text_is_one_kind(spark):
+    nums = ["1003", "996", "1000", "999", "1001", "997", "1002", "998"]
+    assert sorted(_train(spark, nums)) == ["996", "997", "998", "999"]
+    assert sorted(_train(spark, ["2.5", "10", "1e1", "-3"])) == ["-3", "2.5"]
+    assert sorted(_train(spark, ["2001-02-03", "1999-12-31", "2001-01-04", "1980-05-06"])) == ["1980-05-06", "1999-12-31"]
+    assert sorted(_train(spark, ["b", "é", "B", "10"])) == ["10", "B"]
+    assert _train(spark, [None, "b", "a", None]) == ["b", "a"]
+
+
+def test_chrono_date_format(spark):
+    days = ["11/18/1946", "01/02/1950", "12/31/1945", "03/01/1947"]
+    assert _train(spark, days, date_format="MM/dd/yyyy") == ["11/18/1946", "12/31/1945"]
+    with pytest.raises(ValueError):
+        _train(spark, days + ["soon"], date_format="MM/dd/yyyy")
+
+
+def test_text_key_at_rank_matches_sort(spark, monkeypatch):
+    monkeypatch.setattr(split, "SMALL", 5)
+    rnd = random.Random(7)
+    rows = [("same prefix " + "".join(rnd.choice("abé\u4e2d") for _ in range(rnd.randint(0, 6))), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "t string, k long")
+    for r in (1, 37, 200, 400):
+        assert split.key_at_rank(df, ["t", "k"], r) == sorted(rows, key=lambda x: (x[0].encode(), x[1]))[r - 1]
