@@ -94,17 +94,23 @@ def brier(scores: DataFrame) -> DataFrame:
 def macro_auc(P: DataFrame) -> DataFrame:
     """M4: macro one-vs-rest AUC over classes present in the truth (<2 -> null).
 
-    Scores are grouped to (class, p) with positive/negative counts first; the
-    running count of negatives below each score is a window over the distinct
-    scores of one class.  Posteriors are functions of the evidence
-    configuration, so distinct scores per class are bounded by the number of
-    distinct evidence rows, not by the number of cases."""
+    Scores are grouped to (class, p) with positive and negative counts, then
+    split into ranges of (class, p) and written with the number of their range.
+    The negatives below a score are those of the class's earlier ranges (one
+    row a class and range) and those below it in its own range, so no window is
+    larger than a range, however many distinct scores a class has."""
+    from bnlake.session import keep
     # scores equal to 12 places are one tie (engines differ in the last bits)
     g = P.withColumn("p", F.round("p", 12)).groupBy("class", "p").agg(
         F.sum((F.col("class") == F.col("y_true")).cast("long")).alias("pos"),
         F.sum((F.col("class") != F.col("y_true")).cast("long")).alias("neg"))
-    w = Window.partitionBy("class").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = keep(g.repartitionByRange("class", "p").withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = g.groupBy("class", "part").agg(F.sum("neg").alias("_n")).select(
+        "class", "part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("class", "part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_in", F.coalesce(F.sum("neg").over(w), F.lit(0))).join(offsets, ["class", "part"]) \
+         .withColumn("neg_below", F.col("_off") + F.col("_in"))
     per = g.groupBy("class").agg(
         F.sum(F.col("pos") * (F.col("neg_below") + 0.5 * F.col("neg"))).alias("u"),
         F.sum("pos").alias("P"), F.sum("neg").alias("N"))
@@ -208,11 +214,9 @@ def summary_row(P: DataFrame, key: str = "case_id", ks=(1, 3, 5)) -> DataFrame:
     classes = P.select("class", "class_ord").distinct()
     parts = [base, ncls, macro_auc(P), ece(sc), macro_f1(per_class_prf(sc, classes))]
     # one-row frames combined without a join: stack as (metric, value), pivot back
-    names, longs = [], []
-    for p in parts:
-        for c in p.columns:
-            names.append(c)
-            longs.append(p.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")))
+    names = [c for p in parts for c in p.columns]
+    longs = [p.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                         for c in p.columns]))) for p in parts]
     stacked = longs[0]
     for x in longs[1:]:
         stacked = stacked.unionByName(x)

@@ -1862,11 +1862,12 @@ def _evaluation_rows(spark, sf, models) -> DataFrame:
     from functools import reduce as _r
 
     from bnlake.session import keep
-    points, scores = [], []
+    points, scores = [_results(spark, sf)], []
     for track in ("explanatory", "ex_ante"):
         for model, P in _matrices(spark, sf, models, track).items():
             tag = [F.lit(model).alias("model"), F.lit(track).alias("track")]
-            points.append(metrics.summary_row(P, KEY).select(*tag, *SUMMARY_COLS))
+            if model not in MODELS:                        # the others' rows are in the results table
+                points.append(metrics.summary_row(P, KEY).select(*tag, *SUMMARY_COLS))
             scores.append(metrics.case_scores(P, KEY).select(*tag, KEY, *INTERVAL_METRICS))
     ci = boot.bootstrap_ci_by(keep(_r(DataFrame.unionByName, scores)), ["model", "track"], INTERVAL_METRICS,
                               N_BOOT, DEFAULT_SEED, key=KEY)

@@ -97,3 +97,26 @@ def test_true_class_outside_support(spark):
     assert sorted(r["class"] for r in P.collect()) == ["1", "2", "9"]
     ll = metrics.log_loss(metrics.case_scores(P)).first()[0]
     assert ll == pytest.approx(-math.log(1e-12))
+
+
+def test_auc_over_many_ranges(spark):
+    """Distinct scores split over many ranges give the same AUC as counting all pairs."""
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        raw = [rnd.choice([0.1, 0.25, rnd.random()]) for _ in range(3)]
+        y = rnd.choices("abc", raw)[0]
+        rows += [(i, y, c, j + 1, v / sum(raw)) for j, (c, v) in enumerate(zip("abc", raw))]
+    P = spark.createDataFrame(rows, "case_id long, y_true string, class string, class_ord int, p double")
+    want = []
+    for c in "abc":
+        pos = [round(r[4], 12) for r in rows if r[2] == c and r[1] == c]
+        neg = [round(r[4], 12) for r in rows if r[2] == c and r[1] != c]
+        want.append(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = metrics.macro_auc(P).first()["macro_auc"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert abs(got - sum(want) / 3) < 1e-12
