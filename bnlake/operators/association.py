@@ -1,10 +1,8 @@
 """Pairwise association (A13, D1-D6, W5) for every variable pair in one job.
 
-All pair contingencies come from one GROUPING SETS aggregate with one set per
-pair: rows are expanded once per pair and counted map-side.  Pairwise deletion
-is a filter on the grouped values (a group whose value is null belongs to
-rows missing that variable).  Marginals are windows over one pair's cells,
-so no join is needed.
+All pair contingencies come from one aggregate keyed by (pair id, values), for any
+number of variables.  Pairwise deletion drops a row from the pairs of its null
+columns.  Marginals are windows over one pair's cells, so no join is needed.
 """
 
 from __future__ import annotations
@@ -16,29 +14,19 @@ from pyspark.sql import functions as F
 
 from bnlake.functions.scalar import chi2_sf, chi2_sf_even
 from bnlake.operators.cpt import weighted
+from bnlake.operators.setcount import count_sets
 
 
 def contingency(df: DataFrame, variables: list[str]) -> DataFrame:
     """(var_a, var_b, a, b, n) for every pair (a before b in variable
-    order), rows with a null in either column excluded for that pair."""
-    pairs = list(combinations(variables, 2))
-    m = len(variables)
-    vals = weighted(df.select(*[F.col(v).cast("string").alias(v) for v in variables]), variables)
-    agg = vals.groupingSets([list(p) for p in pairs], *variables).agg(
-        F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
-    rows = []
-    for a, b in pairs:
-        gid = sum(1 << (m - 1 - i) for i, c in enumerate(variables) if c not in (a, b))
-        rows.append((gid, a, b))
-    meta = df.sparkSession.createDataFrame(rows, "gid long, var_a string, var_b string")
-    j = agg.join(F.broadcast(meta), "gid")      # one row per pair: size fixed by the column list
-    pick_a = pick_b = None
-    for a, b in pairs:
-        cond = (F.col("var_a") == a) & (F.col("var_b") == b)
-        pick_a = F.when(cond, F.col(a)) if pick_a is None else pick_a.when(cond, F.col(a))
-        pick_b = F.when(cond, F.col(b)) if pick_b is None else pick_b.when(cond, F.col(b))
-    out = j.select("var_a", "var_b", pick_a.alias("a"), pick_b.alias("b"), F.col("n").cast("long"))
-    return out.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    order), rows with a null in either column excluded for that pair. Any number
+    of variables."""
+    pairs = [list(p) for p in combinations(variables, 2)]
+    cells = count_sets(weighted(df.select(*[F.col(f"`{v}`") for v in variables]), variables), variables, pairs, "_w")
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                                            "set_id int, var_a string, var_b string")
+    return cells.join(F.broadcast(names), "set_id") \
+                .select("var_a", "var_b", F.get("vals", F.lit(0)).alias("a"), F.get("vals", F.lit(1)).alias("b"), "n")
 
 
 def pair_stats(cont: DataFrame) -> DataFrame:

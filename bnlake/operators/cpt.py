@@ -73,7 +73,7 @@ def weighted(df: DataFrame, cols: list[str]) -> DataFrame:
     kept as values).  Their number is bounded by the product of the domains,
     not by the rows, so every later grouping-set expansion runs on this small
     table; the aggregate itself combines map-side before its one shuffle."""
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_w"))
+    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_w"))
 
 
 # ---------------------------------------------------------------------------

@@ -1,118 +1,92 @@
-"""BIC scoring and greedy structure search (G1-G9, SET1).
-
-Family scores are computed in batches: every family (node, parents) still
-unscored is one grouping set of one aggregate over the data, so a whole
-hill-climbing iteration touches the data once.  Rows incomplete for a family
-fall out through the null-value filter on that family's groups (each family
-uses the rows complete for it, as BIC family scores do).  The search itself
-is a driver loop over a small score dictionary; the data are only read by
-``score_families``.
+"""BIC scores and greedy structure search (G1-G9, SET1).
+
+Scores are tables: a batch of families (node, parents) is counted by one job keyed
+by set id, penalties are products over a table of cardinalities, a graph's score is
+a join of its families with their scores and a sum.  Rows with a null in a family
+aren't counted for it.  The search is a loop over these small tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bnlake.operators.cpt import weighted
+from bnlake.operators.setcount import count_sets
+from bnlake.session import keep
 from bnlake.spec import NetworkSpec
 
 
-class BICScorer:
-    """Decomposable BIC over ``variables`` of ``df`` (rows all-null dropped)."""
-
-    def __init__(self, df: DataFrame, variables: list[str]):
-        self.variables = list(variables)
-        rows = df.select(*[F.col(v).cast("string").alias(v) for v in variables]) \
-                 .dropna(how="all")
-        # distinct configurations with weights: bounded by the product of the
-        # domains, materialised once and scanned by every family batch
-        from bnlake.operators.cpt import weighted
-        from bnlake.session import keep
-        data = keep(weighted(rows, variables))
-        self.data = data
-        stats = data.agg(F.sum("_w").alias("n"),
-                         *[F.count_distinct(v).alias(v) for v in variables]).first()
-        self.n = stats["n"]
-        self.log_n = math.log(max(self.n, 1))
-        self.card = {v: max(1, stats[v]) for v in variables}
-        self.cache: dict[tuple, float] = {}
-        self.loglik: dict[tuple, float] = {}
-
-    @staticmethod
-    def key(node: str, parents) -> tuple:
-        return (node, tuple(sorted(parents)))
-
-    def penalty(self, node: str, parents) -> float:
-        q = 1
-        for p in parents:
-            q *= self.card[p]
-        return 0.5 * self.log_n * (self.card[node] - 1) * q
-
-    def family_table(self, families: list[tuple]) -> DataFrame:
-        """(fam, ll, n_rows) for each (node, parents) -- one grouping-sets job."""
-        spark = self.data.sparkSession
-        cols = self.variables
-        m = len(cols)
-        sets, rows = {}, []
-        for i, (node, parents) in enumerate(families):
-            s = frozenset((node, *parents))
-            gid = sum(1 << (m - 1 - j) for j, c in enumerate(cols) if c not in s)
-            sets.setdefault(s, gid)
-            rows.append((gid, i, node, list(parents)))
-        agg = self.data.groupingSets([[c for c in cols if c in s] for s in sets], *cols) \
-            .agg(F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
-        meta = spark.createDataFrame(rows, "gid long, fam int, node string, parents array<string>")
-        j = agg.join(F.broadcast(meta), "gid")   # one row per family: bounded by the batch
-        # value of the node and the parent key of each cell
-        node_val = None
-        for v in cols:
-            node_val = F.when(F.col("node") == v, F.col(v)) if node_val is None else \
-                node_val.when(F.col("node") == v, F.col(v))
-        pkey = F.concat_ws("\u0001", *[F.when(F.array_contains("parents", v),
-                                              F.coalesce(F.col(v), F.lit("\u0000")))
-                                       for v in cols])
-        complete = node_val.isNotNull()
-        for v in cols:
-            complete = complete & (~F.array_contains("parents", v) | F.col(v).isNotNull())
-        cells = j.filter(complete).select("fam", pkey.alias("pk"), F.col("n").cast("double"))
-        cells = cells.withColumn("n_pa", F.sum("n").over(Window.partitionBy("fam", "pk")))
-        return cells.groupBy("fam").agg(
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("n_pa"))).alias("ll"),
-            F.sum("n").alias("rows"))
-
-    def score_families(self, families: list[tuple]) -> None:
-        todo = []
-        for node, parents in families:
-            k = self.key(node, parents)
-            if k not in self.cache and k not in todo:
-                todo.append(k)
-        if not todo:
-            return
-        res = {r["fam"]: (r["ll"], r["rows"]) for r in self.family_table(todo).collect()}
-        for i, (node, parents) in enumerate(todo):
-            if i not in res or not res[i][1]:
-                self.cache[(node, parents)] = -math.inf
-                self.loglik[(node, parents)] = -math.inf
-            else:
-                self.loglik[(node, parents)] = res[i][0]
-                self.cache[(node, parents)] = res[i][0] - self.penalty(node, parents)
-
-    def family_score(self, node: str, parents) -> float:
-        k = self.key(node, parents)
-        if k not in self.cache:
-            self.score_families([k])
-        return self.cache[k]
-
-    def graph_score(self, graph: dict[str, list[str]]) -> float:
-        self.score_families([self.key(n, p) for n, p in graph.items()])
-        return sum(self.family_score(n, p) for n, p in graph.items())
-
-    def graph_loglik(self, graph: dict[str, list[str]]) -> float:
-        self.score_families([self.key(n, p) for n, p in graph.items()])
-        return sum(self.loglik[self.key(n, p)] for n, p in graph.items())
+Family = tuple[str, tuple[str, ...]]        # a node and its parents, in any order
+Graph = Mapping[str, Sequence[str]]
+
+
+def configurations(df: DataFrame, variables: list[str]) -> DataFrame:
+    """Distinct configurations of the variables with their weight ``_w``, rows null
+    in all of them left out: written once, read by every batch of families."""
+    rows = df.select(*[F.col(f"`{v}`").cast("string").alias(v) for v in variables]).dropna(how="all")
+    return keep(weighted(rows, variables))
+
+
+def cardinalities(data: DataFrame, variables: list[str]) -> DataFrame:
+    """(var, states, n_rows) of each variable: its distinct values, one at least."""
+    counted = data.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n_rows"),
+                       *[F.count_distinct(F.col(f"`{v}`")).alias(f"c{i}") for i, v in enumerate(variables)])
+    entries = [F.struct(F.lit(v).alias("var"), F.greatest(F.lit(1), F.col(f"c{i}")).alias("states"), "n_rows")
+               for i, v in enumerate(variables)]
+    return counted.select(F.inline(F.array(*entries)))
+
+
+def family_table(spark: SparkSession, families: Sequence[Family]) -> DataFrame:
+    return spark.createDataFrame([(i, n, list(ps)) for i, (n, ps) in enumerate(families)],
+                                 "fam int, node string, parents array<string>")
+
+
+def family_scores(data: DataFrame, cards: DataFrame, variables: list[str], families: Sequence[Family]) -> DataFrame:
+    """(fam, node, parents, k, loglik, penalty, bic) of each family.
+
+    Families over the same variables share one set of cells. The log-likelihood
+    comes from the rows complete for the family; a family without one has none
+    and scores minus infinity. The penalty is half the log of all rows times the
+    free parameters, a product of the family's rows in the cardinality table."""
+    spark = data.sparkSession
+    fams = family_table(spark, families)
+    order = {v: i for i, v in enumerate(variables)}
+    members = [tuple(sorted({n, *ps}, key=order.__getitem__)) for n, ps in families]
+    sets = list(dict.fromkeys(members))
+    at = {s: i for i, s in enumerate(sets)}
+    # one row a family: bounded by the batch
+    uses = spark.createDataFrame([(i, at[m], m.index(n)) for i, ((n, _), m) in enumerate(zip(families, members))],
+                                 "fam int, set_id int, node_at int")
+    cells = count_sets(data, variables, [list(s) for s in sets], "_w").join(F.broadcast(uses), "set_id") \
+        .select("fam", F.col("n").cast("double"),
+                F.expr("filter(vals, (v, i) -> i != node_at)").alias("given"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("fam", "given"))
+    fit = cells.withColumn("part", F.col("n") * F.log(share)).groupBy("fam").agg(F.sum("part").alias("loglik"))
+    roles = fams.select("fam", F.col("node").alias("var"), F.lit(True).alias("is_node")) \
+        .unionByName(fams.select("fam", F.explode("parents").alias("var"), F.lit(False).alias("is_node")))
+    states = F.col("states").cast("double")
+    size = roles.join(F.broadcast(cards), "var").groupBy("fam").agg(     # one row a variable
+        (F.lit(0.5) * F.log(F.greatest(F.lit(1), F.max("n_rows")))
+         * F.product(F.when(F.col("is_node"), states - 1).otherwise(states))).alias("penalty"))
+    scored = fams.join(size, "fam").join(fit, "fam", "left") \
+        .withColumn("loglik", F.coalesce("loglik", F.lit(float("-inf"))))
+    return scored.select("fam", "node", "parents", F.size("parents").alias("k"), "loglik", "penalty",
+                         (F.col("loglik") - F.col("penalty")).alias("bic"))
+
+
+def graph_scores(data: DataFrame, cards: DataFrame, variables: list[str], graphs: Mapping[str, Graph]) -> DataFrame:
+    """(graph, bic, loglik, n_edges) of each graph, the sums of its families;
+    families that graphs share are counted once."""
+    uses = [(name, (v, tuple(sorted(ps)))) for name, g in graphs.items() for v, ps in g.items()]
+    families = list(dict.fromkeys(f for _, f in uses))
+    place = {f: i for i, f in enumerate(families)}
+    parts = data.sparkSession.createDataFrame([(name, place[f]) for name, f in uses], "graph string, fam int")
+    return family_scores(data, cards, variables, families).join(F.broadcast(parts), "fam").groupBy("graph").agg(
+        F.sum("bic").alias("bic"), F.sum("loglik").alias("loglik"), F.sum("k").cast("int").alias("n_edges"))
 
 
 @dataclass(frozen=True)
@@ -164,27 +138,37 @@ class Dag:
         return found
 
 
-def hill_climb(scorer: BICScorer, max_parents: int = 4, max_iterations: int = 200) -> dict:
+def hill_climb(df: DataFrame, variables: list[str], max_parents: int = 4, max_iterations: int = 200) -> dict:
     """From the empty graph, the move with the largest gain in BIC while that
     is above 1e-10; the first in the moves' order wins a tie.  Each iteration
-    scores all its new families in one Spark job."""
-    dag = Dag(scorer.variables)
-    total = scorer.graph_score(dag.parents)
-    history = [total]
+    scores all its new families in one Spark job; the driver holds their scores,
+    one number a family, and the graph."""
+    data = configurations(df, variables)
+    cards = keep(cardinalities(data, variables))
+    scores: dict[tuple[str, frozenset[str]], float] = {}
+
+    def bic(family: Family) -> float:
+        return scores[family[0], frozenset(family[1])]
+
+    def look_up(families) -> None:
+        new = {(n, frozenset(ps)): (n, tuple(ps)) for n, ps in families if (n, frozenset(ps)) not in scores}
+        if new:
+            rows = family_scores(data, cards, variables, list(new.values())).select("node", "parents", "bic").collect()
+            scores.update({(r.node, frozenset(r.parents)): r.bic for r in rows})
+
+    dag = Dag(variables)
+    look_up(dag.parents.items())
+    history = [sum(map(bic, dag.parents.items()))]
     while len(history) <= max_iterations:
-        table = dag.moves(max_parents)
-        scorer.score_families([scorer.key(n, ps) for m in table for n, ps in m.after]
-                              + [scorer.key(n, ps) for n, ps in dag.parents.items()])
-        gains = [sum(scorer.family_score(n, ps) - scorer.family_score(n, dag.parents[n]) for n, ps in m.after)
-                 for m in table]
-        gain, place = max(((g, -i) for i, g in enumerate(gains)), default=(0.0, 0))
-        if gain <= 1e-10:
+        choices = dag.moves(max_parents)
+        look_up(f for move in choices for f in move.after)
+        gains = [sum(bic(f) - bic((f[0], dag.parents[f[0]])) for f in move.after) for move in choices]
+        best = max(range(len(gains)), key=gains.__getitem__, default=None)      # the first of equals
+        if best is None or not gains[best] > 1e-10:
             break
-        dag = dag.with_parents(table[-place].after)
-        total += gain
-        history.append(total)
-    graph = {v: list(ps) for v, ps in dag.parents.items()}
-    return {"graph": graph, "score": scorer.graph_score(graph),
+        dag = dag.with_parents(choices[best].after)
+        history.append(history[-1] + gains[best])
+    return {"graph": {v: list(ps) for v, ps in dag.parents.items()}, "score": sum(map(bic, dag.parents.items())),
             "iterations": len(history) - 1, "history": history}
 
 

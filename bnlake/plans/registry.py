@@ -819,12 +819,14 @@ def _structure_frame(spark, sf, train: bool = True):
     return p.train if train else p.test
 
 
-def _fam_rows(scorer, families):
-    out = []
-    for i, (node, ps) in enumerate(families):
-        k = scorer.key(node, ps)
-        out.append((i, node, len(ps), scorer.loglik[k], scorer.penalty(node, ps), scorer.cache[k]))
-    return out
+def _scored(spark, sf, families, train: bool = True):
+    data = struct_ops.configurations(_structure_frame(spark, sf, train), VARS)
+    return struct_ops.family_scores(data, struct_ops.cardinalities(data, VARS), VARS, families).drop("parents")
+
+
+def _graph_scores(spark, sf, graphs, train: bool = True):
+    data = struct_ops.configurations(_structure_frame(spark, sf, train), VARS)
+    return struct_ops.graph_scores(data, struct_ops.cardinalities(data, VARS), VARS, graphs)
 
 
 HAND_FAMS = [(c, sorted(ps)) for c, ps in HAND.items()]
@@ -835,12 +837,9 @@ HAND_FAMS = [(c, sorted(ps)) for c, ps in HAND.items()]
     SELECT f.fam, f.node, f.k, round(f.ll, 6) AS loglik, round(p.penalty, 6) AS penalty,
            round(f.ll - p.penalty, 6) AS bic FROM fams f JOIN pens p USING (fam)"""))
 def q_bic_family(spark, sf):
-    """G1: BIC of each family of the hand-made graph on the training split;
-    all families are scored by one grouping-sets job."""
-    sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
-    sc.score_families([sc.key(n, p) for n, p in HAND_FAMS])
-    return spark.createDataFrame(_fam_rows(sc, HAND_FAMS),
-                                 "fam int, node string, k int, loglik double, penalty double, bic double")
+    """G1: BIC of each family of the hand-made graph on the training split, in one job."""
+    return _scored(spark, sf, HAND_FAMS)
+
 
 
 @register("bic_graph", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE is_train)"]
@@ -849,9 +848,8 @@ def q_bic_family(spark, sf):
            {sum(len(v) for v in HAND.values())} AS n_edges FROM fams f JOIN pens p USING (fam)"""))
 def q_bic_graph(spark, sf):
     """The graph score is the sum of its families."""
-    rows = q_bic_family(spark, sf)
-    return rows.agg(F.sum("bic").alias("bic"), F.sum("loglik").alias("loglik"),
-                    F.lit(sum(len(v) for v in HAND.values())).alias("n_edges"))
+    return _graph_scores(spark, sf, {"handcrafted": HAND}).drop("graph")
+
 
 
 FIRST_FAMS = [(t, []) for t in VARS] + [(t, [s]) for t in VARS for s in VARS if s != t]
@@ -863,10 +861,8 @@ FIRST_FAMS = [(t, []) for t in VARS] + [(t, [s]) for t in VARS for s in VARS if
            round(f.ll - p.penalty, 6) AS bic FROM fams f JOIN pens p USING (fam)"""))
 def q_family_candidates(spark, sf):
     """Every family a first hill-climbing step can reach, in one job."""
-    sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
-    sc.score_families([sc.key(n, p) for n, p in FIRST_FAMS])
-    return spark.createDataFrame(_fam_rows(sc, FIRST_FAMS),
-                                 "fam int, node string, k int, loglik double, penalty double, bic double")
+    return _scored(spark, sf, FIRST_FAMS)
+
 
 
 @register("test_fit_loglik", sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE NOT is_train)"]
@@ -875,8 +871,8 @@ def q_family_candidates(spark, sf):
 def q_test_fit_loglik(spark, sf):
     """Log-likelihood of the hand-made graph re-estimated on the test split
     (a fit measure, as the reference computes it)."""
-    sc = struct_ops.BICScorer(_structure_frame(spark, sf, train=False), VARS)
-    return spark.createDataFrame([(sc.graph_loglik(HAND),)], "test_loglik double")
+    return _graph_scores(spark, sf, {"handcrafted": HAND}, train=False).select(F.col("loglik").alias("test_loglik"))
+
 
 
 _LEARNED: dict = {}
@@ -885,8 +881,7 @@ _LEARNED: dict = {}
 def learned_graph(spark, sf, max_parents: int = 4):
     k = (spark.sparkContext.applicationId, sf, max_parents)
     if k not in _LEARNED:
-        sc = struct_ops.BICScorer(_structure_frame(spark, sf), VARS)
-        _LEARNED[k] = (struct_ops.hill_climb(sc, max_parents), sc)
+        _LEARNED[k] = struct_ops.hill_climb(_structure_frame(spark, sf), VARS, max_parents)
     return _LEARNED[k]
 
 
@@ -894,13 +889,13 @@ def learned_graph(spark, sf, max_parents: int = 4):
 def q_hill_climb(spark, sf):
     """G4 (+G5): learned edges; the search is a driver loop over per-iteration
     batched family scores."""
-    res, _ = learned_graph(spark, sf)
+    res = learned_graph(spark, sf)
     return struct_ops.edge_frame(spark, res["graph"]).withColumn("score", F.lit(float(res["score"])))
 
 
 @register("edge_diff")
 def q_edge_diff(spark, sf):
-    res, _ = learned_graph(spark, sf)
+    res = learned_graph(spark, sf)
     return struct_ops.edge_diff(struct_ops.edge_frame(spark, HAND),
                                 struct_ops.edge_frame(spark, res["graph"]))
 
@@ -926,13 +921,10 @@ def q_edge_diff_dependencies(spark, sf):
 @register("compare_structures")
 def q_compare_structures(spark, sf):
     """Hand-made vs learned: train BIC, test-fit log-likelihood, edges."""
-    res, sc = learned_graph(spark, sf)
-    te = struct_ops.BICScorer(_structure_frame(spark, sf, train=False), VARS)
-    rows = []
-    for name, g in (("handcrafted", HAND), ("learned", res["graph"])):
-        rows.append((name, float(sc.graph_score(g)), float(te.graph_loglik(g)),
-                     sum(len(v) for v in g.values())))
-    return spark.createDataFrame(rows, "graph string, bic double, test_loglik double, n_edges int")
+    graphs = {"handcrafted": HAND, "learned": learned_graph(spark, sf)["graph"]}
+    fit = _graph_scores(spark, sf, graphs, train=False).select("graph", F.col("loglik").alias("test_loglik"))
+    return _graph_scores(spark, sf, graphs).join(fit, "graph").select("graph", "bic", "test_loglik", "n_edges")
+
 
 
 # ---------------------------------------------------------------------------
@@ -1176,21 +1168,47 @@ def q_compare_engines_expl_drawn(spark, sf):
     return _compare_engines(spark, sf, "explanatory", gibbs=False)
 
 
-@register("hill_climb_property", "SELECT TRUE AS no_better_move, TRUE AS scores_agree, count(*) > 0 AS has_rows FROM orders")
+@register("hill_climb_property")
 def q_hill_climb_property(spark, sf):
     """G4 as a property of the data: no legal move improves the learned graph's
     BIC, and the search's score is the sum of its families' scores."""
-    res, sc = learned_graph(spark, sf)
+    res = learned_graph(spark, sf)
     dag = struct_ops.Dag(VARS, {v: tuple(ps) for v, ps in res["graph"].items()})
-    moves = dag.moves(4)
-    sc.score_families([sc.key(n, ps) for m in moves for n, ps in m.after])
-    gains = [sum(sc.family_score(n, ps) - sc.family_score(n, dag.parents[n]) for n, ps in m.after) for m in moves]
-    rows = pipeline(spark, sf).cases.agg((F.count("*") > 0).alias("has_rows"))
-    return rows.select(F.lit(all(g <= 1e-10 for g in gains)).alias("no_better_move"),
-                       F.lit(abs(res["history"][-1] - res["score"]) < 1e-6).alias("scores_agree"), "has_rows")
-
-
-@register("gibbs_property", "SELECT TRUE AS near_exact, count(*) > 0 AS has_rows FROM orders")
+    graphs = {f"m{i}": dag.with_parents(m.after).parents for i, m in enumerate(dag.moves(4))}
+    scores = _graph_scores(spark, sf, {"learned": dag.parents, **graphs})
+    found = F.max(F.when(F.col("graph") == "learned", F.col("bic")))
+    best = F.max(F.when(F.col("graph") != "learned", F.col("bic")))
+    return scores.agg((F.coalesce(best, found) <= found + 1e-6).alias("no_better_move"),
+                      (F.abs(found - F.lit(float(res["history"][-1]))) < 1e-6).alias("scores_agree"),
+                      (F.count("*") > 0).alias("has_rows"))
+
+
+def _first_step_sql() -> str:
+    gains = ["""SELECT least(f.node, s.node) AS var_a, greatest(f.node, s.node) AS var_b,
+                   (f.ll - pf.penalty) - (e.ll - pe.penalty) AS gain
+                FROM fams f JOIN pens pf USING (fam) JOIN src_of s USING (fam)
+                JOIN fams e ON e.node = f.node AND e.k = 0 JOIN pens pe ON pe.fam = e.fam WHERE f.k = 1"""]
+    parents = ", ".join(f"({i}, {sq(ps[0])})" for i, (_, ps) in enumerate(FIRST_FAMS) if ps)
+    return sql(O.base() + [O.split_chrono(), "src AS (SELECT * FROM split WHERE is_train)"]
+               + _family_sql(FIRST_FAMS, "src")
+               + [f"src_of(fam, node) AS (VALUES {parents})", f"gains AS ({gains[0]})",
+                  "start AS (SELECT sum(f.ll - p.penalty) AS bic FROM fams f JOIN pens p USING (fam) WHERE f.k = 0)"],
+               """SELECT round(max(start.bic), 6) AS start_bic, round(greatest(max(gain), 0.0), 6) AS gain,
+                    max(gain) > 1e-10 AS moved, count(*) AS n_moves FROM gains, start""")
+
+
+@register("hill_climb_first_step", _first_step_sql())
+def q_hill_climb_first_step(spark, sf):
+    """G4's start and first step against all single edges scored in SQL."""
+    res = struct_ops.hill_climb(_structure_frame(spark, sf), VARS, 4, max_iterations=1)
+    step = res["history"][-1] - res["history"][0]
+    n = len(struct_ops.Dag(VARS).moves(4))
+    rows = _structure_frame(spark, sf).agg(F.count("*").alias("rows"))
+    return rows.select(F.lit(float(res["history"][0])).alias("start_bic"), F.lit(float(step)).alias("gain"),
+                       F.lit(res["iterations"] > 0).alias("moved"), F.lit(n).cast("long").alias("n_moves"))
+
+
+@register("gibbs_property")
 def q_gibbs_property(spark, sf):
     """I10 as a property: mean total variation from the exact posterior below 0.05."""
     p = pipeline(spark, sf)

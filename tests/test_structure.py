@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+from itertools import combinations
+
 import pytest
 
 from bnlake.operators import association as assoc
@@ -45,8 +49,7 @@ def test_cycle_check():
 def test_search_finds_link_and_respects_cap(spark):
     from tests.conftest import _u
     rows = [(i % 3, 2 * (i % 3), int(_u("c", i) * 3)) for i in range(600)]
-    sc = structure.BICScorer(frame(spark, rows, "a int, b int, c int"), ["a", "b", "c"])
-    res = structure.hill_climb(sc, max_parents=1)
+    res = structure.hill_climb(frame(spark, rows, "a int, b int, c int"), ["a", "b", "c"], max_parents=1)
     edges = {(p, c) for c, ps in res["graph"].items() for p in ps}
     assert edges in ({("a", "b")}, {("b", "a")})
     assert all(len(ps) <= 1 for ps in res["graph"].values())
@@ -55,5 +58,52 @@ def test_search_finds_link_and_respects_cap(spark):
 def test_noise_gives_empty_graph(spark):
     from tests.conftest import _u
     rows = [tuple(int(_u(v, i) * 3) for v in "xyz") for i in range(300)]
-    sc = structure.BICScorer(frame(spark, rows, "x int, y int, z int"), ["x", "y", "z"])
-    assert all(not ps for ps in structure.hill_climb(sc)["graph"].values())
+    res = structure.hill_climb(frame(spark, rows, "x int, y int, z int"), ["x", "y", "z"])
+    assert all(not ps for ps in res["graph"].values())
+
+
+def wide(n_rows, n_cols):
+    from tests.conftest import _u
+    return [tuple(None if _u("gap", i, j) < 0.05 else str(int(_u("wide", i, j) * 3)) for j in range(n_cols)) for i in range(n_rows)]
+
+
+def test_contingency_of_80_columns(spark):
+    names = [f"c{j}" for j in range(79)] + ["dotted.name"]
+    rows = wide(60, 80)
+    got = {(r.var_a, r.var_b, r.a, r.b): r.n
+           for r in assoc.contingency(frame(spark, rows, ", ".join(f"`{c}` string" for c in names)), names).collect()}
+    want = Counter((names[i], names[j], r[i], r[j]) for r in rows for i, j in combinations(range(80), 2)
+                   if r[i] is not None and r[j] is not None)
+    assert got == dict(want)
+
+
+def test_families_of_80_columns_against_plain_sums(spark):
+    names = [f"c{j}" for j in range(80)]
+    rows = wide(80, 80) + [(None,) * 80]
+    families = [("c79", ()), ("c79", ("c0",)), ("c3", ("c78", "c70")), ("c70", ("c3", "c78"))]
+    data = structure.configurations(frame(spark, rows, ", ".join(f"{c} string" for c in names)), names)
+    got = structure.family_scores(data, structure.cardinalities(data, names), names, families).collect()
+    assert len(got) == 4
+    for r in got:
+        node, ps = families[r.fam]
+        at, given = names.index(node), [names.index(p) for p in ps]
+        cells = Counter((tuple(x[g] for g in given), x[at]) for x in rows if None not in [x[at], *[x[g] for g in given]])
+        sums = Counter()
+        for (g, _), n in cells.items():
+            sums[g] += n
+        loglik = sum(n * math.log(n / sums[g]) for (g, _), n in cells.items())
+        states = {i: len({x[i] for x in rows} - {None}) for i in (at, *given)}
+        penalty = 0.5 * math.log(80) * (states[at] - 1) * math.prod(states[g] for g in given)
+        assert (r.loglik, r.penalty) == (pytest.approx(loglik), pytest.approx(penalty))
+        assert r.bic == pytest.approx(loglik - penalty)
+
+
+def test_scores_without_complete_rows_and_of_graphs(spark):
+    df = frame(spark, [("a", None), ("b", None), (None, "c")], "x string, y string")
+    data = structure.configurations(df, ["x", "y"])
+    cards = structure.cardinalities(data, ["x", "y"])
+    got = {r.graph: r for r in structure.graph_scores(data, cards, ["x", "y"], {
+        "none": {"x": [], "y": []}, "edge": {"x": [], "y": ["x"]}}).collect()}
+    assert got["edge"].loglik == -math.inf and got["none"].loglik == pytest.approx(2 * math.log(0.5))
+    assert (got["edge"].n_edges, got["none"].n_edges) == (1, 0)
+    assert all(not ps for ps in structure.hill_climb(df.limit(0), ["x", "y"])["graph"].values())
