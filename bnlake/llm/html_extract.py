@@ -2,9 +2,10 @@
 
 A page is read into blocks, the runs of text between block-level tags, each with
 its chain of container elements. A linear classifier scores a block as content
-(positive) or boilerplate from its containers' names and classes, its share of
-link text, its length and its punctuation; its two log-costs are the capacities
-from the source and to the sink. Neighbouring blocks, and consecutive blocks of
+(positive) or boilerplate from text, link and tag densities of the block, its
+container and its neighbours, and from its containers' names, whose weight is
+bounded; it is fitted on the pages that mark their article (``fit_weights``). Its
+two log-costs are the capacities from the source and to the sink. Neighbouring blocks, and consecutive blocks of
 one container, are joined by smoothness edges that weaken with their distance in
 the DOM. The minimum cut labels all blocks at once; the source side is the text.
 
@@ -24,10 +25,18 @@ import math
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bnlake.llm.common import staged
+
+#: Weight of the squared change of the weights against the mean log-loss.
+REGULARISATION = 1.0
 
 OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -43,6 +52,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes templat
 #: What may stand in a head; anything else ends it, as its end tag may be left out.
 HEAD = frozenset("head html base basefont bgsound link meta title style script noscript template".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH = frozenset("p blockquote pre".split())
+ITEM = frozenset("li dd dt td th option".split())
 CLOSES_P = BLOCK - {"button", "body", "html", "head", "option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 # Names that hint at boilerplate or content, as elements or in class, id and role.
 BAD_TAGS = frozenset("nav header footer aside form menu dialog button select fieldset head option".split())
@@ -53,32 +64,47 @@ headers login masthead menu menus nav navbar navigation newsletter notice notice
 modal promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup
 skyscraper social sponsor sponsored sponsors subscribe tags toolbar topbar widget widgets""".split())
 GOOD_NAMES = frozenset("article content entry main post story text body maincontent articlebody postbody".split())
+#: Words that make a name tell a state ("no-sidebar", "comments-open"), not what the element is.
+STATE = frozenset("""closed collapsed disabled enabled expanded has hidden hide is no not off on open show single type with
+without""".split())
 
 
 @dataclass(frozen=True)
 class Weights:
-    """The classifier and the smoothness; a hint outweighs all edges of a block."""
+    """Classifier and smoothness. These hold where a table has no labelled page to
+    fit them on; ``fit_weights`` replaces all but the last three."""
 
-    bad: float = -12.0
-    good: float = 9.0
-    none: float = -0.5
+    bias: float = -1.0
+    good: float = 6.0
+    bad: float = -8.0
     links: float = -4.0
-    length: float = 1.5
-    stop: float = 1.2
+    length: float = 1.0
+    stop: float = 1.0
     heading: float = 0.5
+    paragraph: float = 0.7
+    item: float = -0.7
+    company: float = 0.7
+    around: float = 0.4
     near: float = 1.0
     same: float = 0.6
+    #: What a name may weigh at most, so that text can speak against it.
+    hint_bound: float = 8.0
+
+
+#: The classifier's features in the order of ``features``, after the bias.
+FEATURES = ("good", "bad", "links", "length", "stop", "heading", "paragraph", "item", "company", "around")
 
 
 class Element:
     """An open element; hint is its own or else that of the nearest one around it."""
 
-    __slots__ = ("depth", "hint", "name", "parent")
+    __slots__ = ("depth", "hint", "inside", "name", "parent")
 
     def __init__(self, name: str, parent: Element | None, hint: int):
         self.name, self.parent = name, parent
         self.hint = hint or (parent.hint if parent else 0)
         self.depth = parent.depth + 1 if parent else 0
+        self.inside = name in GOOD_TAGS or bool(parent and parent.inside)
 
 
 class Block:
@@ -96,7 +122,10 @@ def _hint(name: str, attributes: str) -> int:
     if attributes and "=" in attributes and name not in ("html", "body", "a"):
         words: set[str] = set()
         for m in NAMES.finditer(attributes):
-            words.update(SPLIT.split((m[1] or m[2] or m[3] or "").lower()))
+            for one in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = set(SPLIT.split(one))
+                if not parts & STATE:
+                    words |= parts
         if words & BAD_NAMES:
             return -1
         good = good or bool(words & GOOD_NAMES)
@@ -179,7 +208,8 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             if name in ("li", "dd", "dt", "option", "tr", "td", "th") and now.name == name:
                 now = close(now)
             if name != "hr" and name not in VOID:
-                now = Element(name, now, _hint(name, page[m.end():end]))
+                own = name == "header" and now.inside      # an article's own header holds its title
+                now = Element(name, now, _hint("div" if own else name, page[m.end():end]))
                 known[name] += 1
         block = Block(now, now.name)
         if name not in ("b", "i", "em", "strong", "span"):
@@ -207,13 +237,29 @@ def _opened(at: Element, name: str, stop: str = "") -> Element | None:
     return None
 
 
-def score(b: Block, text: str, w: Weights) -> float:
-    """Log-odds that the block is content."""
-    z = w.none if not b.at.hint else w.good if b.at.hint > 0 else w.bad
-    z += w.links * min(1.0, b.linked / len(text))
-    z += w.length * min(3.0, math.log10(len(text) + 1) - 1.5)
-    z += w.stop if text[-1] in ".!?:;\"”»…" else 0.0
-    return z + (w.heading if b.tag in HEADING else 0.0)
+def features(found: list[tuple[Block, str]]) -> list[list[float]]:
+    """A row of FEATURES for each block. Names of containers give the first two; link
+    share, length, closing stop and tag are the block's own; ``company`` is the running
+    text in paragraphs of its container, ``around`` the length of its two neighbours."""
+    size = [min(3.0, math.log10(len(t) + 1)) - 1.5 for _, t in found]
+    linked = [min(1.0, b.linked / len(t)) for b, t in found]
+    prose: Counter[int] = Counter()
+    for (b, t), share in zip(found, linked):
+        if b.tag in PARAGRAPH and share < 0.5:
+            prose[id(b.at.parent or b.at)] += len(t)
+    rows = []
+    for i, (b, t) in enumerate(found):
+        near = size[max(0, i - 1):i] + size[i + 1:i + 2]
+        rows.append([float(b.at.hint > 0), float(b.at.hint < 0), linked[i], size[i], float(t[-1] in ".!?:;\"”»…"),
+                     float(b.tag in HEADING), float(b.tag in PARAGRAPH), float(b.tag in ITEM),
+                     min(1.0, math.log10(prose[id(b.at.parent or b.at)] + 1) - 1.5), sum(near) / 2])
+    return rows
+
+
+def scores(found: list[tuple[Block, str]], w: Weights) -> list[float]:
+    """Log-odds that a block is content."""
+    by = [getattr(w, f) for f in FEATURES]
+    return [w.bias + sum(a * x for a, x in zip(by, row)) for row in features(found)]
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -312,12 +358,66 @@ def _max_flow(nodes: list[int], net: list[float], joined: list[dict[int, float]]
 
 def extract(page: str | None, w: Weights = Weights()) -> str:
     found = blocks(page or "")
-    content = minimum_cut([score(b, t, w) for b, t in found], edges(found, w))
+    content = minimum_cut(scores(found, w), edges(found, w))
     return "\n".join(t for (_, t), keep in zip(found, content) if keep)
 
 
-def main_text(pages: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of pages (page_id, url, html)."""
+def labelled_blocks(page: str) -> list[tuple[list[float], float]]:
+    """Features and label of each block of a page that marks its article by an element:
+    content is what stands in it and in no part named as boilerplate. Pages without
+    such an element give none."""
+    found = blocks(page)
+    if not any(b.at.inside for b, _ in found):
+        return []
+    return [(row, float(b.at.inside and b.at.hint > 0)) for (b, _), row in zip(found, features(found))]
+
+
+def fit_weights(pages: DataFrame, sample_pages: int = 2000, start: Weights = Weights()) -> Weights:
+    """Weights by logistic regression on the marked pages among at most ``sample_pages``
+    different ones, those with the smallest hashes. Every page counts once, however many
+    blocks it has. Its blocks are given twice, with their names and without, so the
+    weights of text, links and tags are learned as if names were missing half the time.
+    What is fitted is the change from ``start`` (an offset), held near none by its squared
+    length, so a name that the sample lacks, such as comments, keeps its meaning.
+    ``start`` comes back where no page is marked or only one label occurs."""
+    top = 1 << 30
+    keyed = pages.select("html", F.xxhash64("html").alias("h")).filter(F.col("html").isNotNull())
+    n = keyed.count()
+    if not n:
+        return start
+    bound = min(top, -(-4 * sample_pages * top // n))       # four times the sample, then the smallest of those
+    low = keyed.filter(F.pmod("h", F.lit(top)) < bound)
+    picked = low.select("h").distinct().orderBy(F.pmod("h", F.lit(top)), "h").limit(sample_pages)
+    sample = low.join(F.broadcast(picked), "h").groupBy("h").agg(F.first("html").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for page in b.column(0).to_pylist():
+                rows = labelled_blocks(page)
+                x = [r for r, _ in rows] + [[0.0, 0.0, *r[2:]] for r, _ in rows]
+                y = [label for _, label in rows] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64()),
+                     pa.array([1 / max(1, len(y))] * len(y), pa.float64())], ["x", "label", "weight"])
+
+    rows = staged(sample.select("html").mapInArrow(run, "x array<double>, label double, weight double"), "html_blocks")
+    if rows.agg(F.count_distinct("label")).first()[0] < 2:
+        return start
+    prior = F.aggregate(F.arrays_zip("x", F.array(*[F.lit(getattr(start, f)) for f in FEATURES]).alias("w")),
+                        F.lit(start.bias), lambda z, e: z + e["x"] * e["w"])
+    model = GeneralizedLinearRegression(family="binomial", link="logit", regParam=REGULARISATION, maxIter=50,
+                                        weightCol="weight", offsetCol="prior").fit(
+        rows.select(array_to_vector("x").alias("features"), "label", "weight", prior.alias("prior")))
+    learned = {f: getattr(start, f) + c for f, c in zip(FEATURES, model.coefficients.tolist())}
+    learned["good"] = min(max(learned["good"], 0.0), start.hint_bound)
+    learned["bad"] = max(min(learned["bad"], 0.0), -start.hint_bound)
+    return replace(start, bias=start.bias + float(model.intercept), **learned)
+
+
+def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of each row of pages (page_id, url, html);
+    weights not given are fitted on the pages."""
+    weights = weights or fit_weights(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
