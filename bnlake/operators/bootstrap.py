@@ -1,10 +1,11 @@
-"""Percentile bootstrap (M8) and cross-validation (M12) as joins and aggregates.
-
-Resampling never moves cases through the driver: replicate b draws index
-floor(u(seed, b, j) * n) for j < n, the draws are counted per (b, index) and
-joined to the per-case score table, and each replicate's metric is a weighted
-mean.  Draws are md5 of (seed, b, j): the same numbers on any partitioning or
-after a task retry.  All metrics share the seed, so their intervals use the
+"""Percentile bootstrap (M8) by counts split over blocks of cases.
+
+A replicate's n draws are first counted by the block of cases that they fall into;
+within a block the draws are uniform, so each block makes its own, from an array of
+its cases' scores, and only sums leave it. Cases are shuffled once, replicates as one
+count and one sum a block: no draw crosses the network. Draws are md5 of (seed, b, j)
+for blocks and (seed, b, block, j) within one: the same numbers on any partitioning or
+after a task retry, and in SQL. All metrics share the seed, so their intervals use the
 same resamples.
 """
 
@@ -14,46 +15,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bnlake.functions.scalar import seeded_uniform
+from bnlake.session import keep
 
+#: Cases in a range of keys (about), and in a block of draws.
 BUCKET = 1 << 16
+BLOCK = 1 << 10
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """Add ``idx`` = 0..n-1 in key order without a single-partition sort:
-    per-bucket counts (one row per 65,536 key values), their running offsets,
-    then a row_number inside each bucket. Buckets are equal parts of the key
-    range, about one for each 65,536 rows, so sparse keys make no more of them."""
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not r["n"]:
-        return df.withColumn("idx", F.lit(0).cast("long"))
-    width = max(1, -(-(r["hi"] - r["lo"] + 1) // max(1, -(-r["n"] // BUCKET))))
-    b = df.withColumn("_bk", F.floor((F.col(key) - F.lit(r["lo"])) / F.lit(width)))
+    """Add ``idx`` = 0..n-1 in key order without a single-partition sort: ranges
+    of about 65,536 rows by Spark's sampled range partitioning, written once, their
+    counts summed to offsets, then a row_number inside each range. Ranges hold equal
+    numbers of rows wherever the keys lie."""
+    n = df.count()
+    ranges = max(1, -(-n // BUCKET))
+    b = keep(df.repartitionByRange(ranges, key).withColumn("_bk", F.spark_partition_id()))
     cnt = b.groupBy("_bk").agg(F.count(F.lit(1)).alias("_c"))
-    off = cnt.withColumn("_off", F.sum("_c").over(
-        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_off"])
+    off = cnt.select("_bk", F.coalesce(F.sum("_c").over(           # a row a range: n / 65,536
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy("_bk").orderBy(key))
-    return b.join(F.broadcast(off.select("_bk", "_off")), "_bk") \
-            .withColumn("idx", (F.col("_off") + rn - 1).cast("long")).drop("_bk", "_off")
-
-
-def replicate_weights(keys: DataFrame, key: str, n_boot: int, seed: int) -> tuple[DataFrame, int]:
-    """(b, key, w): how often replicate b drew each case, and the number of cases."""
-    s = dense_index(keys.select(key), key)
-    n = s.count()
-    draws = keys.sparkSession.range(n_boot * n).select((F.col("id") / F.lit(max(n, 1))).cast("long").alias("b"),
-                                                       (F.col("id") % F.lit(max(n, 1))).alias("j"))
-    draws = draws.withColumn("idx", F.floor(seeded_uniform(F.lit(seed), F.col("b"), F.col("j"))
-                                            * F.lit(n)).cast("long"))
-    w = draws.groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
-    return w.join(s, "idx").select("b", key, "w"), n
+    return b.withColumn("_rn", rn).join(off, "_bk") \
+            .withColumn("idx", (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_bk", "_off", "_rn")
+
+
+def replicate_draws(cases: DataFrame, key: str, payload: list[str], n_boot: int, seed: int) -> tuple[DataFrame, int]:
+    """(b, x): the payload struct of each draw of each replicate, to be summed by b
+    where it arises, and the number of cases. No cases: no draws."""
+    indexed = dense_index(cases.select(key, *payload), key)
+    n = cases.count()
+    blocks = indexed.groupBy((F.col("idx") / F.lit(BLOCK)).cast("long").alias("k")).agg(
+        F.sort_array(F.collect_list(F.struct("idx", F.struct(*payload).alias("x")))).alias("held"))
+    j = F.col("id") % F.lit(max(n, 1))
+    b = F.floor(F.col("id") / F.lit(max(n, 1))).cast("long")
+    drawn = cases.sparkSession.range(n_boot * n).select(b.alias("b"), j.alias("j"))
+    at = F.floor(seeded_uniform(F.lit(seed), F.col("b"), F.col("j")) * F.lit(n))
+    counts = drawn.groupBy("b", F.floor(at / F.lit(BLOCK)).cast("long").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    shares = counts.groupBy("k").agg(F.collect_list(F.struct("b", "c")).alias("shares"))    # at most n_boot entries
+    # little data but much work: blocks are spread by their number, not by their bytes
+    held = -(-n // BLOCK)
+    tasks = max(1, min(held, max(4 * cases.sparkSession.sparkContext.defaultParallelism, held // 64)))
+    own = blocks.join(shares, "k").repartition(tasks, "k").select("k", "held", F.size("held").alias("size"), F.explode("shares").alias("s")) \
+                .select("k", "held", "size", F.col("s.b").alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), "s.c")).alias("j"))
+    place = F.floor(seeded_uniform(F.lit(seed), F.col("b"), F.col("k"), F.col("j")) * F.col("size")).cast("int")
+    return own.select("b", F.get("held", place)["x"].alias("x")), n
 
 
 def replicate_means(scores: DataFrame, metrics: list[str], n_boot: int = 500,
                     seed: int = 42, key: str = "case_id") -> DataFrame:
     """(b, metric...) = mean of each per-case metric over replicate b."""
-    w, n = replicate_weights(scores, key, n_boot, seed)
-    return w.join(scores.select(key, *metrics), key).groupBy("b").agg(
-        *[(F.sum(F.col("w") * F.col(m)) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
+    draws, n = replicate_draws(scores, key, metrics, n_boot, seed)
+    return draws.groupBy("b").agg(*[(F.sum(F.col(f"x.{m}")) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
 
 
 def _percentiles(metrics: list[str], alpha: float) -> list:
@@ -69,8 +80,8 @@ def bootstrap_ci(scores: DataFrame, metrics: list[str], n_boot: int = 500, seed:
                  alpha: float = 0.05, key: str = "case_id", method: str = "exact") -> DataFrame:
     """One row: ``{m}_lo``, ``{m}_hi`` = linear-interpolated percentiles.
 
-    ``exact`` (at every size): multinomial resampling, B*n draws are shuffled to
-    the scores; ``poisson``, only when asked for: Poisson(1) case weights, summed
+    ``exact`` (at every size): multinomial resampling, summed where blocks of scores
+    are; ``poisson``, only when asked for: Poisson(1) case weights, summed
     map-side (only B rows per partition cross the network)."""
     rep = (replicate_means if method == "exact" else poisson_replicates)(
         scores, metrics, n_boot, seed, key)
@@ -84,9 +95,9 @@ def bootstrap_ci_by(scores: DataFrame, by: list[str], metrics: list[str], n_boot
     Every model has a score row for every case, so the models share one set of
     draws; each case's scores are packed into one row, and the draws meet them once."""
     packed = scores.groupBy(key).agg(F.collect_list(F.struct(*by, *metrics)).alias("m"))   # one entry a model
-    w, n = replicate_weights(packed, key, n_boot, seed)
-    x = w.join(packed, key).select("b", "w", F.inline("m"))
-    rep = x.groupBy("b", *by).agg(*[(F.sum(F.col("w") * F.col(m)) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
+    draws, n = replicate_draws(packed, key, ["m"], n_boot, seed)
+    x = draws.select("b", F.inline("x.m"))
+    rep = x.groupBy("b", *by).agg(*[(F.sum(m) / F.lit(float(max(n, 1)))).alias(m) for m in metrics])
     return rep.groupBy(*by).agg(*_percentiles(metrics, alpha))
 
 

@@ -938,22 +938,28 @@ N_BOOT = 500
 BOOT_METRICS = ["hit_1", "hit_3", "log_loss", "brier"]
 
 
-def _boot_sql(metrics_cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
-    u = sql_uniform(str(seed), "b", "j")
-    means = ", ".join(f"sum(w.w * s.{m}) / CAST((SELECT count(*) FROM scores) AS DOUBLE) AS {m}"
-                      for m in metrics_cols)
-    qs = ", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975), 6) AS {m}_hi"
-                   for m in metrics_cols)
-    return sql(p_ctes() + [
+def _boot_from(head: list[str], cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
+    """Intervals of the scores that ``head`` defines: draws counted by block of cases,
+    then made anew within each block, as ``bootstrap.replicate_draws`` states them."""
+    at, within = sql_uniform(str(seed), "b", "j"), sql_uniform(str(seed), "b", "k", "j2")
+    means = ", ".join(f"sum(s.{m}) / CAST(any_value(d.nn) AS DOUBLE) AS {m}" for m in cols)
+    qs = ", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975), 6) AS {m}_hi" for m in cols)
+    return sql(head + [
         f"sidx AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS idx FROM scores)",
-        f"""draws AS (SELECT b, CAST(floor({u} * nn) AS BIGINT) AS idx FROM (
+        f"""shares AS (SELECT b, nn, CAST(floor({at} * nn) AS BIGINT) // {boot.BLOCK} AS k, count(*) AS c FROM (
               SELECT r.range // nn AS b, r.range % nn AS j, nn FROM
-              (SELECT count(*) AS nn FROM scores) c, range(0, {n_boot} * (SELECT count(*) FROM scores)) r))""",
-        "w AS (SELECT b, idx, count(*) AS w FROM draws GROUP BY b, idx)",
-        f"reps AS (SELECT w.b, {means} FROM w JOIN sidx s ON s.idx = w.idx GROUP BY w.b)"],
+              (SELECT count(*) AS nn FROM scores) c, range(0, {n_boot} * (SELECT count(*) FROM scores)) r) GROUP BY ALL)""",
+        "own AS (SELECT b, k, nn, unnest(range(1, c + 1)) AS j2 FROM shares)",
+        f"""draws AS (SELECT b, nn, k * {boot.BLOCK} + CAST(floor({within} * least({boot.BLOCK}, nn - k * {boot.BLOCK})) AS BIGINT) AS idx
+              FROM own)""",
+        f"reps AS (SELECT d.b, {means} FROM draws d JOIN sidx s ON s.idx = d.idx GROUP BY d.b)"],
         f"SELECT {qs} FROM reps")
 
 
+def _boot_sql(metrics_cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
+    return _boot_from(p_ctes(), metrics_cols, n_boot, seed)
+
+
 @register("bootstrap_ci", _boot_sql(BOOT_METRICS))
 def q_bootstrap_ci(spark, sf):
     sc = pipeline(spark, sf).scores("ex_ante")
@@ -1785,22 +1791,6 @@ def q_convergence_all(spark, sf):
     return _r(DataFrame.unionByName, parts)
 
 
-def _boot_from(head: list[str], cols: list[str], n_boot: int = N_BOOT, seed: int = DEFAULT_SEED) -> str:
-    """Bootstrap percentiles over a ``scores`` CTE produced by ``head``."""
-    u = sql_uniform(str(seed), "b", "j")
-    means = ", ".join(f"sum(w.w * s.{m}) / CAST((SELECT count(*) FROM scores) AS DOUBLE) AS {m}" for m in cols)
-    qs = ", ".join(f"round(quantile_cont({m}, 0.025), 6) AS {m}_lo, round(quantile_cont({m}, 0.975), 6) AS {m}_hi"
-                   for m in cols)
-    return sql(head + [
-        f"sidx AS (SELECT *, row_number() OVER (ORDER BY {KEY}) - 1 AS idx FROM scores)",
-        f"""draws AS (SELECT b, CAST(floor({u} * nn) AS BIGINT) AS idx FROM (
-              SELECT r.range // nn AS b, r.range % nn AS j, nn FROM
-              (SELECT count(*) AS nn FROM scores) c, range(0, {n_boot} * (SELECT count(*) FROM scores)) r))""",
-        "w AS (SELECT b, idx, count(*) AS w FROM draws GROUP BY b, idx)",
-        f"reps AS (SELECT w.b, {means} FROM w JOIN sidx s ON s.idx = w.idx GROUP BY w.b)"],
-        f"SELECT {qs} FROM reps")
-
-
 def _verdict_ci_sql() -> str:
     parts = []
     for track in ("explanatory", "ex_ante"):

@@ -120,3 +120,33 @@ def test_auc_over_many_ranges(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert abs(got - sum(want) / 3) < 1e-12
+
+
+def test_bootstrap_draws_of_many_blocks(spark, monkeypatch):
+    """Replicate sums against the stated draws in plain Python, over many blocks, sparse
+    and far keys, two models, and tables of one and no row."""
+    from bnlake.operators import bootstrap
+    from tests.conftest import _u
+    monkeypatch.setattr(bootstrap, "BLOCK", 16)
+    monkeypatch.setattr(bootstrap, "BUCKET", 30)
+    keys = sorted({int(_u("key", i) * 1000) for i in range(120)}) + [10 ** 15]
+    value = {k: _u("value", k) for k in keys}
+
+    def plain(keys, b):
+        n, counts, total = len(keys), {}, 0.0
+        for j in range(n):
+            k = int(_u(7, b, j) * n) // 16
+            counts[k] = counts.get(k, 0) + 1
+        for k, c in counts.items():
+            block = keys[16 * k:16 * k + 16]
+            total += sum(value[block[int(_u(7, b, k, j) * len(block))]] for j in range(1, c + 1))
+        return total / n
+
+    for some in (keys, keys[:1]):
+        df = spark.createDataFrame([(k, value[k]) for k in reversed(some)], "case_id long, hit double")
+        got = {r.b: r.hit for r in bootstrap.replicate_means(df, ["hit"], 40, 7).collect()}
+        assert got == {b: pytest.approx(plain(some, b)) for b in range(40)}
+    both = df.selectExpr("case_id", "hit", "'a' AS model").unionByName(df.selectExpr("case_id", "hit * 2 AS hit", "'b' AS model"))
+    rows = {r.model: r for r in bootstrap.bootstrap_ci_by(both, ["model"], ["hit"], 40, 7).collect()}
+    assert rows["b"].hit_lo == pytest.approx(2 * rows["a"].hit_lo)
+    assert bootstrap.replicate_means(df.limit(0), ["hit"], 40, 7).collect() == []
