@@ -42,8 +42,10 @@ def sql_uniform(*parts: str) -> str:
 
 
 def canonical(value: Column) -> Column:
-    """Text of a code, the same for 1, 1.0 and "1.0"."""
-    return F.regexp_replace(value.cast("string"), r"^(-?\d+)\.0+$", "$1")
+    """Text of a code, the same for 1, 1.0 and "1.0".  Only text with ".0" in it can
+    change; the pattern is slow, so other text doesn't meet it."""
+    text = value.cast("string")
+    return F.when(text.contains(".0"), F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")).otherwise(text)
 
 
 def binary_target(code: Column) -> Column:

@@ -36,14 +36,18 @@ def predict_distributions(post: DataFrame, truth: DataFrame, key: str = "case_id
     post: (key, class, p) from any engine; truth: (key, y_true) -- rows with a
     null truth are skipped.  Each case is expanded over the (small, collected)
     class list with a literal array, then the engine's mass is left-joined.
+    Both joins are merges: each side has a row for every case, and Spark takes the
+    size of a generated table for that of the few columns that it was generated
+    from, so it would send all cases through the driver.
     """
     truth = truth.filter(F.col("y_true").isNotNull())
     if classes is None:
         classes = collect_classes(class_union(truth, post))
     arr = F.array(*[F.lit(c) for c in classes])
-    have = post.select(key).distinct()
+    have = post.select(key).distinct().hint("merge")
     base = truth.join(have, key).select(key, "y_true", F.posexplode(arr).alias("_o", "class"))
-    j = base.join(post.select(key, "class", F.col("p").alias("_p")), [key, "class"], "left")
+    mass = post.select(key, "class", F.col("p").alias("_p")).hint("merge")
+    j = base.join(mass, [key, "class"], "left")
     w = Window.partitionBy(key)
     raw = F.coalesce(F.col("_p"), F.lit(0.0))
     tot = F.sum(raw).over(w)

@@ -6,6 +6,8 @@ Every function maps DataFrame(s) + spec to a DataFrame; none collects rows.
 from __future__ import annotations
 
 import logging
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -77,9 +79,15 @@ def prepare_cases(df: DataFrame, spec: NetworkSpec, drop_target: bool = True,
 
 
 # -- P6 / P7 ----------------------------------------------------------------
+def canonical_column(df: DataFrame, col: str):
+    """``canonical`` of a column; whole numbers are such text as they are."""
+    whole = df.schema[col].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(col).cast("string") if whole else canonical(F.col(col))
+
+
 def node_columns(df: DataFrame, spec: NetworkSpec, names=None) -> list:
     names = spec.names if names is None else names
-    return [canonical(F.col(spec.column(n))).alias(n) for n in names
+    return [canonical_column(df, spec.column(n)).alias(n) for n in names
             if spec.column(n) in df.columns]
 
 
@@ -89,7 +97,9 @@ def rename_nodes(df: DataFrame, spec: NetworkSpec, keep_key: bool = True) -> Dat
     spec = spec.restrict(df.columns)
     cols = ([F.col(spec.key)] if keep_key and spec.key in df.columns else []) + \
         node_columns(df, spec)
-    return df.select(*cols).dropna(how="any", subset=spec.names)
+    # gaps are found in the columns as they are, so that no text is made twice
+    whole = reduce(and_, [F.col(spec.column(n)).isNotNull() for n in spec.names], F.lit(True))
+    return df.filter(whole).select(*cols)
 
 
 def evidence_project(df: DataFrame, spec: NetworkSpec, track=None,
@@ -99,7 +109,7 @@ def evidence_project(df: DataFrame, spec: NetworkSpec, track=None,
     ev = spec.track(track)
     cols = [F.col(spec.key)] + node_columns(df, spec, ev)
     if with_target:
-        cols.append(canonical(F.col(spec.column(spec.target))).alias("y_true"))
+        cols.append(canonical_column(df, spec.column(spec.target)).alias("y_true"))
     return df.select(*cols)
 
 

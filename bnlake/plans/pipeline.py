@@ -14,7 +14,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bnlake.functions.scalar import canonical
 from bnlake.operators import cpt as cptops
 from bnlake.operators import metrics, posterior, prep, split
 from bnlake.session import ensure_checkpoint_dir, keep
@@ -32,7 +31,7 @@ def pipeline(spark: SparkSession, sf_dir: str, view: str = "cases", **kw) -> "Pi
 
 
 def truth_of(df: DataFrame, spec: NetworkSpec) -> DataFrame:
-    return df.select(spec.key, canonical(F.col(spec.column(spec.target))).alias("y_true"))
+    return df.select(spec.key, prep.canonical_column(df, spec.column(spec.target)).alias("y_true"))
 
 
 class Pipeline:

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from bnlake.operators import metrics
 
@@ -150,3 +151,13 @@ def test_bootstrap_draws_of_many_blocks(spark, monkeypatch):
     rows = {r.model: r for r in bootstrap.bootstrap_ci_by(both, ["model"], ["hit"], 40, 7).collect()}
     assert rows["b"].hit_lo == pytest.approx(2 * rows["a"].hit_lo)
     assert bootstrap.replicate_means(df.limit(0), ["hit"], 40, 7).collect() == []
+
+
+def test_no_matrix_join_sends_the_cases_through_the_driver(spark):
+    from bnlake.operators import baselines
+    cases = spark.createDataFrame([(i, str(i % 3)) for i in range(12)], "case_id long, y string")
+    post = baselines.baseline_marginal(cases, cases, "y", "case_id")
+    P = metrics.predict_distributions(post, cases.select("case_id", F.col("y").alias("y_true")))
+    plan = P._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+    assert P.count() == 36 and P.agg(F.round(F.sum("p"), 6)).first()[0] == 12.0
