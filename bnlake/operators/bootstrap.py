@@ -70,7 +70,8 @@ def replicate_sums(cases: DataFrame, key: str, metrics: list[str], n_boot: int,
     """(b, g, metric...): parts of the sums of each metric over the cases that replicate b
     draws, one row a block and group, and the number of cases. ``cases`` has ``entries``:
     structs of a group number g and the metrics. No cases: no rows."""
-    indexed = dense_index(cases.select(key, "entries"), key)
+    cases = keep(cases.select(key, "entries"))     # counted, ranged and indexed
+    indexed = dense_index(cases, key)
     n, block = cases.count(), BLOCK
     blocks = indexed.select((F.col("idx") / F.lit(block)).cast("long").alias("k"), (F.col("idx") % block).cast("int").alias("place"),
                             F.inline("entries")) \
@@ -103,7 +104,8 @@ def replicate_sums(cases: DataFrame, key: str, metrics: list[str], n_boot: int,
                                        | {f"s{i}": pd.array(sums[drawn, i], "Float64") for i in range(len(metrics))})
 
     cols = ["k", "b", "c", "h0", "h1", *[f"h{i + 2}" for i in range(len(metrics))]]
-    own = blocks.join(shares, "k").repartition(tasks, "k").select(*cols)
+    # a merge: Spark takes the drawn counts for the few rows that they were drawn from, and would broadcast them
+    own = blocks.join(shares.hint("merge"), "k").repartition(tasks, "k").select(*cols)
     sums = own.mapInPandas(draw, "b long, g int, " + ", ".join(f"s{i} double" for i in range(len(metrics))))
     return sums.select("b", "g", *[F.col(f"s{i}").alias(m) for i, m in enumerate(metrics)]), n
 

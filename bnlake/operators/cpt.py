@@ -68,12 +68,13 @@ def collect_domains(domain_df: DataFrame) -> Domains:
 # ---------------------------------------------------------------------------
 # Counts for every (node, depth) in one GROUPING SETS pass
 # ---------------------------------------------------------------------------
-def weighted(df: DataFrame, cols: list[str]) -> DataFrame:
+def weighted(df: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
     """Distinct configurations of ``cols`` with their row count ``_w`` (nulls
-    kept as values).  Their number is bounded by the product of the domains,
+    kept as values; ``weight`` names a column of row counts).  Their number is bounded by the product of the domains,
     not by the rows, so every later grouping-set expansion runs on this small
     table; the aggregate itself combines map-side before its one shuffle."""
-    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_w"))
+    return df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_w"))
 
 
 # ---------------------------------------------------------------------------
@@ -94,13 +95,14 @@ def _set_table(spark: SparkSession, spec: NetworkSpec,
     return ordered, spark.createDataFrame(rows, "gid long, node string, depth int")
 
 
-def cpt_counts(nodes: DataFrame, spec: NetworkSpec, by: list[str] = ()) -> DataFrame:
+def cpt_counts(nodes: DataFrame, spec: NetworkSpec, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """(by..., node, depth, pa1..paM, value, n) for every node and backoff depth;
-    ``by`` columns (e.g. a fold id) are kept in every grouping set."""
+    ``by`` columns (e.g. a fold id) are kept in every grouping set; ``weight`` names a
+    column of row counts."""
     spec = spec.restrict(nodes.columns, by_name=True)
     spark = nodes.sparkSession
     sets, set_df = _set_table(spark, spec, by)
-    agg = weighted(nodes, [*by, *spec.names]).groupingSets(sets, *by, *spec.names).agg(
+    agg = weighted(nodes, [*by, *spec.names], weight).groupingSets(sets, *by, *spec.names).agg(
         F.sum("_w").alias("n"), F.grouping_id().alias("gid"))
     # set_df has one row per (node, depth): its size is fixed by the spec.
     j = agg.join(F.broadcast(set_df), "gid")

@@ -56,7 +56,8 @@ class Pipeline:
 
     @cached_property
     def split(self) -> DataFrame:
-        return keep(split.split_chrono(self.cases, self.spec.order_col, self.spec.key))
+        """The stored cases with a flag: the cut is a literal, so the rows aren't stored again."""
+        return split.split_chrono(self.cases, self.spec.order_col, self.spec.key)
 
     @property
     def train(self) -> DataFrame:
@@ -71,9 +72,16 @@ class Pipeline:
         return keep(prep.rename_nodes(self.train, self.spec))
 
     # -- model ----------------------------------------------------------------
+    @cached_property
+    def configs(self) -> DataFrame:
+        """Distinct rows of the node table with their number: all that the fit reads, in one
+        pass over the training cases."""
+        nodes = prep.rename_nodes(self.train, self.spec)
+        return keep(cptops.weighted(nodes, self.spec.restrict(nodes.columns, by_name=True).names))
+
     @cached_property
     def domain_df(self) -> DataFrame:
-        return keep(prep.value_domains(self.nodes, self.spec))
+        return keep(prep.value_domains(self.configs, self.spec))
 
     @cached_property
     def doms(self) -> cptops.Domains:
@@ -85,11 +93,11 @@ class Pipeline:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return keep(cptops.cpt_counts(self.nodes, self.spec))
+        return keep(cptops.cpt_counts(self.configs, self.spec, weight="_w"))
 
     @cached_property
     def cpt(self) -> DataFrame:
-        return cptops.fit_network(self.nodes, self.spec, self.alpha, self.m, self.backoff,
+        return cptops.fit_network(self.configs, self.spec, self.alpha, self.m, self.backoff,
                                   counts=self.counts, domains=self.domain_df)
 
     @cached_property

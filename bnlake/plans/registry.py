@@ -1269,26 +1269,58 @@ def _results_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: Baselines that read no evidence: the same on every track.
+TRACKLESS = ("marginal", "majority")
+
+
 def _results(spark, sf):
+    """A row for each model and track. Each row is stored by itself: one plan of all of them
+    would be planned anew, whole, on the driver after every of its stages."""
     p = pipeline(spark, sf)
     if "_results" not in p._post:
         from functools import reduce as _r
 
         from bnlake.session import keep
-        rows = []
-        for model in ("network", "marginal", "majority"):
+        rows, kept = [], {}
+        for model in MODELS:
             for track in ("explanatory", "ex_ante"):
-                if model == "network":
-                    P = p.matrix(track)
-                else:
-                    fn = base_ops.baseline_marginal if model == "marginal" else base_ops.baseline_majority
-                    P = keep(metrics.predict_distributions(fn(p.train, p.test, TARGET, KEY), p.truth(), KEY))
-                rows.append(metrics.summary_row(P, KEY).select(
-                    F.lit(model).alias("model"), F.lit(track).alias("track"), *SUMMARY_COLS))
+                at = (model, None if model in TRACKLESS else track)
+                if at not in kept:
+                    kept[at] = keep(metrics.summary_row(_matrix(spark, sf, model, track), KEY))
+                rows.append(kept[at].select(F.lit(model).alias("model"), F.lit(track).alias("track"), *SUMMARY_COLS))
         p._post["_results"] = keep(_r(DataFrame.unionByName, rows))
     return p._post["_results"]
 
 
+def _matrix(spark, sf, model: str, track: str) -> DataFrame:
+    """A model's stored matrix on a track."""
+    from bnlake.session import keep
+    p = pipeline(spark, sf)
+    if model == "network":
+        return p.matrix(track)
+    cols = [SPEC.column(v) for v in SPEC.track(track)]
+    fits = {"marginal": lambda: base_ops.baseline_marginal(p.train, p.test, TARGET, KEY),
+            "majority": lambda: base_ops.baseline_majority(p.train, p.test, TARGET, KEY),
+            "logistic": lambda: keep(base_ops.baseline_logreg(p.train, p.test, cols, TARGET, KEY)),
+            "boosting": lambda: keep(base_ops.baseline_gbt(p.train, p.test, cols, TARGET, KEY))}
+    name = f"_matrix_{model}" + ("" if model in TRACKLESS else f"_{track}")
+    if name not in p._post:
+        p._post[name] = keep(metrics.predict_distributions(fits[model](), p.truth(), KEY))
+    return p._post[name]
+
+
+def _scores(spark, sf, model: str, track: str) -> DataFrame:
+    """The score of each case under a model on a track, stored."""
+    from bnlake.session import keep
+    p = pipeline(spark, sf)
+    if model == "network":
+        return p.scores(track)
+    name = f"_scores_{model}" + ("" if model in TRACKLESS else f"_{track}")
+    if name not in p._post:
+        p._post[name] = keep(metrics.case_scores(_matrix(spark, sf, model, track), KEY))
+    return p._post[name]
+
+
 @register("results_table", _results_sql())
 def q_results_table(spark, sf):
     """Every model on both evidence tracks, one row each."""
@@ -1403,7 +1435,7 @@ def q_eval_saved_model(spark, sf):
     for track in ("explanatory", "ex_ante"):
         post = keep(posterior.posterior_exact(spark, SPEC, facs, doms, p.evidence(track, test), SPEC.track(track)))
         P = keep(metrics.predict_distributions(post, truth_of(test, SPEC), KEY))
-        rows.append(metrics.summary_row(P, KEY).select(F.lit(track).alias("track"), *SUMMARY_COLS))
+        rows.append(keep(metrics.summary_row(P, KEY)).select(F.lit(track).alias("track"), *SUMMARY_COLS))
     return rows[0].unionByName(rows[1])
 
 
@@ -1811,13 +1843,13 @@ def q_track_verdict_ci(spark, sf):
     from functools import reduce as _r
     p = pipeline(spark, sf)
     rows = []
+    # the marginal reads no evidence: one interval for both tracks
+    mar = boot.bootstrap_ci(_scores(spark, sf, "marginal", "ex_ante"), ["hit_3"], N_BOOT, DEFAULT_SEED, key=KEY,
+                            method="exact")
+    m = round_doubles(mar).first()
     for track in ("explanatory", "ex_ante"):
         net = boot.bootstrap_ci(p.scores(track), ["hit_3"], N_BOOT, DEFAULT_SEED, key=KEY, method="exact")
-        Pm = metrics.predict_distributions(base_ops.baseline_marginal(p.train, p.test, TARGET, KEY), p.truth(), KEY)
-        mar = boot.bootstrap_ci(metrics.case_scores(Pm, KEY), ["hit_3"], N_BOOT, DEFAULT_SEED, key=KEY,
-                                method="exact")
         n = round_doubles(net).first()
-        m = round_doubles(mar).first()
         rows.append((track, n.hit_3_lo, n.hit_3_hi, m.hit_3_lo, m.hit_3_hi,
                      bool(n.hit_3_lo > m.hit_3_hi or n.hit_3_hi < m.hit_3_lo)))
     return spark.createDataFrame(rows, "track string, network_lo double, network_hi double, "
@@ -1847,24 +1879,6 @@ def _intervals_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-def _matrices(spark, sf, models, track: str) -> dict:
-    from bnlake.session import keep
-    p = pipeline(spark, sf)
-    cols = [SPEC.column(v) for v in SPEC.track(track)]
-    fits = {"marginal": lambda: base_ops.baseline_marginal(p.train, p.test, TARGET, KEY),
-            "majority": lambda: base_ops.baseline_majority(p.train, p.test, TARGET, KEY),
-            "logistic": lambda: base_ops.baseline_logreg(p.train, p.test, cols, TARGET, KEY),
-            "boosting": lambda: base_ops.baseline_gbt(p.train, p.test, cols, TARGET, KEY)}
-    out = {}
-    for m in models:
-        name = f"_matrix_{m}_{track}"
-        if name not in p._post:
-            p._post[name] = p.matrix(track) if m == "network" else \
-                keep(metrics.predict_distributions(keep(fits[m]()), p.truth(), KEY))
-        out[m] = p._post[name]
-    return out
-
-
 def _evaluation_rows(spark, sf, models) -> DataFrame:
     """A row for each model and track: all metrics and their intervals, the draws shared by all."""
     from functools import reduce as _r
@@ -1872,13 +1886,13 @@ def _evaluation_rows(spark, sf, models) -> DataFrame:
     from bnlake.session import keep
     points, scores = [_results(spark, sf)], []
     for track in ("explanatory", "ex_ante"):
-        for model, P in _matrices(spark, sf, models, track).items():
+        for model in models:
             tag = [F.lit(model).alias("model"), F.lit(track).alias("track")]
             if model not in MODELS:                        # the others' rows are in the results table
-                points.append(metrics.summary_row(P, KEY).select(*tag, *SUMMARY_COLS))
-            scores.append(metrics.case_scores(P, KEY).select(*tag, KEY, *INTERVAL_METRICS))
-    ci = boot.bootstrap_ci_by(keep(_r(DataFrame.unionByName, scores)), ["model", "track"], INTERVAL_METRICS,
-                              N_BOOT, DEFAULT_SEED, key=KEY)
+                points.append(keep(metrics.summary_row(_matrix(spark, sf, model, track), KEY).select(*tag, *SUMMARY_COLS)))
+            scores.append(_scores(spark, sf, model, track).select(*tag, KEY, *INTERVAL_METRICS))
+    ci = keep(boot.bootstrap_ci_by(_r(DataFrame.unionByName, scores), ["model", "track"], INTERVAL_METRICS,
+                                   N_BOOT, DEFAULT_SEED, key=KEY))
     out = keep(_r(DataFrame.unionByName, points)).join(_named_intervals(ci), ["model", "track"])
     for k in (3, 5):
         for e in ("lo", "hi"):

@@ -58,27 +58,34 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = per_order_lines(lines)
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                         "o_totalprice", "o_orderdate", "o_orderpriority")
+    # codes, not prices and times, go through both shuffles
+    orders = orders.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("lawType"),
+                           F.year("o_orderdate").cast("int").alias("term"),
+                           F.quarter("o_orderdate").cast("int").alias("lcDisposition"),
+                           (F.col("o_totalprice") > PRICE_UNUSUAL).cast("int").alias("caseDispositionUnusual"),
+                           F.substring("o_orderpriority", 1, 1).alias("_priority"))
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     geo = (read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
            .join(read_table(spark, sf_dir, "region", "r_regionkey", "r_name"),
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    cust = customer.join(geo, F.col("c_nationkey") == F.col("n_nationkey"))
-    o = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    # left to itself Spark may broadcast the customers, whose file is small but who are many
+    cust = customer.join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = orders.join(cust.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return o.select(
         F.col("o_orderkey").alias("case_id"),
-        F.year("o_orderdate").cast("int").alias("term"),
+        "term",
         F.col("r_name").alias("chief"),
         F.col("c_mktsegment").alias("issueArea"),
-        F.col("o_orderstatus").alias("lawType"),
-        (F.col("o_totalprice") > PRICE_UNUSUAL).cast("int").alias("caseDispositionUnusual"),
-        F.quarter("o_orderdate").cast("int").alias("lcDisposition"),
+        "lawType",
+        "caseDispositionUnusual",
+        "lcDisposition",
         F.col("decisionType"),
         F.col("precedentAlteration").cast("int").alias("precedentAlteration"),
         F.coalesce(F.col("n_dissent"), F.lit(0)).cast("int").alias("minVotes"),
         F.col("declarationUncon"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("caseDisposition"),
+        F.col("_priority").cast("int").alias("caseDisposition"),
     )
 
 
