@@ -54,6 +54,12 @@ class Pipeline:
     def cases(self) -> DataFrame:
         return keep(prep.prepare_cases(self.raw, self.spec))
 
+    @property
+    def prepared(self) -> DataFrame:
+        """The prepared cases for a query that reads them once: the stored ones if there are
+        any, else their plan, so that they aren't written and read only for it."""
+        return self.cases if "cases" in self.__dict__ else prep.prepare_cases(self.raw, self.spec)
+
     @cached_property
     def split(self) -> DataFrame:
         """The stored cases with a flag: the cut is a literal, so the rows aren't stored again."""

@@ -109,7 +109,7 @@ def q_prepare_cases(spark, sf):
 @register("rename_nodes", sql(O.base() + [O.nodes("all_nodes", "prepared", "")],
                               "SELECT * FROM all_nodes"))
 def q_rename_nodes(spark, sf):
-    return prep.rename_nodes(pipeline(spark, sf).cases, SPEC)
+    return prep.rename_nodes(pipeline(spark, sf).prepared, SPEC)
 
 
 def _missing_sql() -> str:
