@@ -229,3 +229,52 @@ def test_rows_of_a_clique_are_dealt_before_they_fan_out(spark, model, monkeypatc
     coded = [(n, m) for n, m in made if m.codes]
     assert coded and all(n == 16 and "REPARTITION_BY_NUM, [" in m.factor.df._jdf.queryExecution().executedPlan().toString()
                          for n, m in coded)
+
+
+def test_stand_ins_count_every_case(spark, model):
+    """Mean TV over stand-ins is the mean over the cases, also where keys come twice (with the
+    same or other evidence, meeting each other in the join) or are null; the stand-ins of
+    cases with keys of their own are no more than the distinct evidence rows."""
+    from bnlake.operators import sampling
+    rows = [(i, str(i % 3), None if i % 5 == 0 else str(i % 2)) for i in range(200)]
+    rows += [(300, "0", "1"), (300, "0", "1"), (301, "0", "1"), (301, "2", None), (None, "1", "0"), (None, "1", "0"), (None, "2", "1"),
+             (302, "9", "9"), (303, None, None)]
+    cases = spark.createDataFrame(rows, "id long, a string, b string")
+    few = posterior.stand_ins(cases, ["a", "b"], model.doms, "id").localCheckpoint()
+    alone = few.filter("id.cid IS NOT NULL")
+    assert few.count() == 10 + 4 + 3 and alone.count() == 10
+    assert few.select(F.sum(posterior.stands_for("id"))).first()[0] == 202 + 4 + 3
+
+    def curve(ev, weight):
+        exact = posterior.posterior_exact(spark, model.spec, model.factors, model.doms, ev, ["a", "b"])
+        post = sampling.posterior_likelihood_weighting(spark, model.spec, model.ordered, model.doms, ev, ["a", "b"], counts=(3, 40))
+        return {r.n_samples: r.tv for r in sampling.sampler_convergence(exact, post, "id", weight).collect()}
+
+    want, got = curve(cases, None), curve(few, posterior.stands_for("id"))
+    assert want.keys() == got.keys() == {3, 40}
+    assert all(got[n] == pytest.approx(want[n], abs=1e-12) for n in want)
+
+
+def test_convergence_joins_no_row_a_case(spark, monkeypatch):
+    """The rows that the curves join are as many as the distinct evidence rows need, not the cases."""
+    from types import SimpleNamespace
+
+    from bnlake.operators import cpt, prep
+    from bnlake.plans import registry
+    spec, track = registry.SPEC, registry.EXANTE
+    cols = [f"CAST(id % {i % 3 + 2} AS STRING) AS {v}" for i, v in enumerate(spec.names)]
+    nodes = spark.range(60).selectExpr(*cols).localCheckpoint()
+    net = FittedNetwork(spec, cpt.fit_network(nodes, spec), prep.value_domains(nodes, spec).localCheckpoint(), 1.0, 5.0, True)
+    ev = spark.range(3000).selectExpr(f"id AS {registry.KEY}", *cols).select(registry.KEY, *track).localCheckpoint()
+    exact = posterior.posterior_exact(spark, spec, net.factors, net.doms, ev, track)
+    fake = SimpleNamespace(_post={}, doms=net.doms, factors=net.factors, factors_long=net.factors_long,
+                           evidence=lambda track: ev, posterior=lambda track: exact)
+    monkeypatch.setattr(registry, "pipeline", lambda *a: fake)
+    monkeypatch.setattr(registry, "LW_COUNTS", (5, 20))
+    joined, tv_distance = [], posterior.tv_distance
+    monkeypatch.setattr(posterior, "tv_distance", lambda a, b, key: joined.append((a.count(), b.count())) or tv_distance(a, b, key))
+    rows = {r.n_samples: r.tv for r in registry.q_convergence(spark, "").collect()}
+    n = ev.select(*track).distinct().count()
+    assert len(joined) == 2 and all(max(x) <= n * net.doms.card(spec.target) for x in joined)
+    for c, post in registry._lw(spark, "").items():
+        assert rows[c] == pytest.approx(tv_distance(exact, post, registry.KEY).agg(F.avg("tv")).first()[0], abs=1e-12)
