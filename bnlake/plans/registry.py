@@ -1821,16 +1821,15 @@ def q_convergence_all(spark, sf):
     weighting filters one weighted table; Gibbs runs once per count."""
     from functools import reduce as _r
     p = pipeline(spark, sf)
-    exact = p.posterior("ex_ante")
-    ev = p.evidence("ex_ante")
+    ev, exact = _stand_ins(spark, sf)
+    drawn, samples = _lw(spark, sf, ev), _samples(spark, sf)
     parts = []
-    samples = _samples(spark, sf)
     for n in LW_COUNTS:
         rej = samp.posterior_rejection(spark, SPEC, samples.filter(F.col("sample_id") < n), p.doms, ev, EXANTE)
         gib = samp.posterior_gibbs(spark, SPEC, p.factors_long, p.doms, ev, EXANTE, n=n, burn_in=500,
                                    seed=DEFAULT_SEED)
-        for name, post in (("rejection", rej), ("likelihood_weighting", _lw(spark, sf)[n]), ("gibbs", gib)):
-            parts.append(posterior.tv_distance(exact, post, KEY).agg(F.avg("tv").alias("tv"))
+        for name, post in (("rejection", rej), ("likelihood_weighting", drawn[n]), ("gibbs", gib)):
+            parts.append(posterior.mean_tv(exact, post, KEY, posterior.stands_for(KEY))
                          .select(F.lit(name).alias("engine"), F.lit(n).alias("n_samples"), "tv"))
     return _r(DataFrame.unionByName, parts)
 
