@@ -28,13 +28,13 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write a derived table as Parquet into the folder that the cluster shares
     (``spark.checkpoint.dir``) and read it back: cuts the lineage and survives
-    lost executors."""
+    lost executors. Options are the writer's."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,16 +8,22 @@ of up to ``max_words`` words that occurs ``min_count`` times or more is found:
    at most its bucket's.
 2. Candidates. Tasks list the different phrases whose bucket reaches ``min_count``
    and whose parts without the first and without the last word do so too (Apriori).
-   The frequent buckets are broadcast in slices of at most ``slice_keys`` keys.
-3. Tries. Candidates are dealt by their hash into shards of about ``shard_entries``,
-   and each shard becomes a double-array trie over word numbers of two digits.
-4. Counting. One pass over the texts a shard, with its trie broadcast: numpy moves
-   the states of all positions of a block at once, digit by digit, and adds up the
-   accepting states by bincount; Spark sums the shards' and tasks' counts.
+   The frequent buckets are broadcast as a Bloom filter of two to four bytes a key, in
+   slices of at most ``slice_keys`` keys; what it lets through too much fails the count.
+3. Tries. The words among the candidates are numbered. Candidates are dealt by length
+   and a hash of their word numbers into shards of about ``shard_entries``, and each
+   shard becomes a double-array trie over word numbers of two digits, in a file that
+   the cluster shares.
+4. Counting. One pass over the texts for all shards. A task holds up to GROUP_WORDS
+   words as numbers and deals their positions by the same hash, so each shard's trie,
+   read in turn, walks only the positions that can be its own: numpy moves the states
+   of many positions at once, digit by digit, and adds up the accepting states by
+   bincount; Spark sums the groups' counts.
 5. Scores by joins on the parts of a phrase, in exact decimals.
 
-Passes over the texts: one, and one for each slice and each shard. Slices and
-shards grow with the number of frequent phrases, not with the text.
+Passes over the texts: two, and one for each slice. Each position is walked once a
+length, however many shards there are; what grows with shards times text is that
+each group of words reads every trie that it has positions for.
 
 A null text is empty, a null language is ``und``, together with texts of the
 language ``und``. Repeated rows count as often as they occur. Ties go to the
@@ -34,6 +40,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -49,6 +57,10 @@ BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK_BYTES = 4 << 20
 #: Words whose phrases a task sums up before it hands them on; bytes of text for a part of the buckets.
 SKETCH_WORDS, PART_BYTES = 1_500_000, 12 << 20
+#: Words whose positions a task deals to the tries together; bytes of text of a task that counts; positions walked at once.
+GROUP_WORDS, TASK_BYTES, WALK = 12_000_000, 96 << 20, 1 << 20
+#: Words of 64 bits in a part of the Bloom filter; word numbers in a file.
+FILTER_PART, VOCABULARY_ROWS = 1 << 17, 500_000
 #: Places that are tried for the children of a state before they go to the end of the array.
 PROBES = 48
 #: Phrases of a language and length that a task knows to have listed already.
@@ -143,28 +155,53 @@ def _frequent(shift: int, enough: int):
     return run
 
 
-class KeySet:
-    """Sorted keys; a table of their last bits spares most searches."""
+def key_bits(keys: np.ndarray) -> np.ndarray:
+    """The four bits of keys in their word of the filter."""
+    mixed = keys.view(np.uint64) * BASE
+    out = np.zeros(len(keys), np.uint64)
+    for shift in (58, 52, 46, 40):
+        out |= np.uint64(1) << (mixed >> np.uint64(shift) & np.uint64(63))
+    return out
+
+
+def _filter_words(size: int):
+    """A part of the Bloom filter of size words."""
+    def run(found: pa.Table) -> pa.Table:
+        keys = found["key"].to_numpy()
+        words = np.zeros(min(size, FILTER_PART), np.uint64)
+        np.bitwise_or.at(words, keys & (len(words) - 1), key_bits(keys))
+        return pa.table({"part": pa.array([found["part"][0].as_py()], pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+
+    return run
+
+
+class KeyFilter:
+    """Bloom filter of keys, which are hashes: the last bits choose one of its words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.mask = keys, (1 << max(10, min(24, (4 * len(keys)).bit_length()))) - 1
-        self.some = np.zeros(self.mask + 1, bool)
-        self.some[keys & self.mask] = True
+    @classmethod
+    def of(cls, keys: DataFrame, n: int) -> KeyFilter:
+        """Of the n rows of keys; tasks make the parts."""
+        size = 1 << max(0, (max(n, 1) - 1).bit_length() - 2)
+        parts = keys.select(F.shiftright(F.col("key").bitwiseAND(size - 1), FILTER_PART.bit_length() - 1).alias("part"), "key")
+        words = np.zeros(size, np.uint64)
+        for r in parts.groupBy("part").applyInArrow(_filter_words(size), "part long, words binary").toLocalIterator():
+            some = np.frombuffer(r["words"], np.uint64)
+            words[r["part"] * FILTER_PART:][:len(some)] = some
+        return cls(words)
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        out = self.some[keys & self.mask]
-        maybe = keys[out]
-        at = np.searchsorted(self.keys, maybe)
-        at[at == len(self.keys)] = 0
-        out[out] = self.keys[at] == maybe
-        return out
+        bits = key_bits(keys)
+        return self.words[keys & (len(self.words) - 1)] & bits == bits
 
 
 def _candidates(shared, max_words: int, bits: int):
     """(lang, phrase, words): a task's different phrases of the slice; a repetition only after SEEN others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lo, hi, frequent = shared.value
-        frequent = KeySet(frequent)
+        lo, hi, words = shared.value
+        frequent = KeyFilter(words)
         seen: dict[tuple[str, int], pa.Array] = {}
         for lang, w in blocks(batches):
             number, safe = w.code, None
@@ -200,6 +237,10 @@ def _candidates(shared, max_words: int, bits: int):
     return run
 
 
+def radix_of(n_words: int) -> int:
+    return max(2, math.isqrt(max(0, n_words - 1)) + 1)
+
+
 class Trie:
     """A double-array trie of word sequences: the child of state s by symbol c is
     base[s] + c if check[base[s] + c] is s. A word's number makes two symbols."""
@@ -207,7 +248,7 @@ class Trie:
     def __init__(self, sequences: list[np.ndarray], n_words: int):
         """sequences: for 1, 2, ... words an array with one row of word numbers a
         phrase; entries are numbered through them in order."""
-        self.radix = radix = max(2, math.isqrt(max(0, n_words - 1)) + 1)
+        self.radix = radix = radix_of(n_words)
         depth = max([i + 1 for i, s in enumerate(sequences) if len(s)], default=0)
         rows = sum(map(len, sequences))
         symbols = np.full((rows, 2 * depth), -1, np.int64)
@@ -284,10 +325,11 @@ class Trie:
         """The two symbols of word numbers; negative for -1, a word of no entry."""
         return np.where(numbers < 0, -1, numbers // self.radix), numbers % self.radix
 
-    def count(self, high: np.ndarray, low: np.ndarray, into: np.ndarray) -> None:
+    def count(self, high: np.ndarray, low: np.ndarray, into: np.ndarray, at: np.ndarray | None = None) -> None:
         """Add to ``into`` how often each entry occurs in a sequence of words, given by
-        their digits; a negative high one is a word of no entry, or a gap."""
-        at = np.flatnonzero(high >= 0)
+        their digits, or begins at some of its places; a negative high digit is a word
+        of no entry, or a gap."""
+        at = np.flatnonzero(high >= 0) if at is None else at
         state = np.zeros(len(at), np.int64)
         for _ in range(self.depth):
             for digit in (high, low):
@@ -295,65 +337,193 @@ class Trie:
                 ok = self.check[to] == state
                 at, state = at[ok], to[ok]
             found = self.entry[state]
-            into += np.bincount(found[found >= 0], minlength=self.entries)
+            found = found[found >= 0]
+            if len(found):
+                into += np.bincount(found, minlength=self.entries)
             at = at + 1
             ok = at < len(high)
             ok[ok] = high[at[ok]] >= 0
             at, state = at[ok], state[ok]
 
 
-def _build(max_words: int):
-    """A shard's candidates (shard, lang, phrase, words) as a pickled trie, with the
-    words of each language (their numbers go on from one language to the next)."""
-    def run(found: pa.Table) -> pa.Table:
-        found = found.sort_by([("words", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+def _column(path: str, name: str) -> pa.ChunkedArray:
+    """A column of a Parquet file in the shared folder."""
+    where, path = fs.FileSystem.from_uri(path)
+    with where.open_input_file(path) as f:
+        return pq.ParquetFile(f).read([name])[name]
+
+
+def word_numbers(asked: dict[str, pa.Array], vocabulary: list[str]) -> dict[str, np.ndarray]:
+    """The numbers of each language's words, -1 without one: a word's place in the
+    files of the vocabulary, one file after the other."""
+    out = {lang: np.full(len(words), -1, np.int32) for lang, words in asked.items()}
+    first = 0
+    for path in vocabulary:
+        langs, words = _column(path, "lang").combine_chunks(), _column(path, "word").combine_chunks().cast(pa.binary())
+        for lang, mine in asked.items():
+            there = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            if len(there) and len(mine):
+                at = pc.fill_null(pc.index_in(mine, value_set=words.take(pa.array(there))), -1).to_numpy(zero_copy_only=False)
+                known = np.flatnonzero(at >= 0)
+                out[lang][known] = there[at[known]] + first
+        first += len(words)
+    return out
+
+
+def shard_of(numbers: list[np.ndarray], shards: int) -> np.ndarray:
+    """The shard of phrases among those of their length, by the numbers of their first, second, ... words."""
+    acc = np.zeros(len(numbers[0]), np.uint64)
+    for x in numbers:
+        h = x.astype(np.uint64) * MIX
+        acc = acc * BASE + (h ^ (h >> np.uint64(31)))
+    return ((acc ^ (acc >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(shards)
+
+
+def _numbered(vocabulary: list[str], shards: dict[int, list[int]]):
+    """(shard, words, lang, phrase, numbers) of the candidates whose words all have numbers; shards: those of each length."""
+    def some(found: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = found.sort_by("words").combine_chunks()
         lang, phrase, n = found["lang"].combine_chunks(), found["phrase"].combine_chunks(), found["words"].to_numpy()
-        words = pc.list_flatten(pc.split_pattern(phrase, " ")).cast(pa.binary()).dictionary_encode()
+        words = pc.list_flatten(pc.split_pattern(phrase, " ")).cast(pa.binary())
         langs = lang.dictionary_encode()
-        of_lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
-        both, numbers = np.unique(of_lang * len(words.dictionary) + words.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-        edge = np.searchsorted(both, np.arange(len(langs.dictionary) + 1) * len(words.dictionary))
-        vocabulary = {name: (int(a), words.dictionary.take(pa.array(both[a:b] % len(words.dictionary))))
-                      for name, a, b in zip(langs.dictionary.to_pylist(), edge, edge[1:])}
-        cut = np.concatenate(([0], np.cumsum(np.bincount(n, minlength=max_words + 1)[1:] * np.arange(1, max_words + 1))))
-        trie = Trie([numbers[cut[k - 1]:cut[k]].reshape(-1, k) for k in range(1, max_words + 1)], len(both))
-        blob = pickle.dumps((trie, vocabulary, lang, phrase), protocol=5)
-        return pa.table({"shard": pa.array([found["shard"][0].as_py()], pa.int32()), "trie": pa.array([blob], pa.binary())})
+        of_lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), n)
+        numbers = np.empty(len(words), np.int32)
+        at = {name: np.flatnonzero(of_lang == i) for i, name in enumerate(langs.dictionary.to_pylist())}
+        coded = {name: words.take(pa.array(places)).dictionary_encode() for name, places in at.items()}
+        known = word_numbers({name: c.dictionary for name, c in coded.items()}, vocabulary)
+        for name, c in coded.items():
+            numbers[at[name]] = known[name][c.indices.to_numpy(zero_copy_only=False)]
+        row = begin = 0
+        for k, many in zip(*np.unique(n, return_counts=True)):
+            mine = numbers[begin:begin + many * k].reshape(-1, k)
+            ok = np.flatnonzero((mine >= 0).all(axis=1))
+            mine, rows = np.ascontiguousarray(mine[ok]), pa.array(ok + row)
+            shard = shard_of(list(mine.T), len(shards[k])).astype(np.int32) + np.int32(shards[k][0])
+            edge = np.arange(len(ok) + 1, dtype=np.int32) * (4 * k)
+            packed = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(mine.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(ok), k, np.int32)), lang.take(rows), phrase.take(rows), packed],
+                                             ["shard", "words", "lang", "phrase", "numbers"])
+            row, begin = row + many, begin + many * k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= SEEN:
+                yield from some(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from some(pa.Table.from_batches(held))
+
+    return run
+
+
+def _build(n_words: int):
+    """A shard's candidates as a pickled trie, and their languages and names in the order of its entries."""
+    def run(found: pa.Table) -> pa.Table:
+        n = found["words"][0].as_py()
+        numbers = np.frombuffer(b"".join(found["numbers"].to_pylist()), np.int32).astype(np.int64).reshape(-1, n)
+        trie = Trie([np.empty((0, k), np.int64) for k in range(1, n)] + [numbers], n_words)
+        names = found["lang"].combine_chunks().dictionary_encode(), found["phrase"].combine_chunks()
+        return pa.table({"shard": pa.array([found["shard"][0].as_py()], pa.int32()), "trie": pa.array([pickle.dumps(trie, protocol=5)], pa.binary()),
+                         "names": pa.array([pickle.dumps(names, protocol=5)], pa.binary())})
 
     return run
 
 
-def word_numbers(w: Words, vocabulary: tuple[int, pa.Array] | None) -> np.ndarray:
-    """The number of each different word, -1 without one; one more place for gaps."""
-    out = np.full(len(w.words) + 1, -1, np.int64)
-    if vocabulary is not None:
-        first, known = vocabulary
-        at = pc.fill_null(pc.index_in(w.words, value_set=known), -1).to_numpy(zero_copy_only=False)
-        out[:-1] = np.where(at < 0, -1, at.astype(np.int64) + first)
+def dealt(code: np.ndarray, n: int, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, edges) of parts of a sequence of word numbers, -1 for gaps and unknown
+    words: the places where n known words begin, by shard, and the shards' edges."""
+    out = []
+    for begin in range(0, len(code) - n + 1, WALK):
+        part = code[begin:begin + WALK + n - 1]
+        size = len(part) - n + 1
+        ok = part[:size] >= 0
+        for i in range(1, n):
+            ok &= part[i:size + i] >= 0
+        at = np.flatnonzero(ok)
+        edges = np.array([0, len(at)])
+        if shards > 1:
+            shard = shard_of([part[at + i] for i in range(n)], shards).astype(np.uint16 if shards < 1 << 16 else np.uint32)
+            at = at[np.argsort(shard, kind="stable")]
+            edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+        out.append(((at + begin).astype(np.uint32), edges))
     return out
 
 
-def _count(shared, totals: bool):
-    """(lang, phrase, f) of a shard's entries; with ``totals`` the number of words as the phrase of none."""
+def _count(vocabulary: list[str], n_words: int, tries: dict[int, list[tuple[int, str | None]]]):
+    """(shard, lang, words, held, times, large): a group's counts of a shard's entries, the
+    number of words of a language as shard -1. tries: (shard, file) of each length."""
+    def group(held: list[tuple[str, pa.Array, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+        asked: dict[str, list[pa.Array]] = {}
+        for lang, words, _ in held:
+            asked.setdefault(lang, []).append(words)
+        numbers = word_numbers({lang: pa.concat_arrays(x) for lang, x in asked.items()}, vocabulary)
+        del asked
+        code, at, first = np.full(sum(len(c) + 1 for *_, c in held), -1, np.int32), 0, dict.fromkeys(numbers, 0)
+        for lang, words, c in held:
+            mine = np.append(numbers[lang][first[lang]:first[lang] + len(words)], np.int32(-1))  # the last is for gaps
+            code[at:at + len(c)] = mine[c]
+            at, first[lang] = at + len(c) + 1, first[lang] + len(words)
+        held.clear()
+        radix = radix_of(n_words)
+        high, low = (x.astype(np.int16 if radix < 1 << 15 else np.int32) for x in (np.where(code < 0, -1, code // radix), code % radix))
+        for n, shards in tries.items():
+            parts = dealt(code, n, len(shards))
+            for i, (shard, path) in enumerate(shards):
+                places = [p[e[i]:e[i + 1]] for p, e in parts]
+                if path is None or not any(map(len, places)):
+                    continue
+                trie = pickle.loads(_column(path, "trie")[0].as_py())
+                sums, places = np.zeros(trie.entries, np.int64), np.concatenate(places)
+                for begin in range(0, len(places), WALK):
+                    trie.count(high, low, sums, places[begin:begin + WALK].astype(np.int64))
+                yield shard, sums
+
+    def packed(shard: int, sums: np.ndarray) -> pa.RecordBatch:
+        times = sums[sums > 0]
+        return batch([shard], [None], [None], [np.packbits(sums > 0).tobytes()], [np.minimum(times, 255).astype(np.uint8).tobytes()], [times[times >= 255].tobytes()])
+
+    def batch(*columns) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "lang", "words", "held", "times", "large"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, vocabulary, langs, phrases = shared.value
-        sums, words = np.zeros(trie.entries, np.int64), {}
+        held, size, words = [], 0, {}
         for lang, w in blocks(batches):
             words[lang] = words.get(lang, 0) + int((w.code >= 0).sum())
-            high, low = trie.digits(word_numbers(w, vocabulary.get(lang)))
-            trie.count(high[w.code], low[w.code], sums)
-        at = np.flatnonzero(sums)
-        names = ["lang", "phrase", "f"]
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(at)), phrases.take(pa.array(at)), pa.array(sums[at])], names)
-        if totals and words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array([""] * len(words)), pa.array(list(words.values()), pa.int64())], names)
+            held.append((lang, w.words, w.code.astype(np.int32)))
+            size += len(w.code)
+            if size >= GROUP_WORDS:
+                yield from (packed(*x) for x in group(held))
+                held, size = [], 0
+        yield from (packed(*x) for x in group(held)) if held else ()
+        if words:
+            nothing = [None] * len(words)
+            yield batch([-1] * len(words), list(words), list(words.values()), nothing, nothing, nothing)
 
     return run
 
 
-def candidates(rows: DataFrame, max_words: int, min_count: int, slice_keys: int) -> DataFrame:
-    """(lang, phrase, words): all phrases that may occur min_count times, as a stored table."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _total(min_count: int):
+    """(lang, phrase, f) of a shard's entries that occur min_count times or more, from the groups' counts."""
+    def run(names: pa.Table, found: pa.Table) -> pa.Table:
+        lang, phrase = pickle.loads(names["names"][0].as_py()) if len(names) else (pa.array([], pa.string()),) * 2
+        total = np.zeros(len(phrase), np.int64)
+        for held, times, large in zip(found["held"], found["times"], found["large"]):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(held.as_py(), np.uint8), count=len(total)))
+            some = np.frombuffer(times.as_py(), np.uint8).astype(np.int64)
+            some[some == 255] = np.frombuffer(large.as_py(), np.int64)
+            total[at] += some
+        at = np.flatnonzero(total >= min_count)
+        return pa.table({"lang": lang.take(pa.array(at)).cast(pa.string()), "phrase": phrase.take(pa.array(at)), "f": pa.array(total[at])})
+
+    return run
+
+
+def candidates(rows: DataFrame, size: int, max_words: int, min_count: int, slice_keys: int) -> DataFrame:
+    """(lang, phrase, words): all phrases that may occur min_count times, as a stored table; size: bytes of the texts."""
     bits = min(40, max(20, size.bit_length()))
     shift = bits - min(bits, max(bits - 32, (size // PART_BYTES).bit_length()))
     sketch = rows.mapInArrow(_sketch(max_words, bits, shift, min_count), "words int, part long, keys binary, times binary")
@@ -366,8 +536,7 @@ def candidates(rows: DataFrame, max_words: int, min_count: int, slice_keys: int)
         edges = [(w << 48) + (i << bits) // k for w in range(1, max_words + 1) for k in [-(-2 * lengths.get(w, 1) // slice_keys)] for i in range(k)] + edges[1:]
     sc, parts = rows.sparkSession.sparkContext, []
     for lo, hi in zip(edges, edges[1:]):
-        mine = np.sort(frequent.filter((F.col("key") >= lo) & (F.col("key") < hi)).toArrow()["key"].to_numpy())
-        shared = sc.broadcast((lo, hi, mine))
+        shared = sc.broadcast((lo, hi, KeyFilter.of(frequent.filter((F.col("key") >= lo) & (F.col("key") < hi)), min(n, slice_keys)).words))
         found = rows.mapInArrow(_candidates(shared, max_words, bits), "lang string, phrase string, words int")
         parts.append(staged(found.distinct(), "phrase-candidates"))
         shared.unpersist()
@@ -378,31 +547,34 @@ def candidates(rows: DataFrame, max_words: int, min_count: int, slice_keys: int)
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shard_entries: int = 600_000,
-                     slice_keys: int = 4_000_000) -> DataFrame:
+                     slice_keys: int = 32_000_000) -> DataFrame:
     """(lang, phrase, words, f) of all phrases of 1 to max_words words that occur
     min_count times or more, and (lang, '', 0, number of words), as a stored table."""
     if not 0 < max_words < 128 or min_count < 1:
         raise ValueError("max_words must be from 1 to 127, min_count positive")
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"), "text")
     spark = docs.sparkSession
-    found = candidates(rows, max_words, min_count, slice_keys)
-    shards = max(1, -(-found.count() // shard_entries))
-    shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")
-    tries = staged(found.select(shard.alias("shard"), "lang", "phrase", "words").groupBy("shard").applyInArrow(_build(max_words), "shard int, trie binary"), "phrase-tries")
-    out = None
-    for i in range(shards):
-        blob = tries.filter(F.col("shard") == i).toArrow()["trie"]
-        if not len(blob):
-            continue
-        shared = spark.sparkContext.broadcast(pickle.loads(blob[0].as_py()))
-        counts = rows.mapInArrow(_count(shared, i == 0), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-        mine = staged(counts.filter((F.col("f") >= min_count) | (F.col("phrase") == "")), "phrase-counts")
-        shared.unpersist()
-        out = mine if out is None else out.unionByName(mine)
-    if out is None:
-        out = spark.createDataFrame([], "lang string, phrase string, f long")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = candidates(rows, size, max_words, min_count, slice_keys)
+    many = {r["words"]: r["n"] for r in found.groupBy("words").agg(F.count("*").alias("n")).collect()}
+    if 1 not in many:
+        return spark.createDataFrame([], "lang string, phrase string, words int, f long")
+    vocabulary = sorted(staged(found.filter("words = 1").select("lang", F.col("phrase").alias("word")), "phrase-words", maxRecordsPerFile=VOCABULARY_ROWS).inputFiles())
+    shards, last = {}, 0
+    for n in sorted(many):
+        shards[n] = list(range(last, last := last - (-many[n] // shard_entries)))
+    numbered = found.mapInArrow(_numbered(vocabulary, shards), "shard int, words int, lang string, phrase string, numbers binary")
+    # a file for each shard, so that tasks can read one after the other
+    tries = staged(numbered.groupBy("shard").applyInArrow(_build(many[1]), "shard int, trie binary, names binary"), "phrase-tries", maxRecordsPerFile=1)
+    path = {r["shard"]: r["path"] for r in tries.select("shard", F.input_file_name().alias("path")).collect()}
+    tasks = max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
+    count = _count(vocabulary, many[1], {n: [(i, path.get(i)) for i in mine] for n, mine in shards.items()})
+    sums = staged(rows.coalesce(tasks).mapInArrow(count, "shard int, lang string, words long, held binary, times binary, large binary"), "phrase-sums")
+    names, parts = tries.select("shard", "names"), sums.filter("shard >= 0").select("shard", "held", "times", "large")
+    counts = names.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_total(min_count), "lang string, phrase string, f long")
+    words = sums.filter("shard < 0").groupBy("lang").agg(F.sum("words").alias("f")).select("lang", F.lit("").alias("phrase"), "f")
     n_words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return out.select("lang", "phrase", n_words.alias("words"), "f")
+    return staged(counts.unionByName(words), "phrase-counts").select("lang", "phrase", n_words.alias("words"), "f")
 
 
 def _part(first: int | Column, n: Column) -> Column:

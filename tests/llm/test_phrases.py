@@ -97,3 +97,45 @@ def test_trie_without_entries():
     got = np.zeros(0, np.int64)
     trie.count(*trie.digits(np.array([-1, -1])), got)
     assert trie.entries == 0
+
+
+def test_reads_of_the_texts_do_not_grow_with_shards(spark):
+    rows = texts(5, 40, ["a", "b", "c", "d", "e"], ("en", "fr"))
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    reads = []
+    for how in ({}, {"shard_entries": 5}):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for b in batches:
+                read.add(b.num_rows)
+                yield b
+
+        found = phrases.frequent_phrases(docs.mapInArrow(counted, docs.schema), 3, 2, **how)
+        assert {(r.lang, r.phrase): r.f for r in found.filter("words > 0").collect()} == frequent(rows, 3, 2)
+        reads.append(read.value)
+    assert len(frequent(rows, 3, 2)) > 100 and reads[0] == reads[1]
+
+
+def frequent(rows, max_words, min_count):
+    f = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            w = piece.split()
+            f.update((lang, " ".join(w[i:i + k])) for k in range(1, max_words + 1) for i in range(len(w) - k + 1))
+    return {p: a for p, a in f.items() if a >= min_count}
+
+
+def test_filter_holds_its_keys_and_few_others(spark):
+    rnd = np.random.default_rng(1)
+    keys = rnd.integers(0, 1 << 34, 40_000) | (2 << 48)
+    some = phrases.KeyFilter.of(spark.createDataFrame([(k,) for k in keys[:20_000].tolist()], "key long"), 20_000)
+    assert some.holds(keys[:20_000]).all() and some.holds(keys[20_000:]).mean() < 0.02
+    assert not phrases.KeyFilter.of(spark.createDataFrame([], "key long"), 0).holds(keys).any()
+
+
+def test_candidates_of_unknown_words_go_and_equal_words_of_languages_differ(spark):
+    rows = [("en", "x y. x y. x")] * 3 + [("fr", "x y z. y x")] * 3 + [("de", "only once")]
+    for how in ({}, {"shard_entries": 1, "slice_keys": 1}):
+        found = phrases.frequent_phrases(spark.createDataFrame(rows, "lang string, text string"), 3, 3, **how)
+        assert {(r.lang, r.phrase): r.f for r in found.filter("words > 0").collect()} == frequent(rows, 3, 3)
