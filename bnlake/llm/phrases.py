@@ -3,27 +3,28 @@
 A text is lower-cased (A-Z), cut into pieces and words. Per language, every phrase
 of up to ``max_words`` words that occurs ``min_count`` times or more is found:
 
-1. Sketch. Tasks hash every phrase into one of 2^bits buckets (bits from the size of
-   the texts), and groups of buckets of bounded size are summed; a phrase's count is
-   at most its bucket's.
-2. Candidates. Tasks list the different phrases whose bucket reaches ``min_count``
-   and whose parts without the first and without the last word do so too (Apriori).
-   The frequent buckets are broadcast as a Bloom filter of two to four bytes a key, in
+1. Words. The different words are counted, and the frequent ones numbered. The texts
+   are stored once more as word numbers, -1 for gaps and other words.
+2. Sketch. Tasks hash every phrase of frequent words into one of 2^bits buckets (bits
+   from the size of the texts), and groups of buckets of bounded size are summed; a
+   phrase's count is at most its bucket's.
+3. Candidates. Tasks list the different phrases whose bucket reaches ``min_count``
+   and whose parts without the first and without the last word do so too (Apriori),
+   as packed word numbers by ranges of their hash; a range's lists are merged. The
+   frequent buckets are broadcast as a Bloom filter of two to four bytes a key, in
    slices of at most ``slice_keys`` keys; what it lets through too much fails the count.
-3. Tries. The words among the candidates are numbered. Candidates are dealt by length
-   and a hash of their word numbers into shards of about ``shard_entries``, and each
-   shard becomes a double-array trie over word numbers of two digits, in a file that
-   the cluster shares.
-4. Counting. One pass over the texts for all shards. A task holds up to GROUP_WORDS
-   words as numbers and deals their positions by the same hash, so each shard's trie,
-   read in turn, walks only the positions that can be its own: numpy moves the states
-   of many positions at once, digit by digit, and adds up the accepting states by
-   bincount; Spark sums the groups' counts.
-5. Scores by joins on the parts of a phrase, in exact decimals.
-
-Passes over the texts: two, and one for each slice. Each position is walked once a
-length, however many shards there are; what grows with shards times text is that
-each group of words reads every trie that it has positions for.
+4. Tries. Ranges make shards of about ``shard_entries`` candidates of one length, and
+   each shard becomes a double-array trie over word numbers of two digits, in a file
+   that the cluster shares.
+5. Counting. One pass for all shards. A task holds GROUP_WORDS words, sorts their places
+   by the same hash, and each shard's trie, read in turn, walks the places that can be
+   its own: numpy moves the states of many places at once, digit by digit, and adds up
+   the accepting states by bincount; Spark sums the groups' counts.
+6. Scores by joins on the parts of a phrase, in exact decimals.
+
+Passes: two over the texts; over their numbers two, and one for each slice. Each place
+is walked once a length, however many shards there are; what grows with shards times
+text is that each group of words reads every trie that it has places for.
 
 A null text is empty, a null language is ``und``, together with texts of the
 language ``und``. Repeated rows count as often as they occur. Ties go to the
@@ -42,7 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -56,15 +57,15 @@ BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that a task holds as one block.
 BLOCK_BYTES = 4 << 20
 #: Words whose phrases a task sums up before it hands them on; bytes of text for a part of the buckets.
-SKETCH_WORDS, PART_BYTES = 1_500_000, 12 << 20
-#: Words whose positions a task deals to the tries together; bytes of text of a task that counts; positions walked at once.
-GROUP_WORDS, TASK_BYTES, WALK = 12_000_000, 96 << 20, 1 << 20
+SKETCH_WORDS, PART_BYTES = 3_000_000, 12 << 20
+#: Words whose places a task deals out together; bytes of text of a task that does; places walked at once; hash ranges of a shard.
+GROUP_WORDS, TASK_BYTES, WALK, RANGES = 4_000_000, 96 << 20, 1 << 19, 8
 #: Words of 64 bits in a part of the Bloom filter; word numbers in a file.
 FILTER_PART, VOCABULARY_ROWS = 1 << 17, 500_000
 #: Places that are tried for the children of a state before they go to the end of the array.
 PROBES = 48
-#: Phrases of a language and length that a task knows to have listed already.
-SEEN = 500_000
+#: Different words that a task gathers before it sums them up.
+GATHERED = 1_000_000
 UNKNOWN_LANG = "und"
 
 
@@ -80,11 +81,6 @@ class Words:
         stop = pc.index(self.words, pa.scalar(STOP, pa.binary())).as_py()
         self.code[self.code == stop] = -1
 
-    def phrase(self, at: np.ndarray, n: int) -> pa.Array:
-        """The phrases of n words that begin at some places."""
-        parts = [self.words.take(pa.array(self.code[at + i])) for i in range(n)]
-        return (parts[0] if n == 1 else pc.binary_join_element_wise(*parts, b" ")).cast(pa.string())
-
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
     """(language, words) of blocks of the rows (lang, text)."""
@@ -99,19 +95,138 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
     yield from ((k, Words(t)) for k, t in held.items())
 
 
-def bucket_keys(lang: str, w: Words, max_words: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For 1, 2, ... words: the bucket of the phrase at each place, and whether it is one."""
-    seed = xxh64_intdigest(lang.encode())
-    of_word = np.fromiter((xxh64_intdigest(x, seed) for x in w.words.to_pylist()), np.uint64, len(w.words))
-    h, whole = of_word[w.code], w.code >= 0
-    acc, ok = h, whole
-    for n in range(1, max_words + 1):
-        if n > 1:
-            acc, ok = acc[:-1] * BASE + h[n - 1:], ok[:-1] & whole[n - 1:]
-        yield ((acc ^ (acc >> np.uint64(29))) * MIX >> np.uint64(64 - bits)).view(np.int64) | np.int64(n << 48), ok
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, f) of the rows (lang, text); the sums of some blocks."""
+    def summed(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        found = pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("f", "sum")])
+        return pa.table({"lang": found["lang"], "word": found["word"].cast(pa.string()), "f": found["f_sum"]}).to_batches()
+
+    held, size = [], 0
+    for lang, w in blocks(batches):
+        times = np.bincount(w.code[w.code >= 0], minlength=len(w.words))
+        at = pa.array(np.flatnonzero(times))
+        held.append(pa.table({"lang": pa.array([lang] * len(at), pa.string()), "word": w.words.take(at), "f": pa.array(times).take(at)}))
+        size += len(at)
+        if size >= GATHERED:
+            yield from summed(held)
+            held, size = [], 0
+    if held:
+        yield from summed(held)
+
+
+def _column(path: str, name: str) -> pa.Array:
+    """A column of a Parquet file in the shared folder."""
+    where, path = fs.FileSystem.from_uri(path)
+    with where.open_input_file(path) as f:
+        return pq.ParquetFile(f).read([name])[name].combine_chunks()
+
+
+def word_numbers(asked: dict[str, pa.Array], vocabulary: list[str]) -> dict[str, np.ndarray]:
+    """The numbers of each language's words, -1 without one: a word's place in the
+    files of the vocabulary, one file after the other."""
+    out = {lang: np.full(len(words), -1, np.int32) for lang, words in asked.items()}
+    first = 0
+    for path in vocabulary:
+        langs, words = _column(path, "lang"), _column(path, "word").cast(pa.binary())
+        for lang, mine in asked.items():
+            there = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
+            if len(there) and len(mine):
+                at = pc.fill_null(pc.index_in(mine, value_set=words.take(pa.array(there))), -1).to_numpy(zero_copy_only=False)
+                known = np.flatnonzero(at >= 0)
+                out[lang][known] = there[at[known]] + first
+        first += len(words)
+    return out
+
+
+def _encoded(vocabulary: list[str]):
+    """The rows (lang, text) as word numbers of frequent words, -1 for others, between pieces and after texts."""
+    def numbered(held: list[tuple[str, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        asked: dict[str, list[pa.Array]] = {}
+        for lang, words, _ in held:
+            asked.setdefault(lang, []).append(words)
+        numbers = word_numbers({lang: pa.concat_arrays(x) for lang, x in asked.items()}, vocabulary)
+        first = dict.fromkeys(numbers, 0)
+        for lang, words, code in held:
+            mine = np.append(numbers[lang][first[lang]:first[lang] + len(words)], np.int32(-1))  # the last is for gaps
+            first[lang] += len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(mine[code], np.int32(-1)).tobytes()], pa.binary())], ["code"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for lang, w in blocks(batches):
+            held.append((lang, w.words, w.code.astype(np.int32)))
+            size += len(w.code)
+            if size >= GROUP_WORDS:
+                yield from numbered(held)
+                held, size = [], 0
+        yield from numbered(held)
+
+    return run
+
+
+def dealt(files: list[str], tasks: int) -> list[list[str]]:
+    """The files of each task."""
+    n = max(1, min(tasks, len(files)))
+    return [files[i::n] for i in range(n)]
 
 
-def _sketch(max_words: int, bits: int, shift: int, enough: int):
+def by_task(spark: SparkSession, files: list[list[str]]) -> DataFrame:
+    """A row for each task, which reads its files itself: no large batches pass through the JVM."""
+    return spark.range(0, len(files), 1, len(files))
+
+
+def groups(batches: Iterator[pa.RecordBatch], files: list[list[str]], most: int) -> Iterator[np.ndarray]:
+    """The word numbers of some rows at once, about as many as ``most``."""
+    held, size = [], 0
+    for path in (path for b in batches for i in b.column(0).to_pylist() for path in files[i]):
+        where, path = fs.FileSystem.from_uri(path)
+        with where.open_input_file(path) as f:
+            for b in pq.ParquetFile(f, pre_buffer=False).iter_batches(1, columns=["code"]):
+                held += (np.frombuffer(x.as_buffer(), np.int32) for x in b.column(0))
+                size += sum(map(len, held[-len(b):]))
+                if size >= most:
+                    code, held, size = np.concatenate(held), [], 0
+                    yield code
+    if size:
+        yield np.concatenate(held)
+
+
+def phrase_hash(numbers: list[np.ndarray]) -> np.ndarray:
+    """A hash of phrases by the numbers of their first, second, ... words."""
+    acc = np.zeros(len(numbers[0]), np.uint64)
+    for x in numbers:
+        h = (x.astype(np.uint64) + BASE) * MIX
+        acc = acc * BASE + (h ^ (h >> np.uint64(31)))
+    acc = (acc ^ (acc >> np.uint64(29))) * MIX
+    return (acc ^ (acc >> np.uint64(32))) * BASE
+
+
+def phrases_of(code: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, hashes) of the phrases of n frequent words, for parts of a sequence of word numbers."""
+    for begin in range(0, len(code) - n + 1, WALK):
+        part = code[begin:begin + WALK + n - 1]
+        size = len(part) - n + 1
+        ok = part[:size] >= 0
+        for i in range(1, n):
+            ok &= part[i:size + i] >= 0
+        at = np.flatnonzero(ok)
+        yield at + begin, phrase_hash([part[at + i] for i in range(n)])
+
+
+def by_hash(places: Iterator[tuple[np.ndarray, np.ndarray]], code: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their hashes, and the edges of ranges of hashes; places of equal phrases are neighbours but for rare cases."""
+    bits, size, both = np.uint64(len(code).bit_length()), 0, np.empty(len(code), np.uint64)
+    for at, h in places:
+        both[size:size + len(at)] = h >> bits << bits | at.astype(np.uint64)
+        size += len(at)
+    both = both[:size]
+    both.sort()
+    edges = np.searchsorted(both, np.array([-(-(i << 32) // ranges) << 32 for i in range(ranges)], np.uint64))
+    both &= (np.uint64(1) << bits) - np.uint64(1)
+    return both.view(np.int64), np.append(edges, size)
+
+
+def _sketch(files: list[list[str]], max_words: int, bits: int, shift: int, enough: int):
     """(words, part, keys, times): the sums of some million phrases by parts of the
     buckets, keys as differences, so that a part costs a few bytes a bucket."""
     def packed(n: int, keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -127,15 +242,11 @@ def _sketch(max_words: int, bits: int, shift: int, enough: int):
              pa.array([times[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], ["words", "part", "keys", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        for lang, w in blocks(batches):
-            for n, (key, ok) in enumerate(bucket_keys(lang, w, max_words, bits), 1):
-                held.setdefault(n, []).append(key[ok] & ((1 << bits) - 1))
-            size += len(w.code)
-            if size >= SKETCH_WORDS:
-                yield from (packed(n, k) for n, k in held.items() if any(map(len, k)))
-                held, size = {}, 0
-        yield from (packed(n, k) for n, k in held.items() if any(map(len, k)))
+        for code in groups(batches, files, SKETCH_WORDS):
+            for n in range(2, max_words + 1):
+                keys = [(h >> np.uint64(64 - bits)).view(np.int64) for _, h in phrases_of(code, n)]
+                if any(map(len, keys)):
+                    yield packed(n, keys)
 
     return run
 
@@ -197,46 +308,67 @@ class KeyFilter:
         return self.words[keys & (len(self.words) - 1)] & bits == bits
 
 
-def _candidates(shared, max_words: int, bits: int):
-    """(lang, phrase, words): a task's different phrases of the slice; a repetition only after SEEN others."""
+def _candidates(files: list[list[str]], shared, max_words: int, bits: int, ranges: dict[int, tuple[int, int]]):
+    """(range, words, numbers): a group's different phrases of the slice; ranges: the first and the number of those of each length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi, words = shared.value
         frequent = KeyFilter(words)
-        seen: dict[tuple[str, int], pa.Array] = {}
-        for lang, w in blocks(batches):
-            number, safe = w.code, None
-            for n, (key, ok) in enumerate(bucket_keys(lang, w, max_words, bits), 1):
-                kept = np.flatnonzero(ok if n == 1 else ok & safe[:-1] & safe[1:])
+
+        def kept(code: np.ndarray, n: int, before: np.ndarray, safe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for at, h in phrases_of(code, n):
+                ok = before[at] & before[at + 1]
+                at, h = at[ok], h[ok]
+                key = (h >> np.uint64(64 - bits)).view(np.int64) | np.int64(n << 48)
+                other = (key < lo) | (key >= hi)
+                mine = ~other
+                mine[mine] = frequent.holds(key[mine])
+                safe[at] = mine | other  # a bucket of another slice may be frequent
+                yield at[mine], h[mine]
+
+        for code in groups(batches, files, GROUP_WORDS):
+            safe = code >= 0
+            for n in range(1, max_words + 1):
+                before, safe = safe, np.zeros(len(code), bool)
+                first, many = ranges.get(n, (0, 0))
                 if n == 1:
-                    at, back = np.zeros(len(w.words), np.int64), w.code[kept]
-                    at[back] = kept
-                    at = at[w.code[at] == np.arange(len(at))]  # all but the gap
-                    rank = np.zeros(len(w.words), np.int64)
-                    rank[w.code[at]] = np.arange(len(at))
-                    back = rank[back]
+                    safe, places = before, phrases_of(code, 1) if lo <= 2 << 48 else iter(())  # with the first slice
                 else:
-                    # a phrase is its beginning without the last word, and that word
-                    both = number[kept] * len(w.words) + w.code[kept + n - 1]
-                    _, first, back = np.unique(both, return_index=True, return_inverse=True)
-                    at = kept[first]
-                other = (key[at] < lo) | (key[at] >= hi)
-                mine = ~other
-                mine[mine] = frequent.holds(key[at][mine])
-                number, safe = np.full(len(key), -1, np.int64), np.zeros(len(key), bool)
-                number[kept] = back
-                safe[kept] = (mine | other)[back]  # a bucket of another slice may be frequent
-                found = w.phrase(at[mine], n)
-                known = seen.get((lang, n))
-                if known is not None:
-                    found = found.filter(pc.invert(pc.is_in(found, value_set=known)))
-                if len(found):
-                    seen[lang, n] = found if known is None or len(known) > SEEN else pa.concat_arrays([known, found])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), found, pa.array(np.full(len(found), n, np.int32))],
-                                                     ["lang", "phrase", "words"])
+                    places = kept(code, n, before, safe)
+                if not many:
+                    continue
+                at, edges = by_hash(places, code, many)
+                numbers = [code[at + i] for i in range(n)]
+                new = np.ones(len(at), bool)
+                new[1:] = np.any([x[1:] != x[:-1] for x in numbers], axis=0)
+                for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+                    one = slice(edges[i], edges[i + 1])
+                    yield pa.RecordBatch.from_arrays([pa.array([first + i], pa.int32()), pa.array([n], pa.int32()), pa.array([b"".join(x[one][new[one]].tobytes() for x in numbers)], pa.binary())],
+                                                     ["range", "words", "numbers"])
 
     return run
 
 
+def unpacked(found: pa.Table) -> np.ndarray:
+    """The word numbers of candidates of a length: a row for the first, second, ... words."""
+    n = found["words"][0].as_py()
+    return np.concatenate([np.frombuffer(x.as_buffer(), np.int32).reshape(n, -1) for x in found["numbers"]], axis=1)
+
+
+def _different(found: pa.Table) -> pa.Table:
+    """A range's different candidates."""
+    numbers = unpacked(found)
+    h = phrase_hash(list(numbers))
+    order = np.argsort(h, kind="stable")
+    h, numbers = h[order], numbers[:, order]
+    new = np.ones(len(h), bool)
+    new[1:] = (numbers[:, 1:] != numbers[:, :-1]).any(axis=0)
+    if (h[1:] == h[:-1])[new[1:]].any():  # different phrases of the same hash
+        numbers = np.unique(numbers, axis=1)
+    else:
+        numbers = numbers[:, new]
+    return pa.table({"range": found["range"][:1], "words": found["words"][:1], "numbers": pa.array([numbers.tobytes()], pa.binary())})
+
+
 def radix_of(n_words: int) -> int:
     return max(2, math.isqrt(max(0, n_words - 1)) + 1)
 
@@ -346,204 +478,90 @@ class Trie:
             at, state = at[ok], state[ok]
 
 
-def _column(path: str, name: str) -> pa.ChunkedArray:
-    """A column of a Parquet file in the shared folder."""
-    where, path = fs.FileSystem.from_uri(path)
-    with where.open_input_file(path) as f:
-        return pq.ParquetFile(f).read([name])[name]
-
-
-def word_numbers(asked: dict[str, pa.Array], vocabulary: list[str]) -> dict[str, np.ndarray]:
-    """The numbers of each language's words, -1 without one: a word's place in the
-    files of the vocabulary, one file after the other."""
-    out = {lang: np.full(len(words), -1, np.int32) for lang, words in asked.items()}
-    first = 0
-    for path in vocabulary:
-        langs, words = _column(path, "lang").combine_chunks(), _column(path, "word").combine_chunks().cast(pa.binary())
-        for lang, mine in asked.items():
-            there = np.flatnonzero(pc.equal(langs, lang).to_numpy(zero_copy_only=False))
-            if len(there) and len(mine):
-                at = pc.fill_null(pc.index_in(mine, value_set=words.take(pa.array(there))), -1).to_numpy(zero_copy_only=False)
-                known = np.flatnonzero(at >= 0)
-                out[lang][known] = there[at[known]] + first
-        first += len(words)
-    return out
-
-
-def shard_of(numbers: list[np.ndarray], shards: int) -> np.ndarray:
-    """The shard of phrases among those of their length, by the numbers of their first, second, ... words."""
-    acc = np.zeros(len(numbers[0]), np.uint64)
-    for x in numbers:
-        h = x.astype(np.uint64) * MIX
-        acc = acc * BASE + (h ^ (h >> np.uint64(31)))
-    return ((acc ^ (acc >> np.uint64(29))) * MIX >> np.uint64(32)) % np.uint64(shards)
-
-
-def _numbered(vocabulary: list[str], shards: dict[int, list[int]]):
-    """(shard, words, lang, phrase, numbers) of the candidates whose words all have numbers; shards: those of each length."""
-    def some(found: pa.Table) -> Iterator[pa.RecordBatch]:
-        found = found.sort_by("words").combine_chunks()
-        lang, phrase, n = found["lang"].combine_chunks(), found["phrase"].combine_chunks(), found["words"].to_numpy()
-        words = pc.list_flatten(pc.split_pattern(phrase, " ")).cast(pa.binary())
-        langs = lang.dictionary_encode()
-        of_lang = np.repeat(langs.indices.to_numpy(zero_copy_only=False), n)
-        numbers = np.empty(len(words), np.int32)
-        at = {name: np.flatnonzero(of_lang == i) for i, name in enumerate(langs.dictionary.to_pylist())}
-        coded = {name: words.take(pa.array(places)).dictionary_encode() for name, places in at.items()}
-        known = word_numbers({name: c.dictionary for name, c in coded.items()}, vocabulary)
-        for name, c in coded.items():
-            numbers[at[name]] = known[name][c.indices.to_numpy(zero_copy_only=False)]
-        row = begin = 0
-        for k, many in zip(*np.unique(n, return_counts=True)):
-            mine = numbers[begin:begin + many * k].reshape(-1, k)
-            ok = np.flatnonzero((mine >= 0).all(axis=1))
-            mine, rows = np.ascontiguousarray(mine[ok]), pa.array(ok + row)
-            shard = shard_of(list(mine.T), len(shards[k])).astype(np.int32) + np.int32(shards[k][0])
-            edge = np.arange(len(ok) + 1, dtype=np.int32) * (4 * k)
-            packed = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(mine.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(ok), k, np.int32)), lang.take(rows), phrase.take(rows), packed],
-                                             ["shard", "words", "lang", "phrase", "numbers"])
-            row, begin = row + many, begin + many * k
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += len(b)
-            if size >= SEEN:
-                yield from some(pa.Table.from_batches(held))
-                held, size = [], 0
-        if size:
-            yield from some(pa.Table.from_batches(held))
-
-    return run
-
-
 def _build(n_words: int):
-    """A shard's candidates as a pickled trie, and their languages and names in the order of its entries."""
+    """A shard's candidates as a pickled trie, and their word numbers in the order of its entries."""
     def run(found: pa.Table) -> pa.Table:
-        n = found["words"][0].as_py()
-        numbers = np.frombuffer(b"".join(found["numbers"].to_pylist()), np.int32).astype(np.int64).reshape(-1, n)
-        trie = Trie([np.empty((0, k), np.int64) for k in range(1, n)] + [numbers], n_words)
-        names = found["lang"].combine_chunks().dictionary_encode(), found["phrase"].combine_chunks()
+        numbers = unpacked(found)
+        n = len(numbers)
+        trie = Trie([np.empty((0, k), np.int64) for k in range(1, n)] + [numbers.T.astype(np.int64)], n_words)
         return pa.table({"shard": pa.array([found["shard"][0].as_py()], pa.int32()), "trie": pa.array([pickle.dumps(trie, protocol=5)], pa.binary()),
-                         "names": pa.array([pickle.dumps(names, protocol=5)], pa.binary())})
+                         "words": found["words"][:1], "numbers": pa.array([numbers.tobytes()], pa.binary())})
 
     return run
 
 
-def dealt(code: np.ndarray, n: int, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, edges) of parts of a sequence of word numbers, -1 for gaps and unknown
-    words: the places where n known words begin, by shard, and the shards' edges."""
-    out = []
-    for begin in range(0, len(code) - n + 1, WALK):
-        part = code[begin:begin + WALK + n - 1]
-        size = len(part) - n + 1
-        ok = part[:size] >= 0
-        for i in range(1, n):
-            ok &= part[i:size + i] >= 0
-        at = np.flatnonzero(ok)
-        edges = np.array([0, len(at)])
-        if shards > 1:
-            shard = shard_of([part[at + i] for i in range(n)], shards).astype(np.uint16 if shards < 1 << 16 else np.uint32)
-            at = at[np.argsort(shard, kind="stable")]
-            edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
-        out.append(((at + begin).astype(np.uint32), edges))
-    return out
-
-
-def _count(vocabulary: list[str], n_words: int, tries: dict[int, list[tuple[int, str | None]]]):
-    """(shard, lang, words, held, times, large): a group's counts of a shard's entries, the
-    number of words of a language as shard -1. tries: (shard, file) of each length."""
-    def group(held: list[tuple[str, pa.Array, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
-        asked: dict[str, list[pa.Array]] = {}
-        for lang, words, _ in held:
-            asked.setdefault(lang, []).append(words)
-        numbers = word_numbers({lang: pa.concat_arrays(x) for lang, x in asked.items()}, vocabulary)
-        del asked
-        code, at, first = np.full(sum(len(c) + 1 for *_, c in held), -1, np.int32), 0, dict.fromkeys(numbers, 0)
-        for lang, words, c in held:
-            mine = np.append(numbers[lang][first[lang]:first[lang] + len(words)], np.int32(-1))  # the last is for gaps
-            code[at:at + len(c)] = mine[c]
-            at, first[lang] = at + len(c) + 1, first[lang] + len(words)
-        held.clear()
+def _count(files: list[list[str]], n_words: int, tries: dict[int, list[tuple[int, str | None]]]):
+    """(shard, held, times, large): a group's counts of a shard's entries. tries: (shard, file) of each length."""
+    def sums_of(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         radix = radix_of(n_words)
-        high, low = (x.astype(np.int16 if radix < 1 << 15 else np.int32) for x in (np.where(code < 0, -1, code // radix), code % radix))
+        kind = np.int16 if radix < 1 << 15 else np.int32
+        high, low = (code // radix).astype(kind), (code % radix).astype(kind)  # -1 // radix is -1
         for n, shards in tries.items():
-            parts = dealt(code, n, len(shards))
-            for i, (shard, path) in enumerate(shards):
-                places = [p[e[i]:e[i + 1]] for p, e in parts]
-                if path is None or not any(map(len, places)):
+            at, edges = by_hash(phrases_of(code, n), code, len(shards))
+            for (shard, path), begin, end in zip(shards, edges, edges[1:]):
+                if path is None or begin == end:
                     continue
-                trie = pickle.loads(_column(path, "trie")[0].as_py())
-                sums, places = np.zeros(trie.entries, np.int64), np.concatenate(places)
-                for begin in range(0, len(places), WALK):
-                    trie.count(high, low, sums, places[begin:begin + WALK].astype(np.int64))
+                trie = pickle.loads(_column(path, "trie")[0].as_buffer())
+                sums = np.zeros(trie.entries, np.int64)
+                for x in range(begin, end, WALK):
+                    trie.count(high, low, sums, at[x:min(end, x + WALK)])
+                del trie  # before the next one is read
                 yield shard, sums
 
-    def packed(shard: int, sums: np.ndarray) -> pa.RecordBatch:
-        times = sums[sums > 0]
-        return batch([shard], [None], [None], [np.packbits(sums > 0).tobytes()], [np.minimum(times, 255).astype(np.uint8).tobytes()], [times[times >= 255].tobytes()])
-
-    def batch(*columns) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "lang", "words", "held", "times", "large"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, words = [], 0, {}
-        for lang, w in blocks(batches):
-            words[lang] = words.get(lang, 0) + int((w.code >= 0).sum())
-            held.append((lang, w.words, w.code.astype(np.int32)))
-            size += len(w.code)
-            if size >= GROUP_WORDS:
-                yield from (packed(*x) for x in group(held))
-                held, size = [], 0
-        yield from (packed(*x) for x in group(held)) if held else ()
-        if words:
-            nothing = [None] * len(words)
-            yield batch([-1] * len(words), list(words), list(words.values()), nothing, nothing, nothing)
+        for code in groups(batches, files, GROUP_WORDS):
+            for shard, sums in sums_of(code):
+                times = sums[sums > 0]
+                blobs = np.packbits(sums > 0), np.minimum(times, 255).astype(np.uint8), times[times >= 255]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], ["shard", "held", "times", "large"])
 
     return run
 
 
-def _total(min_count: int):
-    """(lang, phrase, f) of a shard's entries that occur min_count times or more, from the groups' counts."""
-    def run(names: pa.Table, found: pa.Table) -> pa.Table:
-        lang, phrase = pickle.loads(names["names"][0].as_py()) if len(names) else (pa.array([], pa.string()),) * 2
-        total = np.zeros(len(phrase), np.int64)
+def _total(vocabulary: list[str], min_count: int):
+    """(lang, phrase, words, f) of a shard's entries that occur min_count times or more, from the groups' counts."""
+    def run(entries: pa.Table, found: pa.Table) -> pa.Table:
+        numbers = unpacked(entries)
+        total = np.zeros(numbers.shape[1], np.int64)
         for held, times, large in zip(found["held"], found["times"], found["large"]):
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(held.as_py(), np.uint8), count=len(total)))
-            some = np.frombuffer(times.as_py(), np.uint8).astype(np.int64)
-            some[some == 255] = np.frombuffer(large.as_py(), np.int64)
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(held.as_buffer(), np.uint8), count=len(total)))
+            some = np.frombuffer(times.as_buffer(), np.uint8).astype(np.int64)
+            some[some == 255] = np.frombuffer(large.as_buffer(), np.int64)
             total[at] += some
         at = np.flatnonzero(total >= min_count)
-        return pa.table({"lang": lang.take(pa.array(at)).cast(pa.string()), "phrase": phrase.take(pa.array(at)), "f": pa.array(total[at])})
+        langs, words = (pa.chunked_array([_column(path, name) for path in vocabulary], pa.string()).combine_chunks() for name in ("lang", "word"))
+        parts = [words.take(pa.array(x[at])) for x in numbers]
+        phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
+        return pa.table({"lang": langs.take(pa.array(numbers[0][at])), "phrase": phrase, "words": pa.array(np.full(len(at), len(parts), np.int32)), "f": pa.array(total[at])})
 
     return run
 
 
-def candidates(rows: DataFrame, size: int, max_words: int, min_count: int, slice_keys: int) -> DataFrame:
-    """(lang, phrase, words): all phrases that may occur min_count times, as a stored table; size: bytes of the texts."""
+def candidates(spark: SparkSession, files: list[str], size: int, n_words: int, max_words: int, min_count: int, shard_entries: int, slice_keys: int) -> tuple[DataFrame, dict[int, list[int]]]:
+    """(shard, words, numbers) of all phrases that may occur min_count times, as a stored table, and the shards of each length; files: of the word numbers; size: bytes of the texts."""
     bits = min(40, max(20, size.bit_length()))
     shift = bits - min(bits, max(bits - 32, (size // PART_BYTES).bit_length()))
-    sketch = rows.mapInArrow(_sketch(max_words, bits, shift, min_count), "words int, part long, keys binary, times binary")
+    each = dealt(files, len(files))
+    sketch = by_task(spark, each).mapInArrow(_sketch(each, max_words, bits, shift, min_count), "words int, part long, keys binary, times binary")
     frequent = staged(sketch.groupBy("words", "part").applyInArrow(_frequent(shift, min_count), "key long"), "phrase-buckets")
-    n = frequent.count()
+    lengths = {r["w"]: r["n"] for r in frequent.groupBy((F.shiftright("key", 48)).alias("w")).agg(F.count("*").alias("n")).collect()}
+    n = sum(lengths.values())
     edges = [1 << 48, (max_words + 1) << 48]
     if n > slice_keys:
         # keys are hashes: equal ranges of those of each length hold about equal numbers
-        lengths = {r["w"]: r["n"] for r in frequent.groupBy((F.shiftright("key", 48)).alias("w")).agg(F.count("*").alias("n")).collect()}
-        edges = [(w << 48) + (i << bits) // k for w in range(1, max_words + 1) for k in [-(-2 * lengths.get(w, 1) // slice_keys)] for i in range(k)] + edges[1:]
-    sc, parts = rows.sparkSession.sparkContext, []
+        edges = [(w << 48) + (i << bits) // k for w in range(2, max_words + 1) for k in [-(-2 * lengths.get(w, 1) // slice_keys)] for i in range(k)] + edges[1:]
+    shards, last = {}, 0
+    for w, many in sorted({1: n_words, **lengths}.items()):
+        shards[w] = list(range(last, last := last - (-many // shard_entries)))
+    ranges = {w: (RANGES * mine[0], RANGES * len(mine)) for w, mine in shards.items()}
+    some, out = dealt(files, max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)), None
     for lo, hi in zip(edges, edges[1:]):
-        shared = sc.broadcast((lo, hi, KeyFilter.of(frequent.filter((F.col("key") >= lo) & (F.col("key") < hi)), min(n, slice_keys)).words))
-        found = rows.mapInArrow(_candidates(shared, max_words, bits), "lang string, phrase string, words int")
-        parts.append(staged(found.distinct(), "phrase-candidates"))
+        shared = spark.sparkContext.broadcast((lo, hi, KeyFilter.of(frequent.filter((F.col("key") >= lo) & (F.col("key") < hi)), min(n, slice_keys)).words))
+        listed = by_task(spark, some).mapInArrow(_candidates(some, shared, max_words, bits, ranges), "range int, words int, numbers binary")
+        found = staged(listed.groupBy("range").applyInArrow(_different, "range int, words int, numbers binary"), "phrase-candidates")
         shared.unpersist()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = found if out is None else out.unionByName(found)
+    return out.select(F.floor(F.col("range") / RANGES).cast("int").alias("shard"), "words", "numbers"), shards
 
 
 def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, shard_entries: int = 600_000,
@@ -555,26 +573,23 @@ def frequent_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, s
     rows = docs.select(F.coalesce("lang", F.lit(UNKNOWN_LANG)).alias("lang"), "text")
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = candidates(rows, size, max_words, min_count, slice_keys)
-    many = {r["words"]: r["n"] for r in found.groupBy("words").agg(F.count("*").alias("n")).collect()}
-    if 1 not in many:
+    words = staged(rows.mapInArrow(_word_counts, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f")), "phrase-words")
+    known = staged(words.filter(F.col("f") >= min_count).select("lang", "word"), "phrase-vocabulary", maxRecordsPerFile=VOCABULARY_ROWS)
+    vocabulary, n_words = sorted(known.inputFiles()), known.count()
+    if not n_words:
         return spark.createDataFrame([], "lang string, phrase string, words int, f long")
-    vocabulary = sorted(staged(found.filter("words = 1").select("lang", F.col("phrase").alias("word")), "phrase-words", maxRecordsPerFile=VOCABULARY_ROWS).inputFiles())
-    shards, last = {}, 0
-    for n in sorted(many):
-        shards[n] = list(range(last, last := last - (-many[n] // shard_entries)))
-    numbered = found.mapInArrow(_numbered(vocabulary, shards), "shard int, words int, lang string, phrase string, numbers binary")
+    code = sorted(staged(rows.mapInArrow(_encoded(vocabulary), "code binary"), "phrase-texts").inputFiles())
+    found, shards = candidates(spark, code, size, n_words, max_words, min_count, shard_entries, slice_keys)
     # a file for each shard, so that tasks can read one after the other
-    tries = staged(numbered.groupBy("shard").applyInArrow(_build(many[1]), "shard int, trie binary, names binary"), "phrase-tries", maxRecordsPerFile=1)
+    tries = staged(found.groupBy("shard").applyInArrow(_build(n_words), "shard int, trie binary, words int, numbers binary"), "phrase-tries", maxRecordsPerFile=1)
     path = {r["shard"]: r["path"] for r in tries.select("shard", F.input_file_name().alias("path")).collect()}
-    tasks = max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES)
-    count = _count(vocabulary, many[1], {n: [(i, path.get(i)) for i in mine] for n, mine in shards.items()})
-    sums = staged(rows.coalesce(tasks).mapInArrow(count, "shard int, lang string, words long, held binary, times binary, large binary"), "phrase-sums")
-    names, parts = tries.select("shard", "names"), sums.filter("shard >= 0").select("shard", "held", "times", "large")
-    counts = names.groupBy("shard").cogroup(parts.groupBy("shard")).applyInArrow(_total(min_count), "lang string, phrase string, f long")
-    words = sums.filter("shard < 0").groupBy("lang").agg(F.sum("words").alias("f")).select("lang", F.lit("").alias("phrase"), "f")
-    n_words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return staged(counts.unionByName(words), "phrase-counts").select("lang", "phrase", n_words.alias("words"), "f")
+    some = dealt(code, max(4 * spark.sparkContext.defaultParallelism, size // TASK_BYTES))
+    count = _count(some, n_words, {n: [(i, path.get(i)) for i in mine] for n, mine in shards.items()})
+    sums = by_task(spark, some).mapInArrow(count, "shard int, held binary, times binary, large binary")
+    entries = tries.select("shard", "words", "numbers")
+    counts = entries.groupBy("shard").cogroup(sums.groupBy("shard")).applyInArrow(_total(vocabulary, min_count), "lang string, phrase string, words int, f long")
+    totals = words.groupBy("lang").agg(F.sum("f").alias("f")).select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f")
+    return staged(counts.unionByName(totals), "phrase-counts")
 
 
 def _part(first: int | Column, n: Column) -> Column:
